@@ -4,14 +4,66 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat, decontam, jaccard, langid, packing, pii, pivots, toxicity, urlfilter, wavelet
 from .common import load
 
 
+def op1_pii_boosted_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(load(spark, sf_dir, "documents"))
+
+
+def op2_language_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(load(spark, sf_dir, "documents"))
+
+
+def op3_toxicity_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op4_decontaminate_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .jaccard import ngram_jaccard
+    return jaccard.ngram_jaccard(load(spark, sf_dir, "documents"))
+
+
+def op6_pack_configurations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(load(spark, sf_dir, "documents"))
+
+
+def op7_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = "</s>[INST] ok [/INST]"
+    conv = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
+    return chat.format_and_read_back(conv.unionByName(extra))
+
+
+def op8_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.wavelet_documents(load(spark, sf_dir, "documents"))
+
+
+def op9_url_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.filter_urls(load(spark, sf_dir, "pages"))
+
 
-    return ngram_jaccard(load(spark, sf_dir, "documents"))
+def op10_pivot_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(load(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op5_ngram_jaccard_join,)}
-SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_pii_boosted_spans,
+        op2_language_rank_order,
+        op3_toxicity_instances,
+        op4_decontaminate_aligned,
+        op5_ngram_jaccard_join,
+        op6_pack_configurations,
+        op7_chat_prefix_targets,
+        op8_wavelet_shards,
+        op9_url_automaton,
+        op10_pivot_permutations,
+    )
+}
+SQL = {"op9_url_automaton": urlfilter.SQL}

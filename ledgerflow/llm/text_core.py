@@ -76,11 +76,16 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int = CHUNK) -> Iterator[pa.
 
 def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every maximal run of non-space bytes within a text, and words per text."""
+    return spans_of(data, offs, ~_SPACE)
+
+
+def spans_of(data: np.ndarray, offs: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for runs of bytes that ``kind`` (a table of 256 flags) marks."""
     n = len(data)
     if n == 0:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offs) - 1, np.int64)
-    word = ~_SPACE[data]
+    word = kind[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
     heads = offs[:-1][offs[:-1] < n]
