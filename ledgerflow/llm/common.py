@@ -11,12 +11,15 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BITMAP_WORDS = 1 << 19  # 4 MB, 33.5 million bits
+CHUNKS = "kind int, chunk int, bits binary"
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -84,35 +87,62 @@ class Workspace:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def slot_word(key, words: int = BITMAP_WORDS):
-    return F.shiftright(key, 6).bitwiseAND(F.lit(words - 1).cast("long"))
-
-
 class Bitmap:
     """A fixed-size set of 64-bit keys with false positives and no false negatives."""
 
+    CHUNK = 4096  # words of a chunk, the unit that tasks send
+
     def __init__(self, bits: np.ndarray):
         self.bits = bits
 
+    def __getstate__(self) -> bytes:
+        # Sent to every task: a sparse set must be a small closure.
+        return zlib.compress(self.bits.tobytes(), 1)
+
+    def __setstate__(self, state: bytes) -> None:
+        self.bits = np.frombuffer(zlib.decompress(state), np.uint64)
+
     @classmethod
     def empty(cls, words: int = BITMAP_WORDS) -> "Bitmap":
         return cls(np.zeros(words, np.uint64))
 
+    def add(self, keys: np.ndarray) -> None:
+        k = mixed(keys)
+        w = (k >> np.int64(6)) & np.int64(len(self.bits) - 1)
+        np.bitwise_or.at(self.bits, w, np.uint64(1) << (k & np.int64(63)).astype(np.uint64))
+
+    def chunks(self) -> tuple[list[int], list[bytes]]:
+        parts = self.bits.reshape(-1, self.CHUNK)
+        used = np.flatnonzero(parts.any(axis=1))
+        return used.tolist(), [zlib.compress(parts[i].tobytes(), 1) for i in used]
+
     @classmethod
     def of(cls, keys: DataFrame, column: str, words: int = BITMAP_WORDS) -> "Bitmap":
-        """At most ``words`` rows reach the driver, whatever the number of keys."""
-        k = _mixed(F.col(column).cast("long"))
-        rows = (
-            keys.where(F.col(column).isNotNull())
-            .select(slot_word(k, words).alias("w"), k.alias("k"))
-            .select("w", F.expr("shiftleft(1L, cast(k & 63 as int))").alias("b"))
-            .groupBy("w")
-            .agg(F.bit_or("b").alias("b"))
-            .toPandas()
-        )
-        bits = np.zeros(words, np.uint64)
-        bits[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64).view(np.uint64)
-        return cls(bits)
+        """Each task sends its chunks; the driver gets ``words`` words whatever the number of keys."""
+
+        def part(batches):
+            own = cls.empty(words)
+            for b in batches:
+                own.add(b.column(0).drop_null().to_numpy(zero_copy_only=False))
+            at, blobs = own.chunks()
+            yield pa.record_batch([pa.array([0] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], ["kind", "chunk", "bits"])
+
+        return cls.gather(keys.select(F.col(column).cast("long")).mapInArrow(part, CHUNKS), 1, words)[0]
+
+    @classmethod
+    def gather(cls, chunks: DataFrame, kinds: int, words: int = BITMAP_WORDS) -> "list[Bitmap]":
+        """The unions of chunks (kind, chunk, bits), one bitmap for each kind."""
+
+        def merge(table: pa.Table) -> pa.Table:
+            bits = np.zeros(cls.CHUNK, np.uint64)
+            for x in table["bits"]:
+                bits |= np.frombuffer(zlib.decompress(x.as_py()), np.uint64)
+            return pa.table({"kind": table["kind"].slice(0, 1), "chunk": table["chunk"].slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+        out = [cls.empty(words) for _ in range(kinds)]
+        for r in chunks.groupBy("kind", "chunk").applyInArrow(merge, CHUNKS).toLocalIterator():
+            out[r["kind"]].bits[r["chunk"] * cls.CHUNK :][: cls.CHUNK] = np.frombuffer(bytes(r["bits"]), np.uint64)
+        return out
 
     def union(self, other: "Bitmap") -> "Bitmap":
         return Bitmap(self.bits | other.bits)
@@ -126,15 +156,8 @@ class Bitmap:
         return (self.bits[w] >> (k & np.int64(63)).astype(np.uint64)) & np.uint64(1) != 0
 
 
-# Sequential ids would fill neighbouring bits only; xor-shifting spreads them and
-# is the same in SQL and numpy (no multiplication, which ANSI mode would refuse).
-def _mixed(k):
-    k = k.bitwiseXOR(F.shiftrightunsigned(k, 33))
-    k = k.bitwiseXOR(F.shiftleft(k, 21))
-    return k.bitwiseXOR(F.shiftrightunsigned(k, 17))
-
-
 def mixed(k: np.ndarray) -> np.ndarray:
+    """Spread keys: sequential ids would fill neighbouring bits only."""
     k = k.astype(np.int64).view(np.uint64)
     k = k ^ (k >> np.uint64(33))
     k = k ^ (k << np.uint64(21))

@@ -27,10 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bitmap, Workspace, tune
+from .common import CHUNKS, Bitmap, Workspace, tune
 from .graph import components
 from .text_core import buffers, pieces, shingles, splitmix, word_hashes
 
@@ -39,6 +40,19 @@ BLOCK = 768  # classes in a block of a family
 GROUP = 24  # classes in a token group
 
 
+class _Zstd:
+    """Made where it is used: its contexts cannot be sent to workers."""
+
+    def compress(self, x: bytes) -> bytes:
+        return zstandard.ZstdCompressor(level=1).compress(x)
+
+    def decompress(self, x: bytes) -> bytes:
+        return zstandard.ZstdDecompressor().decompress(x)
+
+
+_Z = _Zstd()
+
+
 def prefix_len(n, num: int):
     """p: a set of n may lack p - 1 of its shingles in a linked one."""
     return n - (n * num + 99) // 100 + 1
@@ -48,6 +62,10 @@ def shared_len(n, num: int):
     return 1 + prefix_len(n, num) // 5
 
 
+def listed_len(n: int, num: int) -> int:
+    return prefix_len(n, num) + shared_len(n, num) - 1
+
+
 def _sets(batch: pa.RecordBatch, text: str, k: int) -> list[np.ndarray]:
     data, offs = buffers(batch.column(batch.schema.get_field_index(text)))
     h, per, _, _ = word_hashes(data, offs)
@@ -66,14 +84,14 @@ def _binary(rows: list[np.ndarray]) -> pa.Array:
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, k: int, num: int) -> DataFrame:
-    """doc_id, n, c1, c2 (a 128-bit name of the set), prefix (the q smallest shingles)."""
+    """doc_id, n, c1, c2 (a 128-bit name of the set), prefix (the q smallest shingles and some to spare)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in pieces(b, "text"):
                 sets = _sets(part, "text", k)
                 keys = np.array([_set_key(s) for s in sets], np.int64).reshape(-1, 2)
-                heads = [s[: prefix_len(len(s), num) + shared_len(len(s), num) - 1] if len(s) else s for s in sets]
+                heads = [s[: listed_len(len(s), num) + max(8, listed_len(len(s), num) // 4)] if len(s) else s for s in sets]
                 yield pa.record_batch(
                     [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), _binary(heads)],
                     ["doc_id", "n", "c1", "c2", "prefix"],
@@ -84,43 +102,171 @@ def signatures(docs: DataFrame, doc_id: str, text: str, k: int, num: int) -> Dat
 
 
 _ROW = "h long, c long, n long"
+KEY_BITS = np.uint64(16)  # low bits left out when shingles are counted
+
 
+def _lists(sets: DataFrame, kept: Bitmap | None, demoted: Bitmap, num: int):
+    """A function that yields (c, n, early, late, ahead) for each row (doc_id, c, n, tokens) of a batch.
 
-def _listed(heads: DataFrame, multi: Bitmap | None) -> DataFrame:
-    """One row per class and listed shingle, only those in ``multi`` if given."""
+    ``early`` are the listed shingles, ``late`` the demoted ones that fill up the
+    list, ``ahead`` those that may be listed once more are demoted.
+    """
+
+    def rows(b: pa.RecordBatch):
+        use = kept.has(b.column(0).to_numpy(zero_copy_only=False)) if kept is not None else np.ones(b.num_rows, bool)
+        data, offs = buffers(b.column(3))
+        tokens = np.frombuffer(data.tobytes(), np.int64)
+        late = demoted.has(tokens) if demoted.any() else None
+        c, n = b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
+        ends = (offs // 8).tolist()
+        for i in np.flatnonzero(use).tolist():
+            s = tokens[ends[i] : ends[i + 1]]
+            q = listed_len(int(n[i]), num)
+            if late is None:
+                yield c[i], n[i], s[:q], s[:0], s[:q]
+            else:
+                x = late[ends[i] : ends[i + 1]]
+                ahead = s[~x]
+                early = ahead[:q]
+                yield c[i], n[i], early, s[x][: q - len(early)], ahead
+
+    return rows
+
+
+def _short(level: DataFrame, demoted: "_Keyed", num: int) -> DataFrame:
+    """doc_id, c, c2 of the rows whose spare shingles do not make up for the demoted ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offs = buffers(b.column(2))
-            h = np.frombuffer(data.tobytes(), np.int64)
-            per = np.diff(offs) // 8
-            c, n = (np.repeat(b.column(i).to_numpy(zero_copy_only=False), per) for i in (0, 1))
-            if multi is not None:
-                keep = multi.has(h)
-                h, c, n = h[keep], c[keep], n[keep]
-            yield pa.record_batch([pa.array(h), pa.array(c), pa.array(n)], ["h", "c", "n"])
+            data, offs = buffers(b.column(4))
+            late = demoted.has(np.frombuffer(data.tobytes(), np.int64))
+            ends = offs // 8
+            gone = np.concatenate([[0], np.cumsum(late)])
+            lost = gone[ends[1:]] - gone[ends[:-1]]
+            n, m = b.column(3).to_numpy(zero_copy_only=False), np.diff(ends)
+            need = np.array([listed_len(int(x), num) for x in n], np.int64)
+            yield b.select([0, 1, 2]).filter(pa.array((m < n) & (m - lost < need)))
+
+    return level.select("doc_id", "c", "c2", "n", "tokens").mapInArrow(run, "doc_id long, c long, c2 long")
 
-    return heads.select(F.col("c1").alias("c"), "n", "prefix").mapInArrow(run, _ROW)
 
+def _columns(sets: DataFrame) -> DataFrame:
+    return sets.select("doc_id", "c", "n", "tokens")
 
-def _relisted(sets: DataFrame, demoted: Bitmap, num: int) -> DataFrame:
-    """List again with demoted shingles last; kind 1 marks a demoted one."""
+
+def _key_bitmaps(sets: DataFrame, rows, spread: int, bucket: int) -> list[Bitmap]:
+    """Bitmaps of the shingles that two or more, and that over ``bucket`` classes list.
+
+    After the first level shingles ahead of the lists count too: a family of copies
+    is demoted at once and not a list's length at a time.
+
+    A task sends its shingles sorted, as gaps in a compressed blob for each range of
+    the hash space; counting them takes a few bytes a shingle, not a row each.
+    """
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush():
+            h = np.concatenate(held).view(np.uint64) >> KEY_BITS
+            h, m = np.unique(h, return_counts=True)
+            cut = np.searchsorted(h, np.arange(spread + 1, dtype=np.uint64) * np.uint64((1 << 48) // spread))
+            at = [k for k in range(spread) if cut[k] < cut[k + 1]]
+            blobs = []
+            for k in at:
+                x = np.diff(h[cut[k] : cut[k + 1]], prepend=np.uint64(0))
+                y = np.minimum(m[cut[k] : cut[k + 1]], 65535).astype(np.uint16)
+                planes = x.view(np.uint8).reshape(-1, 8)[:, :6].T
+                blobs.append(_Z.compress(np.ascontiguousarray(planes).tobytes() + y.tobytes()))
+            return pa.record_batch([pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], ["range", "keys"])
+
+        for b in batches:
+            for _, _, ahead, *_ in rows(b):
+                held.append(ahead)
+                size += len(ahead)
+            if size > 2_000_000:
+                yield flush()
+                held, size = [], 0
+        if size:
+            yield flush()
+
+    def merge(table: pa.Table) -> pa.Table:
+        keys, counts = [], []
+        for x in table["keys"]:
+            raw = _Z.decompress(x.as_py())
+            n = len(raw) // 8
+            gaps = np.zeros((n, 8), np.uint8)
+            gaps[:, :6] = np.frombuffer(raw, np.uint8, 6 * n).reshape(6, n).T
+            keys.append(np.cumsum(gaps.reshape(-1).view(np.uint64)))
+            counts.append(np.frombuffer(raw, np.uint16, n, 6 * n).astype(np.int64))
+        keys, counts = np.concatenate(keys), np.concatenate(counts)
+        keys, inv = np.unique(keys, return_inverse=True)
+        total = np.bincount(inv, counts, len(keys))
+        kinds, at, blobs = [], [], []
+        for kind, least in ((0, 2), (1, bucket + 1)):
+            own = Bitmap.empty()
+            own.add(keys[total >= least].view(np.int64))
+            x, y = own.chunks()
+            kinds += [kind] * len(x)
+            at += x
+            blobs += y
+        return pa.table({"kind": pa.array(kinds, pa.int32()), "chunk": pa.array(at, pa.int32()), "bits": pa.array(blobs, pa.binary())})
+
+    ranges = _columns(sets).mapInArrow(part, "range int, keys binary")
+    return Bitmap.gather(ranges.groupBy("range").applyInArrow(merge, CHUNKS), 2)
+
+
+class _Keyed:
+    """A key bitmap asked with whole shingles."""
+
+    def __init__(self, bitmap: Bitmap):
+        self.bitmap = bitmap
+
+    def any(self) -> bool:
+        return self.bitmap.any()
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        return self.bitmap.has((h.view(np.uint64) >> KEY_BITS).view(np.int64))
+
+    def union(self, other: "_Keyed") -> "_Keyed":
+        return _Keyed(self.bitmap.union(other.bitmap))
+
+
+def _light_rows(sets: DataFrame, rows, multi: _Keyed, heavy: _Keyed) -> DataFrame:
+    """h, c, n for the listed shingles that a few classes share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for c, n, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                s = np.frombuffer(s.as_buffer(), np.int64)
-                q = prefix_len(n, num) + shared_len(n, num) - 1
-                late = demoted.has(s)
-                early = s[~late][:q]
-                last = s[late][: q - len(early)]
-                m = len(early) + len(last)
-                out.append((np.concatenate([early, last]), np.full(m, c), np.full(m, n), np.repeat([0, 1], [len(early), len(last)])))
-            cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
-            yield pa.record_batch([pa.array(x.astype(np.int64)) for x in cols], ["h", "c", "n", "late"])
+            got = list(rows(b))
+            per = np.array([len(x[2]) for x in got], np.int64)
+            h = np.concatenate([x[2] for x in got]) if got else np.zeros(0, np.int64)
+            keep = multi.has(h) & ~heavy.has(h)
+            c, n = (np.repeat(np.array([x[k] for x in got], np.int64), per)[keep] for k in (0, 1))
+            yield pa.record_batch([pa.array(h[keep]), pa.array(c), pa.array(n)], ["h", "c", "n"])
+
+    return _columns(sets).mapInArrow(run, _ROW)
+
 
-    return sets.select("c", "n", "tokens").mapInArrow(run, f"{_ROW}, late long")
+def _hidden(sets: DataFrame, rows, heavy: _Keyed) -> DataFrame:
+    """c, x (listed shingles not paired here), new (some of them are newly demoted)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [(int(c), int(heavy.has(early).sum()), len(late)) for c, _, early, late, _ in rows(b)]
+            got = [(c, x + y, x > 0) for c, x, y in got if x + y]
+            yield pa.record_batch([pa.array([g[k] for g in got], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.bool_()))], ["c", "x", "new"])
+
+    return _columns(sets).mapInArrow(run, "c long, x long, new boolean").groupBy("c").agg(F.max("x").alias("x"), F.max("new").alias("new"))
+
+
+def _late_rows(sets: DataFrame, rows) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [(c, late) for c, _, _, late, _ in rows(b) if len(late)]
+            c = np.repeat(np.array([x[0] for x in got], np.int64), [len(x[1]) for x in got]) if got else np.zeros(0, np.int64)
+            yield pa.record_batch([pa.array(np.concatenate([x[1] for x in got]) if got else c), pa.array(c)], ["h", "c"])
+
+    return _columns(sets).mapInArrow(run, "h long, c long")
 
 
 def _pairs(light: DataFrame, num: int) -> DataFrame:
@@ -191,7 +337,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = [
-                _same(np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64), num)
+                _same(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), num)
                 for x, y in zip(b.column(2), b.column(3))
             ]
             at = pa.array(np.flatnonzero(np.array(keep, bool)))
@@ -273,7 +419,7 @@ def _family_links(families: DataFrame, sets: DataFrame, ws: Workspace, num: int,
     def run(table: pa.Table) -> pa.Table:
         ids = table["doc_id"].to_numpy()
         blk = table["blk"].to_numpy()
-        tokens = [np.frombuffer(x.as_buffer(), np.int64) for x in table["tokens"]]
+        tokens = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["tokens"]]
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         x = np.flatnonzero(blk == i)
         a = TokenGroups(ids[x], [tokens[k] for k in x]) if len(x) else None
@@ -304,55 +450,66 @@ def ngram_jaccard(
     spark = docs.sparkSession
     tune(spark)
     ws = Workspace(spark, "jaccard")
-    sig = ws.save(signatures(docs, doc_id, text, k, num), "signatures")
-    full = sig.where("n > 0 and doc_id is not null")
-    classes = full.groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep"))
-
-    every = _listed(full, None)
-    spread = every.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
-    multi = Bitmap.of(spread, "h")
-    rows = ws.save(_listed(full, multi).distinct().withColumn("late", F.lit(0).cast("long")), "listed")
-
-    demoted = Bitmap.empty()
-    family_rows, pair_parts, level, sets = [], [], 0, None
+    first = ws.save(signatures(docs, doc_id, text, k, num), "signatures")
+    sig = ws.save(first.select("doc_id", "n", "c1", "c2"), "classes")
+    full = first.where("n > 0 and doc_id is not null")
+    classes = sig.where("n > 0 and doc_id is not null").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep"))
+
+    kept = Bitmap.of(classes, "rep")
+    demoted = _Keyed(Bitmap.empty())
+    level = full.select("doc_id", F.col("c1").alias("c"), "c2", "n", F.col("prefix").alias("tokens"))
+    total = sig.agg(F.sum("n")).first()[0] or 0
+    spread = 1 << max(3, (total // 10_000_000).bit_length())
+    pair_parts, late_parts = [], []
     while True:
-        counts = rows.where("late = 0").groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > bucket)
-        heavy = Bitmap.of(counts, "h")
-        marked = _mark(rows, heavy)
-        pairs = _pairs(marked.where("late = 0 and not heavy"), num)
+        rows = _lists(level, kept, demoted, num)
+        multi, heavy = map(_Keyed, _key_bitmaps(level, rows, spread, bucket))
+        pairs = _pairs(_light_rows(level, rows, multi, heavy), num)
         pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k"))
-        if heavy.any() or level:
-            hidden = marked.where("late = 1 or heavy").groupBy("c").agg(F.count("*").alias("x"))
+        hidden = None
+        if heavy.any() or demoted.any():
+            hidden = ws.save(_hidden(level, rows, heavy), "hidden")
+            x = hidden.select("c", "x")
             pairs = (
-                pairs.join(hidden.withColumnsRenamed({"c": "a", "x": "xa"}), "a", "left")
-                .join(hidden.withColumnsRenamed({"c": "b", "x": "xb"}), "b", "left")
+                pairs.join(x.withColumnsRenamed({"c": "a", "x": "xa"}), "a", "left")
+                .join(x.withColumnsRenamed({"c": "b", "x": "xb"}), "b", "left")
                 .withColumn("k", F.col("k") + F.least(F.coalesce("xa", F.lit(0)), F.coalesce("xb", F.lit(0))))
             )
         small = F.least("na", "nb")
         need = F.lit(1) + F.floor((small - F.ceil(small * num / 100) + 1) / 5)
         pair_parts.append(ws.save(pairs.where(F.col("k") >= need).select("a", "b"), "pairs"))
-        again = marked.where("heavy").select("c").distinct()
-        again = ws.save(again, "again") if heavy.any() else None
-        if sets is None:
-            wanted = pair_parts[0].select(F.col("a").alias("c")).union(pair_parts[0].select("b"))
-            wanted = wanted.union(again) if again is not None else wanted
-            reps = classes.join(wanted.distinct(), F.col("c") == F.col("c1"), "left_semi").select("rep", "c1", "c2")
-            reps = ws.save(reps, "wanted")
-            sets = ws.save(_load_sets(docs, doc_id, text, k, reps), "sets")
-        if again is None:
+        if demoted.any():
+            late_parts.append(ws.save(_late_rows(level, rows), "late"))
+        if not heavy.any():
             break
-        level += 1
         demoted = demoted.union(heavy)
-        rows = ws.save(_relisted(sets.join(again, "c", "left_semi"), demoted, num), "relisted")
-        family_rows.append(rows.where("late = 1").select("h", "c"))
+        again = hidden.where("new").select("c")
+        below = ws.save(level.join(again, "c", "left_semi").dropDuplicates(["c"]), "again")
+        ws.drop(level)
+        short = ws.save(_short(below, demoted, num), "short")
+        if short.isEmpty():
+            level = below
+        else:
+            whole = _load_sets(docs, doc_id, text, k, short)
+            level = ws.save(below.join(short, "c", "left_anti").unionByName(whole), "level")
+            ws.drop(below)
+        kept = None
+    ws.drop(first)
+    wanted = late_parts[0].select("c") if late_parts else pair_parts[0].select(F.col("a").alias("c"))
+    for part in late_parts[1:]:
+        wanted = wanted.union(part.select("c"))
+    for part in pair_parts:
+        wanted = wanted.union(part.select("a")).union(part.select("b"))
+    reps = classes.join(wanted.distinct(), F.col("c") == F.col("c1"), "left_semi").select(F.col("rep").alias("doc_id"), F.col("c1").alias("c"), "c2")
+    sets = ws.save(_load_sets(docs, doc_id, text, k, ws.save(reps, "wanted")), "sets")
 
     links = None
     for part in pair_parts:
         found = _verified(part, sets, num)
         links = found if links is None else links.unionByName(found)
-    if family_rows:
-        all_rows = family_rows[0]
-        for r in family_rows[1:]:
+    if late_parts:
+        all_rows = late_parts[0]
+        for r in late_parts[1:]:
             all_rows = all_rows.unionByName(r)
         hub = all_rows.groupBy("h").agg(F.min("c").alias("b"))
         star = all_rows.join(hub, "h").select(F.col("c").alias("a"), "b").distinct()
@@ -366,26 +523,16 @@ def ngram_jaccard(
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("linked", "rep", "doc_id").alias("component_id"))
 
 
-def _mark(rows: DataFrame, heavy: Bitmap) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            late = b.column(3).to_numpy(zero_copy_only=False)
-            flag = heavy.has(b.column(0).to_numpy(zero_copy_only=False)) & (late == 0)
-            yield pa.record_batch([*b.columns, pa.array(flag)], [*b.schema.names, "heavy"])
-
-    return rows.mapInArrow(run, f"{_ROW}, late long, heavy boolean")
-
-
 def _load_sets(docs: DataFrame, doc_id: str, text: str, k: int, reps: DataFrame) -> DataFrame:
-    """c, doc_id, n, tokens (sorted 64-bit shingles) of the wanted classes, read from the texts."""
-    wanted = Bitmap.of(reps, "rep")
+    """doc_id, c, c2, n, tokens (64-bit shingles in ascending order) of the wanted classes, read from the texts."""
+    wanted = Bitmap.of(reps, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             b = b.filter(pa.array(wanted.has(b.column(0).to_numpy(zero_copy_only=False))))
             for part in pieces(b, "text"):
-                sets = [np.sort(s.view(np.int64)) for s in _sets(part, "text", k)]
-                keys = np.array([_set_key(s.view(np.uint64)) for s in sets], np.int64).reshape(-1, 2)
+                sets = _sets(part, "text", k)
+                keys = np.array([_set_key(s) for s in sets], np.int64).reshape(-1, 2)
                 yield pa.record_batch(
                     [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), _binary(sets)],
                     ["doc_id", "n", "c", "c2", "tokens"],
@@ -393,5 +540,29 @@ def _load_sets(docs: DataFrame, doc_id: str, text: str, k: int, reps: DataFrame)
 
     src = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     got = src.mapInArrow(run, "doc_id long, n long, c long, c2 long, tokens binary").where("n > 0")
-    known = reps.select(F.col("rep").alias("doc_id"), F.col("c1").alias("c"), "c2")
-    return got.join(known, ["doc_id", "c", "c2"], "left_semi").dropDuplicates(["doc_id", "c", "c2"]).select("c", "doc_id", "n", "tokens")
+    got = got.join(reps, ["doc_id", "c", "c2"], "left_semi").dropDuplicates(["doc_id", "c", "c2"])
+    return got.select("doc_id", "c", "c2", "n", "tokens")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **params) -> DataFrame:
+    """``docs`` with the smallest doc_id of each component only; the columns stay.
+
+    Rows that share the kept id all stay, as do rows with a null id. Texts are not
+    shuffled: a fixed-size bitmap passes the rows that surely stay, and only the
+    others are joined with the list of ids that go.
+    """
+    ws = Workspace(docs.sparkSession, "keep")
+    comp = ngram_jaccard(docs, doc_id, text, **params)
+    gone = ws.save(comp.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    listed = Bitmap.of(gone, "gone_id")
+
+    def side(inside: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids = b.column(b.schema.get_field_index(doc_id))
+                hit = listed.has(ids.fill_null(0).to_numpy(zero_copy_only=False)) & ~ids.is_null().to_numpy(zero_copy_only=False)
+                yield b.filter(pa.array(hit if inside else ~hit))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    return side(False).unionByName(side(True).join(gone, F.col(doc_id) == F.col("gone_id"), "left_anti"))
