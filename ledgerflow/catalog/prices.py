@@ -213,7 +213,7 @@ def d12_forward_return(m: Market) -> DataFrame:
     f"SELECT symbol, date, round(close, 6) AS close, round(prev, 6) AS previous FROM (SELECT *, lag(close) {OVER} AS prev, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM bars) WHERE rn = 1"
 )
 def d16_latest_vs_previous(m: Market) -> DataFrame:
-    return asof.latest(m.bars().withColumn("previous", F.lag("close").over(W)), "symbol", "date").select("symbol", "date", "close", "previous")
+    return asof.latest(m.bars().withColumn("previous", F.lag("close").over(W())), "symbol", "date").select("symbol", "date", "close", "previous")
 
 
 _CANDLE = f"c AS (SELECT *, abs(close - open) AS body, high - low AS span, high - greatest(open, close) AS upper, least(open, close) - low AS lower, lag(open) {OVER} AS po, lag(close) {OVER} AS pc, high > low AS ok, coalesce(lag(high) {OVER} > lag(low) {OVER}, false) AS pok FROM nbars)"
@@ -292,7 +292,7 @@ def f28_lower_highs(m: Market) -> DataFrame:
 )
 def f23_later_factors(m: Market) -> DataFrame:
     f = F.when(F.dayofmonth("date") == 1, 0.5).otherwise(F.lit(1.0))
-    later = F.product("f").over(W.rowsBetween(1, Window.unboundedFollowing))
+    later = F.product("f").over(W().rowsBetween(1, Window.unboundedFollowing))
     return m.bars().select("symbol", "date", f.alias("f")).select("symbol", "date", later.alias("later_factor"))
 
 

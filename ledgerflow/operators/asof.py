@@ -57,7 +57,7 @@ def known_by(df: DataFrame, at: DataFrame, filed: str, lag_days: int = 0) -> Dat
 
 def forward_return(hold: int) -> Column:
     """From the next session's open to the close ``hold`` sessions ahead."""
-    return F.lead("close", hold).over(W) / F.nullif(F.lead("open", 1).over(W), F.lit(0.0)) - 1
+    return F.lead("close", hold).over(W()) / F.nullif(F.lead("open", 1).over(W()), F.lit(0.0)) - 1
 
 
 def snapshot_at(snapshots: DataFrame, at: DataFrame, date: str = "week_start") -> DataFrame:

@@ -7,62 +7,65 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.num import roll, safe_div
 
-W = Window.partitionBy("symbol").orderBy("date")
+
+def W() -> WindowSpec:
+    """A symbol's rows in date order."""
+    return Window.partitionBy("symbol").orderBy("date")
 
 
 def sma(x: str, n: int) -> Column:
-    return roll(F.avg(x), x, W, n)
+    return roll(F.avg(x), x, W(), n)
 
 
 def pct_return(x: str, n: int) -> Column:
     """Change over n rows of the last known value."""
-    return safe_div(x, F.lag(x, n).over(W)) - 1
+    return safe_div(x, F.lag(x, n).over(W())) - 1
 
 
 def filled(x: str) -> Column:
-    return F.last(x, ignorenulls=True).over(W.rowsBetween(Window.unboundedPreceding, 0))
+    return F.last(x, ignorenulls=True).over(W().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def momentum_12_1(x: str) -> Column:
-    return safe_div(F.lag(x, 21).over(W), F.lag(x, 252).over(W)) - 1
+    return safe_div(F.lag(x, 21).over(W()), F.lag(x, 252).over(W())) - 1
 
 
 def distance_from_high(n: int = 252, least: int = 126) -> Column:
     """Fraction below the rolling high."""
-    top = roll(F.max("high"), "high", W, n, least)
+    top = roll(F.max("high"), "high", W(), n, least)
     return safe_div(top - F.col("close"), top)
 
 
 def slope(x: str, n: int = 21) -> Column:
-    past = F.lag(x, n).over(W)
+    past = F.lag(x, n).over(W())
     return safe_div(F.col(x) - past, F.abs(past))
 
 
 def volume_ratio(short: int = 20, long: int = 100) -> Column:
-    return safe_div(roll(F.avg("volume"), "volume", W, short), roll(F.avg("volume"), "volume", W, long))
+    return safe_div(roll(F.avg("volume"), "volume", W(), short), roll(F.avg("volume"), "volume", W(), long))
 
 
 def true_range() -> Column:
-    before = F.lag("close").over(W)
+    before = F.lag("close").over(W())
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
 
 def max_drawdown(df: DataFrame, n: int = 126, least: int = 63, out: str = "max_dd_6m") -> DataFrame:
     """Largest fall from the running peak; a window over a window."""
-    df = df.withColumn("_peak", roll(F.max("close"), "close", W, n, least))
+    df = df.withColumn("_peak", roll(F.max("close"), "close", W(), n, least))
     df = df.withColumn("_dd", safe_div(F.col("_peak") - F.col("close"), "_peak"))
-    return df.withColumn(out, roll(F.max("_dd"), "_dd", W, n, least)).drop("_peak", "_dd")
+    return df.withColumn(out, roll(F.max("_dd"), "_dd", W(), n, least)).drop("_peak", "_dd")
 
 
 def median_turnover(n: int = 60, least: int = 20) -> Column:
     """Median traded value in crore; a framed exact percentile."""
     value = F.col("close") * F.col("volume") / 1e7
-    f = W.rowsBetween(-(n - 1), 0)
+    f = W().rowsBetween(-(n - 1), 0)
     return F.when(F.count(value).over(f) >= least, F.percentile(value, 0.5).over(f))
 
 
@@ -84,10 +87,10 @@ def ema(df: DataFrame, x: str, span: int, out: str, longest: int | None = None)
         longest = df.groupBy("symbol").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     if not _fits(alpha, longest):
         return _ema_fold(df, x, alpha, out)
-    i = F.row_number().over(W) - 1
+    i = F.row_number().over(W()) - 1
     df = df.withColumn("_i", i)
     term = F.when(F.col("_i") == 0, F.col(x) / alpha).otherwise(F.col(x) / F.pow(F.lit(1 - alpha), F.col("_i")))
-    run = F.sum(term).over(W.rowsBetween(Window.unboundedPreceding, 0))
+    run = F.sum(term).over(W().rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn(out, run * alpha * F.pow(F.lit(1 - alpha), F.col("_i"))).drop("_i")
 
 
@@ -112,7 +115,7 @@ def wilder(df: DataFrame, x: str, n: int, out: str, longest: int | None = None)
         longest = df.groupBy("symbol").agg(F.count(x).alias("n")).agg(F.max("n")).first()[0] or 0
     if not _fits(a, longest):
         return _wilder_fold(df, x, n, out)
-    upto = W.rowsBetween(Window.unboundedPreceding, 0)
+    upto = W().rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("_k", F.count(x).over(upto))
     value = F.when(F.col(x).isNotNull(), F.col(x))
     early = F.sum(F.when(F.col("_k") <= n, value)).over(upto) / n
@@ -143,7 +146,7 @@ def _wilder_fold(df: DataFrame, x: str, n: int, out: str) -> DataFrame:
 
 def rsi(df: DataFrame, n: int = 14, out: str = "rsi14", longest: int | None = None) -> DataFrame:
     """No losses give 100, neither gains nor losses 50."""
-    d = F.col("close") - F.lag("close").over(W)
+    d = F.col("close") - F.lag("close").over(W())
     df = df.withColumn("_up", F.when(d.isNotNull(), F.greatest(d, F.lit(0.0)))).withColumn("_down", F.when(d.isNotNull(), F.greatest(-d, F.lit(0.0))))
     df = wilder(wilder(df, "_up", n, "_u", longest), "_down", n, "_d", longest)
     value = F.when((F.col("_u") == 0) & (F.col("_d") == 0), F.lit(50.0)).when(F.col("_d") == 0, F.lit(100.0)).otherwise(100 - 100 / (1 + safe_div("_u", "_d")))
@@ -156,8 +159,8 @@ def atr(df: DataFrame, n: int = 14, out: str = "atr14", longest: int | None = No
 
 def adx(df: DataFrame, n: int = 14, out: str = "adx14", longest: int | None = None) -> DataFrame:
     """Directional movement of the first bar is 0, so its smoothing starts there."""
-    up = F.col("high") - F.lag("high").over(W)
-    down = F.lag("low").over(W) - F.col("low")
+    up = F.col("high") - F.lag("high").over(W())
+    down = F.lag("low").over(W()) - F.col("low")
     df = df.withColumn("_p", F.when((up > down) & (up > 0), up).otherwise(F.lit(0.0)))
     df = df.withColumn("_m", F.when((down > up) & (down > 0), down).otherwise(F.lit(0.0)))
     df = df.withColumn("_tr", true_range())
@@ -178,7 +181,7 @@ def macd_histogram(df: DataFrame, fast: int = 12, slow: int = 26, signal: int =
 def relative_strength(df: DataFrame, index: DataFrame, n: int = 126, out: str = "rs_vs_index") -> DataFrame:
     """Return against the index's over n sessions; the index is aligned to the symbol's dates, then filled."""
     df = df.join(index.select("date", F.col("close").alias("_raw")), "date", "left")
-    df = df.withColumn("_idx", F.last("_raw", ignorenulls=True).over(W.rowsBetween(Window.unboundedPreceding, 0)))
+    df = df.withColumn("_idx", F.last("_raw", ignorenulls=True).over(W().rowsBetween(Window.unboundedPreceding, 0)))
     df = df.withColumn(out, safe_div(1 + pct_return("close", n), 1 + pct_return("_idx", n)) - 1)
     return df.drop("_raw", "_idx")
 

@@ -13,7 +13,7 @@ CLIP, WEAK_BREADTH = 0.5, 0.5
 
 def daily_mean_return(bars: DataFrame) -> DataFrame:
     """Mean over symbols of the day's return, clipped so one bad print cannot move it."""
-    r = F.col("close") / F.nullif(F.lag("close").over(W), F.lit(0.0)) - 1
+    r = F.col("close") / F.nullif(F.lag("close").over(W()), F.lit(0.0)) - 1
     r = F.when(r.isNotNull(), F.greatest(F.lit(-CLIP), F.least(r, F.lit(CLIP))))
     return bars.withColumn("r", r).groupBy("date").agg(F.count("r").alias("n"), F.avg("r").alias("mean_return"))
 
