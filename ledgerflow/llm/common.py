@@ -140,7 +140,7 @@ class Bitmap:
             return pa.table({"kind": table["kind"].slice(0, 1), "chunk": table["chunk"].slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
 
         out = [cls.empty(words) for _ in range(kinds)]
-        for r in chunks.groupBy("kind", "chunk").applyInArrow(merge, CHUNKS).toLocalIterator():
+        for r in chunks.groupBy("kind", "chunk").applyInArrow(merge, CHUNKS).collect():  # at most kinds * words / CHUNK rows
             out[r["kind"]].bits[r["chunk"] * cls.CHUNK :][: cls.CHUNK] = np.frombuffer(bytes(r["bits"]), np.uint64)
         return out
 

@@ -168,7 +168,7 @@ def _matches(items: Items, part: pa.RecordBatch, flags: np.ndarray, n: int, thre
 def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list]:
     """Blocks of test items of at most BLOCK_BYTES of text each, streamed to the driver."""
     rows = items.where(F.col(text).isNotNull() & F.col(item_id).isNotNull())
-    rows = rows.select(F.col(item_id).cast("long").alias("id"), F.col(text).alias("text")).distinct().orderBy("id", "text")
+    rows = rows.select(F.col(item_id).cast("long").alias("id"), F.col(text).alias("text")).distinct().orderBy("id", "text").coalesce(4)
     block, size = [], 0
     for r in rows.toLocalIterator():
         if block and size + len(r["text"]) > BLOCK_BYTES:

@@ -181,7 +181,7 @@ def _key_bitmaps(sets: DataFrame, rows, spread: int, bucket: int) -> list[Bitmap
             return pa.record_batch([pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], ["range", "keys"])
 
         for b in batches:
-            for _, _, ahead, *_ in rows(b):
+            for *_, ahead in rows(b):
                 held.append(ahead)
                 size += len(ahead)
             if size > 2_000_000:
