@@ -14,14 +14,15 @@ ORACLES: dict[str, str] = {}
 _VIEWS = {"bars": BARS, "nbars": NBARS, "stocks": STOCKS, "idx": INDEX, "quarters": QUARTERS}
 
 
-def query(sql: str | None = None, views: str = "bars", more: str = ""):
+def query(sql: str | None = None, views: str = "bars", more: str = "", recursive: bool = False):
     """``views``: derived tables the SQL reads; ``more``: further common tables."""
 
     def register(f: Callable[[Market], DataFrame]):
         QUERIES[f.__name__] = lambda spark, sf_dir: round_doubles(f(Market(spark, sf_dir)))
         if sql:
             parts = [_VIEWS[v] for v in views.split()] + ([more.strip().rstrip(",")] if more.strip() else [])
-            ORACLES[f.__name__] = _guarded((f"WITH {', '.join(parts)} " if parts else "") + sql)
+            word = "WITH RECURSIVE" if recursive else "WITH"
+            ORACLES[f.__name__] = _guarded((f"{word} {', '.join(parts)} " if parts else "") + sql)
         return f
 
     return register
