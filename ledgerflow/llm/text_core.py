@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 4 << 20  # bytes of text handled at once
+CHUNK = 2 << 20  # bytes of text handled at once
 
 _M = np.uint64(0xFFFFFFFFFFFFFFFF)
 _R = 0x9E3779B97F4A7C15 | 1  # odd, so it has an inverse modulo 2**64

@@ -1,9 +1,9 @@
 """Operator 3: toxicity by multiple-instance learning.
 
-A document is a bag of sentences. Each sentence has a probability from its words,
-and the document's is their noisy-or: 1 - (1 - leak) * prod(1 - p). Weights and
-leak are trained from document labels alone; afterwards the sentences with a high
-probability are the offending ones.
+A document is a bag of sentences. Each sentence has a probability from its words
+and their beginnings, and the document's is their noisy-or:
+1 - (1 - leak) * prod(1 - p). Weights and leak are trained from document labels
+alone; afterwards the sentences with a high probability are the offending ones.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from .common import crc_mod, tune
 from .text_core import buffers, pieces, span_hashes, spans_of
 
 THRESHOLD = 0.7
+PREFIXES = (4, 5, 6, 7)  # code points; longer words also count by how they begin, as "begin*"
 _WORD = re.compile(r"[A-Za-z\u0080-\U0010ffff]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _WORD_BYTE = np.zeros(256, bool)
@@ -31,7 +32,9 @@ _STOP[list(b".!?\n")] = True
 
 
 def _words(text: str) -> set[str]:
-    return set(_WORD.findall(text.translate(_LOWER)))
+    """The features of a text: its words, and the beginnings of its longer ones."""
+    found = set(_WORD.findall(text.translate(_LOWER)))
+    return found | {w[:k] + "*" for w in found for k in PREFIXES if len(w) > k}
 
 
 @dataclass
@@ -41,26 +44,48 @@ class Model:
     bias: float
     leak: float
 
-    def lexicon(self) -> tuple[np.ndarray, np.ndarray]:
-        raw = [w.encode() for w in self.words]
-        ends = np.cumsum([len(r) for r in raw]) if raw else np.zeros(0, np.int64)
-        data = np.frombuffer(b"".join(raw), np.uint8)
-        h = span_hashes(data, ends - np.array([len(r) for r in raw], np.int64), ends, True) if raw else np.zeros(0, np.uint64)
-        order = np.argsort(h)
-        return h[order], self.weights[order] if len(order) else self.weights
+    def lexicon(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By kind (0: whole words, else code points of a beginning): sorted hashes and their features."""
+        out = {}
+        for kind in (0, *PREFIXES):
+            own = [i for i, w in enumerate(self.words) if (len(w) - 1 if w.endswith("*") else 0) == kind]
+            raw = [self.words[i].rstrip("*").encode() for i in own]
+            size = np.array([len(r) for r in raw], np.int64)
+            ends = np.cumsum(size)
+            h = span_hashes(np.frombuffer(b"".join(raw), np.uint8), ends - size, ends, True)
+            order = np.argsort(h)
+            out[kind] = h[order], np.array(own, np.int64)[order]
+        return out
+
+    @staticmethod
+    def hits(data: np.ndarray, s: np.ndarray, e: np.ndarray, lexicon) -> tuple[np.ndarray, np.ndarray]:
+        """Byte positions of words with a feature, and the feature."""
+        places, features = [], []
+        heads = np.flatnonzero((data & 0xC0) != 0x80)
+        first = np.searchsorted(heads, s) if any(len(k) for n, (k, _) in lexicon.items() if n) else None
+        for kind, (keys, feature) in lexicon.items():
+            if not len(keys):
+                continue
+            at, end = s, e
+            if kind:
+                stop = np.append(heads, np.full(kind + 1, len(data)))[first + kind]
+                longer = stop < e
+                at, end = s[longer], stop[longer]
+            h = span_hashes(data, at, end, True)
+            k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            ok = keys[k] == h
+            places.append(at[ok])
+            features.append(feature[k[ok]])
+        return (np.concatenate(places), np.concatenate(features)) if places else (s[:0], s[:0])
 
     def score(self, data: np.ndarray, offs: np.ndarray, lexicon) -> dict[str, np.ndarray]:
-        keys, weights = lexicon
         n = len(offs) - 1
         quiet = np.full(n, np.log1p(-self.leak))
         out = {"offending": np.zeros(n, np.int32), "lo": np.full(n, -1, np.int64), "hi": np.full(n, -1, np.int64)}
         s, e, _ = spans_of(data, offs, _WORD_BYTE)
-        if len(keys) and len(s):
-            h = span_hashes(data, s, e, True)
-            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            hit = np.flatnonzero(keys[at] == h)
-            if len(hit):
-                pos, word = s[hit], at[hit]
+        if len(self.words) and len(s):
+            pos, word = self.hits(data, s, e, lexicon)
+            if len(pos):
                 doc = np.searchsorted(offs, pos, "right") - 1
                 stops = np.flatnonzero(_STOP[data])
                 sent = np.searchsorted(stops, pos)
@@ -68,7 +93,7 @@ class Model:
                 _, first = np.unique(np.stack([doc, sent, word]), axis=1, return_index=True)
                 doc, sent, word = doc[first], sent[first], word[first]
                 bag, inv = np.unique(np.stack([doc, sent]), axis=1, return_inverse=True)
-                z = self.bias + np.bincount(inv.ravel(), weights[word], bag.shape[1])
+                z = self.bias + np.bincount(inv.ravel(), self.weights[word], bag.shape[1])
                 p = 1 / (1 + np.exp(-z))
                 quiet += np.bincount(bag[0], np.log1p(-np.minimum(p, 1 - 1e-12)), n)
                 bad = p >= 0.5
@@ -99,7 +124,7 @@ def _sample(labels: DataFrame, doc_id: str, label: str, per_class: int) -> tuple
     return known.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= per_class).select("id", "y"), totals
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, per_class: int, max_words: int, steps: int = 400) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, per_class: int, max_words: int, steps: int = 800) -> Model:
     """Train on at most ``per_class`` labelled documents of each class.
 
     They are those whose crc32 of the id comes first. Equal texts count once.
@@ -171,10 +196,10 @@ def _train(bags: list, y: np.ndarray, weight: dict[int, float], words: list[str]
         g = c * np.where(y > 0, np.exp(quiet) / loud, -1.0)
         gz = g[doc] * -p
         grad = np.concatenate([np.bincount(word, gz[sent], m), [gz.sum(), (g * -leak).sum()]])
-        grad[:m] += 1e-4 * (theta[:m] - 2.0)
+        grad[:m] += 1e-5 * (theta[:m] - 2.0)
         m1 = 0.9 * m1 + 0.1 * grad
         m2 = 0.999 * m2 + 0.001 * grad**2
-        theta = theta - 0.05 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-9)
+        theta = theta - 0.1 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-9)
     leak = float(np.clip(1 / (1 + np.exp(-theta[m + 1])), 0, 0.5))
     return Model(words, theta[:m], float(theta[m]), leak)
 
@@ -196,7 +221,7 @@ def score(docs: DataFrame, model: Model, doc_id: str, text: str) -> DataFrame:
 
 
 def toxicity(
-    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 5000, max_words: int = 400
+    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 5000, max_words: int = 600
 ) -> DataFrame:
     """doc_id, held_out, score, predicted, n_offending, worst_start, worst_end for every row.
 
@@ -212,7 +237,7 @@ def toxicity(
     return out.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted", "n_offending", "worst_start", "worst_end")
 
 
-def reject(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 5000, max_words: int = 400) -> DataFrame:
+def reject(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 5000, max_words: int = 600) -> DataFrame:
     """``docs`` without the rows whose score reaches the threshold; columns and order of columns stay."""
     tune(docs.sparkSession)
     model = fit(docs, labels, doc_id, text, label, per_class, max_words)
