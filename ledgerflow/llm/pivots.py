@@ -51,6 +51,18 @@ def _units(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return src.mapInArrow(run, "vec_id long, dim int, name binary, unit binary")
 
 
+def _apart(pool: np.ndarray, n: int, limit: float = 0.7) -> np.ndarray:
+    """The first n vectors of the pool that are not close to one taken before.
+
+    Pivots out of one hot family would stand in random order for its members.
+    """
+    taken: list[int] = []
+    for i in range(len(pool)):
+        if len(taken) < n and (not taken or (pool[taken] @ pool[i]).max() < limit):
+            taken.append(i)
+    return pool[taken]
+
+
 def _lists(classes: DataFrame, pivots: dict[int, np.ndarray], top: int) -> DataFrame:
     """One row per class and pair of its first pivots."""
 
@@ -134,8 +146,9 @@ def near_duplicates(
     Vectors that are null, empty, zero or hold a null or non-finite component link
     with nothing, as do vectors of different lengths. Rows with one vec_id count as
     vectors each; a null vec_id is outside every link (n_links 0, component null,
-    kept null). Pivots are the ``n_pivots`` vectors of a length whose crc32 of the id
-    comes first (default: half the square root of the vectors, 32 to 2048).
+    kept null). Pivots are at most ``n_pivots`` vectors of a length, the first of a
+    sample of four times as many (smallest crc32 of the id) that are not close to one
+    before (default: half the square root of the vectors, 32 to 2048).
     """
     spark = vectors.sparkSession
     tune(spark)
@@ -146,8 +159,11 @@ def near_duplicates(
     if n_pivots is None:
         n_pivots = int(min(MAX_PIVOTS, max(32, classes.count() ** 0.5 / 2)))
     first = Window.partitionBy("dim").orderBy(F.crc32(F.col("vec").cast("string").cast("binary")), "vec")
-    sample = classes.withColumn("r", F.row_number().over(first)).where(F.col("r") <= n_pivots).select("dim", "r", "unit").collect()
-    pivots = {d: np.array([np.frombuffer(bytes(r["unit"])) for r in sorted((r for r in sample if r["dim"] == d), key=lambda r: r["r"])]) for d in {r["dim"] for r in sample}}
+    sample = classes.withColumn("r", F.row_number().over(first)).where(F.col("r") <= 4 * n_pivots).select("dim", "r", "unit").collect()
+    pivots = {}
+    for d in {r["dim"] for r in sample}:
+        pool = np.array([np.frombuffer(bytes(r["unit"])) for r in sorted((r for r in sample if r["dim"] == d), key=lambda r: r["r"])])
+        pivots[d] = _apart(pool, n_pivots)
     found = ws.save(_verify(_lists(classes, pivots, top), threshold, BLOCK), "links")
     links = found.where("kind = 0").groupBy(F.col("a").alias("vec")).agg(F.sum("b").alias("others"))
     comp = components(found.where("kind = 1").select("a", "b"), ws).withColumnsRenamed({"node": "vec", "comp": "low"})
