@@ -11,14 +11,16 @@ from .indicators import W
 
 # Gap limits and tolerances.
 FALL_BELOW, RISE_ABOVE, SNAP, EXACT, MAX_GAP_DAYS = 0.78, 1.28, 0.03, 0.005, 5
-SPLITS = (2, 5, 10)
+SPLITS = ("1/2", "2/5", "1/4", "1/5", "1/10", "1/20", "1/25", "1/50", "1/100")
+BONUS_MAX = 10  # a free shares for b held, both up to this
 LOW, HIGH = 0.005, 200.0
 
 
 def plausible_ratios(spark: SparkSession) -> DataFrame:
-    """ratio and complexity of splits, bonuses a:b, their products and inverses, within bounds; a list of fixed size."""
-    base = {Fraction(1, s) for s in SPLITS} | {Fraction(b, a + b) for a in range(1, 11) for b in range(1, 11)}
-    every = base | {x * y for x in base for y in base}
+    """ratio and complexity of splits, bonuses a:b, a split with a bonus, and inverses, within bounds; a list of fixed size."""
+    span = range(1, BONUS_MAX + 1)
+    split, bonus = {Fraction(x) for x in SPLITS}, {Fraction(b, a + b) for a in span for b in span}
+    every = split | bonus | {x * y for x in split for y in bonus}
     every |= {1 / x for x in every}
     rows = [(float(x), x.numerator + x.denominator) for x in sorted(every) if LOW <= x <= HIGH and x != 1]
     return spark.createDataFrame(rows, "ratio double, complexity int")
