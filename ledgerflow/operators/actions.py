@@ -22,7 +22,7 @@ def plausible_ratios(spark: SparkSession) -> DataFrame:
     split, bonus = {Fraction(x) for x in SPLITS}, {Fraction(b, a + b) for a in span for b in span}
     every = split | bonus | {x * y for x in split for y in bonus}
     every |= {1 / x for x in every}
-    rows = [(float(x), x.numerator + x.denominator) for x in sorted(every) if LOW <= x <= HIGH and x != 1]
+    rows = [(float(x), x.numerator + x.denominator) for x in sorted(every) if LOW <= float(x) <= HIGH and x != 1]
     return spark.createDataFrame(rows, "ratio double, complexity int")
 
 
