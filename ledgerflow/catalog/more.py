@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import actions, asof, histories as hs, indicators as ind, levels as lv, zones as zn
+from ..operators import actions, histories as hs, indicators as ind, levels as lv, zones as zn
 from ..operators.indicators import W
 from ..plans.views import Market
 from ..sources import files
@@ -182,8 +182,6 @@ def i36_long_ma_and_retracement(m: Market) -> DataFrame:
 
 @query("SELECT symbol, round(CASE WHEN s > 0 THEN CAST(floor(least(10000 / (close * 0.1), 100000 / close)) AS BIGINT) * close END, 6) AS deployed FROM (SELECT symbol, close, symbol % 3 AS s FROM latest) WHERE floor(least(10000 / (close * 0.1), 100000 / close)) >= 1", more=_LATEST)
 def e20_g04_shortlist_capacity(m: Market) -> DataFrame:
-    from ..operators import scoring
-
     x = latest(m).select("symbol", "close", (F.col("close") * 0.9).alias("stop"), (F.col("symbol") % 3).alias("s"))
     x = x.withColumn("q", F.floor(F.least(10000 / (F.col("close") * 0.1), 100000 / F.col("close"))).cast("long")).where("q >= 1")
     return x.select("symbol", F.when(F.col("s") > 0, F.col("q") * F.col("close")).alias("deployed"))
