@@ -95,7 +95,7 @@ def ema(df: DataFrame, x: str, span: int, out: str, longest: int | None = None)
 
 
 def _ema_fold(df: DataFrame, x: str, alpha: float, out: str) -> DataFrame:
-    schema = df.withColumn(out, F.lit(0.0)).schema
+    schema = df.withColumn(out, F.lit(None).cast("double")).schema
 
     def run(pdf):
         pdf = pdf.sort_values("date")
@@ -126,7 +126,7 @@ def wilder(df: DataFrame, x: str, n: int, out: str, longest: int | None = None)
 
 
 def _wilder_fold(df: DataFrame, x: str, n: int, out: str) -> DataFrame:
-    schema = df.withColumn(out, F.lit(0.0)).schema
+    schema = df.withColumn(out, F.lit(None).cast("double")).schema
 
     def run(pdf):
         pdf = pdf.sort_values("date").reset_index(drop=True)
