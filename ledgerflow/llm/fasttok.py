@@ -20,7 +20,7 @@ OTHER, LETTER, NUMBER, SPACE, UNSURE = range(5)
 # Blocks whose letters and digits have been stable across Unicode versions.
 _STABLE = [(0x0021, 0x007F), (0x00A1, 0x0250), (0x0391, 0x03CE), (0x0410, 0x0450), (0x05D0, 0x05EB), (0x0621, 0x064B), (0x3041, 0x3097), (0x30A1, 0x30FB), (0x4E00, 0x9FA6), (0xAC00, 0xD7A4)]
 _MARKS = [(0x2010, 0x2028), (0x2030, 0x205F), (0x20A0, 0x20AD)]
-MAX_PIECES = 1_500_000
+MAX_PIECES = 500_000  # kept by a worker; beyond it the table starts anew
 
 
 def _classes() -> np.ndarray:

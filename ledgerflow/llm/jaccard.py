@@ -36,7 +36,7 @@ from .graph import components
 from .text_core import buffers, pieces, shingles, splitmix, word_hashes
 
 BUCKET = 64  # classes in a prefix list that is paired directly
-BLOCK = 768  # classes in a block of a family
+BLOCK = 512  # classes in a block of a family
 GROUP = 24  # classes in a token group
 
 
@@ -184,7 +184,7 @@ def _key_bitmaps(sets: DataFrame, rows, spread: int, bucket: int) -> list[Bitmap
             for *_, ahead in rows(b):
                 held.append(ahead)
                 size += len(ahead)
-            if size > 2_000_000:
+            if size > 1_000_000:
                 yield flush()
                 held, size = [], 0
         if size:
