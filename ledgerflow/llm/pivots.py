@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,14 @@ BLOCK = 1024
 MAX_PIVOTS = 2048
 
 
+def _first(n_pivots: int) -> int:
+    """How many nearest pivots a vector is listed by: 4 up to 32 pivots, one more for each fourfold.
+
+    Among more pivots two near vectors share fewer of a fixed number of first ones.
+    """
+    return 4 + max(0, math.ceil(math.log(max(n_pivots, 1) / 32, 4)))
+
+
 def _units(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     """vec_id, dim, name (of the exact vector), unit (float64 bytes); dim 0 for those that link with nothing."""
 
@@ -63,7 +72,7 @@ def _apart(pool: np.ndarray, n: int, limit: float = 0.7) -> np.ndarray:
     return pool[taken]
 
 
-def _lists(classes: DataFrame, pivots: dict[int, np.ndarray], top: int) -> DataFrame:
+def _lists(classes: DataFrame, pivots: dict[int, np.ndarray], top: int | None) -> DataFrame:
     """One row per class and pair of its first pivots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,7 +80,8 @@ def _lists(classes: DataFrame, pivots: dict[int, np.ndarray], top: int) -> DataF
             out = []
             for vec, dim, w, unit in zip(*(b.column(k).to_pylist() for k in range(4))):
                 p = pivots[dim]
-                near = sorted(np.argsort(-(p @ np.frombuffer(unit)), kind="stable")[:top].tolist())
+                first = _first(len(p)) if top is None else top
+                near = sorted(np.argsort(-(p @ np.frombuffer(unit)), kind="stable")[:first].tolist())
                 # fewer than two pivots: one list for all
                 for x, y in combinations(near, 2) if len(near) > 1 else [(0, 0)]:
                     out.append((dim, x, y, vec, w, unit, near))
@@ -139,7 +149,7 @@ def _verify(rows: DataFrame, threshold: float, block: int) -> DataFrame:
 
 
 def near_duplicates(
-    vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.95, top: int = 4, n_pivots: int | None = None
+    vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.95, top: int | None = None, n_pivots: int | None = None
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row.
 
@@ -148,7 +158,9 @@ def near_duplicates(
     vectors each; a null vec_id is outside every link (n_links 0, component null,
     kept null). Pivots are at most ``n_pivots`` vectors of a length, the first of a
     sample of four times as many (smallest crc32 of the id) that are not close to one
-    before (default: half the square root of the vectors, 32 to 2048).
+    before (default: half the square root of the vectors, 32 to 2048). Vectors meet
+    when they share two of their ``top`` nearest pivots (default: 4 to 7, by the
+    number of pivots).
     """
     spark = vectors.sparkSession
     tune(spark)

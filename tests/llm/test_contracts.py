@@ -329,3 +329,17 @@ def test_op10_edges(spark):
     assert [got[i] for i in range(10)] == [(2, 0), (2, 0), (2, 0)] + [(0, i) for i in range(3, 10)]
     assert got[None] == (0, None)
     assert pivots.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_op10_recall_with_many_pivots(spark):
+    from ledgerflow.llm import pivots
+
+    rng = np.random.default_rng(7)
+    a, e = rng.normal(size=(2, 600, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    e -= (e * a).sum(1, keepdims=True) * a
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    b = 0.9501 * a + np.sqrt(1 - 0.9501**2) * e
+    df = spark.createDataFrame(list(enumerate(np.vstack([a, b]).tolist())), "vec_id long, embedding array<double>")
+    got = pivots.near_duplicates(df, n_pivots=512).where("n_links > 0").count()
+    assert 0.97 * 1200 <= got <= 1200  # every vector has its one planted partner
