@@ -128,8 +128,14 @@ def g01_capped_topn(m: Market) -> DataFrame:
 
 @query("SELECT symbol, name, round(mcap, 6) AS mcap, round(a, 6) AS a FROM p WHERE lower(name) LIKE '%00%' AND sector <> 'ASIA' ORDER BY a DESC NULLS LAST, symbol LIMIT 15", views="bars stocks", more=f"{_X}, {_PARTS}")
 def c17_filter_sort_view(m: Market) -> DataFrame:
+    """The first page of ``c17_filter_sort_all``."""
+    return c17_filter_sort_all(m).limit(15)
+
+
+@query("SELECT symbol, name, round(mcap, 6) AS mcap, round(a, 6) AS a FROM p WHERE lower(name) LIKE '%00%' AND sector <> 'ASIA' ORDER BY p.a DESC NULLS LAST, symbol", views="bars stocks", more=f"{_X}, {_PARTS}")
+def c17_filter_sort_all(m: Market) -> DataFrame:
     df = parts(m).where(F.lower("name").contains("00") & (F.col("sector") != "ASIA"))
-    return df.orderBy(F.desc_nulls_last("a"), "symbol").limit(15).select("symbol", "name", "mcap", "a")
+    return df.orderBy(F.desc_nulls_last("a"), "symbol").select("symbol", "name", "mcap", "a")
 
 
 @query(

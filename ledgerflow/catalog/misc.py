@@ -116,10 +116,16 @@ def i32_mark_to_market(m: Market) -> DataFrame:
 
 @query("SELECT symbol, rule, severity FROM (SELECT symbol, 'stop_breached' AS rule, 0 AS severity FROM pos WHERE close <= stop UNION ALL SELECT symbol, 'target_reached', 1 FROM pos WHERE close >= entry * 1.25 UNION ALL SELECT symbol, 'doubled', 2 FROM pos WHERE close >= entry * 2) ORDER BY severity, symbol LIMIT 40", more=_POS)
 def l12_g05_alerts(m: Market) -> DataFrame:
+    """The first page of ``l12_g05_all_alerts``."""
+    return l12_g05_all_alerts(m).limit(40)
+
+
+@query("SELECT symbol, 'stop_breached' AS rule, 0 AS severity FROM pos WHERE close <= stop UNION ALL SELECT symbol, 'target_reached', 1 FROM pos WHERE close >= entry * 1.25 UNION ALL SELECT symbol, 'doubled', 2 FROM pos WHERE close >= entry * 2 ORDER BY severity, symbol", more=_POS)
+def l12_g05_all_alerts(m: Market) -> DataFrame:
     c = F.col
     rule = lambda ok, name, s: F.when(ok, F.struct(F.lit(name).alias("rule"), F.lit(s).alias("severity")))
     rules = F.array_compact(F.array(rule(c("close") <= c("stop"), "stop_breached", 0), rule(c("close") >= c("entry") * 1.25, "target_reached", 1), rule(c("close") >= c("entry") * 2, "doubled", 2)))
-    return positions(m).select("symbol", F.explode(rules).alias("r")).select("symbol", "r.rule", "r.severity").orderBy("severity", "symbol").limit(40)
+    return positions(m).select("symbol", F.explode(rules).alias("r")).select("symbol", "r.rule", "r.severity").orderBy("severity", "symbol")
 
 
 @query("SELECT symbol, round(CASE WHEN close * 0.95 > stop THEN close * 0.95 ELSE stop END, 6) AS stop, close * 0.95 > stop AS moved FROM pos", more=_POS)
