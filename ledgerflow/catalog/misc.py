@@ -70,14 +70,28 @@ def f35_high_52w(m: Market) -> DataFrame:
     return m.bars().select("symbol", "date", F.max("high").over(W().rowsBetween(-251, 0)).alias("high_52w"))
 
 
+def _snapshots(bars: DataFrame, m: Market) -> DataFrame:
+    ws = bars.select(F.date_trunc("week", "date").cast("date").alias("week_start")).distinct()
+    at = m.spark.sql("SELECT explode(array(DATE'1990-01-01', DATE'1996-03-29', DATE'1998-01-15')) AS as_of")
+    return asof.snapshot_at(ws, at)
+
+
 @query(
     "SELECT as_of, CAST(coalesce(max(w.week_start), (SELECT min(week_start) FROM ws)) AS DATE) AS week_start FROM (SELECT unnest([DATE '1990-01-01', DATE '1996-03-29', DATE '1998-01-15']) AS as_of) a LEFT JOIN ws w ON w.week_start <= a.as_of GROUP BY as_of",
     more="ws AS (SELECT DISTINCT CAST(date_trunc('week', date) AS DATE) AS week_start FROM bars WHERE symbol = 1)",
 )
 def d07_membership_snapshot(m: Market) -> DataFrame:
-    ws = m.bars().where("symbol = 1").select(F.date_trunc("week", "date").cast("date").alias("week_start")).distinct()
-    at = m.spark.sql("SELECT explode(array(DATE'1990-01-01', DATE'1996-03-29', DATE'1998-01-15')) AS as_of")
-    return asof.snapshot_at(ws, at)
+    """The snapshot weeks of symbol 1."""
+    return _snapshots(m.bars().where("symbol = 1"), m)
+
+
+@query(
+    "SELECT as_of, CAST(coalesce(max(w.week_start), (SELECT min(week_start) FROM ws)) AS DATE) AS week_start FROM (SELECT unnest([DATE '1990-01-01', DATE '1996-03-29', DATE '1998-01-15']) AS as_of) a LEFT JOIN ws w ON w.week_start <= a.as_of GROUP BY as_of",
+    more="ws AS (SELECT DISTINCT CAST(date_trunc('week', date) AS DATE) AS week_start FROM bars)",
+)
+def d07_membership_snapshot_all(m: Market) -> DataFrame:
+    """The snapshot weeks of every symbol."""
+    return _snapshots(m.bars(), m)
 
 
 @query("SELECT as_of, symbol, period_end, round(pat, 6) AS pat FROM a, quarters WHERE period_end + 31 <= as_of QUALIFY row_number() OVER (PARTITION BY as_of, symbol ORDER BY period_end DESC) = 1", views="quarters", more="a AS (SELECT unnest([DATE '1996-03-29', DATE '1998-01-15']) AS as_of)")
