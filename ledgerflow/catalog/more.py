@@ -139,6 +139,21 @@ def j12_next_resistance(m: Market) -> DataFrame:
     return lv.next_resistance(r.where("k % 9 = 0").select("symbol", F.col("high").alias("level")).join(last, "symbol"))
 
 
+@query()
+def j12_next_resistance_swings(m: Market) -> DataFrame:
+    """All confirmed swing highs and fractal highs, Wilder's ATR, and the high of the last 252 bars as the last resort."""
+    return resistance(m.nation_bars())
+
+
+def resistance(bars: DataFrame) -> DataFrame:
+    df = ind.atr(bars, out="atr").withColumn("year", F.max("high").over(W().rowsBetween(-251, 0)))
+    last = df.groupBy("symbol").agg(F.max_by(F.struct("close", "atr", "year"), "date").alias("l"))
+    last = last.select("symbol", F.col("l.close").alias("price"), F.col("l.atr").alias("atr"), F.col("l.year").alias("high"))
+    swings = zn.pivots(bars).where("kind = 'high'").select("symbol", F.col("price").alias("level"))
+    levels = swings.unionByName(lv.fractal_highs(bars))
+    return lv.next_resistance(levels.join(last.drop("high"), "symbol"), year=last.select("symbol", "price", "high"))
+
+
 _RANKED = "rk AS (SELECT date, symbol, row_number() OVER (PARTITION BY date ORDER BY close DESC, symbol) AS rank FROM nbars), dy AS (SELECT date, row_number() OVER (ORDER BY date) AS i, list(symbol ORDER BY rank) AS r FROM rk WHERE rank <= 12 GROUP BY date)"
 
 

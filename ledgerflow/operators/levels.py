@@ -13,21 +13,35 @@ PROXIMITY_FULL, PROXIMITY_ZERO, REWARD_ZERO, REWARD_FULL = 0.5, 2.0, 2.5, 5.0
 LONG_MA_ATR, FIB_ATR, FIBS = 0.75, 0.6, (0.382, 0.5, 0.618)
 
 
-def next_resistance(highs: DataFrame, tolerance: float = 0.6, least: int = 2) -> DataFrame:
+def fractal_highs(bars: DataFrame, span: int = 10) -> DataFrame:
+    """symbol, level: highs that none of the ``span`` bars on both sides exceeds and at least ``span`` of them stay below."""
+    w = W().rowsBetween(-span, span)
+    df = bars.withColumns({"_n": F.count("high").over(w), "_top": F.max("high").over(w), "_h": F.collect_list("high").over(w)})
+    below = F.size(F.filter("_h", lambda v: v < F.col("high")))
+    return df.where((F.col("_n") == 2 * span + 1) & (F.col("high") == F.col("_top")) & (below >= span)).select("symbol", F.col("high").alias("level"))
+
+
+def next_resistance(highs: DataFrame, tolerance: float = 0.6, least: int = 2, year: DataFrame | None = None) -> DataFrame:
     """For each symbol the band of swing highs above its price that a rise meets first.
 
     ``highs`` has symbol, level, price, atr. Levels chain while the gap to the one
     before is within tolerance * atr, so bands are islands of a sorted column; the
-    first band of ``least`` levels is taken, else the nearest level.
+    first band of ``least`` levels is taken, else the nearest level. ``year`` (symbol,
+    price, high) has the year's high of every symbol: where no level lies above the
+    price it is the last resort (touches 0) if it lies above it.
     """
     w = Window.partitionBy("symbol").orderBy("level")
     df = highs.where(F.col("level") > F.col("price"))
     gap = F.col("level") - F.lag("level").over(w)
-    df = df.withColumn("_new", F.when(gap <= tolerance * F.col("atr"), 0).otherwise(1))
+    df = df.withColumn("_new", F.when((F.col("atr") > 0) & (gap <= tolerance * F.col("atr")), 0).otherwise(1))
     df = df.withColumn("_band", F.sum("_new").over(w))
     bands = df.groupBy("symbol", "_band").agg(F.min("level").alias("floor"), F.max("level").alias("ceil"), F.count("*").alias("touches"))
     best = bands.groupBy("symbol").agg(F.min(F.when(F.col("touches") >= least, F.struct("floor", "ceil", "touches"))).alias("good"), F.min("floor").alias("nearest"))
-    return best.select("symbol", F.coalesce("good.floor", "nearest").alias("floor"), F.coalesce("good.ceil", "nearest").alias("ceil"), F.coalesce("good.touches", F.lit(1)).alias("touches"))
+    out = best.select("symbol", F.coalesce("good.floor", "nearest").alias("floor"), F.coalesce("good.ceil", "nearest").alias("ceil"), F.coalesce("good.touches", F.lit(1)).alias("touches"))
+    if year is None:
+        return out
+    rest = year.where(F.col("high") > F.col("price")).join(out, "symbol", "left_anti")
+    return out.unionByName(rest.select("symbol", F.col("high").alias("floor"), F.col("high").alias("ceil"), F.lit(0).alias("touches")))
 
 
 def nearest_below(bands: DataFrame, prices: DataFrame) -> DataFrame:
