@@ -157,3 +157,9 @@ _GRID = "grid AS (SELECT q AS wq, v AS wv, 100 - q - v AS wt FROM range(0, 101,
 @query(f"SELECT wq::INT AS wq, wv::INT AS wv, wt::INT AS wt, {_COLS} FROM ({_nw(_ic('cand', 'blended', 'wq, wv, wt, as_of'), 'ic', 'wq, wv, wt')})", views="bars stocks", more=f"{_PANEL}, {_GRID}")
 def g11_weight_search(m: Market) -> DataFrame:
     return rs.weight_search(panel(m), rs.weight_grid(m.spark, 50), "mom", "ret3", "vr")
+
+
+@query()
+def g11_weight_search_halves(m: Market) -> DataFrame:
+    """The whole grid in steps of 10 and the incumbent, over all dates and both halves."""
+    return rs.weight_search_halves(panel(m), rs.weight_grid(m.spark), "mom", "ret3", "vr")

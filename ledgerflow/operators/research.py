@@ -116,8 +116,7 @@ def weight_grid(spark, step: int = 10, incumbents: tuple = ((5, 45, 50),)) -> Da
     return spark.createDataFrame(sorted(grid), "q int, v int, t int")
 
 
-def weight_search(panel: DataFrame, grid: DataFrame, q: str, v: str, t: str, **kw) -> DataFrame:
-    """The coefficient of every candidate blend: candidates are a key, not a loop. ``grid`` is a fixed list."""
+def _blended(panel: DataFrame, grid: DataFrame, q: str, v: str, t: str) -> DataFrame:
     def part(w: str, x: str) -> Column:
         return F.coalesce(F.col(x), F.lit(0.0)) * F.col(w)
 
@@ -125,8 +124,54 @@ def weight_search(panel: DataFrame, grid: DataFrame, q: str, v: str, t: str, **k
         return F.when(F.col(x).isNotNull(), F.col(w)).otherwise(0)
 
     df = panel.crossJoin(F.broadcast(grid.withColumnsRenamed({"q": "wq", "v": "wv", "t": "wt"})))
-    df = df.withColumn("blended", safe_div(part("wq", q) + part("wv", v) + part("wt", t), have("wq", q) + have("wv", v) + have("wt", t)))
-    return information_coefficient(df, "blended", "wq", "wv", "wt", **kw)
+    return df.withColumn("blended", safe_div(part("wq", q) + part("wv", v) + part("wt", t), have("wq", q) + have("wv", v) + have("wt", t)))
+
+
+def weight_search(panel: DataFrame, grid: DataFrame, q: str, v: str, t: str, **kw) -> DataFrame:
+    """The coefficient of every candidate blend: candidates are a key, not a loop. ``grid`` is a fixed list."""
+    return information_coefficient(_blended(panel, grid, q, v, t), "blended", "wq", "wv", "wt", **kw)
+
+
+def weight_search_halves(panel: DataFrame, grid: DataFrame, q: str, v: str, t: str, date: str = "as_of", x: str = "forward_return") -> DataFrame:
+    """Coefficient and decile figures of every candidate over all dates, the coefficients and decile order of both halves, and ``stable``.
+
+    The second half begins at the middle date (of fewer than four dates all are the
+    first half). A candidate or half with fewer than four deciles of 20 returns has
+    no figures; ``stable`` needs a positive coefficient in both halves.
+    """
+    days = panel.groupBy().agg(F.array_sort(F.collect_set(date)).alias("_d"))  # one row
+    cut = F.when(F.size("_d") >= 4, F.element_at("_d", (F.floor(F.size("_d") / 2) + 1).cast("int")))
+    half = F.when(cut.isNull() | (F.col(date) < cut), "first").otherwise("second")
+    df = panel.crossJoin(F.broadcast(days)).withColumn("period", F.explode(F.array(F.lit("all"), half))).drop("_d")
+    keys = ("period", "wq", "wv", "wt")
+    df = _blended(df, grid, q, v, t)
+    ic = information_coefficient(df, "blended", *keys, date=date, target=x)
+
+    scored = df.where("blended is not null").withColumn("decile", decile("blended", "symbol", *keys, date))
+    per = scored.where(F.col("decile").isNotNull() & F.col(x).isNotNull()).groupBy(*keys, "decile").agg(
+        F.count(x).alias("m"), F.median(x).alias("median"), F.avg((F.col(x) >= 0.25).cast("double")).alias("hit25"), F.percentile(x, 0.10).alias("p10")
+    )
+    per = per.where("m >= 20").withColumns({"_d": avg_rank("decile", *keys), "_m": avg_rank("median", *keys), "_h": avg_rank("hit25", *keys)})
+    study = per.groupBy(*keys).agg(
+        F.count("*").alias("deciles"),
+        F.corr("_d", "_m").alias("median_rho"),
+        F.corr("_d", "_h").alias("hit_rho"),
+        (F.max_by("median", "decile") - F.min_by("median", "decile")).alias("spread"),
+        F.max_by("median", "decile").alias("top_median"),
+        F.max_by("hit25", "decile").alias("top_hit25"),
+        F.max_by("p10", "decile").alias("top_p10"),
+        F.min_by("hit25", "decile").alias("bottom_hit25"),
+    ).where("deciles >= 4")
+    r = F.col("median_rho")
+    study = study.withColumn("verdict", F.when(r >= 0.6, "ranks").when(r >= 0.3, "weak").when(r > -0.3, "none").otherwise("inverted"))
+    every = study.join(ic, list(keys), "left")
+    whole = every.where("period = 'all'").drop("period", "deciles")
+
+    def of(name: str) -> DataFrame:
+        return every.where(F.col("period") == name).select("wq", "wv", "wt", F.col("mean").alias(f"ic_{name}_half"), F.col("median_rho").alias(f"rho_{name}_half"))
+
+    out = whole.join(of("first"), ["wq", "wv", "wt"], "left").join(of("second"), ["wq", "wv", "wt"], "left")
+    return out.withColumn("stable", F.coalesce((F.col("ic_first_half") > 0) & (F.col("ic_second_half") > 0), F.lit(False)))
 
 
 def summary(trades: DataFrame, hold: int, x: str = "net_return", date: str = "as_of") -> DataFrame:
