@@ -26,7 +26,7 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     # Generators of further candidates.
-    "secret": r"""(?<![A-Za-z0-9])(?:(?:AKIA|ghp_|sk-|xox[bp]-)[A-Za-z0-9_-]{12,128}|(?i:password|passwd|secret|token|api_?key)\x20{0,3}[=:]\x20{0,3}["']?[A-Za-z0-9_+/.-]{8,256})""",
+    "secret": r"""(?<![A-Za-z0-9])(?:(?:AKIA|ghp_|sk-|xox[bp]-)[A-Za-z0-9_-]{12,}+|(?i:password|passwd|secret|token|api_?key)\x20{0,3}[=:]\x20{0,3}["']?[A-Za-z0-9_+/.-]{8,}+)""",
     "local_phone": r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
