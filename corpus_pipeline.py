@@ -21,7 +21,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a copy of a benchmark passage go."""
-    return decontam.reject(docs, load(spark, sf_dir, "benchmark"))
+    return decontam.reject(docs, load(spark, sf_dir, "benchmark"), unnamed=True)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

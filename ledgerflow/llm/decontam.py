@@ -165,9 +165,9 @@ def _matches(items: Items, part: pa.RecordBatch, flags: np.ndarray, n: int, thre
     return out
 
 
-def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list]:
+def _blocks(items: DataFrame, item_id: str, text: str, unnamed: bool) -> Iterator[list]:
     """Blocks of test items of at most BLOCK_BYTES of text each, streamed to the driver."""
-    rows = items.where(F.col(text).isNotNull() & F.col(item_id).isNotNull())
+    rows = items.where(F.col(text).isNotNull() & (F.col(item_id).isNotNull() | F.lit(unnamed)))
     rows = rows.select(F.col(item_id).cast("long").alias("id"), F.col(text).alias("text")).distinct().orderBy("id", "text").coalesce(4)
     block, size = [], 0
     for r in rows.toLocalIterator():
@@ -191,6 +191,7 @@ def contaminated(
     share: float = 0.6,
     least: int = 8,
     threshold: float = 0.5,
+    unnamed: bool = False,
 ) -> DataFrame:
     """doc_id, item_id, score, start, end: the documents that hold a copy of an item.
 
@@ -198,15 +199,15 @@ def contaminated(
     and end (code points) span the window up to the last aligned word. One row for
     each document row and item, with the best window. Null and empty texts match
     nothing, neither do items of fewer than ``n`` words; repeated items count once;
-    rows with one doc_id are judged each; a null doc_id stays null. Other columns are
-    ignored. The items go to the tasks in blocks of bounded size, one pass each.
+    rows with one doc_id are judged each; a null doc_id stays null. Items without an
+    id count with ``unnamed`` (item_id null), else not. Other columns are ignored. The items go to the tasks in blocks of bounded size, one pass each.
     """
     spark = docs.sparkSession
     tune(spark)
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id long, item_id long, score double, start long, end long"
     out = None
-    for block in _blocks(items, item_id, item_text):
+    for block in _blocks(items, item_id, item_text, unnamed):
         every = Items.of([r["id"] for r in block], [r["text"] for r in block], n)
         out_block = _search(src, every, n, share, least, threshold, schema)
         out = out_block if out is None else out.unionByName(out_block)
@@ -214,12 +215,13 @@ def contaminated(
 
 
 def reject(
-    docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 3, share: float = 0.6, least: int = 8, threshold: float = 0.5
+    docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 3, share: float = 0.6, least: int = 8, threshold: float = 0.5,
+    unnamed: bool = False,
 ) -> DataFrame:
-    """``docs`` without the rows that hold a copy of an item; the columns stay."""
+    """``docs`` without the rows that hold a copy of an item; the columns stay. ``unnamed``: items without an id count too."""
     tune(docs.sparkSession)
     out = docs
-    for block in _blocks(items, item_id, item_text):
+    for block in _blocks(items, item_id, item_text, unnamed):
         every = Items.of([r["id"] for r in block], [r["text"] for r in block], n)
         rare = _rare(docs.select(F.lit(0).alias("doc_id"), F.col(text).alias("text")), every, n, share, least)
 

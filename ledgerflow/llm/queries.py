@@ -21,7 +21,7 @@ def op3_toxicity_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontaminate_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return decontam.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), unnamed=True)
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
