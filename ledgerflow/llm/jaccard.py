@@ -1,29 +1,33 @@
 """Operator 5: n-gram Jaccard join over a token-group matrix.
 
 Two documents link when ``num * |A u B| <= 100 * |A n B|`` for their sets of
-word shingles. The join is exact (up to 64-bit hash collisions inside one pair):
+word shingles. The join is exact (up to 64-bit hash collisions):
 
 1. Texts with equal sets form one class; the smallest id represents it.
-2. Each class lists the q smallest shingles of its set (prefix filter). With
-   p = n - ceil(t n) + 1 and q = p + l - 1, linked classes share l of them.
-3. Prefix lists with at most ``bucket`` classes give candidate pairs, which must
-   share l listed shingles; the survivors are compared set against set.
-4. A shingle listed by more classes is demoted to the end of the order (a
-   fixed-size bitmap holds the demoted ones), and only the classes that listed it
-   list again. This takes shared lines and passages out of the way.
-5. Classes made of demoted shingles are large families of edited copies. They go
-   through the token-group matrix: a family is cut into blocks, each block into
-   groups of similar sets with the union of their tokens; a query's overlap with
-   the union bounds its overlap with every member, and only groups whose bound
-   reaches the threshold are opened. A pair of blocks sends a spanning forest.
-
-No list is ever gathered whole, no pair of one class is ever made, and links are
-never counted on the driver.
+2. Classes are sorted by their smallest shingle under a hash; a run with one such
+   shingle is a group of similar sets, cut at ``block`` classes. Classes alone in
+   their run are sorted again by a second and a third hash. A class that stays
+   alone is a group of one.
+3. The texts of the representatives travel to their group. Each group gets its
+   token union; inside it the union's postings give all overlaps, and the
+   members that link form stars around their best connected one.
+4. The matrix of tokens and groups is kept sparse and by columns: a chunk of groups
+   sends each of its tokens once, with the number of groups that hold it. A token
+   of one group only can link nothing to another group.
+5. A set lists the rarest p = n - ceil(t n) + 1 of its tokens, rare in groups first;
+   linked sets share one. Most lists are empty, because their tokens are of one group.
+6. Groups that meet in a list first compare the centres of their stars; a set then
+   probes the groups whose part of a list belongs to another component. Its overlap
+   with the group's union bounds every overlap there, and only groups whose bound
+   reaches the threshold are opened.
+
+No pair of one class or one component is made after step 3, a hot token travels once
+a chunk, and the members that ask a hot group are dealt over copies of it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,26 +35,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNKS, Bitmap, Workspace, tune
+from .common import Bitmap, Workspace, tune
 from .graph import components
 from .text_core import buffers, pieces, shingles, splitmix, word_hashes
 
-BUCKET = 64  # classes in a prefix list that is paired directly
-BLOCK = 512  # classes in a block of a family
-GROUP = 24  # classes in a token group
-
-
-class _Zstd:
-    """Made where it is used: its contexts cannot be sent to workers."""
-
-    def compress(self, x: bytes) -> bytes:
-        return zstandard.ZstdCompressor(level=1).compress(x)
-
-    def decompress(self, x: bytes) -> bytes:
-        return zstandard.ZstdDecompressor().decompress(x)
-
-
-_Z = _Zstd()
+BUCKET = 64  # entries of a list that are paired by array passes
+BLOCK = 512  # classes of a token group
+GROUP_TOKENS = 1 << 20  # tokens of a token group
+CHUNK_TOKENS = 1 << 21  # tokens of a chunk of groups
+ASKERS = 2048  # probing sets that one copy of a group serves
+HOT = 1000  # copies of one text that make its class a hot key
+KEY_BITS = np.uint64(16)  # low bits left out when tokens are counted
 
 
 def prefix_len(n, num: int):
@@ -58,14 +53,6 @@ def prefix_len(n, num: int):
     return n - (n * num + 99) // 100 + 1
 
 
-def shared_len(n, num: int):
-    return 1 + prefix_len(n, num) // 5
-
-
-def listed_len(n: int, num: int) -> int:
-    return prefix_len(n, num) + shared_len(n, num) - 1
-
-
 def _sets(batch: pa.RecordBatch, text: str, k: int) -> list[np.ndarray]:
     data, offs = buffers(batch.column(batch.schema.get_field_index(text)))
     h, per, _, _ = word_hashes(data, offs)
@@ -74,361 +61,445 @@ def _sets(batch: pa.RecordBatch, text: str, k: int) -> list[np.ndarray]:
     return [np.unique(run[e - m : e]) for e, m in zip(ends, n)]
 
 
-def _set_key(s: np.ndarray) -> tuple[int, int]:
-    a, b = splitmix(s ^ np.uint64(0xA5A5)), splitmix(s * np.uint64(3) + np.uint64(7))
-    return int(a.sum(dtype=np.uint64).view(np.int64)), int(b.sum(dtype=np.uint64).view(np.int64))
+def _names(sets: list[np.ndarray]) -> np.ndarray:
+    """Rows c1, c2 (a 128-bit name of the set), k1, k2, k3 (smallest hashes); 0 for an empty set."""
+    n = np.array([len(s) for s in sets], np.int64)
+    out = np.zeros((5, len(n)), np.int64)
+    full = n > 0
+    if full.any():
+        t, at = np.concatenate(sets), (np.cumsum(n) - n)[full]
+        out[0, full] = np.add.reduceat(splitmix(t ^ np.uint64(0xA5A5)), at).view(np.int64)
+        out[1, full] = np.add.reduceat(splitmix(t * np.uint64(3) + np.uint64(7)), at).view(np.int64)
+        for j in range(3):
+            out[2 + j, full] = np.minimum.reduceat(splitmix(t + np.uint64(0x51ED2701 * (j + 1))), at).view(np.int64)
+    return out
 
 
-def _binary(rows: list[np.ndarray]) -> pa.Array:
-    return pa.array([r.tobytes() for r in rows], pa.binary())
+def _table(kinds: dict[str, pa.DataType], columns) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds.values())], list(kinds))
 
 
-def signatures(docs: DataFrame, doc_id: str, text: str, k: int, num: int) -> DataFrame:
-    """doc_id, n, c1, c2 (a 128-bit name of the set), prefix (the q smallest shingles and some to spare)."""
+def signatures(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
+    """doc_id, n (size of the set), c1, c2, k1, k2, k3 of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in pieces(b, "text"):
                 sets = _sets(part, "text", k)
-                keys = np.array([_set_key(s) for s in sets], np.int64).reshape(-1, 2)
-                heads = [s[: listed_len(len(s), num) + max(8, listed_len(len(s), num) // 4)] if len(s) else s for s in sets]
-                yield pa.record_batch(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), _binary(heads)],
-                    ["doc_id", "n", "c1", "c2", "prefix"],
-                )
+                cols = [pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, _names(sets))]
+                yield pa.record_batch([part.column(0), *cols], ["doc_id", "n", "c1", "c2", "k1", "k2", "k3"])
 
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return src.mapInArrow(run, "doc_id long, n long, c1 long, c2 long, prefix binary")
+    return src.mapInArrow(run, "doc_id long, n long, c1 long, c2 long, k1 long, k2 long, k3 long")
 
 
-_ROW = "h long, c long, n long"
-KEY_BITS = np.uint64(16)  # low bits left out when shingles are counted
+_CLASS = "c long, c2 long, n long, rep long, k1 long, k2 long, k3 long"
 
 
-def _lists(sets: DataFrame, kept: Bitmap | None, demoted: Bitmap, num: int):
-    """A function that yields (c, n, early, late, ahead) for each row (doc_id, c, n, tokens) of a batch.
-
-    ``early`` are the listed shingles, ``late`` the demoted ones that fill up the
-    list, ``ahead`` those that may be listed once more are demoted.
-    """
+def groups(classes: DataFrame, ws: Workspace, parts: int, block: int) -> DataFrame:
+    """c, c2, n, rep, gid: every class with its group of similar sets."""
 
-    def rows(b: pa.RecordBatch):
-        use = kept.has(b.column(0).to_numpy(zero_copy_only=False)) if kept is not None else np.ones(b.num_rows, bool)
-        data, offs = buffers(b.column(3))
-        tokens = np.frombuffer(data.tobytes(), np.int64)
-        late = demoted.has(tokens) if demoted.any() else None
-        c, n = b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
-        ends = (offs // 8).tolist()
-        for i in np.flatnonzero(use).tolist():
-            s = tokens[ends[i] : ends[i + 1]]
-            q = listed_len(int(n[i]), num)
-            if late is None:
-                yield c[i], n[i], s[:q], s[:0], s[:q]
-            else:
-                x = late[ends[i] : ends[i + 1]]
-                ahead = s[~x]
-                early = ahead[:q]
-                yield c[i], n[i], early, s[x][: q - len(early)], ahead
-
-    return rows
-
-
-def _short(level: DataFrame, demoted: "_Keyed", num: int) -> DataFrame:
-    """doc_id, c, c2 of the rows whose spare shingles do not make up for the demoted ones."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offs = buffers(b.column(4))
-            late = demoted.has(np.frombuffer(data.tobytes(), np.int64))
-            ends = offs // 8
-            gone = np.concatenate([[0], np.cumsum(late)])
-            lost = gone[ends[1:]] - gone[ends[:-1]]
-            n, m = b.column(3).to_numpy(zero_copy_only=False), np.diff(ends)
-            need = np.array([listed_len(int(x), num) for x in n], np.int64)
-            yield b.select([0, 1, 2]).filter(pa.array((m < n) & (m - lost < need)))
-
-    return level.select("doc_id", "c", "c2", "n", "tokens").mapInArrow(run, "doc_id long, c long, c2 long")
-
-
-def _columns(sets: DataFrame) -> DataFrame:
-    return sets.select("doc_id", "c", "n", "tokens")
-
-
-def _key_bitmaps(sets: DataFrame, rows, spread: int, bucket: int) -> list[Bitmap]:
-    """Bitmaps of the shingles that two or more, and that over ``bucket`` classes list.
-
-    After the first level shingles ahead of the lists count too: a family of copies
-    is demoted at once and not a list's length at a time.
-
-    A task sends its shingles sorted, as gaps in a compressed blob for each range of
-    the hash space; counting them takes a few bytes a shingle, not a row each.
-    """
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def flush():
-            h = np.concatenate(held).view(np.uint64) >> KEY_BITS
-            h, m = np.unique(h, return_counts=True)
-            cut = np.searchsorted(h, np.arange(spread + 1, dtype=np.uint64) * np.uint64((1 << 48) // spread))
-            at = [k for k in range(spread) if cut[k] < cut[k + 1]]
-            blobs = []
-            for k in at:
-                x = np.diff(h[cut[k] : cut[k + 1]], prepend=np.uint64(0))
-                y = np.minimum(m[cut[k] : cut[k + 1]], 65535).astype(np.uint16)
-                planes = x.view(np.uint8).reshape(-1, 8)[:, :6].T
-                blobs.append(_Z.compress(np.ascontiguousarray(planes).tobytes() + y.tobytes()))
-            return pa.record_batch([pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], ["range", "keys"])
-
-        for b in batches:
-            for *_, ahead in rows(b):
-                held.append(ahead)
-                size += len(ahead)
-            if size > 1_000_000:
-                yield flush()
-                held, size = [], 0
-        if size:
-            yield flush()
-
-    def merge(table: pa.Table) -> pa.Table:
-        keys, counts = [], []
-        for x in table["keys"]:
-            raw = _Z.decompress(x.as_py())
-            n = len(raw) // 8
-            gaps = np.zeros((n, 8), np.uint8)
-            gaps[:, :6] = np.frombuffer(raw, np.uint8, 6 * n).reshape(6, n).T
-            keys.append(np.cumsum(gaps.reshape(-1).view(np.uint64)))
-            counts.append(np.frombuffer(raw, np.uint16, n, 6 * n).astype(np.int64))
-        keys, counts = np.concatenate(keys), np.concatenate(counts)
-        keys, inv = np.unique(keys, return_inverse=True)
-        total = np.bincount(inv, counts, len(keys))
-        kinds, at, blobs = [], [], []
-        for kind, least in ((0, 2), (1, bucket + 1)):
-            own = Bitmap.empty()
-            own.add(keys[total >= least].view(np.int64))
-            x, y = own.chunks()
-            kinds += [kind] * len(x)
-            at += x
-            blobs += y
-        return pa.table({"kind": pa.array(kinds, pa.int32()), "chunk": pa.array(at, pa.int32()), "bits": pa.array(blobs, pa.binary())})
-
-    ranges = _columns(sets).mapInArrow(part, "range int, keys binary")
-    return Bitmap.gather(ranges.groupBy("range").applyInArrow(merge, CHUNKS), 2)
-
-
-class _Keyed:
-    """A key bitmap asked with whole shingles."""
-
-    def __init__(self, bitmap: Bitmap):
-        self.bitmap = bitmap
-
-    def any(self) -> bool:
-        return self.bitmap.any()
-
-    def has(self, h: np.ndarray) -> np.ndarray:
-        return self.bitmap.has((h.view(np.uint64) >> KEY_BITS).view(np.int64))
-
-    def union(self, other: "_Keyed") -> "_Keyed":
-        return _Keyed(self.bitmap.union(other.bitmap))
-
-
-def _light_rows(sets: DataFrame, rows, multi: _Keyed, heavy: _Keyed) -> DataFrame:
-    """h, c, n for the listed shingles that a few classes share."""
+    def cut(which: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = pa.Table.from_batches(list(batches))
+            if not held.num_rows:
+                return
+            k, n, rep = (held[x].to_numpy() for x in (f"k{which}", "n", "rep"))
+            rows = np.arange(len(k))
+            new = np.ones(len(k), bool)
+            new[1:] = k[1:] != k[:-1]
+            first = np.maximum.accumulate(np.where(new, rows, 0))
+            upto = np.cumsum(n) - n
+            pos, tokens = (rows - first) // block, (upto - upto[first]) // GROUP_TOKENS
+            new[1:] |= (pos[1:] != pos[:-1]) | (tokens[1:] != tokens[:-1])
+            at = np.flatnonzero(new)
+            size = np.diff(np.append(at, len(k)))
+            held = held.append_column("gid", pa.array(np.repeat(rep[at], size))).append_column("m", pa.array(np.repeat(size, size)))
+            yield from held.to_batches(max_chunksize=10_000)
+
+        return run
+
+    left, done = classes, []
+    for j in range(3):
+        order = [*(f"k{(j + i) % 3 + 1}" for i in range(3)), "n", "c", "rep"]
+        left = left.select("c", "c2", "n", "rep", "k1", "k2", "k3").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        got = ws.save(left.mapInArrow(cut(j + 1), f"{_CLASS}, gid long, m long"), f"runs{j}")
+        done.append(got.where("m > 1"))
+        left = got.where("m = 1")
+    out = left
+    for d in done:
+        out = out.unionByName(d)
+    return out.select("c", "c2", "n", "rep", "gid")
+
+
+class TokenGroup:
+    """Similar sets with the union of their tokens and, for each token, the members that hold it."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        order = np.argsort(flat, kind="stable")
+        self.owner = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        flat = flat[order]
+        new = np.ones(len(flat), bool)
+        new[1:] = flat[1:] != flat[:-1]
+        self.at = np.append(np.flatnonzero(new), len(flat))
+        self.union = flat[new]
+
+    def linked(self, q: np.ndarray, num: int) -> np.ndarray:
+        """Which members link with the set ``q``."""
+        if not len(self.union):
+            return np.zeros(len(self.sizes), bool)
+        x = np.minimum(np.searchsorted(self.union, q), len(self.union) - 1)
+        x = x[self.union[x] == q]
+        # |q n d| <= |q n union| for every member d, and a link needs t * max(|q|, |d|).
+        if 100 * len(x) < num * max(len(q), int(self.sizes.min())):
+            return np.zeros(len(self.sizes), bool)
+        lo, many = self.at[x], self.at[x + 1] - self.at[x]
+        rows = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        both = np.bincount(self.owner[rows], minlength=len(self.sizes))
+        return 100 * both >= num * (len(q) + self.sizes - both)
+
+
+class _Forest:
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _stars(reps: np.ndarray, sets: list[np.ndarray], num: int) -> list[tuple[int, int, int]]:
+    """(member, centre, members of its star) for the components inside one group."""
+    group, forest = TokenGroup(sets), _Forest()
+    degree = np.zeros(len(sets), np.int64)
+    for i, s in enumerate(sets):
+        hits = np.flatnonzero(group.linked(s, num))
+        degree[i] = len(hits)
+        for j in hits[hits > i].tolist():
+            forest.join(i, j)
+    parts: dict[int, list[int]] = {}
+    for i in range(len(sets)):
+        parts.setdefault(forest.root(i), []).append(i)
+    out = []
+    for own in parts.values():
+        if len(own) > 1:
+            centre = min(own, key=lambda i: (-degree[i], reps[i]))
+            out += [(int(reps[i]), int(reps[centre]), len(own)) for i in own]
+    return out
+
+
+_PLACED = ["chunk", "gid", "c", "c2", "rep", "text"]
+
+
+def _texts(docs: DataFrame, doc_id: str, text: str, members: DataFrame, chunks: int) -> DataFrame:
+    """The texts of the representatives with their group and its chunk."""
+    src = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"))
+    return src.join(members, "rep").withColumn("chunk", F.pmod(F.xxhash64("gid"), F.lit(chunks))).select(*_PLACED)
+
+
+def _read(batch: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """chunk, gid, c, rep, sets: one row for each class; rows with the id of a representative and another text go."""
+    for part in pieces(batch, "text"):
+        sets = _sets(part, "text", k)
+        chunk, gid, c, c2, rep = (part.column(i).to_numpy() for i in range(5))
+        names = _names(sets)
+        keep = (names[0] == c) & (names[1] == c2)
+        at = np.flatnonzero(keep)
+        yield chunk[at], gid[at], c[at], rep[at], [sets[i] for i in at.tolist()]
+
+
+def _pack(keys: np.ndarray, counts: np.ndarray, compressor) -> bytes:
+    """Sorted 48-bit keys as gaps and 32-bit counts, in byte planes."""
+    gaps = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, :6].T
+    planes = np.minimum(counts, 2**32 - 1).astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return compressor.compress(np.ascontiguousarray(gaps).tobytes() + np.ascontiguousarray(planes).tobytes())
+
+
+def _unpack(blob: bytes, decompressor) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(decompressor.decompress(blob), np.uint8)
+    n = len(raw) // 10
+    gaps = np.zeros((n, 8), np.uint8)
+    gaps[:, :6] = raw[: 6 * n].reshape(6, n).T
+    counts = np.ascontiguousarray(raw[6 * n :].reshape(4, n).T).view("<u4").reshape(-1)
+    return np.cumsum(gaps.reshape(-1).view(np.uint64), dtype=np.uint64), counts.astype(np.int64)
+
+
+_COUNTED = {"kind": pa.int32(), "chunk": pa.int64(), "span": pa.int32(), "keys": pa.binary(), "a": pa.int64(), "b": pa.int64(), "m": pa.int64()}
+
+
+def _matrix(placed: DataFrame, k: int, num: int, spans: int) -> DataFrame:
+    """kind 0: the tokens of a chunk in one span of the key space, with their groups; kind 1: stars (a, b, m)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = list(rows(b))
-            per = np.array([len(x[2]) for x in got], np.int64)
-            h = np.concatenate([x[2] for x in got]) if got else np.zeros(0, np.int64)
-            keep = multi.has(h) & ~heavy.has(h)
-            c, n = (np.repeat(np.array([x[k] for x in got], np.int64), per)[keep] for k in (0, 1))
-            yield pa.record_batch([pa.array(h[keep]), pa.array(c), pa.array(n)], ["h", "c", "n"])
-
-    return _columns(sets).mapInArrow(run, _ROW)
-
+        z = zstandard.ZstdCompressor(level=1)
+        held: list[tuple[int, int, int, int, np.ndarray]] = []
+        size = 0
+
+        def emit(rows):
+            out, keys, lo = [], [], 0
+            while lo < len(rows):
+                hi = lo + 1
+                while hi < len(rows) and rows[hi][1] == rows[lo][1]:
+                    hi += 1
+                own = {r[2]: r for r in reversed(rows[lo:hi])}  # a repeated row of one class counts once
+                sets = [r[4] for r in own.values()]
+                if len(sets) > 1:
+                    out += [(1, rows[lo][0], None, None, *s) for s in _stars(np.array([r[3] for r in own.values()]), sets, num)]
+                    keys.append(np.unique(np.concatenate(sets) >> KEY_BITS))
+                else:
+                    keys.append(sets[0] >> KEY_BITS)
+                lo = hi
+            key, many = np.unique(np.concatenate(keys), return_counts=True)
+            cut = np.searchsorted(key, np.arange(spans + 1, dtype=np.uint64) * np.uint64((1 << 48) // spans))
+            cut[-1] = len(key)
+            for i in range(spans):
+                if cut[i] < cut[i + 1]:
+                    out.append((0, rows[0][0], i, _pack(key[cut[i] : cut[i + 1]], many[cut[i] : cut[i + 1]], z), None, None, None))
+            return _table(_COUNTED, zip(*out))
+
+        def whole(last: bool):
+            """Cut the held rows by chunk; the last group may go on."""
+            nonlocal held, size
+            end = len(held)
+            if not last:
+                while end and held[end - 1][1] == held[-1][1]:
+                    end -= 1
+            lo = 0
+            while lo < end:
+                hi = lo + 1
+                while hi < end and held[hi][0] == held[lo][0]:
+                    hi += 1
+                yield emit(held[lo:hi])
+                lo = hi
+            held = held[end:]
+            size = sum(len(r[4]) for r in held)
 
-def _hidden(sets: DataFrame, rows, heavy: _Keyed) -> DataFrame:
-    """c, x (listed shingles not paired here), new (some of them are newly demoted)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [(int(c), int(heavy.has(early).sum()), len(late)) for c, _, early, late, _ in rows(b)]
-            got = [(c, x + y, x > 0) for c, x, y in got if x + y]
-            yield pa.record_batch([pa.array([g[k] for g in got], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.bool_()))], ["c", "x", "new"])
-
-    return _columns(sets).mapInArrow(run, "c long, x long, new boolean").groupBy("c").agg(F.max("x").alias("x"), F.max("new").alias("new"))
+            for chunk, gid, c, rep, sets in _read(b, k):
+                held += zip(chunk.tolist(), gid.tolist(), c.tolist(), rep.tolist(), sets)
+                size += sum(map(len, sets))
+                if size > CHUNK_TOKENS:
+                    yield from whole(False)
+        yield from whole(True)
 
+    placed = placed.repartition("chunk").sortWithinPartitions("chunk", "gid", "c")
+    return placed.mapInArrow(run, "kind int, chunk long, span int, keys binary, a long, b long, m long")
 
-def _late_rows(sets: DataFrame, rows) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [(c, late) for c, _, _, late, _ in rows(b) if len(late)]
-            c = np.repeat(np.array([x[0] for x in got], np.int64), [len(x[1]) for x in got]) if got else np.zeros(0, np.int64)
-            yield pa.record_batch([pa.array(np.concatenate([x[1] for x in got]) if got else c), pa.array(c)], ["h", "c"])
 
-    return _columns(sets).mapInArrow(run, "h long, c long")
+def _shared(counted: DataFrame) -> DataFrame:
+    """chunk, span, keys: the tokens of each chunk that two or more groups hold, with their number."""
 
-
-def _pairs(light: DataFrame, num: int) -> DataFrame:
-    """Pairs of classes in one short list, with the number of lists they share."""
+    def merge(table: pa.Table) -> pa.Table:
+        z, c = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        keys, counts = zip(*(_unpack(x.as_py(), z) for x in table["keys"]))
+        size = [len(x) for x in keys]
+        flat, total = np.concatenate(keys), np.concatenate(counts)
+        order = np.argsort(flat, kind="stable")
+        flat, total = flat[order], total[order]
+        new = np.ones(len(flat), bool)
+        new[1:] = flat[1:] != flat[:-1]
+        each = np.add.reduceat(total, np.flatnonzero(new))[np.cumsum(new) - 1]
+        back = np.empty(len(flat), np.int64)
+        back[order] = each
+        blobs, chunk, lo = [], [], 0
+        for x, m, own in zip(keys, size, table["chunk"].to_pylist()):
+            many = back[lo : lo + m]
+            lo += m
+            if (many > 1).any():
+                chunk.append(own)
+                blobs.append(_pack(x[many > 1], many[many > 1], c))
+        return pa.table({"chunk": pa.array(chunk, pa.int64()), "span": pa.array([table["span"][0].as_py()] * len(chunk), pa.int32()), "keys": pa.array(blobs, pa.binary())})
+
+    return counted.where("kind = 0").select("chunk", "span", "keys").groupBy("span").applyInArrow(merge, "chunk long, span int, keys binary")
+
+
+_LISTED = {"c": pa.int64(), "rep": pa.int64(), "gid": pa.int64(), "heads": pa.list_(pa.int64()), "tokens": pa.binary()}
+
+
+def _listed(placed: DataFrame, shared: DataFrame, k: int, num: int) -> DataFrame:
+    """c, rep, gid, heads (the listed tokens that other groups hold), tokens of the sets with such heads."""
+
+    def run(texts: pa.Table, blobs: pa.Table) -> pa.Table:
+        z = zstandard.ZstdDecompressor()
+        got = [_unpack(x.as_py(), z) for x in blobs["keys"]]
+        empty = _table(_LISTED, [[]] * 5)
+        if not got or not texts.num_rows:
+            return pa.Table.from_batches([empty])
+        key, many = (np.concatenate(x) for x in zip(*got))
+        order = np.argsort(key, kind="stable")
+        key, many = key[order], many[order]
+        # a chunk written in two goes has some tokens twice
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        key, many = key[new], many[new]
+        out, seen = [empty], set()
+        for b in texts.to_batches():
+            for _, gid, c, rep, sets in _read(b, k):
+                n = np.array([len(s) for s in sets], np.int64)
+                if not n.sum():
+                    continue
+                flat = np.concatenate(sets)
+                own = flat >> KEY_BITS
+                at = np.minimum(np.searchsorted(key, own), len(key) - 1)
+                df = np.where(key[at] == own, many[at], 1)
+                doc = np.repeat(np.arange(len(n)), n)
+                alone = np.bincount(doc[df == 1], minlength=len(n))
+                room = prefix_len(n, num) - alone
+                pick = np.flatnonzero((df > 1) & (room[doc] > 0))
+                pick = pick[np.lexsort((flat[pick], df[pick], doc[pick]))]
+                per = np.bincount(doc[pick], minlength=len(n))
+                pos = np.arange(len(pick)) - np.repeat(np.cumsum(per) - per, per)
+                pick = pick[pos < room[doc[pick]]]
+                per = np.bincount(doc[pick], minlength=len(n))
+                ends = np.cumsum(per)
+                rows = [i for i in np.flatnonzero(per).tolist() if c[i] not in seen]
+                seen.update(int(c[i]) for i in rows)
+                heads = [flat[pick[ends[i] - per[i] : ends[i]]].view(np.int64) for i in rows]
+                out.append(_table(_LISTED, (c[rows], rep[rows], gid[rows], heads, [sets[i].tobytes() for i in rows])))
+        return pa.Table.from_batches(out)
+
+    both = placed.groupBy("chunk").cogroup(shared.groupBy("chunk"))
+    return both.applyInArrow(run, "c long, rep long, gid long, heads array<long>, tokens binary")
+
+
+def _by_list(rows: DataFrame, columns: list[str], emit: Callable, schema: str) -> DataFrame:
+    """Hand whole lists (rows of one ``h``, in order) to ``emit(h, *columns)``, many lists at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64)] * 3
-
-        def emit(h, c, n):
-            cut = np.flatnonzero(np.diff(h)) + 1
-            starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(h)]])
-            sizes = ends - starts
-            left, right = [], []
-            # Pair each row with the d-th next one of its list: BUCKET array passes, no loop over lists.
-            for d in range(1, int(sizes.max(initial=1))):
-                i = np.flatnonzero(np.repeat(ends, sizes) - np.arange(len(h)) > d)
-                j = i + d
-                ok = (c[i] != c[j]) & (np.maximum(n[i], n[j]) * num <= 100 * np.minimum(n[i], n[j]))
-                left.append(i[ok])
-                right.append(j[ok])
-            if not left:
-                return None
-            i, j = np.concatenate(left), np.concatenate(right)
-            swap = c[i] > c[j]
-            i, j = np.where(swap, j, i), np.where(swap, i, j)
-            a, b, na, nb = c[i], c[j], n[i], n[j]
-            order = np.lexsort((b, a))
-            a, b, na, nb = a[order], b[order], na[order], nb[order]
-            new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            at = np.flatnonzero(new)
-            k = np.diff(np.append(at, len(a)))
-            return pa.record_batch([pa.array(x.astype(np.int64)) for x in (a[at], b[at], na[at], nb[at], k)], ["a", "b", "na", "nb", "k"])
-
-        held = 0
+        rest = None
         for b in batches:
-            for i in range(3):
-                rest[i] = np.concatenate([rest[i], b.column(i).to_numpy(zero_copy_only=False)])
-            held = len(rest[0])
-            if held > 200_000:
+            own = [b.column(i).to_numpy() for i in range(b.num_columns)]
+            rest = own if rest is None else [np.concatenate(x) for x in zip(rest, own)]
+            if len(rest[0]) > 200_000:
                 whole = int(np.searchsorted(rest[0], rest[0][-1], "left"))  # the last list may go on
                 if whole:
-                    out = emit(*(x[:whole] for x in rest))
+                    yield emit(*(x[:whole] for x in rest))
                     rest = [x[whole:] for x in rest]
-                    if out is not None:
-                        yield out
-        if len(rest[0]):
-            out = emit(*rest)
-            if out is not None:
-                yield out
-
-    ordered = light.select("h", "c", "n").repartition("h").sortWithinPartitions("h", "c")
-    return ordered.mapInArrow(run, "a long, b long, na long, nb long, k long")
-
-
-def _same(a: np.ndarray, b: np.ndarray, num: int) -> bool:
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-    both = int((b[at] == a).sum())
-    return 100 * both >= num * (len(a) + len(b) - both)
+        if rest is not None and len(rest[0]):
+            yield emit(*rest)
+
+    ordered = rows.select("h", *columns).repartition("h").sortWithinPartitions("h", *columns)
+    return ordered.mapInArrow(run, schema)
+
+
+def _lists(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start of each list, and its number of rows."""
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    at = np.flatnonzero(new)
+    return at, np.diff(np.append(at, len(h)))
+
+
+def _unique_pairs(a: np.ndarray, b: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return pa.record_batch([pa.array(a[new]), pa.array(b[new])], names)
+
+
+def _centre_pairs(lists: DataFrame) -> DataFrame:
+    """a, b: in each list, the centre of the largest star against the other centres."""
+
+    def emit(h, comp, m):
+        at, size = _lists(h)
+        order = np.lexsort((comp, m, h))  # the largest star of a list comes last
+        lead = np.repeat(comp[order[at + size - 1]], size)
+        ok = lead != comp
+        return _unique_pairs(lead[ok], comp[ok], ["a", "b"])
+
+    return _by_list(lists, ["comp", "m"], emit, "a long, b long").distinct()
+
+
+def _probes(lists: DataFrame, bucket: int) -> DataFrame:
+    """q, gid: sets that probe a group of a list whose members there are of a larger component."""
+
+    def emit(h, w, comp, rep, gid):
+        at, size = _lists(h)
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1]) | (comp[1:] != comp[:-1])
+        rank = np.cumsum(new)
+        q, g = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        small = np.repeat(size <= bucket, size)
+        end = np.repeat(at + size, size)
+        for d in range(1, int(size[size <= bucket].max(initial=1))):
+            i = np.flatnonzero(small & (np.arange(len(h)) + d < end))
+            j = i + d
+            ok = (rank[i] != rank[j]) & (gid[i] != gid[j])  # rows are in order of rank
+            q.append(rep[i[ok]])
+            g.append(gid[j[ok]])
+        for x in np.flatnonzero(size > bucket).tolist():
+            lo, hi = at[x], at[x] + size[x]
+            # for each group of the list, its largest rank there
+            o = lo + np.lexsort((rank[lo:hi], gid[lo:hi]))
+            own = gid[o]
+            last = np.flatnonzero(np.append(own[1:] != own[:-1], True))
+            names, top = own[last], rank[o[last]]
+            for s in range(lo, hi, 1024):
+                e = min(s + 1024, hi)
+                i, j = np.nonzero((rank[s:e, None] < top[None, :]) & (gid[s:e, None] != names[None, :]))
+                q.append(rep[s:e][i])
+                g.append(names[j])
+        return _unique_pairs(np.concatenate(q), np.concatenate(g), ["q", "gid"])
+
+    return _by_list(lists, ["w", "comp", "rep", "gid"], emit, "q long, gid long").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int) -> DataFrame:
-    left = sets.select(F.col("c").alias("a"), F.col("doc_id").alias("da"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("c").alias("b"), F.col("doc_id").alias("db"), F.col("tokens").alias("tb"))
+    """The pairs (a, b) of representatives that link: groups of one set, opened directly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [
-                _same(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), num)
-                for x, y in zip(b.column(2), b.column(3))
-            ]
-            at = pa.array(np.flatnonzero(np.array(keep, bool)))
-            yield pa.record_batch([b.column(0).take(at), b.column(1).take(at)], ["a", "b"])
-
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
-    return both.select("da", "db", "ta", "tb").mapInArrow(run, "a long, b long")
-
-
-class TokenGroups:
-    """The sets of one block, cut into groups with the union of each group's tokens."""
-
-    def __init__(self, ids: np.ndarray, sets: list[np.ndarray], group: int = GROUP):
-        order = sorted(range(len(ids)), key=lambda i: (int(splitmix(sets[i]).min()), len(sets[i]), int(ids[i])))
-        self.ids = [int(ids[i]) for i in order]
-        self.sets = [sets[i] for i in order]
-        self.sizes = np.array([len(s) for s in self.sets], np.int64)
-        self.bounds = list(range(0, len(order), group))
-        self.group = group
-
-    def matrix(self, tokens: np.ndarray) -> np.ndarray:
-        m = np.zeros((len(self.sets), len(tokens)), np.float32)
-        for i, s in enumerate(self.sets):
-            at = np.searchsorted(tokens, s)
-            at[at == len(tokens)] = 0
-            hit = tokens[at] == s if len(tokens) else np.zeros(len(s), bool)
-            m[i, at[hit]] = 1
-        return m
-
-    def links(self, other: "TokenGroups", num: int, same: bool) -> list[tuple[int, int]]:
-        """A spanning forest of the linked pairs between two blocks (or within one)."""
-        every = np.concatenate(self.sets + ([] if same else other.sets))
-        tokens, seen = np.unique(every, return_counts=True)
-        tokens = tokens[seen > 1]  # a token of one set adds to no overlap
-        mine = self.matrix(tokens)
-        theirs = mine if same else other.matrix(tokens)
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while parent.get(x, x) != x:
-                parent[x] = parent.get(parent[x], parent[x])
-                x = parent[x]
-            return x
-
-        found = []
-        for lo in other.bounds:
-            hi = min(lo + other.group, len(other.sets))
-            union = theirs[lo:hi].max(axis=0)
-            least = int(other.sizes[lo:hi].min())
-            # |q n d| <= |q n union| for every member d, and a link needs t * max(|q|, |d|).
-            bound = mine @ union
-            open_q = np.flatnonzero(100 * bound >= num * np.maximum(self.sizes, least) - 1e-3)
-            if same:
-                open_q = open_q[open_q < hi]
-            if not len(open_q):
-                continue
-            both = (mine[open_q] @ theirs[lo:hi].T).astype(np.int64)
-            linked = 100 * both >= num * (self.sizes[open_q][:, None] + other.sizes[None, lo:hi] - both)
-            for x, y in np.argwhere(linked):
-                a, b = self.ids[open_q[x]], other.ids[lo + y]
-                ra, rb = root(a), root(b)
-                if ra != rb:
-                    parent[max(ra, rb)] = min(ra, rb)
-                    found.append((a, b))
-        return found
-
-
-def _family_links(families: DataFrame, sets: DataFrame, ws: Workspace, num: int, block: int) -> DataFrame:
-    """Links inside each family (c, fam), by pairs of blocks."""
-    size = families.groupBy("fam").agg(F.count("*").alias("m")).withColumn("nb", F.ceil(F.col("m") / F.lit(block)).cast("long"))
-    rows = (
-        families.join(size, "fam")
-        .withColumn("blk", F.pmod(F.xxhash64("c"), F.col("nb")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-        .select("c", "fam", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk")
-        .join(sets.select("c", "doc_id", "tokens"), "c")
-    )
+            keep = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= num * max(len(x), len(y)) else 0
+                keep.append(both > 0 and 100 * both >= num * (len(x) + len(y) - both))
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    left = sets.select(F.col("rep").alias("a"), F.col("tokens").alias("ta"))
+    right = sets.select(F.col("rep").alias("b"), F.col("tokens").alias("tb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def _opened(probes: DataFrame, sets: DataFrame, num: int, buckets: int) -> DataFrame:
+    """a, b: a spanning forest of the links between probing sets and the members of the groups they open."""
+    share = probes.groupBy("gid").agg(F.ceil(F.count("*") / F.lit(ASKERS)).cast("long").alias("copies"))
+    copies = share.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    key = F.pmod(F.xxhash64("gid", "copy"), F.lit(buckets)).alias("bucket")
+    members = copies.join(sets, "gid").select(key, F.lit(False).alias("asks"), "gid", "copy", "rep", "tokens")
+    asks = probes.join(share, "gid").withColumn("copy", F.pmod(F.xxhash64("q"), F.col("copies")))
+    asks = asks.join(sets.select(F.col("rep").alias("q"), "tokens"), "q").select(key, F.lit(True).alias("asks"), "gid", "copy", F.col("q").alias("rep"), "tokens")
 
     def run(table: pa.Table) -> pa.Table:
-        ids = table["doc_id"].to_numpy()
-        blk = table["blk"].to_numpy()
+        places: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
+        for i, (asking, gid, copy) in enumerate(zip(*(table[x].to_pylist() for x in ("asks", "gid", "copy")))):
+            places.setdefault((gid, copy), ([], []))[asking].append(i)
+        reps = table["rep"].to_numpy()
         tokens = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["tokens"]]
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        x = np.flatnonzero(blk == i)
-        a = TokenGroups(ids[x], [tokens[k] for k in x]) if len(x) else None
-        y = x if i == j else np.flatnonzero(blk == j)
-        b = a if i == j else (TokenGroups(ids[y], [tokens[k] for k in y]) if len(y) else None)
-        found = a.links(b, num, i == j) if a and b else []
-        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+        a, b = [], []
+        for own, who in places.values():
+            if not own or not who:
+                continue
+            group, forest = TokenGroup([tokens[i] for i in own]), _Forest()
+            for i in who:
+                for j in np.flatnonzero(group.linked(tokens[i], num)).tolist():
+                    x, y = int(reps[i]), int(reps[own[j]])
+                    if forest.join(x, y):
+                        a.append(x)
+                        b.append(y)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.groupBy("fam", "i", "j").applyInArrow(run, "a long, b long")
+    return members.unionByName(asks).groupBy("bucket").applyInArrow(run, "a long, b long")
 
 
 def ngram_jaccard(
@@ -450,98 +521,57 @@ def ngram_jaccard(
     spark = docs.sparkSession
     tune(spark)
     ws = Workspace(spark, "jaccard")
-    first = ws.save(signatures(docs, doc_id, text, k, num), "signatures")
-    sig = ws.save(first.select("doc_id", "n", "c1", "c2"), "classes")
-    full = first.where("n > 0 and doc_id is not null")
-    classes = sig.where("n > 0 and doc_id is not null").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep"))
-
-    kept = Bitmap.of(classes, "rep")
-    demoted = _Keyed(Bitmap.empty())
-    level = full.select("doc_id", F.col("c1").alias("c"), "c2", "n", F.col("prefix").alias("tokens"))
-    total = sig.agg(F.sum("n")).first()[0] or 0
-    spread = 1 << max(3, (total // 10_000_000).bit_length())
-    pair_parts, late_parts = [], []
-    while True:
-        rows = _lists(level, kept, demoted, num)
-        multi, heavy = map(_Keyed, _key_bitmaps(level, rows, spread, bucket))
-        pairs = _pairs(_light_rows(level, rows, multi, heavy), num)
-        pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k"))
-        hidden = None
-        if heavy.any() or demoted.any():
-            hidden = ws.save(_hidden(level, rows, heavy), "hidden")
-            x = hidden.select("c", "x")
-            pairs = (
-                pairs.join(x.withColumnsRenamed({"c": "a", "x": "xa"}), "a", "left")
-                .join(x.withColumnsRenamed({"c": "b", "x": "xb"}), "b", "left")
-                .withColumn("k", F.col("k") + F.least(F.coalesce("xa", F.lit(0)), F.coalesce("xb", F.lit(0))))
-            )
-        small = F.least("na", "nb")
-        need = F.lit(1) + F.floor((small - F.ceil(small * num / 100) + 1) / 5)
-        pair_parts.append(ws.save(pairs.where(F.col("k") >= need).select("a", "b"), "pairs"))
-        if demoted.any():
-            late_parts.append(ws.save(_late_rows(level, rows), "late"))
-        if not heavy.any():
-            break
-        demoted = demoted.union(heavy)
-        again = hidden.where("new").select("c")
-        below = ws.save(level.join(again, "c", "left_semi").dropDuplicates(["c"]), "again")
-        ws.drop(level)
-        short = ws.save(_short(below, demoted, num), "short")
-        if short.isEmpty():
-            level = below
-        else:
-            whole = _load_sets(docs, doc_id, text, k, short)
-            level = ws.save(below.join(short, "c", "left_anti").unionByName(whole), "level")
-            ws.drop(below)
-        kept = None
-    ws.drop(first)
-    wanted = late_parts[0].select("c") if late_parts else pair_parts[0].select(F.col("a").alias("c"))
-    for part in late_parts[1:]:
-        wanted = wanted.union(part.select("c"))
-    for part in pair_parts:
-        wanted = wanted.union(part.select("a")).union(part.select("b"))
-    reps = classes.join(wanted.distinct(), F.col("c") == F.col("c1"), "left_semi").select(F.col("rep").alias("doc_id"), F.col("c1").alias("c"), "c2")
-    sets = ws.save(_load_sets(docs, doc_id, text, k, ws.save(reps, "wanted")), "sets")
-
-    links = None
-    for part in pair_parts:
-        found = _verified(part, sets, num)
-        links = found if links is None else links.unionByName(found)
-    if late_parts:
-        all_rows = late_parts[0]
-        for r in late_parts[1:]:
-            all_rows = all_rows.unionByName(r)
-        hub = all_rows.groupBy("h").agg(F.min("c").alias("b"))
-        star = all_rows.join(hub, "h").select(F.col("c").alias("a"), "b").distinct()
-        families = components(star, ws).withColumnsRenamed({"node": "c", "comp": "fam"})
-        links = links.unionByName(_family_links(ws.save(families, "families"), sets, ws, num, block))
-    comp = components(links, ws)
-
-    out = sig.join(classes.select("c1", "c2", "n", "rep"), ["c1", "c2", "n"], "left").join(
-        comp.withColumnsRenamed({"node": "rep", "comp": "linked"}), "rep", "left"
+    sig = ws.save(signatures(docs, doc_id, text, k), "signatures")
+    classes = sig.where("n > 0 and doc_id is not null").groupBy("c1", "c2", "n").agg(
+        F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *(F.min(x).alias(x) for x in ("k1", "k2", "k3"))
     )
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("linked", "rep", "doc_id").alias("component_id"))
-
-
-def _load_sets(docs: DataFrame, doc_id: str, text: str, k: int, reps: DataFrame) -> DataFrame:
-    """doc_id, c, c2, n, tokens (64-bit shingles in ascending order) of the wanted classes, read from the texts."""
-    wanted = Bitmap.of(reps, "doc_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            b = b.filter(pa.array(wanted.has(b.column(0).to_numpy(zero_copy_only=False))))
-            for part in pieces(b, "text"):
-                sets = _sets(part, "text", k)
-                keys = np.array([_set_key(s) for s in sets], np.int64).reshape(-1, 2)
-                yield pa.record_batch(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), _binary(sets)],
-                    ["doc_id", "n", "c", "c2", "tokens"],
-                )
-
-    src = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    got = src.mapInArrow(run, "doc_id long, n long, c long, c2 long, tokens binary").where("n > 0")
-    got = got.join(reps, ["doc_id", "c", "c2"], "left_semi").dropDuplicates(["doc_id", "c", "c2"])
-    return got.select("doc_id", "c", "c2", "n", "tokens")
+    classes = ws.save(classes.select(F.col("c1").alias("c"), "c2", "n", "rep", "copies", "k1", "k2", "k3"), "classes")
+    total, count = classes.agg(F.sum("n"), F.count("*")).first()
+    if not count:
+        return sig.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+
+    members = groups(classes, ws, 8 + count // 500_000, block).select("c", "c2", "rep", "gid")
+    placed = _texts(docs, doc_id, text, members, 48 + total // (CHUNK_TOKENS // 2))
+    counted = ws.save(_matrix(placed, k, num, 16 + total // CHUNK_TOKENS), "matrix")
+    stars = counted.where("kind = 1").select("a", "b", "m")
+    listed = ws.save(_listed(placed, _shared(counted), k, num), "listed")
+    heads = listed.select("rep", "gid", F.explode("heads").alias("h"))
+    sets = listed.select("rep", "gid", "tokens")
+
+    near = heads.join(stars.withColumnRenamed("a", "rep"), "rep", "left")
+    near = near.select("h", "rep", "gid", F.coalesce("b", "rep").alias("comp"), F.coalesce("m", F.lit(1)).alias("m"))
+    centres = ws.save(_verified(_centre_pairs(near.select("h", "comp", "m").distinct()), sets, num), "centres")
+    joined = ws.save(components(centres, ws), "joined").select(F.col("node").alias("comp"), F.col("comp").alias("whole"))
+    far = ws.save(near.join(joined, "comp", "left").select("h", "rep", "gid", F.coalesce("whole", "comp").alias("comp")), "lists")
+    # Components are ranked by the lists they are in, then by name; the smaller one asks.
+    weight = far.groupBy("comp").agg(F.count("*").alias("w"))
+    mixed = far.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("h")
+    probes = ws.save(_probes(far.join(mixed, "h", "left_semi").join(weight, "comp"), bucket), "probes")
+    links = _opened(probes, sets, num, 48 + total // (4 * CHUNK_TOKENS))
+
+    comp = components(stars.select("a", "b").unionByName(centres).unionByName(links), ws)
+    return _spread(sig, classes, comp)
+
+
+def _spread(sig: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
+    """The component of every row. Classes of many copies are hot keys: they are sent to the rows
+    while they are few, and dealt over 16 salts beyond that."""
+    comp = comp.select(F.col("node").alias("rep"), F.col("comp").alias("linked"))
+    known = classes.join(comp, "rep", "left").select(
+        F.col("c").alias("c1"), "c2", "n", "copies", F.coalesce("linked", "rep").alias("component_id")
+    )
+    key = ["c1", "c2", "n"]
+    hot = known.where(F.col("copies") > HOT).select(*key, F.col("component_id").alias("hot_id"))
+    rows = sig.select("doc_id", *key)
+    if hot.count() <= 100_000:
+        rows = rows.join(F.broadcast(hot), key, "left")
+    else:
+        salts = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int")).join(salts, [*key, "salt"], "left").drop("salt")
+    done = rows.where("hot_id is not null").select("doc_id", "n", F.col("hot_id").alias("component_id"))
+    rest = rows.where("hot_id is null").join(known.where(F.col("copies") <= HOT).select(*key, "component_id"), key, "left")
+    out = done.unionByName(rest.select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **params) -> DataFrame:
@@ -549,12 +579,15 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **para
 
     Rows that share the kept id all stay, as do rows with a null id. Texts are not
     shuffled: a fixed-size bitmap passes the rows that surely stay, and only the
-    others are joined with the list of ids that go.
+    others are joined with the list of ids that go. Any column names are allowed.
     """
     ws = Workspace(docs.sparkSession, "keep")
     comp = ngram_jaccard(docs, doc_id, text, **params)
-    gone = ws.save(comp.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    listed = Bitmap.of(gone, "gone_id")
+    name = "gone_id"
+    while name in docs.columns:
+        name += "_"
+    gone = ws.save(comp.where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    listed = Bitmap.of(gone, name)
 
     def side(inside: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -565,4 +598,4 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **para
 
         return docs.mapInArrow(run, docs.schema)
 
-    return side(False).unionByName(side(True).join(gone, F.col(doc_id) == F.col("gone_id"), "left_anti"))
+    return side(False).unionByName(side(True).join(gone, F.col(doc_id) == F.col(name), "left_anti"))
