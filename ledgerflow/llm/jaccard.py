@@ -28,6 +28,7 @@ a chunk, and the members that ask a hot group are dealt over copies of it.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,7 @@ GROUP_TOKENS = 1 << 20  # tokens of a token group
 CHUNK_TOKENS = 1 << 21  # tokens of a chunk of groups
 ASKERS = 2048  # probing sets that one copy of a group serves
 HOT = 1000  # copies of one text that make its class a hot key
+SENT = 2_000_000  # representatives (32 bytes each) that are broadcast to their texts; more are joined by a shuffle
 KEY_BITS = np.uint64(16)  # low bits left out when tokens are counted
 
 
@@ -206,15 +208,12 @@ def _texts(docs: DataFrame, doc_id: str, text: str, members: DataFrame, chunks:
     return src.join(members, "rep").withColumn("chunk", F.pmod(F.xxhash64("gid"), F.lit(chunks))).select(*_PLACED)
 
 
-def _read(batch: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """chunk, gid, c, rep, sets: one row for each class; rows with the id of a representative and another text go."""
-    for part in pieces(batch, "text"):
-        sets = _sets(part, "text", k)
-        chunk, gid, c, c2, rep = (part.column(i).to_numpy() for i in range(5))
-        names = _names(sets)
-        keep = (names[0] == c) & (names[1] == c2)
-        at = np.flatnonzero(keep)
-        yield chunk[at], gid[at], c[at], rep[at], [sets[i] for i in at.tolist()]
+def _held(texts: pa.Table, compressor) -> bytes:
+    """Rows gid, c, rep, text as one compressed value: the texts travel to their lists as a few rows a chunk."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, texts.schema) as out:
+        out.write_table(texts)
+    return compressor.compress(sink.getvalue())
 
 
 def _pack(keys: np.ndarray, counts: np.ndarray, compressor) -> bytes:
@@ -237,33 +236,32 @@ _COUNTED = {"kind": pa.int32(), "chunk": pa.int64(), "span": pa.int32(), "keys":
 
 
 def _matrix(placed: DataFrame, k: int, num: int, spans: int) -> DataFrame:
-    """kind 0: the tokens of a chunk in one span of the key space, with their groups; kind 1: stars (a, b, m)."""
+    """kind 0: the tokens of a chunk in one span of the key space, with their groups; kind 1: stars (a, b, m); kind 2: texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
-        held: list[tuple[int, int, int, int, np.ndarray]] = []
+        # chunk, gid, c, rep, set, text of the classes read so far
+        held: list[tuple[int, int, int, int, np.ndarray, str]] = []
         size = 0
 
         def emit(rows):
-            out, keys, lo = [], [], 0
-            while lo < len(rows):
-                hi = lo + 1
-                while hi < len(rows) and rows[hi][1] == rows[lo][1]:
-                    hi += 1
-                own = {r[2]: r for r in reversed(rows[lo:hi])}  # a repeated row of one class counts once
+            out, keys = [], []
+            for _, of_group in groupby(rows, key=lambda r: r[1]):
+                own = {r[2]: r for r in of_group}  # a repeated row of one class counts once
                 sets = [r[4] for r in own.values()]
                 if len(sets) > 1:
-                    out += [(1, rows[lo][0], None, None, *s) for s in _stars(np.array([r[3] for r in own.values()]), sets, num)]
+                    out += [(1, rows[0][0], None, None, *s) for s in _stars(np.array([r[3] for r in own.values()]), sets, num)]
                     keys.append(np.unique(np.concatenate(sets) >> KEY_BITS))
                 else:
                     keys.append(sets[0] >> KEY_BITS)
-                lo = hi
             key, many = np.unique(np.concatenate(keys), return_counts=True)
             cut = np.searchsorted(key, np.arange(spans + 1, dtype=np.uint64) * np.uint64((1 << 48) // spans))
             cut[-1] = len(key)
             for i in range(spans):
                 if cut[i] < cut[i + 1]:
                     out.append((0, rows[0][0], i, _pack(key[cut[i] : cut[i + 1]], many[cut[i] : cut[i + 1]], z), None, None, None))
+            texts = pa.table({"gid": [r[1] for r in rows], "c": [r[2] for r in rows], "rep": [r[3] for r in rows], "text": pa.array([r[5] for r in rows], pa.large_string())})
+            out.append((2, rows[0][0], None, _held(texts, z), None, None, None))
             return _table(_COUNTED, zip(*out))
 
         def whole(last: bool):
@@ -273,20 +271,21 @@ def _matrix(placed: DataFrame, k: int, num: int, spans: int) -> DataFrame:
             if not last:
                 while end and held[end - 1][1] == held[-1][1]:
                     end -= 1
-            lo = 0
-            while lo < end:
-                hi = lo + 1
-                while hi < end and held[hi][0] == held[lo][0]:
-                    hi += 1
-                yield emit(held[lo:hi])
-                lo = hi
+            for _, rows in groupby(held[:end], key=lambda r: r[0]):
+                yield emit(list(rows))
             held = held[end:]
             size = sum(len(r[4]) for r in held)
 
         for b in batches:
-            for chunk, gid, c, rep, sets in _read(b, k):
-                held += zip(chunk.tolist(), gid.tolist(), c.tolist(), rep.tolist(), sets)
-                size += sum(map(len, sets))
+            for part in pieces(b, "text"):
+                sets = _sets(part, "text", k)
+                chunk, gid, c, c2, rep = (part.column(i).to_numpy() for i in range(5))
+                names = _names(sets)
+                texts = part.column(5).to_pylist()
+                # rows with the id of a representative and another text go
+                for i in np.flatnonzero((names[0] == c) & (names[1] == c2)).tolist():
+                    held.append((int(chunk[i]), int(gid[i]), int(c[i]), int(rep[i]), sets[i], texts[i]))
+                    size += len(sets[i])
                 if size > CHUNK_TOKENS:
                     yield from whole(False)
         yield from whole(True)
@@ -325,50 +324,53 @@ def _shared(counted: DataFrame) -> DataFrame:
 _LISTED = {"c": pa.int64(), "rep": pa.int64(), "gid": pa.int64(), "heads": pa.list_(pa.int64()), "tokens": pa.binary()}
 
 
-def _listed(placed: DataFrame, shared: DataFrame, k: int, num: int) -> DataFrame:
+def _listed(counted: DataFrame, shared: DataFrame, k: int, num: int) -> DataFrame:
     """c, rep, gid, heads (the listed tokens that other groups hold), tokens of the sets with such heads."""
 
-    def run(texts: pa.Table, blobs: pa.Table) -> pa.Table:
+    def run(table: pa.Table) -> pa.Table:
         z = zstandard.ZstdDecompressor()
-        got = [_unpack(x.as_py(), z) for x in blobs["keys"]]
-        empty = _table(_LISTED, [[]] * 5)
-        if not got or not texts.num_rows:
-            return pa.Table.from_batches([empty])
+        kinds = table["kind"].to_pylist()
+        got = [_unpack(x.as_py(), z) for x, kind in zip(table["keys"], kinds) if kind == 3]
+        out, seen = [_table(_LISTED, [[]] * 5)], set()
+        if not got:
+            return pa.Table.from_batches(out)
         key, many = (np.concatenate(x) for x in zip(*got))
-        order = np.argsort(key, kind="stable")
-        key, many = key[order], many[order]
         # a chunk written in two goes has some tokens twice
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        key, many = key[new], many[new]
-        out, seen = [empty], set()
-        for b in texts.to_batches():
-            for _, gid, c, rep, sets in _read(b, k):
-                n = np.array([len(s) for s in sets], np.int64)
-                if not n.sum():
-                    continue
-                flat = np.concatenate(sets)
-                own = flat >> KEY_BITS
-                at = np.minimum(np.searchsorted(key, own), len(key) - 1)
-                df = np.where(key[at] == own, many[at], 1)
-                doc = np.repeat(np.arange(len(n)), n)
-                alone = np.bincount(doc[df == 1], minlength=len(n))
-                room = prefix_len(n, num) - alone
-                pick = np.flatnonzero((df > 1) & (room[doc] > 0))
-                pick = pick[np.lexsort((flat[pick], df[pick], doc[pick]))]
-                per = np.bincount(doc[pick], minlength=len(n))
-                pos = np.arange(len(pick)) - np.repeat(np.cumsum(per) - per, per)
-                pick = pick[pos < room[doc[pick]]]
-                per = np.bincount(doc[pick], minlength=len(n))
-                ends = np.cumsum(per)
-                rows = [i for i in np.flatnonzero(per).tolist() if c[i] not in seen]
-                seen.update(int(c[i]) for i in rows)
-                heads = [flat[pick[ends[i] - per[i] : ends[i]]].view(np.int64) for i in rows]
-                out.append(_table(_LISTED, (c[rows], rep[rows], gid[rows], heads, [sets[i].tobytes() for i in rows])))
+        key, first = np.unique(key, return_index=True)
+        many = many[first]
+        for x in (x for x, kind in zip(table["keys"], kinds) if kind == 2):
+            for b in pa.ipc.open_stream(z.decompress(x.as_py())):
+                for part in pieces(b, "text"):
+                    out.append(listed(part, key, many, seen))
         return pa.Table.from_batches(out)
 
-    both = placed.groupBy("chunk").cogroup(shared.groupBy("chunk"))
-    return both.applyInArrow(run, "c long, rep long, gid long, heads array<long>, tokens binary")
+    def listed(part: pa.RecordBatch, key: np.ndarray, many: np.ndarray, seen: set[int]) -> pa.RecordBatch:
+        gid, c, rep = (part.column(i).to_numpy() for i in range(3))
+        sets = _sets(part, "text", k)
+        n = np.array([len(s) for s in sets], np.int64)
+        flat = np.concatenate(sets)
+        own = flat >> KEY_BITS
+        at = np.minimum(np.searchsorted(key, own), len(key) - 1)
+        df = np.where(key[at] == own, many[at], 1)
+        doc = np.repeat(np.arange(len(n)), n)
+        room = prefix_len(n, num) - np.bincount(doc[df == 1], minlength=len(n))
+        pick = np.flatnonzero((df > 1) & (room[doc] > 0))
+        pick = pick[np.lexsort((flat[pick], df[pick], doc[pick]))]
+        per = np.bincount(doc[pick], minlength=len(n))
+        pos = np.arange(len(pick)) - np.repeat(np.cumsum(per) - per, per)
+        pick = pick[pos < room[doc[pick]]]
+        per = np.bincount(doc[pick], minlength=len(n))
+        ends = np.cumsum(per)
+        rows = []
+        for i in np.flatnonzero(per).tolist():
+            if int(c[i]) not in seen:
+                seen.add(int(c[i]))
+                rows.append(i)
+        heads = [flat[pick[ends[i] - per[i] : ends[i]]].view(np.int64) for i in rows]
+        return _table(_LISTED, (c[rows], rep[rows], gid[rows], heads, [sets[i].tobytes() for i in rows]))
+
+    both = counted.where("kind = 2").select("kind", "chunk", "keys").unionByName(shared.select(F.lit(3).alias("kind"), "chunk", "keys"))
+    return both.groupBy("chunk").applyInArrow(run, "c long, rep long, gid long, heads array<long>, tokens binary")
 
 
 def _by_list(rows: DataFrame, columns: list[str], emit: Callable, schema: str) -> DataFrame:
@@ -531,10 +533,12 @@ def ngram_jaccard(
         return sig.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
 
     members = groups(classes, ws, 8 + count // 500_000, block).select("c", "c2", "rep", "gid")
+    if count <= SENT:
+        members = F.broadcast(members)
     placed = _texts(docs, doc_id, text, members, 48 + total // (CHUNK_TOKENS // 2))
     counted = ws.save(_matrix(placed, k, num, 16 + total // CHUNK_TOKENS), "matrix")
     stars = counted.where("kind = 1").select("a", "b", "m")
-    listed = ws.save(_listed(placed, _shared(counted), k, num), "listed")
+    listed = ws.save(_listed(counted, _shared(counted), k, num), "listed")
     heads = listed.select("rep", "gid", F.explode("heads").alias("h"))
     sets = listed.select("rep", "gid", "tokens")
 
