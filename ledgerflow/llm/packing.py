@@ -5,9 +5,9 @@ reaches the driver. The covering program over all configurations (multisets of
 lengths that fit in one sequence) is solved by multiplicative weights: each step
 prices lengths by the weight of their unmet demand, a knapsack dynamic program
 finds the best configuration, and covered lengths lose weight. The fractional
-solution is rounded down, and what is left is taken by further priced
-configurations at whole multiplicities. Pieces then find their place by rank
-within their length, without a shuffle of texts.
+solution is rounded to whole configurations, and the same program packs what
+rounding leaves. Pieces then find their place by rank within their length, without
+a shuffle of texts.
 """
 
 from __future__ import annotations
@@ -65,36 +65,71 @@ def token_pieces(docs: DataFrame, doc_id: str, text: str, size: int, end_id: int
     return src.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, block long, idx long")
 
 
-def knapsack(value: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best value for every capacity and the length chosen there (0: leave one id unused)."""
+def knapsack(lengths: np.ndarray, stock: np.ndarray, price: np.ndarray, size: int) -> dict[int, int]:
+    """The dearest configuration: copies of each length, no more than in stock, that fit in ``size``."""
+    rows = []
+    for i, (length, m) in enumerate(zip(lengths.tolist(), stock.tolist())):
+        m, k = min(m, size // length), 1
+        while m > 0:  # 1, 2, 4, ... copies make up every number of them
+            k = min(k, m)
+            rows.append((i, k, k * length, k * float(price[i])))
+            m, k = m - k, 2 * k
     best = np.zeros(size + 1)
-    pick = np.zeros(size + 1, np.int64)
-    v = value[1:]
-    for c in range(1, size + 1):
-        x = v[:c] + best[c - 1 :: -1] if c > 0 else v[:0]
-        k = int(x.argmax())
-        if x[k] > best[c - 1]:
-            best[c], pick[c] = x[k], k + 1
-        else:
-            best[c] = best[c - 1]
-    return best, pick
-
-
-def configuration(pick: np.ndarray, size: int) -> dict[int, int]:
+    taken = np.zeros((len(rows), size + 1), bool)
+    new = np.empty(size + 1)
+    for row, (_, _, weight, value) in zip(taken, rows):
+        n = size + 1 - weight
+        np.add(best[:n], value, out=new[:n])
+        np.greater(new[:n], best[weight:], out=row[weight:])
+        np.copyto(best[weight:], new[:n], where=row[weight:])
     out: dict[int, int] = {}
-    c = size
-    while c > 0:
-        k = int(pick[c])
-        if k == 0:
-            c -= 1
-        else:
-            out[k] = out.get(k, 0) + 1
-            c -= k
+    room = size
+    for (i, k, weight, _), row in zip(reversed(rows), taken[::-1]):
+        if row[room]:
+            out[int(lengths[i])] = out.get(int(lengths[i]), 0) + k
+            room -= weight
     return out
 
 
-def solve(demand: np.ndarray, size: int, steps: int = 150, eta: float = 2.0) -> list[tuple[dict[int, int], int]]:
-    """Configurations with whole multiplicities that meet ``demand`` (index: length) exactly."""
+def program(demand: np.ndarray, size: int, eta: float, priced: int) -> dict[tuple[tuple[int, int], ...], float]:
+    """A fractional solution of the covering program: configurations and how often each is used.
+
+    Each step prices the lengths by the weight of their unmet demand and their size,
+    finds the dearest configuration and uses it for half of what its scarcest length
+    lacks (once at least). Only the ``priced`` lengths that are dearest for their size,
+    and some of the others evenly, enter one step. It ends when every length is covered.
+    """
+    lacks = demand.copy()
+    cover = np.zeros(size + 1)
+    fill = np.arange(size + 1) / size
+    # Large lengths are dear: small ones must remain to fill gaps.
+    worth = fill * (1 + 0.5 * fill)
+    out: dict[tuple[tuple[int, int], ...], float] = {}
+    while len(lengths := np.flatnonzero(lacks)):
+        price = worth[lengths] * (1 + 0.1 * np.exp(-eta * cover[lengths] / demand[lengths]))
+        if len(lengths) > priced:
+            order = np.argsort(-price / lengths, kind="stable")
+            dear, rest = np.split(order, [2 * priced // 3])
+            pick = np.concatenate([dear, rest[np.linspace(0, len(rest) - 1, priced - len(dear)).astype(int)]])
+            lengths, price = lengths[pick], price[pick]
+        conf = knapsack(lengths, lacks[lengths], price, size)
+        times = max(1.0, min(lacks[k] / a for k, a in conf.items()) / 2)
+        for k, a in conf.items():
+            cover[k] += a * times
+            lacks[k] = max(0, int(np.ceil(demand[k] - cover[k] - 1e-9)))
+        key = tuple(sorted(conf.items()))
+        out[key] = out.get(key, 0.0) + times
+    return out
+
+
+def solve(demand: np.ndarray, size: int, eta: float = 2.0, priced: int = 128, report: list | None = None) -> list[tuple[dict[int, int], int]]:
+    """Configurations with whole multiplicities that meet ``demand`` (index: length) exactly.
+
+    The program is solved and rounded: configurations in order of use, each taken as
+    often as its rounded number and the demand still open allow. What rounding leaves
+    is a smaller program of the same kind, until nothing is left. ``report`` gets the
+    pieces that each rounding has placed.
+    """
     left = demand.astype(np.int64).copy()
     plan: list[tuple[dict[int, int], int]] = []
 
@@ -105,49 +140,15 @@ def solve(demand: np.ndarray, size: int, steps: int = 150, eta: float = 2.0) ->
 
     if left[size]:
         use({size: 1}, int(left[size]))
-    lengths = np.flatnonzero(left)
-    if not len(lengths):
-        return plan
-    fill = np.arange(size + 1) / size
-
-    # 1. The covering program: prices fall as a length gets covered.
-    d = left.astype(float)
-    cover = np.zeros(size + 1)
-    total: dict[tuple, float] = {}
-    for _ in range(min(steps, 4 * len(lengths))):
-        w = np.where(d > 0, np.exp(-eta * cover / np.maximum(d, 1)), 0.0)
-        _, pick = knapsack(np.where(d > 0, fill * (0.25 + w), -1.0), size)
-        conf = configuration(pick, size)
-        x = min(d[k] / a for k, a in conf.items()) / 4
-        for k, a in conf.items():
-            cover[k] += a * x
-        key = tuple(sorted(conf.items()))
-        total[key] = total.get(key, 0.0) + x
-    scale = max(1.0, float((cover[lengths] / d[lengths]).max()))
-
-    # 2. Rounded down; 3. the rest by priced configurations, large lengths first.
-    for key, x in sorted(total.items(), key=lambda kv: -kv[1]):
-        conf = dict(key)
-        times = min(int(x / scale), *(int(left[k] // a) for k, a in conf.items()))
-        if times > 0:
-            use(conf, times)
     while left.any():
-        # Superlinear prices use up large lengths while small ones remain to fill gaps.
-        value = np.where(left > 0, fill * (1 + 0.5 * fill), -1.0)
-        _, pick = knapsack(value, size)
-        conf, room = {}, size
-        while room > 0:  # no more of a length than there is
-            for k, a in configuration(pick[: room + 1], room).items():
-                a = min(a, int(left[k]) - conf.get(k, 0))
-                if a > 0:
-                    conf[k] = conf.get(k, 0) + a
-            room = size - sum(k * a for k, a in conf.items())
-            open_ = [k for k in lengths[::-1].tolist() if k <= room and left[k] > conf.get(k, 0)]
-            if not open_:
-                break
-            value = np.where(left - np.array([conf.get(k, 0) for k in range(size + 1)]) > 0, fill, -1.0)
-            _, pick = knapsack(value[: room + 1], room)
-        use(conf, min(int(left[k] // a) for k, a in conf.items()))
+        before = int(left.sum())
+        for key, times in sorted(program(left, size, eta, priced).items(), key=lambda kv: -kv[1]):
+            conf = dict(key)
+            whole = min(max(1, int(times)), *(int(left[k] // a) for k, a in conf.items()))
+            if whole > 0:
+                use(conf, whole)
+        if report is not None:
+            report.append(before - int(left.sum()))
     return plan
 
 
