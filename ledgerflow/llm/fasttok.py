@@ -2,8 +2,8 @@
 
 The pre-tokenizer of this vocabulary cuts a text into pieces that are encoded
 independently. Here the cut is made with array passes over a whole batch, each
-distinct piece is encoded once by the tokenizers library and kept by its hash,
-and the ids of a batch are gathered in one step. Texts with characters whose
+distinct piece is encoded once by the library's model and kept by its hash, and
+the ids of a batch are gathered in one step. Texts with characters whose
 class is not certain, or with a special-token string, go to the library whole.
 """
 
@@ -23,6 +23,14 @@ _MARKS = [(0x2010, 0x2028), (0x2030, 0x205F), (0x20A0, 0x20AD)]
 MAX_PIECES = 500_000  # kept by a worker; beyond it the table starts anew
 
 
+def _byte_letters() -> np.ndarray:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next from 256 on."""
+    shown = np.zeros(256, bool)
+    for lo, hi in ((0x21, 0x7F), (0xA1, 0xAD), (0xAE, 0x100)):
+        shown[lo:hi] = True
+    return np.where(shown, np.arange(256), 255 + np.cumsum(~shown)).astype("<u2")
+
+
 def _classes() -> np.ndarray:
     t = np.full(0x110000, UNSURE, np.uint8)
     for lo, hi in _STABLE:
@@ -41,6 +49,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
+        self.letters = _byte_letters()
         self.table = _classes()
         self.ascii = np.concatenate([self.table[:128], np.full(128, UNSURE, np.uint8)])
         self.specials = [t.content.encode()[:2] for t in self.tok.get_added_tokens_decoder().values()]
@@ -77,10 +87,17 @@ class Encoder:
             self.slots[at[win]] = index[win]
             index, at = index[~win], (at[~win] + 1) & self.mask
 
-    def _add(self, h: np.ndarray, texts: list[str]) -> None:
-        ids = [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-        size = np.array([len(x) for x in ids], np.int64)
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
+    def _add(self, h: np.ndarray, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> None:
+        """Encode the pieces data[s:e], whose hashes are ``h``."""
+        upto = np.concatenate([[0], np.cumsum(e - s)])
+        own = data[np.repeat(s - upto[:-1], e - s) + np.arange(upto[-1])]
+        text, at, cut = self.letters[own].tobytes().decode("utf-16-le"), upto.tolist(), self.model.tokenize
+        got, each = [], []
+        for a, b in zip(at, at[1:]):
+            tokens = cut(text[a:b])
+            each.append(len(tokens))
+            got += [t.id for t in tokens]
+        size, flat = np.array(each, np.int64), np.array(got, np.uint32)
         while self.n + len(h) > len(self.keys):
             self.keys, self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.keys, self.start, self.count))
         while self.used + len(flat) > len(self.pool):
@@ -171,9 +188,8 @@ class Encoder:
         miss = np.flatnonzero(got < 0)
         if len(miss):
             new, first = np.unique(h[miss], return_index=True)
-            raw = data.tobytes()
             first = miss[first]
-            self._add(new, [raw[a:b].decode() for a, b in zip(s[first].tolist(), e[first].tolist())])
+            self._add(new, data, s[first], e[first])
             got[miss] = self._find(h[miss])
         size = self.count[got]
         upto = np.zeros(len(size) + 1, np.int64)
