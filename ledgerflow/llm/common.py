@@ -70,6 +70,13 @@ class Workspace:
         self.saved[id(out)] = path
         return out
 
+    def folder(self, name: str) -> str:
+        """A new empty folder of the workspace, as a path with its scheme."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        return fs.makeQualified(p).toString()
+
     def drop(self, df: DataFrame) -> None:
         path = self.saved.pop(id(df), None)
         if path:

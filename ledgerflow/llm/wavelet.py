@@ -1,37 +1,47 @@
 """Operator 8: token ids as one succinct wavelet matrix per shard.
 
-A shard holds whole documents in ascending doc_id order. Its one compressed blob
+A shard holds whole documents in ascending doc_id order. Its one compressed file
 has the document table and, for each bit of the ids from the top, a bit-plane in
-the order of the planes above with a rank directory. The blob answers
+the order of the planes above with its rank directory. The file answers
 ``access``, ``rank`` (counting) and ``select`` (occurrence lookup) without the
-ids being unpacked, and ``ids`` unpacks them all.
+ids being unpacked, and ``ids`` unpacks them all. Tasks write the files to the
+shared folder under a hidden name and rename them, so a task that runs twice leaves
+one file; Spark's binary file source reads them back.
 """
 
 from __future__ import annotations
 
 import json
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, tune
 from .fasttok import default_path, encoder
 from .text_core import buffers, pieces
 
-MAGIC = b"LFWM0001"
+MAGIC = b"LFWM0002"
+SUFFIX = ".lfwm"
 SHARD_TOKENS = 1 << 20
 RANK_BITS = 512  # bits between entries of a rank directory
 
 
+def _block_counts(plane: np.ndarray) -> np.ndarray:
+    """The rank directory of a plane: the ones in each of its blocks."""
+    return np.bitwise_count(plane.reshape(-1, RANK_BITS // 64, 8).view("<u8")).sum(axis=(1, 2), dtype="<u2")
+
+
 def write_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
-    """The blob of one shard: magic, header, then zstd frames."""
+    """The bytes of one shard: magic, header, then zstd frames: the document table, and for each plane its bits and its ranks."""
     bits = max(1, int(ids.max(initial=0)).bit_length())
     a = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     z = zstandard.ZstdCompressor(level=1)
@@ -43,7 +53,9 @@ def write_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray)
     zeros, planes = [], []
     for bit in range(bits - 1, -1, -1):
         one = (a & a.dtype.type(1 << bit)) != 0
-        planes.append(z.compress(np.packbits(one, bitorder="little").tobytes()))
+        bits_of = np.packbits(one, bitorder="little")
+        bits_of = np.concatenate([bits_of, np.zeros(-len(bits_of) % (RANK_BITS // 8), np.uint8)])
+        planes += [z.compress(bits_of.tobytes()), z.compress(_block_counts(bits_of).tobytes())]
         zero_part = a[~one]
         zeros.append(len(zero_part))
         a = np.concatenate([zero_part, a[one]])
@@ -53,7 +65,7 @@ def write_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray)
 
 
 class Shard:
-    """A reader of one blob; planes are unpacked when first asked for."""
+    """A reader of one file's bytes; a plane is unpacked when first asked for."""
 
     def __init__(self, blob: bytes):
         if blob[:8] != MAGIC:
@@ -75,10 +87,9 @@ class Shard:
 
     def _plane(self, level: int) -> np.ndarray:
         if level not in self._planes:
-            raw = np.frombuffer(self._z.decompress(self._frames[level]), np.uint8)
-            self._planes[level] = np.concatenate([raw, np.zeros(-len(raw) % (RANK_BITS // 8), np.uint8)])
-            per = np.bitwise_count(self._planes[level].reshape(-1, RANK_BITS // 8)).sum(axis=1, dtype=np.int64)
-            self._ranks[level] = np.concatenate([[0], np.cumsum(per)])
+            self._planes[level] = np.frombuffer(self._z.decompress(self._frames[2 * level]), np.uint8)
+            per = np.frombuffer(self._z.decompress(self._frames[2 * level + 1]), "<u2")
+            self._ranks[level] = np.concatenate([[0], np.cumsum(per, dtype=np.int64)])
         return self._planes[level]
 
     def _rank1(self, level: int, i: int) -> int:
@@ -92,16 +103,12 @@ class Shard:
         return ones
 
     def _select(self, level: int, k: int, one: bool) -> int:
-        """Place of the k-th (from 0) bit of a kind."""
-        lo, hi = 0, self.n
-        while lo < hi:
-            mid = (lo + hi) // 2
-            ones = self._rank1(level, mid + 1)
-            if (ones if one else mid + 1 - ones) > k:
-                hi = mid
-            else:
-                lo = mid + 1
-        return lo
+        """Place of the k-th (from 0) bit of a kind: its block by the directory, then inside the block."""
+        plane, ranks = self._plane(level), self._ranks[level]
+        before = ranks if one else np.arange(len(ranks)) * RANK_BITS - ranks
+        block = int(np.searchsorted(before, k, "right")) - 1
+        bits = np.unpackbits(plane[block * RANK_BITS // 8 : (block + 1) * RANK_BITS // 8], bitorder="little")
+        return block * RANK_BITS + int(np.flatnonzero(bits == one)[k - before[block]])
 
     def access(self, i: int) -> int:
         if not 0 <= i < self.n:
@@ -146,7 +153,7 @@ class Shard:
         kind = np.uint16 if self.bits <= 16 else np.uint32
         v = np.zeros(self.n, kind)
         for level in range(self.bits - 1, -1, -1):
-            raw = np.frombuffer(self._z.decompress(self._frames[level]), np.uint8)
+            raw = np.frombuffer(self._z.decompress(self._frames[2 * level]), np.uint8)
             one = np.unpackbits(raw, count=self.n, bitorder="little").view(bool)
             z = self.zeros[level]
             up = np.empty(self.n, kind)
@@ -156,10 +163,23 @@ class Shard:
         return v
 
 
-def encode_shards(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", end_id: int = 2, tokenizer: str | None = None, shard_tokens: int = SHARD_TOKENS
+def _store(folder: str, name: str, blob: bytes) -> None:
+    """Write one file of the shared folder (a qualified path) from a task."""
+    if folder.startswith("file:"):
+        folder = "/" + folder[5:].lstrip("/")
+    fs, at = pyarrow.fs.FileSystem.from_uri(folder)
+    hidden = f"{at}/.{name}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(hidden) as f:
+        f.write(blob)
+    fs.move(hidden, f"{at}/{name}")
+
+
+def write_shards(
+    docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 2, tokenizer: str | None = None, shard_tokens: int = SHARD_TOKENS
 ) -> DataFrame:
-    """part, seq, n_tokens, blob: shards of whole documents in ascending doc_id order.
+    """part, seq, n_tokens of each file that the tasks write to ``folder``, in ascending doc_id order.
+
+    The files are there once the result has been computed.
 
     A null or empty text is the one id ``end_id``. Null ids come first; rows with
     one id are ordered by their text. A document over ``shard_tokens`` has a shard
@@ -175,11 +195,8 @@ def encode_shards(
 
         def flush():
             nonlocal names, sizes, held, n, seq
-            blob = write_shard(names, sizes, np.concatenate(held))
-            out = pa.record_batch(
-                [pa.array([part_no], pa.int64()), pa.array([seq], pa.int64()), pa.array([n], pa.int64()), pa.array([blob], pa.binary())],
-                ["part", "seq", "n_tokens", "blob"],
-            )
+            _store(folder, f"part-{part_no:06d}-{seq:06d}{SUFFIX}", write_shard(names, sizes, np.concatenate(held)))
+            out = pa.record_batch([pa.array([x], pa.int64()) for x in (part_no, seq, n)], ["part", "seq", "n_tokens"])
             names, sizes, held, n, seq = [], [], [], 0, seq + 1
             return out
 
@@ -206,11 +223,12 @@ def encode_shards(
         if names:
             yield flush()
 
-    return src.mapInArrow(run, "part long, seq long, n_tokens long, blob binary")
+    return src.mapInArrow(run, "part long, seq long, n_tokens long")
 
 
-def read_shards(shards: DataFrame) -> DataFrame:
-    """part, seq, ord, doc_id, at (ids before it in its shard), n_tokens, ids_crc32, from the blobs."""
+def read_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """part, seq, doc_id, at (ids before it in its shard), n_tokens, ids_crc32, from the files of ``folder``."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").load(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -226,7 +244,10 @@ def read_shards(shards: DataFrame) -> DataFrame:
                     ["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"],
                 )
 
-    return shards.select("part", "seq", "blob").mapInArrow(run, "part long, seq long, doc_id long, at long, n_tokens long, ids_crc32 long")
+    name = [F.regexp_extract("path", rf"part-(\d+)-(\d+)\{SUFFIX}$", i).cast("long") for i in (1, 2)]
+    return files.select(name[0].alias("part"), name[1].alias("seq"), "content").mapInArrow(
+        run, "part long, seq long, doc_id long, at long, n_tokens long, ids_crc32 long"
+    )
 
 
 def wavelet_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", end_id: int = 2, tokenizer: str | None = None) -> DataFrame:
@@ -234,8 +255,8 @@ def wavelet_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     spark = docs.sparkSession
     tune(spark)
     ws = Workspace(spark, "wavelet")
-    shards = ws.save(encode_shards(docs, doc_id, text, end_id, tokenizer), "shards")
-    meta = shards.select("part", "seq", "n_tokens")
+    folder = ws.folder("shards")
+    meta = ws.save(write_shards(docs, folder, doc_id, text, end_id, tokenizer), "meta")
     # Totals of partitions first: the one-task window has a row per partition, not per shard.
     parts = meta.groupBy("part").agg(F.sum("n_tokens").alias("m"))
     upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -246,4 +267,4 @@ def wavelet_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         .join(parts, "part")
         .select("part", "seq", (F.col("p0") + F.col("s0")).alias("base"))
     )
-    return read_shards(shards).join(base, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return read_shards(spark, folder).join(base, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
