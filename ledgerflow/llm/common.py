@@ -174,3 +174,13 @@ def mixed(k: np.ndarray) -> np.ndarray:
 def crc_mod(column: str, m: int):
     """crc32 of an integer id written as text, modulo ``m``."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(m).cast("long"))
+
+
+def fit_hash(column: str):
+    """The order in which ids are taken for a fit."""
+    return F.crc32(F.concat(F.lit("fit"), F.col(column)).cast("binary"))
+
+
+def fit_cut(total, wanted: int):
+    """A bound of ``fit_hash`` under which ``wanted`` ids of ``total`` lie, and six standard deviations more."""
+    return F.least(F.lit(1.0), F.lit(float(wanted + 6 * wanted**0.5 + 1)) / total) * F.lit(float(1 << 32))

@@ -1,10 +1,10 @@
 """Operator 2: language by rank-order n-gram profiles.
 
 A language's profile is its most frequent letter n-grams (1 to 3 letters, word
-edges marked) in order. A document's own n-grams are put in the same order, and
-its distance to a language is the sum of how far each of them is out of place,
-an absent one counting the whole profile length. Texts are scored whole, as
-arrays of a batch.
+edges marked) in order. All n-grams of a document are put in the same order and the
+most frequent of them, as many as a profile has, are compared: its distance to a
+language is the sum of how far each of them is out of place, an absent one counting
+the whole profile length. Texts are scored whole, as arrays of a batch.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, tune
+from .common import crc_mod, fit_cut, fit_hash, tune
 from .text_core import pieces
 
 EDGE = "_"
@@ -71,97 +71,101 @@ def _grams(c: np.ndarray):
 
 @dataclass
 class Profiles:
-    """Languages in alphabetical order, the n-grams of any of them, and rank[language, n-gram]."""
+    """Languages in alphabetical order, the n-grams of any of them, and rank[language, n-gram] (``depth``: absent)."""
 
     languages: list[str]
     grams: list[str]
     ranks: np.ndarray
     depth: int
 
-    def __post_init__(self) -> None:
-        alphabet = sorted({ch for g in self.grams for ch in g if ch != EDGE})
-        self.code = {ord(ch): i + 1 for i, ch in enumerate(alphabet)}
-        self.base = len(alphabet) + 2  # 0 edge, last: any other letter
-        self.keys, self.vids = [], []
-        for n in (1, 2, 3):
-            got = sorted((self._key(g), v) for v, g in enumerate(self.grams) if len(g) == n)
-            self.keys.append(np.array([k for k, _ in got], np.int64))
-            self.vids.append(np.array([v for _, v in got], np.int64))
-
-    def _key(self, gram: str) -> int:
-        k = 0
-        for ch in gram:
-            k = k * self.base + (0 if ch == EDGE else self.code[ord(ch)])
-        return k
-
-    def tables(self) -> tuple[np.ndarray, list[np.ndarray | None]]:
-        code = np.where(letters(), self.base - 1, 0).astype(np.int32)
-        for cp, i in self.code.items():
-            code[cp] = i
-        dense: list[np.ndarray | None] = []
-        for n, (k, v) in enumerate(zip(self.keys, self.vids), 1):
-            if self.base**n <= 4_000_000:
-                t = np.full(self.base**n, -1, np.int32)
-                t[k] = v
-                dense.append(t)
-            else:
-                dense.append(None)
-        return code, dense
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams as three code points (0: nothing, 1: an edge), and the ranks with a last column for absent ones."""
+        digits = [[1 if ch == EDGE else ord(ch) for ch in g] + [0] * (3 - len(g)) for g in self.grams]
+        absent = np.full((len(self.languages), 1), self.depth, self.ranks.dtype)
+        return np.array(digits, np.int64).reshape(-1, 3), np.hstack([self.ranks, absent])
 
     def score(self, texts: list[str | None], tables) -> tuple[list[str], np.ndarray]:
-        code, dense = tables
+        points, ranks = tables
+        n_docs = len(texts)
         cps, doc = code_points(texts)
+        own = np.zeros(0x110000, bool)
+        own[cps] = True
+        own &= letters()
+        code = np.ones(0x110000, np.int64)  # all but letters are edges
+        base = int(own.sum()) + 2
+        code[own] = np.arange(2, base)
+        if n_docs > 1 and n_docs * base**3 >= 1 << 63:
+            half = n_docs // 2
+            (x, p), (y, q) = self.score(texts[:half], tables), self.score(texts[half:], tables)
+            return x + y, np.concatenate([p, q])
         c = code[cps]
-        n_docs, width = len(texts), len(self.grams)
-        counts = np.zeros(n_docs * width, np.int64)
-        has = np.bincount(doc[c > 0], minlength=n_docs) > 0
-        wide = c.astype(np.int64)
-        for n, at in enumerate((c > 0, (c[:-1] > 0) | (c[1:] > 0), c[1:-1] > 0), 1):
-            i = np.flatnonzero(at)
-            if n == 1:
-                key, own = c[i], doc[i]
-            elif n == 2:
-                key = c[i] * self.base + c[i + 1] if self.base < 40_000 else wide[i] * self.base + wide[i + 1]
-                own = doc[np.where(c[i] > 0, i, i + 1)]
-            else:
-                key = (wide[i] * self.base + wide[i + 1]) * self.base + wide[i + 2]
-                own = doc[i + 1]
-            if dense[n - 1] is not None:
-                vid = dense[n - 1][key]
-            elif len(self.keys[n - 1]):
-                p = np.minimum(np.searchsorted(self.keys[n - 1], key), len(self.keys[n - 1]) - 1)
-                vid = np.where(self.keys[n - 1][p] == key, self.vids[n - 1][p], -1)
-            else:
-                continue
-            ok = vid >= 0
-            counts += np.bincount(own[ok] * width + vid[ok], minlength=n_docs * width)
-        counts = counts.reshape(n_docs, width)
-        # Order by count, then by n-gram; only the first ``depth`` of a document count.
-        depth = min(self.depth, width)
-        order = np.argsort(-counts, axis=1, kind="stable")[:, :depth]
-        present = np.take_along_axis(counts, order, 1) > 0
-        place = np.arange(depth)
+        word = c > 1
+        two = np.flatnonzero(word[:-1] | word[1:])
+        mid = np.flatnonzero(word[1:-1])
+        # One number for an n-gram of a text, in the order of text and n-gram.
+        keys = np.concatenate([
+            doc[word] * base**3 + c[word] * base**2,
+            doc[two + ~word[two]] * base**3 + c[two] * base**2 + c[two + 1] * base,
+            doc[mid + 1] * base**3 + (c[mid] * base + c[mid + 1]) * base + c[mid + 2],
+        ])
+        keys.sort()
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        at = np.flatnonzero(new)
+        count = np.diff(np.append(at, len(keys)))
+        keys = keys[at]
+        who, gram = keys // base**3, keys % base**3
+        # The first ``depth`` of each text by count, then n-gram, which is their order here.
+        order = _by_text_and_count(who, count)
+        per = np.bincount(who, minlength=n_docs)
+        place = np.arange(len(order)) - np.repeat(np.cumsum(per) - per, per)
+        order, place = order[place < self.depth], place[place < self.depth]
+        who, gram = who[order], gram[order]
+        # The n-grams of the profiles that these letters can make.
+        known = np.flatnonzero(((points < 2) | own[points]).all(axis=1))
+        digit = np.where(points[known] < 2, points[known], code[points[known]])
+        mine = (digit[:, 0] * base + digit[:, 1]) * base + digit[:, 2]
+        sort = np.argsort(mine)
+        column = np.full(len(gram), len(self.grams))
+        if len(mine):
+            k = np.minimum(np.searchsorted(mine[sort], gram), len(mine) - 1)
+            hit = mine[sort][k] == gram
+            column[hit] = known[sort][k[hit]]
+        listed = np.bincount(who, minlength=n_docs)
         far = np.empty((n_docs, len(self.languages)))
-        for k in range(len(self.languages)):
-            r = self.ranks[k][order]
-            out = np.where(r >= self.depth, self.depth, np.abs(r - place))
-            far[:, k] = np.where(present, out, 0).sum(1) / np.maximum(present.sum(1) * self.depth, 1)
-        far[present.sum(1) == 0] = 1.0
+        for i in range(len(self.languages)):
+            r = ranks[i][column]
+            far[:, i] = np.bincount(who, np.where(r >= self.depth, self.depth, np.abs(r - place)), n_docs)
+        far /= np.maximum(listed * self.depth, 1)[:, None]
         best = far.argmin(1)
-        score = np.where(has, 1.0 - far[np.arange(n_docs), best], 0.0)
-        return [self.languages[b] if h else "und" for b, h in zip(best, has)], np.clip(score, 0, 1)
+        score = np.where(listed > 0, 1.0 - far[np.arange(n_docs), best], 0.0)
+        return [self.languages[b] if m else "und" for b, m in zip(best, listed)], np.clip(score, 0, 1)
+
+
+def _by_text_and_count(who: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The order by text, then falling count, then place: one sort of packed numbers where they fit in 63 bits."""
+    low, mid = len(who).bit_length(), int(count.max(initial=0)).bit_length()
+    if low + mid + int(who.max(initial=0)).bit_length() > 63:
+        return np.lexsort((-count, who))
+    packed = (who << (low + mid)) | (((1 << mid) - 1 - count) << low) | np.arange(len(who))
+    packed.sort()
+    return packed & ((1 << low) - 1)
 
 
 def fit(docs: DataFrame, doc_id: str, text: str, lang: str, per_language: int, depth: int) -> Profiles:
     """Profiles from at most ``per_language`` labelled texts of each language.
 
     They are the ones whose crc32 of the id comes first, so the choice does not
-    depend on partitions; the row_number filter is limited before it is shuffled.
+    depend on partitions. A cut of the hash leaves little more than ``per_language``
+    ids of a language before any are ranked.
     """
     src = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(doc_id).isNotNull()).where(crc_mod(doc_id, 5) != 0)
-    first = Window.partitionBy("lang").orderBy(F.crc32(F.concat(F.lit("fit"), F.col("id")).cast("binary")), "id")
+    ids = src.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang")).withColumn("h", fit_hash("id"))
+    room = ids.groupBy("lang").agg(fit_cut(F.count("*"), per_language).alias("cut"))  # a row for each language
+    first = Window.partitionBy("lang").orderBy("h", "id")
     chosen = (
-        src.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"))
+        ids.join(F.broadcast(room), "lang")
+        .where(F.col("h") < F.col("cut"))
         .withColumn("rn", F.row_number().over(first))
         .where(F.col("rn") <= per_language)
         .select("id", "lang")
@@ -195,7 +199,7 @@ def predict(docs: DataFrame, profiles: Profiles, doc_id: str, text: str) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = profiles.tables() if profiles.languages else None
         for b in batches:
-            for p in pieces(b, "text", 2 << 20):
+            for p in pieces(b, "text", 1 << 20):
                 texts = p.column(1).to_pylist()
                 if profiles.languages:
                     names, score = profiles.score(texts, tables)
@@ -211,8 +215,8 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     """doc_id, held_out, lang_pred, score for every row.
 
     A null text, or one without a letter, is ``und`` with score 0; so is every text
-    when nothing is labelled. Letters that no profile has count as absent n-grams;
-    if all are, the first language by name is named with score 0. Equal distances
+    when nothing is labelled. N-grams that a profile lacks count as out of place by its
+    whole length; if all are, the first language by name is named with score 0. Equal distances
     go to the first language by name. Rows with one id are predicted each; a null
     id has held_out null. Other columns are ignored.
     """

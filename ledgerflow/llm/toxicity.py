@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, tune
+from .common import crc_mod, fit_cut, fit_hash, tune
 from .text_core import buffers, pieces, span_hashes, spans_of
 
 THRESHOLD = 0.7
@@ -119,19 +119,22 @@ def _sample(labels: DataFrame, doc_id: str, label: str, per_class: int) -> tuple
         .groupBy(F.col(doc_id).cast("long").alias("id"))
         .agg(F.max((F.col(label) > 0).cast("int")).alias("y"))
     )
-    first = Window.partitionBy("y").orderBy(F.crc32(F.concat(F.lit("fit"), F.col("id")).cast("binary")), "id")
     totals = {r["y"]: r["m"] for r in known.groupBy("y").agg(F.count("*").alias("m")).collect()}
-    return known.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= per_class).select("id", "y"), totals
+    first = Window.partitionBy("y").orderBy("h", "id")
+    cut = F.when(F.col("y") == 1, fit_cut(F.lit(float(totals.get(1, 1))), per_class)).otherwise(fit_cut(F.lit(float(totals.get(0, 1))), per_class))
+    few = known.withColumn("h", fit_hash("id")).where(F.col("h") < cut)
+    return few.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= per_class).select("id", "y"), totals
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, per_class: int, max_words: int, steps: int = 800) -> Model:
     """Train on at most ``per_class`` labelled documents of each class.
 
-    They are those whose crc32 of the id comes first. Equal texts count once.
+    They are those whose crc32 of the id comes first; a cut of that hash comes before
+    the ranking. Of the texts of one id the first in order counts, equal texts count once.
     """
     chosen, totals = _sample(labels, doc_id, label, per_class)
     own = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    bag = own.join(F.broadcast(chosen), "id").dropDuplicates(["id"])
+    bag = own.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
     bag = bag.withColumn("h", F.xxhash64("text")).dropDuplicates(["h", "y"]).select("id", "text", "y")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

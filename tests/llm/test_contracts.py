@@ -119,19 +119,16 @@ def test_op2_brute_force():
     names = sorted({g for o in order.values() for g in o})
     ranks = np.array([[o.index(g) if g in o else 20 for g in names] for o in order.values()])
     p = Profiles(["aa", "bb"], names, ranks, 20)
-    texts = [None, "", "42 !?", "ban the thing", "Nab a banana", "zzz", "the\0thing"]
+    texts = [None, "", "42 !?", "ban the thing", "Nab a banana", "zzz", "the\0thing", "привет banana мир, и ещё много слов", "日本語 the"]
     got, score = p.score(texts, p.tables())
     for t, g, s in zip(texts, got, score):
         c = count_grams([t or ""])
         if not c:
             assert (g, s) == ("und", 0)
             continue
-        own = sorted((x for x in c if x in names), key=lambda x: (-c[x], x))[:20]
-        far = [sum(20 if r[names.index(x)] == 20 else abs(k - r[names.index(x)]) for k, x in enumerate(own)) for r in ranks]
-        if own:
-            assert g == ["aa", "bb"][int(np.argmin(far))] and abs(s - (1 - min(far) / (20 * len(own)))) < 1e-12
-        else:
-            assert (g, s) == ("aa", 0)
+        own = sorted(c, key=lambda x: (-c[x], x))[:20]
+        far = [sum(20 if x not in names or r[names.index(x)] == 20 else abs(k - r[names.index(x)]) for k, x in enumerate(own)) for r in ranks]
+        assert g == ["aa", "bb"][int(np.argmin(far))] and abs(s - (1 - min(far) / (20 * len(own)))) < 1e-12
 
 
 def test_op3(spark):
