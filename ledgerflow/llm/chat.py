@@ -1,10 +1,10 @@
 """Operator 7: chat formatting with prefix-target expansion.
 
 A conversation is rendered once, in turn order, with a template that marks every
-turn. Every assistant turn is its own example: its context is all that stands
-before its reply, and only the reply is trainable. Examples hold offsets into the
-one rendered text, so a conversation of n turns costs n rows and not n prefixes;
-``expand`` cuts the full texts where a trainer wants them.
+turn. Every assistant turn is exploded into its own example: its context is all that
+stands before its reply, and only the reply is trainable. A context is held as its
+length in the one rendered text, so n turns cost n rows and not n prefixes;
+``expand`` cuts the full contexts where a trainer wants them.
 """
 
 from __future__ import annotations
@@ -82,7 +82,7 @@ def parse(text: str) -> list[tuple[str, str]]:
 
 
 def format_conversations(conv: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv_id, formatted, examples (array of struct turn, start, end) per conversation.
+    """conv_id, formatted, examples (array of struct turn, start, end, target) per conversation.
 
     Turns are ordered by number (null first), then role and text. A null role or text
     is empty; rows with a null conv_id are one conversation; repeated rows are turns
@@ -96,7 +96,7 @@ def format_conversations(conv: DataFrame, conv_id: str = "conv_id", turn: str =
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
     src = src.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    kind = pa.list_(pa.struct([("turn", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+    kind = pa.list_(pa.struct([("turn", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("target", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, turns, done = object(), [], []
@@ -105,7 +105,7 @@ def format_conversations(conv: DataFrame, conv_id: str = "conv_id", turn: str =
             out = [(k, *render(t)) for k, t in done]
             done.clear()
             return pa.record_batch(
-                [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.string()), pa.array([[dict(zip(("turn", "start", "end"), e)) for e in o[2]] for o in out], kind)],
+                [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.string()), pa.array([[{"turn": t, "start": a, "end": b, "target": o[1][a:b]} for t, a, b in o[2]] for o in out], kind)],
                 ["conv_id", "formatted", "examples"],
             )
 
@@ -122,40 +122,51 @@ def format_conversations(conv: DataFrame, conv_id: str = "conv_id", turn: str =
             done.append((key, turns))
         yield batch()
 
-    return src.mapInArrow(run, "conv_id long, formatted string, examples array<struct<turn: long, start: long, end: long>>")
+    return src.mapInArrow(run, "conv_id long, formatted string, examples array<struct<turn: long, start: long, end: long, target: string>>")
+
+
+def examples(formatted: DataFrame) -> DataFrame:
+    """One row per assistant turn: conv_id, example, turn, context_chars (all that stands before the reply), target (the reply)."""
+    rows = formatted.select("conv_id", F.posexplode("examples").alias("example", "e"))
+    return rows.select("conv_id", "example", F.col("e.turn").alias("turn"), F.col("e.start").alias("context_chars"), F.col("e.target").alias("target"))
 
 
 def expand(formatted: DataFrame) -> DataFrame:
-    """One row per assistant turn: conv_id, turn, context (all before the reply), target (the reply)."""
+    """One row per assistant turn: conv_id, turn, context (all before the target), target (the reply)."""
     rows = formatted.select("conv_id", "formatted", F.explode("examples").alias("e"))
     return rows.select(
-        "conv_id",
-        F.col("e.turn").alias("turn"),
-        F.expr("substring(formatted, 1, cast(e.start as int))").alias("context"),
-        F.expr("substring(formatted, cast(e.start + 1 as int), cast(e.end - e.start as int))").alias("target"),
+        "conv_id", F.col("e.turn").alias("turn"), F.expr("substring(formatted, 1, cast(e.start as int))").alias("context"), F.col("e.target").alias("target")
     )
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, from the rendered text and offsets."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+
+    The turns are read from the rendered text, the loss from the exploded examples:
+    the targets of a conversation in order. One without an assistant turn has none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for c, text, examples in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for c, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 turns = parse(text)
-                digest, loss, chars = hashlib.sha256(), hashlib.sha256(), 0
+                digest = hashlib.sha256()
                 for r, t in turns:
                     digest.update(f"{r}\n{t}\n".encode())
-                for e in examples:
-                    reply = unescape(text[e["start"] : e["end"]])
-                    chars += len(reply)
-                    loss.update(reply.encode())
-                out.append((c, len(turns), digest.hexdigest(), chars, loss.hexdigest(), len(text)))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-            yield pa.record_batch([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+                out.append((c, len(turns), digest.hexdigest(), len(text)))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64())
+            yield pa.record_batch([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], ["conv_id", "n_turns", "turns_sha256", "formatted_chars"])
+
+    turns = formatted.select("conv_id", "formatted").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, formatted_chars long")
+    reply = F.regexp_replace("target", r"(?s)\\(.)", "$1")
+    rows = examples(formatted).select(F.col("conv_id").alias("of"), F.struct("example", reply.alias("reply")).alias("x"))
+    said = F.concat_ws("", F.transform(F.array_sort(F.collect_list("x")), lambda x: x["reply"]))
+    loss = rows.groupBy("of").agg(said.alias("said")).select("of", F.length("said").cast("long").alias("chars"), F.sha2(F.col("said").cast("binary"), 256).alias("digest"))
+    none = F.lit(hashlib.sha256(b"").hexdigest())
+    return turns.join(loss, F.col("conv_id").eqNullSafe(F.col("of")), "left").select(
+        "conv_id", "n_turns", "turns_sha256", F.coalesce("chars", F.lit(0).cast("long")).alias("loss_chars"), F.coalesce("digest", none).alias("loss_sha256"), "formatted_chars"
+    )
 
 
 def format_and_read_back(conv: DataFrame) -> DataFrame:
