@@ -3,9 +3,10 @@
 High-recall generators propose overlapping candidates. Each has features of its
 format and of the text around it; boosted trees, written out as SQL CASE
 expressions, give a score that a logistic curve calibrates, and the candidates
-over their kind's threshold become spans. The four base kinds have exact rules
-and always stay. The trees are fitted on the driver from a bounded generated
-sample (``SAMPLE`` candidates); everything that touches rows is a SQL function.
+over their kind's own threshold become spans; those that overlap become one. The
+four base kinds have exact rules and always stay. The trees are fitted on the driver
+from ``SAMPLE`` written sentences (no table marks personal data); everything that
+touches rows is a SQL function.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import functools
 import math
 import random
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +32,7 @@ PATTERNS = {
     "local_phone": r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "spelled_email": r"(?<![A-Za-z0-9])[A-Za-z0-9._-]{2,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{2,63}\x20?(?:[\[(]dot[\])]|\.)\x20?[A-Za-z]{2,12}(?![A-Za-z0-9])",
+    "spelled_email": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,}+\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{2,}+\x20?(?:[\[(]dot[\])]|\.)\x20?[A-Za-z]{2,}+(?![A-Za-z0-9])",
 }
 # A cheap condition without which a pattern cannot match.
 NEEDS = {
@@ -45,7 +47,8 @@ NEEDS = {
     "spelled_email": "(instr({t}, '(at)') > 0 or instr({t}, '[at]') > 0)",
 }
 KINDS = tuple(PATTERNS)
-SAMPLE = 2400
+ADDED = KINDS[len(BASE) :]
+SAMPLE = 3000
 FEATURES = ("size", "digits", "uppers", "marks", "cue", "edge", "runs", "kind")
 CUES = "pass|secret|token|key|tel|phone|call|fax|mail|contact|card|ssn|social|iban|account|bank|id"
 
@@ -100,28 +103,33 @@ def _valid(kind: str) -> str:
     return "true"
 
 
-def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``c_<kind>``: array<struct<s, e, v>> of all candidates, code points, end exclusive."""
-    out = docs.withColumn("pii_t", F.coalesce(F.col(text), F.lit("")))
-    for k in KINDS:
-        m, g = _found(k, "pii_t")
-        out = out.withColumns({f"m_{k}": F.expr(m), f"g_{k}": F.expr(g)})
+def free_prefix(docs: DataFrame) -> str:
+    """A beginning that no column of the caller has."""
+    name = "pii"
+    while any(c.lower().startswith(name) for c in docs.columns):
+        name += "x"
+    return name
+
+
+def candidates(docs: DataFrame, text: str, p: str) -> DataFrame:
+    """Add ``<p>_t`` and ``<p>_c_<kind>``: array<struct<s, e, v>> of all candidates, code points, end exclusive."""
+    out = docs.withColumn(f"{p}_t", F.coalesce(F.col(text), F.lit("")))
+    found = {k: _found(k, f"{p}_t") for k in KINDS}
+    out = out.withColumns({f"{p}_m_{k}": F.expr(m) for k, (m, _) in found.items()} | {f"{p}_g_{k}": F.expr(g) for k, (_, g) in found.items()})
     # A match begins after the gaps and matches before it and its own gap.
     out = out.withColumns(
-        {f"l_{k}": F.expr(f"zip_with(m_{k}, slice(g_{k}, 1, size(m_{k})), (m, g) -> cast(length(m) + length(g) as bigint))") for k in KINDS}
+        {f"{p}_l_{k}": F.expr(f"zip_with({p}_m_{k}, slice({p}_g_{k}, 1, size({p}_m_{k})), (m, g) -> cast(length(m) + length(g) as bigint))") for k in KINDS}
     )
-    out = out.withColumns({f"b_{k}": F.expr(_scan(f"l_{k}", "({a} + {x})", "0L", f"q{i}")) for i, k in enumerate(KINDS)})
+    out = out.withColumns({f"{p}_b_{k}": F.expr(_scan(f"{p}_l_{k}", "({a} + {x})", "0L", f"q{i}")) for i, k in enumerate(KINDS)})
     out = out.withColumns(
         {
-            f"c_{k}": F.expr(
-                f"transform(m_{k}, (v, i) -> named_struct('s', b_{k}[i] + length(g_{k}[i]), 'e', b_{k}[i] + l_{k}[i], 'v', v))"
+            f"{p}_c_{k}": F.expr(
+                f"transform({p}_m_{k}, (v, i) -> named_struct('s', {p}_b_{k}[i] + length({p}_g_{k}[i]), 'e', {p}_b_{k}[i] + {p}_l_{k}[i], 'v', v))"
             )
             for k in KINDS
         }
     )
-    for k in KINDS:
-        out = out.drop(f"m_{k}", f"g_{k}", f"l_{k}", f"b_{k}")
-    return out
+    return out.drop(*(f"{p}_{x}_{k}" for x in "mglb" for k in KINDS))
 
 
 # --- features and trees --------------------------------------------------------
@@ -129,7 +137,7 @@ def _count(v: str, kind: str) -> str:
     return f"length(regexp_replace({v}, '[^{kind}]', ''))"
 
 
-def feature_sql(kind: str, t: str = "pii_t") -> str:
+def feature_sql(kind: str, t: str) -> str:
     """struct of the features of candidate ``m`` (s, e, v); positions are bounded by a window of 24."""
     before = f"lower(substring({t}, cast(greatest(m.s - 23, 1) as int), cast(least(m.s, 24) as int)))"
     return (
@@ -142,36 +150,64 @@ def feature_sql(kind: str, t: str = "pii_t") -> str:
     )
 
 
+def features(kind: str, before: str, v: str, after: str) -> list[float]:
+    """The same for one written sentence."""
+    share = lambda chars: sum(c in chars for c in v) / len(v)
+    cue = re.search(CUES, (before[-23:] + v).lower()) is not None
+    edge = re.match("[A-Za-z0-9]", after) is not None
+    return [
+        float(len(v)), share("0123456789"), share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), float(sum(c in "=:@+()" for c in v)),
+        float(cue), float(edge), float(len(re.findall("[0-9]+", v))), float(KINDS.index(kind)),
+    ]
+
+
+FILLER = "the a we can then see new old plan city water first later order page line of and with part table green".split()
+# What stands before a real value of a kind, and before a look-alike.
+REAL_LEADS = {
+    "secret": ("", "set ", "use ", "export "),
+    "local_phone": ("call me at ", "tel. ", "phone: ", "mobile phone ", "fax ", "contact us: ", "my number: ", ""),
+    "national_id": ("ssn ", "social security number ", "tax id ", "my id: ", "id card ", "number "),
+    "iban": ("iban ", "bank account ", "account: ", "pay to ", ""),
+    "spelled_email": ("mail ", "email: ", "write to ", "contact ", ""),
+}
+FALSE_LEADS = {
+    "secret": ("", "the ", "our ", "see "),
+    "local_phone": ("version ", "lot ", "order no. ", "model ", "ratio ", ""),
+    "national_id": ("order ", "score ", "lot ", "in the years ", ""),
+    "iban": ("part ", "model ", "code ", "batch "),
+    "spelled_email": ("look ", "meet ", "they were ", ""),
+}
+
+
 def _draw(r: random.Random) -> tuple[list[float], int]:
-    """One generated candidate: features of a real-looking one (1) or of a look-alike (0)."""
-    kind = r.choice(KINDS)
-    real = r.random() < 0.5
-    digit = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
-    mixed = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    """One written candidate: the features of a real one (1) or of a look-alike (0)."""
+    kind, real = r.choice(ADDED), r.random() < 0.5
+    of = lambda chars, lo, hi=None: "".join(r.choice(chars) for _ in range(r.randint(lo, hi or lo)))
+    digit, lower, upper = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     if kind == "secret":
-        v = (f"{r.choice(['password', 'token', 'secret', 'api_key'])}={mixed(r.randint(12, 40))}" if r.random() < 0.6 else "AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))) if real else f"{r.choice(['password', 'token', 'secret'])}: {word(r.randint(8, 12))}"
-    elif kind in ("local_phone", "phone"):
-        v = f"({digit(3)}) {digit(3)}-{digit(4)}" if real else f"{digit(3)}.{digit(3)}.{digit(4)}"
+        name = r.choice(("password", "passwd", "secret", "token", "api_key", "apikey"))
+        sep = r.choice(("=", ": ", " = ", "=\"", ":"))
+        v = name + sep + (of(digit + lower[:6], 12, 48) if r.random() < 0.6 else of(digit + lower + upper + "_-", 12, 48))
+        if real and r.random() < 0.4:
+            v = r.choice(("AKIA", "ghp_", "sk-", "xoxb-")) + of(upper + digit + (lower if r.random() < 0.6 else ""), 16, 48)
+        elif real and r.random() < 0.2:
+            v = name + sep + of(lower if r.random() < 0.5 else lower + upper, 20, 300)
+        if not real:
+            v = name + r.choice((": ", "=")) + of(lower, 8, 14)
+    elif kind == "local_phone":
+        v = r.choice((f"({of(digit, 3)}) {of(digit, 3)}-{of(digit, 4)}", f"{of(digit, 3)}-{of(digit, 3)}-{of(digit, 4)}", f"{of(digit, 3)}.{of(digit, 3)}.{of(digit, 4)}"))
     elif kind == "national_id":
-        v = f"{digit(3)}-{digit(2)}-{digit(4)}"
+        v = f"{of(digit, 3)}-{of(digit, 2)}-{of(digit, 4)}"
     elif kind == "iban":
-        v = "DE" + digit(20) if real else word(2).upper() + digit(2) + word(12).upper()
-    elif kind in ("email", "spelled_email"):
-        v = f"{word(6)} [at] {word(7)} [dot] com" if real else f"{word(3)}(at){word(3)}.{word(2)}"
-    elif kind == "ip":
-        v = ".".join(str(r.randint(1, 255)) for _ in range(4)) if real else ".".join(str(r.randint(256, 999)) for _ in range(4))
+        v = of(upper, 2) + of(digit, 2) + (of(digit, 14, 20) if r.random() < 0.6 else of(upper, 4) + of(digit, 14)) if real else of(upper, 2) + of(digit, 2) + of(upper, 12, 20)
     else:
-        v = digit(16) if real else digit(r.choice((8, 12, 22, 30)))
-    # What names itself needs no cue around it.
-    cue = r.random() < ((0.3 if kind == "secret" else 0.85) if real else 0.15) or any(c in v.lower() for c in CUES.split("|"))
-    edge = r.random() < (0.02 if real else 0.3)
-    runs, inside = 0, False
-    for ch in v:
-        runs += ch.isdigit() and not inside
-        inside = ch.isdigit()
-    x = [float(len(v)), sum(c.isdigit() for c in v) / len(v), sum(c.isupper() for c in v) / len(v), float(sum(c in "=:@+()" for c in v)), float(cue), float(edge), float(runs), float(KINDS.index(kind))]
-    return x, int(real)
+        v = f"{of(lower, 3, 10)} [at] {of(lower, 4, 10)} [dot] {r.choice(('com', 'org', 'net', 'de'))}" if real else f"{of(lower, 2, 5)} (at) {of(lower, 3, 8)}. {of(lower, 2, 9)}"
+        if real and r.random() < 0.4:
+            v = f"{of(lower, 3, 10)}(at){of(lower, 4, 10)}.{r.choice(('com', 'org', 'net', 'de'))}"
+    words = " ".join(r.choice(FILLER) for _ in range(r.randint(0, 5)))
+    before = f"{words} {r.choice((REAL_LEADS if real else FALSE_LEADS)[kind])}"
+    glued = r.random() < (0.02 if real else 0.2)
+    return features(kind, before, v, "x" if glued else r.choice((" ", ". ", ", ")) + r.choice(FILLER)), int(real)
 
 
 def _stump(rows: list[list[float]], grad: list[float], hess: list[float], index: list[int]):
@@ -196,11 +232,12 @@ def _stump(rows: list[list[float]], grad: list[float], hess: list[float], index:
 
 
 @functools.cache
-def model(trees: int = 20, rate: float = 0.3, seed: int = 7) -> tuple[tuple, float, float, float]:
-    """Boosted depth-3 trees, the two numbers of the calibrating curve and the threshold.
+def model(trees: int = 20, rate: float = 0.3, seed: int = 7) -> tuple[tuple, float, float, dict[str, float]]:
+    """Boosted depth-3 trees, the two numbers of the calibrating curve and a threshold for each added kind.
 
-    Half of the sample grows the trees; the other half fits the curve and gives the
-    lowest threshold at which nine of ten selected candidates are real.
+    Half of the sample grows the trees; the other half fits the curve and gives, for
+    each kind, the lowest threshold at which nine of ten selected candidates are real,
+    half way to the next candidate.
     """
     r = random.Random(seed)
     rows, y = map(list, zip(*(_draw(r) for _ in range(SAMPLE))))
@@ -233,13 +270,17 @@ def model(trees: int = 20, rate: float = 0.3, seed: int = 7) -> tuple[tuple, flo
             ga += e * s
             gb += e
         a, b = a + 0.5 * ga / half, b + 0.5 * gb / half
-    held = sorted(((1 / (1 + math.exp(-(a * s + b))), t) for s, t in zip(score[half:], y[half:])), reverse=True)
-    right, threshold = 0, 1.0
-    for k, (p, t) in enumerate(held, 1):
-        right += t
-        if right >= 0.9 * k:
-            threshold = p
-    return tuple(grown), a, b, threshold
+    thresholds = {}
+    for k in ADDED:
+        own = [i for i in range(half, SAMPLE) if rows[i][-1] == KINDS.index(k)]
+        held = sorted(((1 / (1 + math.exp(-(a * score[i] + b))), y[i]) for i in own), reverse=True)
+        right, thresholds[k] = 0, 1.0
+        for n, (p, t) in enumerate(held, 1):
+            right += t
+            below = held[n][0] if n < len(held) else 0.0
+            if below < p and right >= 0.9 * n:  # candidates of one score stand or fall together
+                thresholds[k] = (p + below) / 2
+    return tuple(grown), a, b, thresholds
 
 
 def _walk(tree, x) -> float:
@@ -262,28 +303,42 @@ def score_sql(f: str) -> str:
     return f"1.0D / (1.0D + exp(-({a!r}D * ({total}) + {b!r}D)))"
 
 
-def detect(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``pii_base`` and ``pii_spans``: array<struct<s, o, e, kind>> ordered by start, then kind.
+def detect(docs: DataFrame, text: str, p: str) -> DataFrame:
+    """Add ``<p>_t``, ``<p>_base`` and ``<p>_spans``: array<struct<s, o, e, kind>> ordered by start, then kind.
 
-    A null text counts as empty and has none. Spans of different kinds may overlap;
-    a span that the trees select is left out if a base span covers it.
+    A null text counts as empty and has none. Spans that the trees select and that
+    overlap become one, from the first start to the last end, of the kind with the
+    highest score; such a span is left out if a base span covers it. Base spans stay
+    as they are, so spans of a base kind may overlap others.
     """
-    threshold = model()[3]
-    out = candidates(docs, text)
+    thresholds = model()[3]
+    out = candidates(docs, text, p)
     base = [
-        f"transform(filter(c_{k}, m -> {_valid(k)}), m -> named_struct('s', m.s, 'o', {KINDS.index(k)}, 'e', m.e, 'kind', '{k}'))" for k in BASE
+        f"transform(filter({p}_c_{k}, m -> {_valid(k)}), m -> named_struct('s', m.s, 'o', {KINDS.index(k)}, 'e', m.e, 'kind', '{k}'))" for k in BASE
     ]
-    out = out.withColumn("pii_base", F.expr(f"array_sort(concat({', '.join(base)}))"))
+    out = out.withColumn(f"{p}_base", F.expr(f"array_sort(concat({', '.join(base)}))"))
     more = [
-        f"transform(filter(c_{k}, m -> exists(array({feature_sql(k)}), ft -> {score_sql('ft')} >= {threshold!r}D)), "
-        f"m -> named_struct('s', m.s, 'o', {KINDS.index(k)}, 'e', m.e, 'kind', '{k}'))"
-        for k in KINDS
-        if k not in BASE
+        f"filter(transform({p}_c_{k}, m -> named_struct('s', m.s, 'o', {KINDS.index(k)}, 'e', m.e, 'kind', '{k}', "
+        f"'score', element_at(transform(array({feature_sql(k, f'{p}_t')}), ft -> {score_sql('ft')}), 1))), m -> m.score >= {thresholds[k]!r}D)"
+        for k in ADDED
     ]
-    out = out.withColumn("pii_more", F.expr(f"concat({', '.join(more)})"))
-    free = "filter(pii_more, x -> not exists(pii_base, y -> y.s <= x.s and x.e <= y.e))"
-    out = out.withColumn("pii_spans", F.expr(f"array_sort(concat(pii_base, {free}))"))
-    return out.drop("pii_more", *(f"c_{k}" for k in KINDS))
+    out = out.withColumn(f"{p}_more", F.expr(f"array_sort(concat({', '.join(more)}))"))
+    # A span begins a new run of overlapping ones if no earlier span ends after its start.
+    out = out.withColumn(f"{p}_upto", F.expr(_scan(f"transform({p}_more, x -> x.e)", "greatest({a}, {x})", "0L", "r")))
+    out = out.withColumn(
+        f"{p}_runs", F.expr(f"filter(transform({p}_more, (x, i) -> case when x.s >= {p}_upto[i] then i + 1 else 0 end), i -> i > 0)")
+    )
+    run = f"slice({p}_more, i, coalesce(get({p}_runs, k + 1), size({p}_more) + 1) - i)"
+    best = f"array_max(transform({run}, x -> named_struct('score', x.score, 's', -x.s, 'o', -x.o, 'kind', x.kind)))"
+    joined_run = f"named_struct('s', {p}_more[i - 1].s, 'o', -{best}.o, 'e', array_max(transform({run}, x -> x.e)), 'kind', {best}.kind)"
+    out = out.withColumn(f"{p}_more", F.expr(f"transform({p}_runs, (i, k) -> {joined_run})"))
+    # Both kinds of spans by start, base first: the largest end of a base span before an added one tells whether it is covered.
+    both = f"array_sort(concat(transform({p}_base, x -> named_struct('s', x.s, 'w', 0, 'x', x)), transform({p}_more, x -> named_struct('s', x.s, 'w', 1, 'x', x))))"
+    out = out.withColumn(f"{p}_both", F.expr(both))
+    out = out.withColumn(f"{p}_upto", F.expr(_scan(f"transform({p}_both, y -> case when y.w = 0 then y.x.e else 0L end)", "greatest({a}, {x})", "0L", "r")))
+    kept = f"filter({p}_both, (y, i) -> y.w = 0 or {p}_upto[i] < y.x.e)"
+    out = out.withColumn(f"{p}_spans", F.expr(f"case when size({p}_more) = 0 then {p}_base else array_sort(transform({kept}, y -> y.x)) end"))
+    return out.drop(*(f"{p}_{x}" for x in ("more", "upto", "runs", "both")), *(f"{p}_c_{k}" for k in KINDS))
 
 
 def joined(spans: str) -> Column:
@@ -292,8 +347,8 @@ def joined(spans: str) -> Column:
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row; a null id stays null."""
-    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("pii_text"))
-    out = detect(src, "pii_text")
+    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    out = detect(src, "text", "pii")
     counts = [F.expr(f"cast(size(filter(pii_base, x -> x.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in BASE]
     return out.select("doc_id", *counts, F.sha2(joined("pii_base").cast("binary"), 256).alias("base_sha256"), joined("pii_spans").alias("spans"))
 
@@ -301,13 +356,14 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with each span of ``text`` replaced by ``[KIND]``; overlapping spans become one.
 
-    A null text stays null; the columns and rows are those of ``docs``.
+    A null text stays null; the columns and rows are those of ``docs``, whatever their names.
     """
-    out = detect(docs, text).withColumn("pii_ends", F.expr("transform(pii_spans, x -> x.e)"))
-    out = out.withColumn("pii_upto", F.expr(_scan("pii_ends", "greatest({a}, {x})", "0L", "w")))
-    gap = "substring(pii_t, cast(pii_upto[i] + 1 as int), cast(greatest(x.s - pii_upto[i], 0L) as int))"
-    mark = "case when x.s >= pii_upto[i] then concat('[', upper(x.kind), ']') else '' end"
-    body = f"array_join(transform(pii_spans, (x, i) -> concat({gap}, {mark})), '')"
-    tail = "substring(pii_t, cast(array_max(pii_ends) + 1 as int))"
-    fixed = F.expr(f"case when size(pii_spans) = 0 then `{text}` else concat({body}, {tail}) end")
+    p = free_prefix(docs)
+    out = detect(docs, text, p).withColumn(f"{p}_ends", F.expr(f"transform({p}_spans, x -> x.e)"))
+    out = out.withColumn(f"{p}_upto", F.expr(_scan(f"{p}_ends", "greatest({a}, {x})", "0L", "w")))
+    gap = f"substring({p}_t, cast({p}_upto[i] + 1 as int), cast(greatest(x.s - {p}_upto[i], 0L) as int))"
+    mark = f"case when x.s >= {p}_upto[i] then concat('[', upper(x.kind), ']') else '' end"
+    body = f"array_join(transform({p}_spans, (x, i) -> concat({gap}, {mark})), '')"
+    tail = f"substring({p}_t, cast(array_max({p}_ends) + 1 as int))"
+    fixed = F.expr(f"case when size({p}_spans) = 0 then `{text}` else concat({body}, {tail}) end")
     return out.withColumn(text, fixed).select(*docs.columns)
