@@ -65,7 +65,8 @@ class Workspace:
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.n += 1
         path = f"{self.path}/{self.n:03d}-{name}"
-        df.write.parquet(path)
+        # Small row groups: a writer holds one in memory, and rows may be large.
+        df.write.option("parquet.block.size", 16 << 20).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.saved[id(out)] = path
         return out

@@ -43,7 +43,8 @@ from .text_core import buffers, pieces, shingles, splitmix, word_hashes
 BUCKET = 64  # entries of a list that are paired by array passes
 BLOCK = 512  # classes of a token group
 GROUP_TOKENS = 1 << 20  # tokens of a token group
-CHUNK_TOKENS = 1 << 21  # tokens of a chunk of groups
+CHUNK_TOKENS = 1 << 20  # tokens of a chunk of groups
+HELD_CHARS = 1 << 20  # characters of the texts of one compressed value
 ASKERS = 2048  # probing sets that one copy of a group serves
 HOT = 1000  # copies of one text that make its class a hot key
 SENT = 2_000_000  # representatives (32 bytes each) that are broadcast to their texts; more are joined by a shuffle
@@ -260,9 +261,15 @@ def _matrix(placed: DataFrame, k: int, num: int, spans: int) -> DataFrame:
             for i in range(spans):
                 if cut[i] < cut[i + 1]:
                     out.append((0, rows[0][0], i, _pack(key[cut[i] : cut[i + 1]], many[cut[i] : cut[i + 1]], z), None, None, None))
-            texts = pa.table({"gid": [r[1] for r in rows], "c": [r[2] for r in rows], "rep": [r[3] for r in rows], "text": pa.array([r[5] for r in rows], pa.large_string())})
-            out.append((2, rows[0][0], None, _held(texts, z), None, None, None))
-            return _table(_COUNTED, zip(*out))
+            yield _table(_COUNTED, zip(*out))
+            lo = size = 0
+            for i, r in enumerate(rows):
+                size += len(r[5] or "")
+                if size > HELD_CHARS or i + 1 == len(rows):
+                    own = rows[lo : i + 1]
+                    texts = pa.table({"gid": [x[1] for x in own], "c": [x[2] for x in own], "rep": [x[3] for x in own], "text": pa.array([x[5] for x in own], pa.large_string())})
+                    yield _table(_COUNTED, ([2], [r[0]], [None], [_held(texts, z)], [None], [None], [None]))
+                    lo, size = i + 1, 0
 
         def whole(last: bool):
             """Cut the held rows by chunk; the last group may go on."""
@@ -272,7 +279,7 @@ def _matrix(placed: DataFrame, k: int, num: int, spans: int) -> DataFrame:
                 while end and held[end - 1][1] == held[-1][1]:
                     end -= 1
             for _, rows in groupby(held[:end], key=lambda r: r[0]):
-                yield emit(list(rows))
+                yield from emit(list(rows))
             held = held[end:]
             size = sum(len(r[4]) for r in held)
 
@@ -535,8 +542,8 @@ def ngram_jaccard(
     members = groups(classes, ws, 8 + count // 500_000, block).select("c", "c2", "rep", "gid")
     if count <= SENT:
         members = F.broadcast(members)
-    placed = _texts(docs, doc_id, text, members, 48 + total // (CHUNK_TOKENS // 2))
-    counted = ws.save(_matrix(placed, k, num, 16 + total // CHUNK_TOKENS), "matrix")
+    placed = _texts(docs, doc_id, text, members, 48 + total // CHUNK_TOKENS)
+    counted = ws.save(_matrix(placed, k, num, 16 + total // (2 * CHUNK_TOKENS)), "matrix")
     stars = counted.where("kind = 1").select("a", "b", "m")
     listed = ws.save(_listed(counted, _shared(counted), k, num), "listed")
     heads = listed.select("rep", "gid", F.explode("heads").alias("h"))
@@ -551,7 +558,7 @@ def ngram_jaccard(
     weight = far.groupBy("comp").agg(F.count("*").alias("w"))
     mixed = far.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("h")
     probes = ws.save(_probes(far.join(mixed, "h", "left_semi").join(weight, "comp"), bucket), "probes")
-    links = _opened(probes, sets, num, 48 + total // (4 * CHUNK_TOKENS))
+    links = _opened(probes, sets, num, 48 + total // (8 * CHUNK_TOKENS))
 
     comp = components(stars.select("a", "b").unionByName(centres).unionByName(links), ws)
     return _spread(sig, classes, comp)

@@ -41,20 +41,26 @@ def _units(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, dims, names, units = b.column(0), [], [], []
-            for x in b.column(1):
-                v = x.values if x.is_valid else None
-                ok = v is not None and len(v) > 0 and v.null_count == 0
-                if ok:
-                    a = v.to_numpy(zero_copy_only=False).astype(np.float64)
-                    ok = bool(np.isfinite(a).all()) and bool((a != 0).any())
-                if not ok:
-                    dims.append(0), names.append(b""), units.append(b"")
-                    continue
-                a = a / np.abs(a).max()  # no overflow in the norm
-                u = a / np.sqrt((a * a).sum()) + 0.0
-                dims.append(len(a)), names.append(hashlib.md5(u.tobytes()).digest()), units.append(u.tobytes())
-            yield pa.record_batch([ids, pa.array(dims, pa.int32()), pa.array(names, pa.binary()), pa.array(units, pa.binary())], ["vec_id", "dim", "name", "unit"])
+            dims, names, units = np.zeros(b.num_rows, np.int32), [b""] * b.num_rows, [b""] * b.num_rows
+            column = b.column(1)
+            flat, sizes = column.flatten(), column.value_lengths().fill_null(0).to_numpy()
+            ends = np.cumsum(sizes)
+            whole = flat.is_valid().to_numpy(zero_copy_only=False)
+            every = flat.fill_null(float("nan")).to_numpy(zero_copy_only=False).astype(np.float64)
+            every = np.where(whole, every, np.nan)
+            # Rows of one length are one matrix.
+            for d in np.unique(sizes[sizes > 0]).tolist():
+                rows = np.flatnonzero(sizes == d)
+                m = every[(ends[rows] - d)[:, None] + np.arange(d)]
+                ok = np.isfinite(m).all(axis=1) & (m != 0).any(axis=1)
+                rows, m = rows[ok], m[ok]
+                m = m / np.abs(m).max(axis=1, keepdims=True)  # no overflow in the norm
+                m = m / np.sqrt((m * m).sum(axis=1, keepdims=True)) + 0.0
+                dims[rows] = d
+                for i, u in zip(rows.tolist(), m):
+                    units[i] = u.tobytes()
+                    names[i] = hashlib.md5(units[i]).digest()
+            yield pa.record_batch([b.column(0), pa.array(dims, pa.int32()), pa.array(names, pa.binary()), pa.array(units, pa.binary())], ["vec_id", "dim", "name", "unit"])
 
     src = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
     return src.mapInArrow(run, "vec_id long, dim int, name binary, unit binary")
@@ -77,16 +83,28 @@ def _lists(classes: DataFrame, pivots: dict[int, np.ndarray], top: int | None) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for vec, dim, w, unit in zip(*(b.column(k).to_pylist() for k in range(4))):
-                p = pivots[dim]
-                first = _first(len(p)) if top is None else top
-                near = sorted(np.argsort(-(p @ np.frombuffer(unit)), kind="stable")[:first].tolist())
+            dims = b.column(1).to_numpy()
+            vec, weight = b.column(0).to_numpy(), b.column(2).to_numpy()
+            for d in np.unique(dims).tolist():
+                rows = np.flatnonzero(dims == d)
+                p = pivots[d]
+                first = min(len(p), _first(len(p)) if top is None else top)
+                units = b.column(3).take(pa.array(rows))
+                m = np.frombuffer(b"".join(units.to_pylist())).reshape(-1, d)
+                near = np.sort(np.argsort(-(m @ p.T), axis=1, kind="stable")[:, :first], axis=1)
                 # fewer than two pivots: one list for all
-                for x, y in combinations(near, 2) if len(near) > 1 else [(0, 0)]:
-                    out.append((dim, x, y, vec, w, unit, near))
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()))
-            yield pa.record_batch([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], ["dim", "x", "y", "vec", "w", "unit", "near"])
+                pairs = list(combinations(range(first), 2))
+                xs = [near[:, i] for i, _ in pairs] or [np.zeros(len(rows), np.int64)]
+                ys = [near[:, j] for _, j in pairs] or [np.zeros(len(rows), np.int64)]
+                each = np.tile(np.arange(len(rows)), len(xs))
+                listed = pa.array(near.tolist(), pa.list_(pa.int32()))
+                yield pa.record_batch(
+                    [
+                        pa.array(np.full(len(each), d), pa.int32()), pa.array(np.concatenate(xs), pa.int32()), pa.array(np.concatenate(ys), pa.int32()),
+                        pa.array(vec[rows][each]), pa.array(weight[rows][each]), units.take(pa.array(each)), listed.take(pa.array(each)),
+                    ],
+                    ["dim", "x", "y", "vec", "w", "unit", "near"],
+                )
 
     return classes.select("vec", "dim", "w", "unit").mapInArrow(run, "dim int, x int, y int, vec long, w long, unit binary, near array<int>")
 
