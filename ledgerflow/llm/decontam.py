@@ -171,11 +171,12 @@ def _blocks(items: DataFrame, item_id: str, text: str, unnamed: bool) -> Iterato
     rows = rows.select(F.col(item_id).cast("long").alias("id"), F.col(text).alias("text")).distinct().orderBy("id", "text").coalesce(4)
     block, size = [], 0
     for r in rows.toLocalIterator():
-        if block and size + len(r["text"]) > BLOCK_BYTES:
+        own = len(r["text"].encode())
+        if block and size + own > BLOCK_BYTES:
             yield block
             block, size = [], 0
         block.append(r)
-        size += len(r["text"])
+        size += own
     if block:
         yield block
 
