@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import tune
-from .text_core import buffers, pieces, shingles, span_hashes, spans_of
+from .text_core import buffers, pieces, shingles, span_hashes, spans_of, trim
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_BYTES = 16 << 20  # test-item text handled (and broadcast) at once
@@ -234,6 +234,7 @@ def reject(
                     keep = np.ones(p.num_rows, bool)
                     keep[[m[0] for m in _matches(rare, rows, flags, n, threshold)]] = False
                     yield p.filter(pa.array(keep))
+            trim()
 
         out = out.mapInArrow(run, docs.schema)
     return out

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import Bitmap, Workspace, tune
 from .graph import components
-from .text_core import buffers, pieces, shingles, splitmix, word_hashes
+from .text_core import buffers, pieces, shingles, splitmix, trim, word_hashes
 
 BUCKET = 64  # entries of a list that are paired by array passes
 BLOCK = 512  # classes of a token group
@@ -91,6 +91,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
                 sets = _sets(part, "text", k)
                 cols = [pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, _names(sets))]
                 yield pa.record_batch([part.column(0), *cols], ["doc_id", "n", "c1", "c2", "k1", "k2", "k3"])
+        trim()
 
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return src.mapInArrow(run, "doc_id long, n long, c1 long, c2 long, k1 long, k2 long, k3 long")
@@ -296,6 +297,7 @@ def _matrix(placed: DataFrame, k: int, num: int, spans: int) -> DataFrame:
                 if size > CHUNK_TOKENS:
                     yield from whole(False)
         yield from whole(True)
+        trim()
 
     placed = placed.repartition("chunk").sortWithinPartitions("chunk", "gid", "c")
     return placed.mapInArrow(run, "kind int, chunk long, span int, keys binary, a long, b long, m long")
@@ -323,6 +325,8 @@ def _shared(counted: DataFrame) -> DataFrame:
             if (many > 1).any():
                 chunk.append(own)
                 blobs.append(_pack(x[many > 1], many[many > 1], c))
+        del keys, counts, flat, total, order, new, each, back
+        trim()
         return pa.table({"chunk": pa.array(chunk, pa.int64()), "span": pa.array([table["span"][0].as_py()] * len(chunk), pa.int32()), "keys": pa.array(blobs, pa.binary())})
 
     return counted.where("kind = 0").select("chunk", "span", "keys").groupBy("span").applyInArrow(merge, "chunk long, span int, keys binary")
@@ -349,6 +353,7 @@ def _listed(counted: DataFrame, shared: DataFrame, k: int, num: int) -> DataFram
             for b in pa.ipc.open_stream(z.decompress(x.as_py())):
                 for part in pieces(b, "text"):
                     out.append(listed(part, key, many, seen))
+        trim()
         return pa.Table.from_batches(out)
 
     def listed(part: pa.RecordBatch, key: np.ndarray, many: np.ndarray, seen: set[int]) -> pa.RecordBatch:
@@ -543,7 +548,7 @@ def ngram_jaccard(
     if count <= SENT:
         members = F.broadcast(members)
     placed = _texts(docs, doc_id, text, members, 48 + total // CHUNK_TOKENS)
-    counted = ws.save(_matrix(placed, k, num, 16 + total // (2 * CHUNK_TOKENS)), "matrix")
+    counted = ws.save(_matrix(placed, k, num, 16 + total // CHUNK_TOKENS), "matrix")
     stars = counted.where("kind = 1").select("a", "b", "m")
     listed = ws.save(_listed(counted, _shared(counted), k, num), "listed")
     heads = listed.select("rep", "gid", F.explode("heads").alias("h"))

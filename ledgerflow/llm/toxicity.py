@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod, fit_cut, fit_hash, tune
-from .text_core import buffers, pieces, span_hashes, spans_of
+from .text_core import buffers, pieces, span_hashes, spans_of, trim
 
 THRESHOLD = 0.7
 PREFIXES = (4, 5, 6, 7)  # code points; longer words also count by how they begin, as "begin*"
@@ -251,5 +251,6 @@ def reject(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             for p in pieces(b, text):
                 data, offs = buffers(p.column(p.schema.get_field_index(text)))
                 yield p.filter(pa.array(model.score(data, offs, lexicon)["score"] < THRESHOLD))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
