@@ -20,10 +20,9 @@ _X = f"""{_FEAT}, x AS (SELECT f.symbol, f.date, f.close, f.sma50, f.sma200, CAS
 
 
 def featured(bars: DataFrame) -> DataFrame:
-    return bars.withColumns(
+    return ind.returns(bars, "close", {"ret3": 63}).withColumns(
         {
             "mom": ind.momentum_12_1("close"),
-            "ret3": ind.pct_return("close", 63),
             "dist": ind.distance_from_high(),
             "vr": ind.volume_ratio(),
             "sma50": ind.sma("close", 50),
@@ -34,7 +33,8 @@ def featured(bars: DataFrame) -> DataFrame:
 
 def cross_section(m: Market) -> DataFrame:
     """Latest features of every symbol with its sector; every thirteenth momentum is missing."""
-    x = asof.latest(featured(m.bars()), "symbol", "date").join(m.stocks(), "symbol")
+    year = asof.tail(m.bars(), "symbol", "date", 253)  # no feature looks further back
+    x = asof.latest(featured(year), "symbol", "date").join(m.stocks(), "symbol")
     return peer_groups(x.withColumn("mom", F.when(F.col("symbol") % 13 != 0, F.col("mom"))))
 
 
@@ -126,12 +126,6 @@ def g01_capped_topn(m: Market) -> DataFrame:
     return scoring.capped_top(df, "blended", 20, 0.25).select("symbol", "sector", "blended", "pick")
 
 
-@query("SELECT symbol, name, round(mcap, 6) AS mcap, round(a, 6) AS a FROM p WHERE lower(name) LIKE '%00%' AND sector <> 'ASIA' ORDER BY a DESC NULLS LAST, symbol LIMIT 15", views="bars stocks", more=f"{_X}, {_PARTS}")
-def c17_filter_sort_view(m: Market) -> DataFrame:
-    """The first page of ``c17_filter_sort_all``."""
-    return c17_filter_sort_all(m).limit(15)
-
-
 @query("SELECT symbol, name, round(mcap, 6) AS mcap, round(a, 6) AS a FROM p WHERE lower(name) LIKE '%00%' AND sector <> 'ASIA' ORDER BY p.a DESC NULLS LAST, symbol", views="bars stocks", more=f"{_X}, {_PARTS}")
 def c17_filter_sort_all(m: Market) -> DataFrame:
     df = parts(m).where(F.lower("name").contains("00") & (F.col("sector") != "ASIA"))
@@ -184,7 +178,7 @@ def g02_i28_top_drivers(m: Market) -> DataFrame:
 
 
 @query(
-    "SELECT symbol, round(stop, 6) AS stop, CASE WHEN stop < close THEN CAST(floor(least(10000 / (close - stop), 100000 / close)) AS BIGINT) END AS quantity FROM (SELECT symbol, close, CASE WHEN close > 0 AND atr14 > 0 THEN greatest(least(CASE WHEN sma200 < close THEN sma200 - 0.5 * atr14 WHEN sma50 < close THEN sma50 - 0.5 * atr14 ELSE close - 2.5 * atr14 END, close - 1.5 * atr14), close * 0.7) END AS stop FROM (SELECT *, close * 0.03 AS atr14 FROM x))",
+    "SELECT symbol, round(stop, 6) AS stop, CASE WHEN stop < close THEN CAST(floor(least(10000 / (close - stop), 100000 / close)) AS BIGINT) END AS quantity FROM (SELECT symbol, close, CASE WHEN close > 0 AND atr14 > 0 THEN CASE WHEN raw > close - 1.5 * atr14 THEN close - 1.5 * atr14 ELSE greatest(raw, close * 0.7) END END AS stop FROM (SELECT *, CASE WHEN below > close * 0.7 THEN below ELSE close - 2.5 * atr14 END AS raw FROM (SELECT *, CASE WHEN sma200 < close THEN sma200 WHEN sma50 < close THEN sma50 END - 0.5 * atr14 AS below FROM (SELECT *, close * 0.03 AS atr14 FROM x))))",
     views="bars stocks",
     more=_X,
 )

@@ -76,15 +76,6 @@ def _snapshots(bars: DataFrame, m: Market) -> DataFrame:
     return asof.snapshot_at(ws, at)
 
 
-@query(
-    "SELECT as_of, CAST(coalesce(max(w.week_start), (SELECT min(week_start) FROM ws)) AS DATE) AS week_start FROM (SELECT unnest([DATE '1990-01-01', DATE '1996-03-29', DATE '1998-01-15']) AS as_of) a LEFT JOIN ws w ON w.week_start <= a.as_of GROUP BY as_of",
-    more="ws AS (SELECT DISTINCT CAST(date_trunc('week', date) AS DATE) AS week_start FROM bars WHERE symbol = 1)",
-)
-def d07_membership_snapshot(m: Market) -> DataFrame:
-    """The snapshot weeks of symbol 1."""
-    return _snapshots(m.bars().where("symbol = 1"), m)
-
-
 @query(
     "SELECT as_of, CAST(coalesce(max(w.week_start), (SELECT min(week_start) FROM ws)) AS DATE) AS week_start FROM (SELECT unnest([DATE '1990-01-01', DATE '1996-03-29', DATE '1998-01-15']) AS as_of) a LEFT JOIN ws w ON w.week_start <= a.as_of GROUP BY as_of",
     more="ws AS (SELECT DISTINCT CAST(date_trunc('week', date) AS DATE) AS week_start FROM bars)",
@@ -128,12 +119,6 @@ def i32_mark_to_market(m: Market) -> DataFrame:
     )
 
 
-@query("SELECT symbol, rule, severity FROM (SELECT symbol, 'stop_breached' AS rule, 0 AS severity FROM pos WHERE close <= stop UNION ALL SELECT symbol, 'target_reached', 1 FROM pos WHERE close >= entry * 1.25 UNION ALL SELECT symbol, 'doubled', 2 FROM pos WHERE close >= entry * 2) ORDER BY severity, symbol LIMIT 40", more=_POS)
-def l12_g05_alerts(m: Market) -> DataFrame:
-    """The first page of ``l12_g05_all_alerts``."""
-    return l12_g05_all_alerts(m).limit(40)
-
-
 @query("SELECT symbol, 'stop_breached' AS rule, 0 AS severity FROM pos WHERE close <= stop UNION ALL SELECT symbol, 'target_reached', 1 FROM pos WHERE close >= entry * 1.25 UNION ALL SELECT symbol, 'doubled', 2 FROM pos WHERE close >= entry * 2 ORDER BY severity, symbol", more=_POS)
 def l12_g05_all_alerts(m: Market) -> DataFrame:
     c = F.col
@@ -181,5 +166,5 @@ def b11_strict_numbers(m: Market) -> DataFrame:
 
 @query("SELECT symbol, date, round(r6, 6) AS r6 FROM (SELECT symbol, date, close / nullif(lag(close, 250) OVER (PARTITION BY symbol ORDER BY date), 0) AS r6 FROM bars) WHERE r6 IS NOT NULL")
 def b14_drop_missing_rows(m: Market) -> DataFrame:
-    df = m.bars().select("symbol", "date", (ind.pct_return("close", 250) + 1).alias("r6"))
+    df = ind.returns(m.bars(), "close", {"r": 250}).select("symbol", "date", (F.col("r") + 1).alias("r6"))
     return df.dropna(how="all", subset=["r6"])

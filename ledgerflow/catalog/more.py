@@ -122,24 +122,19 @@ def j02_visible_pivots(m: Market) -> DataFrame:
     return zn.visible(zn.pivots(m.nation_bars()), at).groupBy("as_of", "symbol", "kind").agg(F.count("*").alias("n"))
 
 
-_HIGHS = "lv AS (SELECT f.symbol, f.high AS level, l.close AS price, l.close * 0.05 AS atr FROM (SELECT * FROM r WHERE k % 9 = 0) f JOIN (SELECT * FROM r WHERE k = 1) l USING (symbol) WHERE f.high > l.close)"
+_FRACTAL_HIGHS = "fr AS (SELECT symbol, high AS level FROM (SELECT *, max(high) OVER w AS top, count(*) OVER w AS n, len(list_filter(list(high) OVER w, lambda v: v < high)) AS below FROM nbars WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)) WHERE n = 21 AND high = top AND below >= 10)"
+NTR = _TR.replace("FROM bars", "FROM nbars")
+_LAST = f"l AS (SELECT symbol, close AS price, atr14 AS atr, year FROM (SELECT *, max(high) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) AS year FROM ({_wilder_sql('tr', 14, 't', 'atr14')})) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1)"
+_ABOVE = "lv AS (SELECT v.symbol, level, l.price, l.atr FROM (SELECT symbol, price AS level FROM piv WHERE kind = 'high' UNION ALL SELECT symbol, level FROM fr) v JOIN l USING (symbol) WHERE level > l.price)"
 
 
 @query(
-    "SELECT symbol, round(coalesce(min(CASE WHEN touches >= 2 THEN floor END), min(floor)), 6) AS floor, round(coalesce(arg_min(ceil, floor) FILTER (touches >= 2), min(floor)), 6) AS ceil, coalesce(arg_min(touches, floor) FILTER (touches >= 2), 1) AS touches FROM (SELECT symbol, band, min(level) AS floor, max(level) AS ceil, count(*) AS touches FROM (SELECT *, sum(fresh) OVER (PARTITION BY symbol ORDER BY level) AS band FROM (SELECT *, CASE WHEN level - lag(level) OVER (PARTITION BY symbol ORDER BY level) <= 0.6 * atr THEN 0 ELSE 1 END AS fresh FROM lv)) GROUP BY symbol, band) GROUP BY symbol",
+    "SELECT symbol, round(coalesce(min(floor) FILTER (touches >= 2), min(floor)), 6) AS floor, round(coalesce(arg_min(ceil, floor) FILTER (touches >= 2), min(floor)), 6) AS ceil, coalesce(arg_min(touches, floor) FILTER (touches >= 2), 1) AS touches FROM (SELECT symbol, band, min(level) AS floor, max(level) AS ceil, count(*) AS touches FROM (SELECT *, sum(fresh) OVER (PARTITION BY symbol ORDER BY level ROWS UNBOUNDED PRECEDING) AS band FROM (SELECT *, CASE WHEN atr > 0 AND level - lag(level) OVER (PARTITION BY symbol ORDER BY level) <= 0.6 * atr THEN 0 ELSE 1 END AS fresh FROM lv)) GROUP BY symbol, band) GROUP BY symbol"
+    " UNION ALL SELECT symbol, round(year, 6), round(year, 6), 0 FROM l WHERE year > price AND symbol NOT IN (SELECT symbol FROM lv)",
     views="nbars",
-    more=f"{_RECENT}, {_HIGHS}",
+    more=f"{_PIVOTS}, {NTR}, {_FRACTAL_HIGHS}, {_LAST}, {_ABOVE}",
+    recursive=True,
 )
-def j12_next_resistance(m: Market) -> DataFrame:
-    from pyspark.sql import Window
-
-    k = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))
-    r = m.nation_bars().withColumn("k", k)
-    last = r.where("k = 1").select("symbol", F.col("close").alias("price"), (F.col("close") * 0.05).alias("atr"))
-    return lv.next_resistance(r.where("k % 9 = 0").select("symbol", F.col("high").alias("level")).join(last, "symbol"))
-
-
-@query()
 def j12_next_resistance_swings(m: Market) -> DataFrame:
     """All confirmed swing highs and fractal highs, Wilder's ATR, and the high of the last 252 bars as the last resort."""
     return resistance(m.nation_bars())

@@ -126,8 +126,8 @@ def f07_adx(m: Market) -> DataFrame:
     + f", round(lag(close, 21) {OVER} / nullif(lag(close, 252) {OVER}, 0) - 1, 6) AS mom_12_1 FROM bars"
 )
 def f09_f10_returns(m: Market) -> DataFrame:
-    cols = [ind.pct_return("close", n).alias(a) for a, n in (("ret_1m", 21), ("ret_3m", 63), ("ret_6m", 126), ("ret_12m", 252))]
-    return m.bars().select("symbol", "date", *cols, ind.momentum_12_1("close").alias("mom_12_1"))
+    spans = {"ret_1m": 21, "ret_3m": 63, "ret_6m": 126, "ret_12m": 252}
+    return ind.returns(m.bars(), "close", spans).select("symbol", "date", *spans, ind.momentum_12_1("close").alias("mom_12_1"))
 
 
 @query(f"SELECT symbol, date, round((top - close) / nullif(top, 0), 6) AS dist_52w_high FROM (SELECT *, {_roll('max', 'high', 252, 126)} AS top FROM bars)")

@@ -43,7 +43,7 @@ def _nw(src: str, x: str, g: str = "") -> str:
     p = f"PARTITION BY {g}" if g else ""
     lags = ", ".join(f"e * lag(e, {k}) OVER ({p} ORDER BY as_of) AS p{k}" for k in range(1, 6))
     sums = ", ".join(f"sum(p{k}) AS g{k}" for k in range(1, 6))
-    terms = " + ".join(f"CASE WHEN least(5, n - 1) >= {k} THEN 2 * (1 - {k} / (least(5, n - 1) + 1)) * coalesce(g{k} / n, 0) ELSE 0 END" for k in range(1, 6))
+    terms = " + ".join(f"2 * (1 - {k} / 6.0) * coalesce(g{k} / n, 0)" for k in range(1, 6))
     key = f"{g}, " if g else ""
     group = f"GROUP BY {g}" if g else ""
     return (
@@ -151,12 +151,12 @@ def g10_weight_grid(m: Market) -> DataFrame:
     return rs.weight_grid(m.spark)
 
 
-_GRID = "grid AS (SELECT q AS wq, v AS wv, 100 - q - v AS wt FROM range(0, 101, 50) a(q), range(0, 101, 50) b(v) WHERE q + v <= 100 UNION SELECT 5, 45, 50), cand AS (SELECT panel.*, wq, wv, wt, (coalesce(mom, 0) * wq + coalesce(ret3, 0) * wv + coalesce(vr, 0) * wt) / nullif(CASE WHEN mom IS NULL THEN 0 ELSE wq END + CASE WHEN ret3 IS NULL THEN 0 ELSE wv END + CASE WHEN vr IS NULL THEN 0 ELSE wt END, 0) AS blended FROM panel, grid)"
+_GRID = "grid AS (SELECT q AS wq, v AS wv, 100 - q - v AS wt FROM range(0, 101, 10) a(q), range(0, 101, 10) b(v) WHERE q + v <= 100 UNION SELECT 5, 45, 50), cand AS (SELECT panel.*, wq, wv, wt, (coalesce(mom, 0) * wq + coalesce(ret3, 0) * wv + coalesce(vr, 0) * wt) / nullif(CASE WHEN mom IS NULL THEN 0 ELSE wq END + CASE WHEN ret3 IS NULL THEN 0 ELSE wv END + CASE WHEN vr IS NULL THEN 0 ELSE wt END, 0) AS blended FROM panel, grid)"
 
 
 @query(f"SELECT wq::INT AS wq, wv::INT AS wv, wt::INT AS wt, {_COLS} FROM ({_nw(_ic('cand', 'blended', 'wq, wv, wt, as_of'), 'ic', 'wq, wv, wt')})", views="bars stocks", more=f"{_PANEL}, {_GRID}")
 def g11_weight_search(m: Market) -> DataFrame:
-    return rs.weight_search(panel(m), rs.weight_grid(m.spark, 50), "mom", "ret3", "vr")
+    return rs.weight_search(panel(m), rs.weight_grid(m.spark), "mom", "ret3", "vr")
 
 
 @query()

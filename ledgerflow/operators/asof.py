@@ -1,4 +1,4 @@
-"""Latest-row, as-of, bitemporal and forward reads without a range join over all history."""
+"""Latest-row, as-of, bitemporal and forward reads; only filings meet their short list of dates in a range join."""
 
 from __future__ import annotations
 
@@ -9,11 +9,11 @@ from .indicators import W
 
 
 def latest(df: DataFrame, keys, order: str) -> DataFrame:
-    """The last row of each key; an aggregation that combines before the shuffle."""
+    """The last row of each key (``order`` is unique in it); a hash aggregation that combines before the shuffle."""
     keys = [keys] if isinstance(keys, str) else keys
-    rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r"))
-    return best.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    rest = [c for c in df.columns if c not in keys and c != order]
+    best = df.groupBy(*keys).agg(F.max(order).alias(order), *[F.max_by(c, order).alias(c) for c in rest])
+    return best.select(*[c for c in df.columns])
 
 
 def tail(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
@@ -32,13 +32,20 @@ def seek(df: DataFrame, cursor: dict, n: int) -> DataFrame:
 def asof_latest(df: DataFrame, at: DataFrame, key: str, order: str, warm_up: int = 1) -> DataFrame:
     """For each ``as_of`` the key's last row at or before it, if ``warm_up`` rows lie there.
 
-    ``at`` is a short list of dates (one row a rebalance), so the theta join is a
-    broadcast of that list and the aggregation keeps one row a (date, key).
+    ``at`` is a short list of dates. A row goes to the first of them that sees it, so
+    an aggregation keeps one row a key and date and nothing is multiplied; that row
+    then holds until the key's next one, and counts run on.
     """
-    rest = [c for c in df.columns if c != key]
-    seen = df.join(F.broadcast(at), F.col(order) <= F.col("as_of"))
-    best = seen.groupBy("as_of", key).agg(F.max_by(F.struct(*rest), order).alias("_r"), F.count("*").alias("_n"))
-    return best.where(F.col("_n") >= warm_up).select("as_of", key, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    rest = [c for c in df.columns if c not in (key, order)]
+    dates = at.agg(F.array_sort(F.collect_set("as_of")).alias("all"))
+    seen = df.withColumn("_all", dates.scalar()).withColumn("_at", F.try_element_at(F.filter("_all", lambda a: a >= F.col(order)), F.lit(1)))
+    best = seen.where("_at is not null").groupBy(key, "_at").agg(
+        F.max(order).alias(order), *[F.max_by(c, order).alias(c) for c in rest], F.count("*").alias("_n")
+    )
+    w = Window.partitionBy(key).orderBy("_at")
+    best = best.withColumns({"_next": F.lead("_at").over(w), "_n": F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_all": dates.scalar()})
+    held = F.filter("_all", lambda a: (a >= F.col("_at")) & (F.col("_next").isNull() | (a < F.col("_next"))))
+    return best.where(F.col("_n") >= warm_up).select(F.explode(held).alias("as_of"), key, *[c for c in df.columns if c != key])
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, order: str, value: str, out: str) -> DataFrame:

@@ -5,8 +5,6 @@ All share one partitioning by symbol, so Catalyst plans one shuffle for a chain.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -22,13 +20,10 @@ def sma(x: str, n: int) -> Column:
     return roll(F.avg(x), x, W(), n)
 
 
-def pct_return(x: str, n: int) -> Column:
-    """Change over n rows of the last known value."""
-    return safe_div(x, F.lag(x, n).over(W())) - 1
-
-
-def filled(x: str) -> Column:
-    return F.last(x, ignorenulls=True).over(W().rowsBetween(Window.unboundedPreceding, 0))
+def returns(df: DataFrame, x: str, spans: dict[str, int]) -> DataFrame:
+    """Add the changes of ``x`` over so many rows; a row without a value has the last known one."""
+    df = df.withColumn("_known", F.last(x, ignorenulls=True).over(W().rowsBetween(Window.unboundedPreceding, 0)))
+    return df.withColumns({name: safe_div("_known", F.lag("_known", n).over(W())) - 1 for name, n in spans.items()}).drop("_known")
 
 
 def momentum_12_1(x: str) -> Column:
@@ -70,94 +65,76 @@ def median_turnover(n: int = 60, least: int = 20) -> Column:
 
 
 # --- recursions ---------------------------------------------------------------
-def _fits(alpha: float, n: int) -> bool:
-    """Whether (1 - alpha) ** -n stays a double."""
-    return n * -math.log(1 - alpha) < 600
+STRETCH = 300.0  # a scale of exp(300) stays far inside a double
 
 
-def ema(df: DataFrame, x: str, span: int, out: str, longest: int | None = None) -> DataFrame:
-    """Exponential mean with alpha 2 / (span + 1), seeded with the first value.
+def recursion(df: DataFrame, keep: Column, add: Column, out: str) -> DataFrame:
+    """out[i] = keep[i] * out[i - 1] + add[i] along a symbol's rows, before which it is 0.
 
-    In closed form it is a running sum of scaled values, one window and no Python.
-    Histories too long for the scale of a double go through a grouped fold.
-    ``longest`` is the longest history if the caller knows it.
+    ``keep`` is above 0 and at most 1. Unrolled, a value is a sum of earlier ``add``
+    with falling weights: a running sum of scaled terms. The scale begins anew each
+    ``STRETCH`` in its logarithm, so a history may be of any length, and what the
+    stretch before leaves enters through its total; older ones weigh exp(-300) at most.
     """
-    alpha = 2.0 / (span + 1)
-    if longest is None:
-        longest = df.groupBy("symbol").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if not _fits(alpha, longest):
-        return _ema_fold(df, x, alpha, out)
-    i = F.row_number().over(W()) - 1
-    df = df.withColumn("_i", i)
-    term = F.when(F.col("_i") == 0, F.col(x) / alpha).otherwise(F.col(x) / F.pow(F.lit(1 - alpha), F.col("_i")))
-    run = F.sum(term).over(W().rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn(out, run * alpha * F.pow(F.lit(1 - alpha), F.col("_i"))).drop("_i")
-
-
-def _ema_fold(df: DataFrame, x: str, alpha: float, out: str) -> DataFrame:
-    schema = df.withColumn(out, F.lit(None).cast("double")).schema
+    df = df.withColumn("_fall", F.sum(-F.log(keep)).over(W().rowsBetween(Window.unboundedPreceding, 0))).withColumn("_add", add)
+    df = df.withColumn("_part", F.floor(F.col("_fall") / STRETCH))
+    df = df.withColumn("_term", F.col("_add") * F.exp(F.col("_fall") - STRETCH * F.col("_part")))
+    own = Window.partitionBy("symbol", "_part").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("symbol").orderBy("_part").rangeBetween(-1, -1)
+    df = df.withColumns({"_own": F.sum("_term").over(own), "_before": F.coalesce(F.sum("_term").over(before), F.lit(0.0))})
+    down = F.exp(STRETCH * F.col("_part") - F.col("_fall"))
+    return df.withColumn(out, (F.col("_own") + F.col("_before") * F.exp(F.lit(-STRETCH))) * down).drop("_fall", "_add", "_part", "_term", "_own", "_before")
 
-    def run(pdf):
-        pdf = pdf.sort_values("date")
-        return pdf.assign(**{out: pdf[x].ewm(alpha=alpha, adjust=False).mean()})
-
-    return df.groupBy("symbol").applyInPandas(run, schema)
 
+def ema(df: DataFrame, x: str, span: int, out: str) -> DataFrame:
+    """Exponential mean with alpha 2 / (span + 1), seeded with the first value.
 
-def wilder(df: DataFrame, x: str, n: int, out: str, longest: int | None = None) -> DataFrame:
+    A row without a value carries the mean on, and the mean weighs less at the next
+    value for every row that has passed. Before the first value there is none.
+    """
+    alpha = 2.0 / (span + 1)
+    upto = W().rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("_i", F.row_number().over(W()))
+    df = df.withColumn("_last", F.last(F.when(F.col(x).isNotNull(), F.col("_i")), ignorenulls=True).over(W().rowsBetween(Window.unboundedPreceding, -1)))
+    weight = F.pow(F.lit(1 - alpha), F.col("_i") - F.col("_last"))
+    there = F.col(x).isNotNull()
+    first = there & F.col("_last").isNull()
+    # A pause so long that nothing is left of the mean is a new beginning.
+    keep = F.when(~there | first, F.lit(1.0)).otherwise(F.greatest(weight / (weight + alpha), F.lit(1e-300)))
+    add = F.when(first, F.col(x)).when(there, F.col(x) * alpha / (weight + alpha)).otherwise(F.lit(0.0))
+    df = recursion(df, keep, add, "_mean")
+    return df.withColumn(out, F.when(F.count(x).over(upto) > 0, F.col("_mean"))).drop("_i", "_last", "_mean")
+
+
+def wilder(df: DataFrame, x: str, n: int, out: str) -> DataFrame:
     """Wilder's mean: seeded with the plain mean of the first n valid values.
 
-    Valid values are numbered, the recursion over them is a scaled running sum, and
-    rows without a value carry the last mean forward.
+    Valid values are numbered, and rows without a value carry the last mean forward.
     """
-    a = 1.0 / n
-    if longest is None:
-        longest = df.groupBy("symbol").agg(F.count(x).alias("n")).agg(F.max("n")).first()[0] or 0
-    if not _fits(a, longest):
-        return _wilder_fold(df, x, n, out)
     upto = W().rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("_k", F.count(x).over(upto))
-    value = F.when(F.col(x).isNotNull(), F.col(x))
-    early = F.sum(F.when(F.col("_k") <= n, value)).over(upto) / n
-    scaled = F.when(F.col("_k") > n, value / F.pow(F.lit(1 - a), F.col("_k") - n))
-    late = F.coalesce(F.sum(scaled).over(upto), F.lit(0.0))
-    df = df.withColumn(out, F.when(F.col("_k") >= n, (early + late * a) * F.pow(F.lit(1 - a), F.col("_k") - n)))
-    return df.drop("_k")
-
-
-def _wilder_fold(df: DataFrame, x: str, n: int, out: str) -> DataFrame:
-    schema = df.withColumn(out, F.lit(None).cast("double")).schema
-
-    def run(pdf):
-        pdf = pdf.sort_values("date").reset_index(drop=True)
-        seen, mean, res = [], None, []
-        for v in pdf[x]:
-            if v == v and v is not None:
-                seen.append(v)
-                if mean is not None:
-                    mean += (v - mean) / n
-                elif len(seen) == n:
-                    mean = sum(seen) / n
-            res.append(mean)
-        return pdf.assign(**{out: res})
-
-    return df.groupBy("symbol").applyInPandas(run, schema)
-
-
-def rsi(df: DataFrame, n: int = 14, out: str = "rsi14", longest: int | None = None) -> DataFrame:
+    df = df.withColumn("_early", F.sum(F.when(F.col("_k") <= n, F.col(x))).over(upto) / n)
+    there = F.col(x).isNotNull()
+    keep = F.when(there & (F.col("_k") > n), F.lit(1 - 1.0 / n)).otherwise(F.lit(1.0))
+    add = F.when(there & (F.col("_k") == n), F.col("_early")).when(there & (F.col("_k") > n), F.col(x) / n).otherwise(F.lit(0.0))
+    df = recursion(df, keep, add, "_mean")
+    return df.withColumn(out, F.when(F.col("_k") >= n, F.col("_mean"))).drop("_k", "_early", "_mean")
+
+
+def rsi(df: DataFrame, n: int = 14, out: str = "rsi14") -> DataFrame:
     """No losses give 100, neither gains nor losses 50."""
     d = F.col("close") - F.lag("close").over(W())
     df = df.withColumn("_up", F.when(d.isNotNull(), F.greatest(d, F.lit(0.0)))).withColumn("_down", F.when(d.isNotNull(), F.greatest(-d, F.lit(0.0))))
-    df = wilder(wilder(df, "_up", n, "_u", longest), "_down", n, "_d", longest)
+    df = wilder(wilder(df, "_up", n, "_u"), "_down", n, "_d")
     value = F.when((F.col("_u") == 0) & (F.col("_d") == 0), F.lit(50.0)).when(F.col("_d") == 0, F.lit(100.0)).otherwise(100 - 100 / (1 + safe_div("_u", "_d")))
     return df.withColumn(out, F.when(F.col("_u").isNotNull(), value)).drop("_up", "_down", "_u", "_d")
 
 
-def atr(df: DataFrame, n: int = 14, out: str = "atr14", longest: int | None = None) -> DataFrame:
-    return wilder(df.withColumn("_tr", true_range()), "_tr", n, out, longest).drop("_tr")
+def atr(df: DataFrame, n: int = 14, out: str = "atr14") -> DataFrame:
+    return wilder(df.withColumn("_tr", true_range()), "_tr", n, out).drop("_tr")
 
 
-def adx(df: DataFrame, n: int = 14, out: str = "adx14", longest: int | None = None) -> DataFrame:
+def adx(df: DataFrame, n: int = 14, out: str = "adx14") -> DataFrame:
     """Directional movement of the first bar is 0, so its smoothing starts there."""
     up = F.col("high") - F.lag("high").over(W())
     down = F.lag("low").over(W()) - F.col("low")
@@ -165,48 +142,42 @@ def adx(df: DataFrame, n: int = 14, out: str = "adx14", longest: int | None = No
     df = df.withColumn("_m", F.when((down > up) & (down > 0), down).otherwise(F.lit(0.0)))
     df = df.withColumn("_tr", true_range())
     for a, b in (("_p", "_sp"), ("_m", "_sm"), ("_tr", "_st")):
-        df = wilder(df, a, n, b, longest)
+        df = wilder(df, a, n, b)
     df = df.withColumn("_dp", safe_div("_sp", "_st") * 100).withColumn("_dm", safe_div("_sm", "_st") * 100)
     df = df.withColumn("_dx", safe_div(F.abs(F.col("_dp") - F.col("_dm")), F.col("_dp") + F.col("_dm")) * 100)
-    return wilder(df, "_dx", n, out, longest).drop("_p", "_m", "_tr", "_sp", "_sm", "_st", "_dp", "_dm", "_dx")
+    return wilder(df, "_dx", n, out).drop("_p", "_m", "_tr", "_sp", "_sm", "_st", "_dp", "_dm", "_dx")
 
 
-def macd_histogram(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, out: str = "macd_hist", longest: int | None = None) -> DataFrame:
-    df = ema(ema(df, "close", fast, "_f", longest), "close", slow, "_s", longest)
+def macd_histogram(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, out: str = "macd_hist") -> DataFrame:
+    df = ema(ema(df, "close", fast, "_f"), "close", slow, "_s")
     df = df.withColumn("_line", F.col("_f") - F.col("_s"))
-    df = ema(df, "_line", signal, "_sig", longest)
+    df = ema(df, "_line", signal, "_sig")
     return df.withColumn(out, F.col("_line") - F.col("_sig")).drop("_f", "_s", "_line", "_sig")
 
 
 def relative_strength(df: DataFrame, index: DataFrame, n: int = 126, out: str = "rs_vs_index") -> DataFrame:
     """Return against the index's over n sessions; the index is aligned to the symbol's dates, then filled."""
     df = df.join(index.select("date", F.col("close").alias("_raw")), "date", "left")
-    df = df.withColumn("_idx", F.last("_raw", ignorenulls=True).over(W().rowsBetween(Window.unboundedPreceding, 0)))
-    df = df.withColumn(out, safe_div(1 + pct_return("close", n), 1 + pct_return("_idx", n)) - 1)
-    return df.drop("_raw", "_idx")
+    df = returns(returns(df, "close", {"_own": n}), "_raw", {"_idx": n})
+    return df.withColumn(out, safe_div(1 + F.col("_own"), 1 + F.col("_idx")) - 1).drop("_raw", "_own", "_idx")
 
 
+# The columns of a technicals row.
 TECHNICALS = (
     "sma20", "sma50", "sma200", "wma50", "sma200_slope", "rsi14", "macd_hist", "adx14", "atr14", "atr_pct", "ret_1m", "ret_3m", "ret_6m", "ret_12m",
     "mom_12_1", "rs_vs_index", "dist_52w_high", "vol_ratio_20_100", "max_dd_6m", "turnover_60d_cr",
 )
 
 
-def technicals(bars: DataFrame, index: DataFrame, longest: int | None = None) -> DataFrame:
+def technicals(bars: DataFrame, index: DataFrame) -> DataFrame:
     """All twenty columns after one shuffle by symbol."""
-    if longest is None:
-        longest = bars.groupBy("symbol").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     df = relative_strength(bars, index)
     df = df.withColumns({"sma20": sma("close", 20), "sma50": sma("close", 50), "sma200": sma("close", 200), "wma50": sma("close", 250)})
-    df = df.withColumn("sma200_slope", slope("sma200"))
-    df = adx(atr(macd_histogram(rsi(df, longest=longest), longest=longest), longest=longest), longest=longest)
+    df = returns(df.withColumn("sma200_slope", slope("sma200")), "close", {"ret_1m": 21, "ret_3m": 63, "ret_6m": 126, "ret_12m": 252})
+    df = adx(atr(macd_histogram(rsi(df))))
     df = df.withColumns(
         {
             "atr_pct": safe_div("atr14", "close"),
-            "ret_1m": pct_return("close", 21),
-            "ret_3m": pct_return("close", 63),
-            "ret_6m": pct_return("close", 126),
-            "ret_12m": pct_return("close", 252),
             "mom_12_1": momentum_12_1("close"),
             "dist_52w_high": distance_from_high(),
             "vol_ratio_20_100": volume_ratio(),

@@ -35,7 +35,6 @@ def newey_west(series: DataFrame, x: str, *groups: str, order: str = "as_of", la
     w = Window.partitionBy(*names)
     df = df.withColumn("_e", F.col(x) - F.avg(x).over(w))
     o = w.orderBy(order)
-    sums = {f"_g{k}": F.sum(F.col("_e") * F.lag("_e", k).over(o)) for k in range(1, lag + 1)}
     df = df.withColumns({f"_p{k}": F.col("_e") * F.lag("_e", k).over(o) for k in range(1, lag + 1)})
     out = df.groupBy(*names).agg(
         F.count(x).alias("n"),
@@ -43,12 +42,11 @@ def newey_west(series: DataFrame, x: str, *groups: str, order: str = "as_of", la
         F.stddev_samp(x).alias("sd"),
         F.avg((F.col(x) > 0).cast("double")).alias("share_positive"),
         F.avg(F.col("_e") * F.col("_e")).alias("_g0"),
-        *[F.sum(f"_p{k}").alias(f"_g{k}") for k in range(1, len(sums) + 1)],
+        *[F.sum(f"_p{k}").alias(f"_g{k}") for k in range(1, lag + 1)],
     )
     var = F.col("_g0")
     for k in range(1, lag + 1):
-        used = F.when(F.col("n") > k, 2 * (1 - k / (F.least(F.lit(lag), F.col("n") - 1) + 1)) * F.coalesce(F.col(f"_g{k}") / F.col("n"), F.lit(0.0))).otherwise(0.0)
-        var = var + F.when(F.least(F.lit(lag), F.col("n") - 1) >= k, used).otherwise(0.0)
+        var = var + 2 * (1 - k / (lag + 1)) * F.coalesce(F.col(f"_g{k}") / F.col("n"), F.lit(0.0))
     se = F.when(F.col("n") >= 4, F.sqrt(F.greatest(var, F.lit(1e-12)) / F.col("n")))
     out = out.withColumn("nw_se", se)
     out = out.select(*groups, "n", "mean", (F.col("sd") / F.sqrt("n")).alias("naive_se"), "nw_se", safe_div("mean", "nw_se").alias("nw_t"), "share_positive")

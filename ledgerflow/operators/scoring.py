@@ -124,13 +124,17 @@ MIN_STOP_ATR, ZONE_BUFFER_ATR, VOLATILITY_ATR, MAX_STOP, MAX_POSITION = 1.5, 0.5
 
 
 def suggest_stop(price="close", atr="atr14", zone="zone_floor", swing="swing_low") -> Column:
-    """Below the zone, else below the swing low, else a volatility stop; kept between the nearest and the farthest distance.
+    """Below a zone under the price, else below a swing low under it, else a volatility stop.
 
-    A zone below the price settles it even if its candidate is clamped.
+    A candidate beyond the farthest distance leaves the volatility stop in its place.
+    Too near a stop is moved away, and only one that was not too near is held to the
+    farthest distance.
     """
     p, a, z, s = (F.col(c) for c in (price, atr, zone, swing))
-    raw = F.when(z < p, z - ZONE_BUFFER_ATR * a).when(s < p, s - ZONE_BUFFER_ATR * a).otherwise(p - VOLATILITY_ATR * a)
-    return F.when((p > 0) & (a > 0), F.greatest(F.least(raw, p - MIN_STOP_ATR * a), p * (1 - MAX_STOP)))
+    far, near = p * (1 - MAX_STOP), p - MIN_STOP_ATR * a
+    below = F.when(z < p, z).when(s < p, s) - ZONE_BUFFER_ATR * a
+    raw = F.when(below > far, below).otherwise(p - VOLATILITY_ATR * a)
+    return F.when((p > 0) & (a > 0), F.when(raw > near, near).otherwise(F.greatest(raw, far)))
 
 
 def quantity(capital: float, risk: float, price="close", stop="stop") -> Column:

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -13,8 +14,8 @@ def rows(df: pd.DataFrame) -> list:
     def text(v):
         if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return ""
-        if isinstance(v, bool):
-            return str(v)
+        if isinstance(v, (bool, np.bool_)):
+            return str(bool(v))
         if hasattr(v, "year"):
             return str(pd.Timestamp(v))
         try:

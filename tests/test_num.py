@@ -8,6 +8,7 @@ from ledgerflow.functions import num
 from ledgerflow.operators import histories as hs
 from ledgerflow.operators import indicators as ind
 
+# The worked example of Wilder's oscillator that charting schools publish.
 CLOSES = [44.34, 44.09, 44.15, 43.61, 44.33, 44.83, 45.10, 45.42, 45.84, 46.08, 45.89, 46.03, 45.61, 46.28, 46.28, 46.00, 46.03, 46.41, 46.22, 45.64]
 
 
@@ -45,15 +46,77 @@ def test_rsi_golden(spark):
     assert column(ind.rsi(series(spark, [5.0] * 20)), "rsi14")[-1] == 50
 
 
-def test_recursions_agree_with_the_fold(spark):
-    df = series(spark, [None, 3.0, *CLOSES, None, 44.0]).withColumn("close", F.col("close"))
-    a = column(ind.wilder(df, "close", 5, "w", longest=100), "w")
-    b = column(ind.wilder(df, "close", 5, "w", longest=10**9), "w")
-    assert [x is None for x in a] == [x is None or x != x for x in b]
-    assert all(x is None or abs(x - y) < 1e-9 for x, y in zip(a, b))
-    df = series(spark, CLOSES)
-    a, b = (column(ind.ema(df, "close", 9, "e", longest=n), "e") for n in (100, 10**9))
-    assert all(abs(x - y) < 1e-9 for x, y in zip(a, b))
+def folded_ema(xs, alpha):
+    """The plain recursion: a mean loses (1 - alpha) of its weight at every row, a new value has alpha."""
+    mean, weight, out = None, 1.0, []
+    for x in xs:
+        if mean is None:
+            mean = x
+        else:
+            weight *= 1 - alpha
+            if x is not None:
+                mean, weight = (weight * mean + alpha * x) / (weight + alpha), 1.0
+        out.append(mean)
+    return out
+
+
+def folded_wilder(xs, n):
+    seen, mean, out = [], None, []
+    for x in xs:
+        if x is not None:
+            seen.append(x)
+            mean = mean + (x - mean) / n if mean is not None else sum(seen) / n if len(seen) == n else None
+        out.append(mean)
+    return out
+
+
+def close_to(got, want, tolerance=1e-9):
+    assert [x is None for x in got] == [x is None for x in want]
+    assert all(x is None or abs(x - y) <= tolerance * max(1, abs(y)) for x, y in zip(got, want))
+
+
+def test_ema_carries_gaps(spark):
+    df = series(spark, [1.0, 2.0, 3.0, None, None, 6.0])
+    close_to(column(ind.ema(df, "close", 9, "e"), "e"), [1.0, 1.2, 1.56, 1.56, 1.56, 2.8072], 1e-4)
+    close_to(column(ind.ema(series(spark, [None, 2.0, 4.0]), "close", 9, "e"), "e"), [None, 2.0, 2.4])
+
+
+def test_recursions_equal_the_fold(spark):
+    import random
+
+    r = random.Random(3)
+    for xs in ([None, 3.0, *CLOSES, None, 44.0], [r.choice((None, r.random() * 100)) for _ in range(300)], [5.0] + [None] * 700 + [r.random() for _ in range(2000)]):
+        df = series(spark, xs)
+        for span in (2, 9, 26):
+            close_to(column(ind.ema(df, "close", span, "e"), "e"), folded_ema(xs, 2 / (span + 1)))
+        for n in (2, 14):
+            close_to(column(ind.wilder(df, "close", n, "w"), "w"), folded_wilder(xs, n))
+    assert column(ind.ema(series(spark, [None, None]), "close", 9, "e"), "e") == [None, None]
+
+
+def test_returns_pad_gaps(spark):
+    got = column(ind.returns(series(spark, [10.0, None, 12.0, None]), "close", {"r": 1}), "r")
+    close_to(got, [None, 0.0, 0.2, 0.0])
+
+
+def test_stops(spark):
+    from ledgerflow.operators.scoring import suggest_stop
+
+    cases = [(100.0, 2.0, 96.0, None, 95.0), (100.0, 2.0, 50.0, None, 95.0), (100.0, 2.0, 120.0, 97.0, 96.0), (100.0, 2.0, None, 10.0, 95.0), (100.0, 2.0, 99.9, None, 97.0), (100.0, 30.0, None, None, 70.0), (100.0, 2.0, 50.0, 97.0, 95.0), (100.0, 0.0, 96.0, None, None)]
+    df = spark.createDataFrame([(*c, i) for i, c in enumerate(cases)], "close double, atr14 double, zone_floor double, swing_low double, want double, i int")
+    rows = df.select("i", "want", suggest_stop().alias("stop")).orderBy("i").collect()
+    close_to([x["stop"] for x in rows], [x["want"] for x in rows])
+
+
+def test_newey_west_weights(spark):
+    from ledgerflow.operators.research import newey_west
+
+    for xs in ([0.1, 0.3, -0.2, 0.4], [0.1, 0.3, -0.2, 0.4, 0.0], [0.05 * i * (-1) ** i for i in range(12)]):
+        df = spark.createDataFrame([(dt.date(2020, 1, 1) + dt.timedelta(days=30 * i), x) for i, x in enumerate(xs)], "as_of date, ic double")
+        n, mean = len(xs), sum(xs) / len(xs)
+        e = [x - mean for x in xs]
+        var = sum(x * x for x in e) / n + sum(2 * (1 - k / 6) * sum(a * b for a, b in zip(e[k:], e)) / n for k in range(1, min(5, n - 1) + 1))
+        assert abs(newey_west(df, "ic").first()["nw_se"] - (max(var, 1e-12) / n) ** 0.5) < 1e-12
 
 
 def test_atr_of_a_constant_range(spark):
