@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import indicators as ind, zones as zn
 from ..operators.indicators import W
 from ..plans.views import Market
-from .prices import OVER
+from .prices import NTR, OVER, _wilder_sql
 from .registry import query
 
 _PIVOTS = f"""n AS (SELECT symbol, date, high, low, close, row_number() {OVER} - 1 AS i FROM nbars),
@@ -37,13 +37,42 @@ def _atr(m: Market) -> DataFrame:
     return df.select("symbol", (F.row_number().over(W()) - 1).alias("idx"), "atr")
 
 
-@query()
+_NATR = f"nw AS (SELECT *, row_number() {OVER} - 1 AS i FROM ({_wilder_sql('tr', 14, 't', 'atr14')}))"
+
+
+def _bands(points: str) -> str:
+    """Clusters and their bands from ``points`` (symbol, kind, idx, price, confirmed)."""
+    return f"""pts AS (SELECT p.*, w.atr14 AS atr, row_number() OVER (PARTITION BY p.symbol, kind ORDER BY CASE WHEN kind = 'low' THEN price ELSE -price END, idx, price, w.atr14, confirmed) AS r FROM ({points}) p JOIN nw w ON w.symbol = p.symbol AND w.i = p.idx WHERE w.atr14 > 0),
+clus AS (
+  SELECT symbol, kind, idx, price, atr, confirmed, r, price AS anchor, 1 AS cluster FROM pts WHERE r = 1
+  UNION ALL
+  SELECT p.symbol, p.kind, p.idx, p.price, p.atr, p.confirmed, p.r, CASE WHEN abs(p.price - c.anchor) <= 0.6 * p.atr THEN c.anchor ELSE p.price END, CASE WHEN abs(p.price - c.anchor) <= 0.6 * p.atr THEN c.cluster ELSE c.cluster + 1 END
+  FROM clus c JOIN pts p ON p.symbol = c.symbol AND p.kind = c.kind AND p.r = c.r + 1),
+bands AS (SELECT b.symbol, kind, cluster, formed, members, floor - pad AS floor, ceil + pad AS ceil FROM (
+  SELECT b.*, greatest(0.35 * w.atr14 - (ceil - floor), 0) / 2 AS pad FROM (SELECT symbol, kind, cluster, max(confirmed) AS formed, count(*) AS members, min(price) AS floor, max(price) AS ceil FROM clus GROUP BY 1, 2, 3) b
+  JOIN nw w ON w.symbol = b.symbol AND w.i = b.formed WHERE w.atr14 > 0) b)"""
+
+
+SWINGS = "SELECT symbol, kind, idx, price, confirmed FROM piv"
+
+
+@query(
+    "SELECT symbol, kind, CAST(idx AS INTEGER) AS idx, round(price, 6) AS price, round(atr, 6) AS atr, CAST(confirmed AS INTEGER) AS confirmed, cluster FROM clus",
+    views="nbars",
+    more=f"{_PIVOTS}, {NTR}, {_NATR}, {_bands(SWINGS)}",
+    recursive=True,
+)
 def j03_clusters(m: Market) -> DataFrame:
     p = zn.pivots(m.nation_bars()).join(_atr(m), ["symbol", "idx"])
     return zn.clusters(p, "low").unionByName(zn.clusters(p, "high"))
 
 
-@query()
+@query(
+    "SELECT symbol, kind, cluster, CAST(formed AS INTEGER) AS formed, members, round(floor, 6) AS floor, round(ceil, 6) AS ceil FROM bands",
+    views="nbars",
+    more=f"{_PIVOTS}, {NTR}, {_NATR}, {_bands(SWINGS)}",
+    recursive=True,
+)
 def j04_zones(m: Market) -> DataFrame:
     atr = _atr(m)
     p = zn.pivots(m.nation_bars()).join(atr, ["symbol", "idx"])
@@ -53,8 +82,7 @@ def j04_zones(m: Market) -> DataFrame:
 _EDGE = "CASE WHEN {k} = 60 THEN hi ELSE lo + {k} * step END"
 
 
-@query(
-    f"""SELECT symbol, bin, round(floor, 6) AS floor, round({_EDGE.format(k='(bin + 1)')}, 6) AS ceil, round(share, 6) AS share FROM (
+_SHELVES = f"""SELECT symbol, bin, floor, {_EDGE.format(k='(bin + 1)')} AS ceil, share FROM (
       SELECT *, {_EDGE.format(k='bin')} AS floor, weight / sum(weight) OVER (PARTITION BY symbol) AS share FROM (
         SELECT symbol, bin, lo, hi, step, last, sum(v) AS weight FROM (
           SELECT symbol, lo, hi, step, last, volume / (b - a) AS v, CAST(unnest(range(a, b)) AS INTEGER) AS bin FROM (
@@ -65,8 +93,9 @@ _EDGE = "CASE WHEN {k} = 60 THEN hi ELSE lo + {k} * step END"
                     SELECT *, (hi - lo) / 60 AS step FROM (
                       SELECT *, min(low) OVER (PARTITION BY symbol) AS lo, max(high) OVER (PARTITION BY symbol) AS hi, count(*) OVER (PARTITION BY symbol) AS n, first_value(close) OVER (PARTITION BY symbol ORDER BY date DESC) AS last
                       FROM (SELECT * FROM nbars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 500)) WHERE n >= 30 AND hi > lo AND volume > 0)))))) GROUP BY ALL))
-    WHERE floor < last QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY weight DESC, bin DESC) <= 3""",
-    views="nbars",
-)
+    WHERE floor < last QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY weight DESC, bin DESC) <= 3"""
+
+
+@query(f"SELECT symbol, bin, round(floor, 6) AS floor, round(ceil, 6) AS ceil, round(share, 6) AS share FROM ({_SHELVES})", views="nbars")
 def j05_g07_volume_shelves(m: Market) -> DataFrame:
     return zn.shelves(m.nation_bars())

@@ -11,7 +11,7 @@ from ..plans.views import Market
 from ..sources import files
 from .cross import _BLENDED, _PARTS, _X, parts
 from .levels import _PIVOTS
-from .prices import _ema_sql, _TR, _wilder_sql
+from .prices import NTR, _ema_sql, _TR, _wilder_sql
 from .registry import query
 from .tables import _LATEST, latest
 
@@ -123,7 +123,6 @@ def j02_visible_pivots(m: Market) -> DataFrame:
 
 
 _FRACTAL_HIGHS = "fr AS (SELECT symbol, high AS level FROM (SELECT *, max(high) OVER w AS top, count(*) OVER w AS n, len(list_filter(list(high) OVER w, lambda v: v < high)) AS below FROM nbars WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)) WHERE n = 21 AND high = top AND below >= 10)"
-NTR = _TR.replace("FROM bars", "FROM nbars")
 _LAST = f"l AS (SELECT symbol, close AS price, atr14 AS atr, year FROM (SELECT *, max(high) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) AS year FROM ({_wilder_sql('tr', 14, 't', 'atr14')})) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1)"
 _ABOVE = "lv AS (SELECT v.symbol, level, l.price, l.atr FROM (SELECT symbol, price AS level FROM piv WHERE kind = 'high' UNION ALL SELECT symbol, level FROM fr) v JOIN l USING (symbol) WHERE level > l.price)"
 
