@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH = 250  # rows of an Arrow batch
 BITMAP_WORDS = 1 << 19  # 4 MB, 33.5 million bits
 CHUNKS = "kind int, chunk int, bits binary"
 
@@ -27,9 +28,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Small Arrow batches: a batch of very long documents must fit in a worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Small Arrow batches: very long documents are copied whole into the buffers of both sides.
+
+    The setting stays with the session, because plans run after the call that made them.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -43,12 +43,12 @@ from .text_core import buffers, pieces, shingles, splitmix, trim, word_hashes
 BUCKET = 64  # entries of a list that are paired by array passes
 BLOCK = 512  # classes of a token group
 GROUP_TOKENS = 1 << 20  # tokens of a token group
-CHUNK_TOKENS = 1 << 20  # tokens of a chunk of groups
+CHUNK_TOKENS = 1 << 21  # tokens of a chunk of groups
 HELD_CHARS = 1 << 20  # characters of the texts of one compressed value
 ASKERS = 2048  # probing sets that one copy of a group serves
 HOT = 1000  # copies of one text that make its class a hot key
 SENT = 2_000_000  # representatives (32 bytes each) that are broadcast to their texts; more are joined by a shuffle
-KEY_BITS = np.uint64(16)  # low bits left out when tokens are counted
+SPARE_BITS = 13  # bits of a counted key beyond those of the number of tokens: few of them share a key by chance
 
 
 def prefix_len(n, num: int):
@@ -219,26 +219,29 @@ def _held(texts: pa.Table, compressor) -> bytes:
 
 
 def _pack(keys: np.ndarray, counts: np.ndarray, compressor) -> bytes:
-    """Sorted 48-bit keys as gaps and 32-bit counts, in byte planes."""
-    gaps = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, :6].T
+    """Sorted keys as gaps and 32-bit counts, in byte planes."""
+    gaps = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
     planes = np.minimum(counts, 2**32 - 1).astype("<u4").view(np.uint8).reshape(-1, 4).T
     return compressor.compress(np.ascontiguousarray(gaps).tobytes() + np.ascontiguousarray(planes).tobytes())
 
 
 def _unpack(blob: bytes, decompressor) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(decompressor.decompress(blob), np.uint8)
-    n = len(raw) // 10
-    gaps = np.zeros((n, 8), np.uint8)
-    gaps[:, :6] = raw[: 6 * n].reshape(6, n).T
-    counts = np.ascontiguousarray(raw[6 * n :].reshape(4, n).T).view("<u4").reshape(-1)
-    return np.cumsum(gaps.reshape(-1).view(np.uint64), dtype=np.uint64), counts.astype(np.int64)
+    n = len(raw) // 12
+    gaps = np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view("<u8").reshape(-1)
+    counts = np.ascontiguousarray(raw[8 * n :].reshape(4, n).T).view("<u4").reshape(-1)
+    return np.cumsum(gaps, dtype=np.uint64), counts.astype(np.int64)
 
 
 _COUNTED = {"kind": pa.int32(), "chunk": pa.int64(), "span": pa.int32(), "keys": pa.binary(), "a": pa.int64(), "b": pa.int64(), "m": pa.int64()}
 
 
-def _matrix(placed: DataFrame, k: int, num: int, spans: int) -> DataFrame:
-    """kind 0: the tokens of a chunk in one span of the key space, with their groups; kind 1: stars (a, b, m); kind 2: texts."""
+def _matrix(placed: DataFrame, k: int, num: int, spans: int, width: int) -> DataFrame:
+    """kind 0: the tokens of a chunk in one span of the key space, with their groups; kind 1: stars (a, b, m); kind 2: texts.
+
+    A token's key is its ``width`` highest bits.
+    """
+    low = np.uint64(64 - width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
@@ -253,12 +256,12 @@ def _matrix(placed: DataFrame, k: int, num: int, spans: int) -> DataFrame:
                 sets = [r[4] for r in own.values()]
                 if len(sets) > 1:
                     out += [(1, rows[0][0], None, None, *s) for s in _stars(np.array([r[3] for r in own.values()]), sets, num)]
-                    keys.append(np.unique(np.concatenate(sets) >> KEY_BITS))
+                    keys.append(np.unique(np.concatenate(sets) >> low))
                 else:
-                    keys.append(sets[0] >> KEY_BITS)
+                    keys.append(sets[0] >> low)
             key, many = np.unique(np.concatenate(keys), return_counts=True)
-            cut = np.searchsorted(key, np.arange(spans + 1, dtype=np.uint64) * np.uint64((1 << 48) // spans))
-            cut[-1] = len(key)
+            cut = np.searchsorted(key, np.arange(spans, dtype=np.uint64) * np.uint64((1 << width) // spans))
+            cut = np.append(cut, len(key))
             for i in range(spans):
                 if cut[i] < cut[i + 1]:
                     out.append((0, rows[0][0], i, _pack(key[cut[i] : cut[i + 1]], many[cut[i] : cut[i + 1]], z), None, None, None))
@@ -335,7 +338,7 @@ def _shared(counted: DataFrame) -> DataFrame:
 _LISTED = {"c": pa.int64(), "rep": pa.int64(), "gid": pa.int64(), "heads": pa.list_(pa.int64()), "tokens": pa.binary()}
 
 
-def _listed(counted: DataFrame, shared: DataFrame, k: int, num: int) -> DataFrame:
+def _listed(counted: DataFrame, shared: DataFrame, k: int, num: int, width: int) -> DataFrame:
     """c, rep, gid, heads (the listed tokens that other groups hold), tokens of the sets with such heads."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -361,7 +364,7 @@ def _listed(counted: DataFrame, shared: DataFrame, k: int, num: int) -> DataFram
         sets = _sets(part, "text", k)
         n = np.array([len(s) for s in sets], np.int64)
         flat = np.concatenate(sets)
-        own = flat >> KEY_BITS
+        own = flat >> np.uint64(64 - width)
         at = np.minimum(np.searchsorted(key, own), len(key) - 1)
         df = np.where(key[at] == own, many[at], 1)
         doc = np.repeat(np.arange(len(n)), n)
@@ -547,10 +550,12 @@ def ngram_jaccard(
     members = groups(classes, ws, 8 + count // 500_000, block).select("c", "c2", "rep", "gid")
     if count <= SENT:
         members = F.broadcast(members)
-    placed = _texts(docs, doc_id, text, members, 48 + total // CHUNK_TOKENS)
-    counted = ws.save(_matrix(placed, k, num, 16 + total // CHUNK_TOKENS), "matrix")
-    stars = counted.where("kind = 1").select("a", "b", "m")
-    listed = ws.save(_listed(counted, _shared(counted), k, num), "listed")
+    placed = _texts(docs, doc_id, text, members, 48 + 2 * total // CHUNK_TOKENS)
+    width = min(64, int(total).bit_length() + SPARE_BITS)
+    counted = ws.save(_matrix(placed, k, num, 16 + total // CHUNK_TOKENS, width), "matrix")
+    stars = ws.save(counted.where("kind = 1").select("a", "b", "m"), "stars")
+    listed = ws.save(_listed(counted, _shared(counted), k, num, width), "listed")
+    ws.drop(counted)
     heads = listed.select("rep", "gid", F.explode("heads").alias("h"))
     sets = listed.select("rep", "gid", "tokens")
 
@@ -563,7 +568,7 @@ def ngram_jaccard(
     weight = far.groupBy("comp").agg(F.count("*").alias("w"))
     mixed = far.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("h")
     probes = ws.save(_probes(far.join(mixed, "h", "left_semi").join(weight, "comp"), bucket), "probes")
-    links = _opened(probes, sets, num, 48 + total // (8 * CHUNK_TOKENS))
+    links = _opened(probes, sets, num, 48 + total // (4 * CHUNK_TOKENS))
 
     comp = components(stars.select("a", "b").unionByName(centres).unionByName(links), ws)
     return _spread(sig, classes, comp)

@@ -51,9 +51,9 @@ def test_links_come_from_opened_groups(spark):
     classes = ws.save(classes, "classes")
     members = ws.save(jaccard.groups(classes, ws, 4, 512), "groups")
     assert members.count() == members.select("c", "c2").distinct().count() == classes.count()
-    counted = ws.save(jaccard._matrix(jaccard._texts(docs, "doc_id", "text", members.select("c", "c2", "rep", "gid"), 4), 4, 85, 4), "matrix")
+    counted = ws.save(jaccard._matrix(jaccard._texts(docs, "doc_id", "text", members.select("c", "c2", "rep", "gid"), 4), 4, 85, 4, 40), "matrix")
     stars = counted.where("kind = 1 and a <> b").count()
-    listed = ws.save(jaccard._listed(counted, jaccard._shared(counted), 4, 85), "listed")
+    listed = ws.save(jaccard._listed(counted, jaccard._shared(counted), 4, 85, 40), "listed")
     heads = listed.select("rep", "gid", F.explode("heads").alias("h"))
     met = heads.groupBy("h").agg(F.countDistinct("gid").alias("m")).where("m > 1").count()
     out = jaccard.ngram_jaccard(docs)
