@@ -93,7 +93,63 @@ def expanding(a: str) -> Column:
 
 
 def delta(a: str, quarters: int) -> Column:
-    return at(a, 1) - at(a, quarters + 1)
+    """Change of the known values over so many quarters."""
+    c = cleaned(a)
+    return at(c, 1) - at(c, quarters + 1)
+
+
+def _last_three(a: str) -> Column:
+    """Those of the last three values that are known."""
+    return F.filter(F.slice(a, F.greatest(F.size(a) - 2, F.lit(1)), 3), lambda x: x.isNotNull() & ~F.isnan(x))
+
+
+def _sum(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+
+
+def quality_metrics(df: DataFrame) -> DataFrame:
+    """Add the inputs of the quality score from the arrays revenue, pat, quarterly_pat, cfo, opm_history and debt, and from pe and fcf."""
+    cash, profit = _last_three("cfo"), _sum(_last_three("pat"))
+    df = df.withColumns(
+        {
+            "revenue_cagr_3y": cagr("revenue", 3),
+            "pat_cagr_3y": cagr("pat", 3),
+            "quarter_yoy": yoy("quarterly_pat"),
+            "opm": at("opm_history", 1),
+            "opm_trend": trend("opm_history"),
+            "debt_trend": trend("debt"),
+            "cfo_to_pat": F.when((profit > 0) & (F.size(cash) > 0), _sum(cash) / profit),
+            "fcf_positive": F.when(F.col("fcf").isNotNull(), (F.col("fcf") > 0).cast("double")),
+        }
+    )
+    return df.withColumn("peg", F.when((F.col("pe") != 0) & (F.col("pat_cagr_3y") > 0), F.col("pe") / (F.col("pat_cagr_3y") * 100)))
+
+
+def revision_metrics(df: DataFrame) -> DataFrame:
+    """Add the inputs of the revision score from the arrays quarterly_pat, quarterly_revenue and quarterly_opm."""
+    df = with_sue(with_sue(df, "quarterly_pat", "sue_pat"), "quarterly_revenue", "sue_revenue")
+    return df.withColumns(
+        {
+            "accel_pat": acceleration("quarterly_pat"),
+            "accel_revenue": acceleration("quarterly_revenue"),
+            "margin_revision": margin_revision("quarterly_opm"),
+            "consistency": consistency("quarterly_pat"),
+        }
+    )
+
+
+def ownership_metrics(df: DataFrame) -> DataFrame:
+    """Add the changes in points from the arrays promoter, fii and dii; without a promoter (has_promoter) its changes are unknown."""
+    held = F.coalesce("has_promoter", F.lit(False))
+    return df.withColumns(
+        {
+            "promoter_delta_4q": F.when(held, delta("promoter", 4)),
+            "promoter_delta_1q": F.when(held, delta("promoter", 1)),
+            "fii_delta_4q": delta("fii", 4),
+            "fii_delta_2q": delta("fii", 2),
+            "dii_delta_4q": delta("dii", 4),
+        }
+    )
 
 
 def trailing(a: str, n: int = 4) -> Column:
@@ -120,12 +176,12 @@ def gate(name: str, unknown: Column, fail: Column, inapplicable: Column | None =
     return F.struct(F.lit(name).alias("name"), verdict.when(F.coalesce(unknown, F.lit(True)), "unknown").when(fail, "fail").otherwise("pass").alias("verdict"))
 
 
-def red_flags() -> Column:
-    """Six verdicts from pledge, promoter_change, cash_ratio, receivable_ratio, loss_years, turnover and is_lender."""
+def red_flags(has_promoter: bool = False) -> Column:
+    """Six verdicts; with ``has_promoter`` a column of that name says to whom promoter selling does not apply. From pledge, promoter_change, cash_ratio, receivable_ratio, loss_years, turnover and is_lender."""
     c = F.col
     return F.array(
         gate("promoter_pledge", c("pledge").isNull(), c("pledge") > PLEDGE_MAX),
-        gate("promoter_selling", c("promoter_change").isNull(), c("promoter_change") < -PROMOTER_DROP),
+        gate("promoter_selling", c("promoter_change").isNull(), c("promoter_change") < -PROMOTER_DROP, ~c("has_promoter") if has_promoter else None),
         gate("cash_conversion", c("cash_ratio").isNull(), c("cash_ratio") < CASH_MIN, c("is_lender")),
         gate("receivable_bloat", c("receivable_ratio").isNull(), c("receivable_ratio") > RECEIVABLE_MAX, c("is_lender")),
         gate("loss_making", c("loss_years").isNull(), c("loss_years") >= LOSS_YEARS),

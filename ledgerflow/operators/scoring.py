@@ -13,6 +13,9 @@ MOMENTUM_COVERAGE, BELOW_TREND_CAP = 0.6, 40.0
 BLEND = {"quality": 5, "value": 45, "technical": 50, "revision": 0, "ownership": 0}
 VALUE = {"multiples": 35, "own_history": 25, "earnings_yield": 20, "turnaround": 12, "dividend": 8}
 REVISION = {"surprise": 35, "acceleration": 25, "revenue_surprise": 20, "margin_revision": 10, "consistency": 10}
+QUALITY = {"q_growth": 30, "q_profitability": 25, "q_balance_sheet": 20, "q_cash_quality": 15, "q_valuation": 10}
+QUALITY_LENDER = {"q_growth": 42, "q_profitability": 42, "q_valuation": 16}
+OWNERSHIP = {"o_promoter": 40, "o_fii": 35, "o_dii": 25}
 CONVICTION = {
     "false_breakout": 1, "hanging_man": 1, "rejected": 1, "shooting_star": 1, "bearish_engulfing": 1, "doji": 1, "resistance_strength": 1, "tm_score": 1,
     "zone_respect": 1, "value_score": 1, "headroom": -1, "ownership_score": -1, "margin_revision": -1,
@@ -64,6 +67,61 @@ def value_score(x: DataFrame, out: str = "value_score") -> DataFrame:
     return x.withColumn(out, blend(VALUE, 0.5))
 
 
+def quality_score(x: DataFrame, out: str = "quality_score") -> DataFrame:
+    """Add the five components (q_) and their weighted score; lenders are not asked for balance sheet and cash.
+
+    ``x`` has sector, is_financial and the columns of ``histories.quality_metrics``.
+    """
+    up = lambda c: percentile_score(c, "peer")
+    down = lambda c: percentile_score(c, "peer", descending=True)
+    x = peer_groups(x).withColumns(
+        {
+            "q_growth": mean_of(up("revenue_cagr_3y"), up("pat_cagr_3y"), up("quarter_yoy")),
+            "q_profitability": mean_of(up("roe"), up("roce"), up("opm"), up("opm_trend")),
+            "q_balance_sheet": mean_of(down("debt_equity"), up("interest_cover"), down("debt_trend")),
+            "q_cash_quality": mean_of(up("cfo_to_pat"), F.col("fcf_positive") * 100),
+            "q_valuation": mean_of(down("peg"), down("pe")),
+        }
+    )
+    lender = F.coalesce("is_financial", F.lit(False))
+    return x.withColumn(out, F.when(lender, blend(QUALITY_LENDER, 0.5)).otherwise(blend(QUALITY, 0.5)))
+
+
+def revision_score(x: DataFrame, out: str = "revision_score") -> DataFrame:
+    """Add the five components (r_) and their weighted score.
+
+    ``x`` has sector and the columns of ``histories.revision_metrics``.
+    """
+    up = lambda c: percentile_score(c, "peer")
+    x = peer_groups(x).withColumns(
+        {
+            "r_surprise": up("sue_pat"),
+            "r_acceleration": mean_of(up("accel_pat"), up("accel_revenue")),
+            "r_revenue_surprise": up("sue_revenue"),
+            "r_margin_revision": up("margin_revision"),
+            "r_consistency": F.col("consistency") * 100,
+        }
+    )
+    return x.withColumn(out, blend({f"r_{k}": w for k, w in REVISION.items()}, 0.5))
+
+
+def ownership_score(x: DataFrame, out: str = "ownership_score") -> DataFrame:
+    """Add the three components (o_) and their weighted score over those that are there.
+
+    ``x`` has sector and the changes in points of ``histories.ownership_metrics``.
+    """
+    up = lambda c: percentile_score(c, "peer")
+    x = peer_groups(x).withColumns({f"_{c}": up(c) for c in ("promoter_delta_4q", "promoter_delta_1q", "fii_delta_4q", "fii_delta_2q")})
+    x = x.withColumns(
+        {
+            "o_promoter": blend({"_promoter_delta_4q": 0.65, "_promoter_delta_1q": 0.35}),
+            "o_fii": blend({"_fii_delta_4q": 0.6, "_fii_delta_2q": 0.4}),
+            "o_dii": up("dii_delta_4q"),
+        }
+    )
+    return x.withColumn(out, blend(OWNERSHIP)).drop("_promoter_delta_4q", "_promoter_delta_1q", "_fii_delta_4q", "_fii_delta_2q")
+
+
 def conviction(x: DataFrame, *groups: str, features: dict | None = None, least: int = MIN_FEATURES, out: str = "conviction") -> DataFrame:
     """Mean of the signed percentile ranks within a date, times 100; NULL with too few features.
 
