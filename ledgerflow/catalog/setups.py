@@ -8,13 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import asof, candles, levels as lv, setups as st, zones as zn
-from ..operators.indicators import W
+from ..operators import alerts as al, asof, candles, setups as st
 from ..plans.views import Market
 from .levels import _NATR, _PIVOTS, _SHELVES, SWINGS, _bands
 from .more import resistance
 from .prices import NTR, OVER
+from .misc import _POS, positions
 from .registry import query
+from .tables import _LATEST, latest
 
 _WIN = "(PARTITION BY symbol ORDER BY date ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)"
 _POINTS = f"""{SWINGS} UNION ALL SELECT symbol, kind, i AS idx, price, i + 5 AS confirmed FROM (
@@ -101,3 +102,48 @@ def i21_i22_f27_readings_at_zones(m: Market) -> DataFrame:
         df = df.select("symbol", "date", "kind", "floor", "ceil", "false_breakout", F.array_join(seen, ",").alias("patterns"))
         out = df if out is None else out.unionByName(df)
     return out
+
+
+_STATE = """td AS (SELECT symbol, symbol % 10 + 1 AS decile, CASE WHEN symbol % 5 <> 0 THEN symbol * 3 % 10 + 1 END AS cdecile, symbol % 3 AS status, symbol % 2 = 0 AS gone, CAST(symbol % 50 AS VARCHAR) AS zone_floor,
+  list_concat(CASE WHEN symbol % 6 = 0 THEN ['illiquid'] ELSE []::VARCHAR[] END, CASE WHEN symbol % 9 = 0 THEN ['loss_making'] ELSE []::VARCHAR[] END) AS flags FROM latest),
+yd AS (SELECT symbol, (symbol + 1) % 10 + 1 AS decile, (symbol + 1) % 3 AS status, CASE WHEN symbol % 12 = 0 THEN ['illiquid'] ELSE []::VARCHAR[] END AS flags FROM latest WHERE symbol % 8 <> 0),
+ps AS (SELECT pos.symbol, symbol % 7 AS id, stop, entry * 1.25 AS target, close FROM pos WHERE symbol % 2 = 1),
+al AS (
+  SELECT symbol, 'stop_breached' AS rule, 0 AS severity, CAST(id AS VARCHAR) AS extra FROM ps JOIN td USING (symbol) WHERE close <= stop
+  UNION ALL SELECT symbol, 'target_reached', 1, CAST(id AS VARCHAR) FROM ps JOIN td USING (symbol) WHERE close >= target
+  UNION ALL SELECT symbol, 'thesis_broken', 0, array_to_string(flags, ',') FROM ps JOIN td USING (symbol) WHERE len(flags) > 0
+  UNION ALL SELECT symbol, 'score_decayed', 1, CASE WHEN cdecile IS NULL THEN 'blended score' ELSE 'conviction' END || ':' || CAST(coalesce(cdecile, decile) AS VARCHAR) FROM ps JOIN td USING (symbol) WHERE coalesce(cdecile, decile) < 7
+  UNION ALL SELECT td.symbol, 'setup_triggered', 1, zone_floor FROM td LEFT JOIN yd USING (symbol) WHERE td.status = 2 AND yd.status IS DISTINCT FROM 2
+  UNION ALL SELECT td.symbol, 'entered_top_decile', 2, NULL FROM td JOIN yd USING (symbol) WHERE td.decile >= 10 AND yd.decile < 10
+  UNION ALL SELECT td.symbol, 'zone_broken', 2, NULL FROM td JOIN yd USING (symbol) WHERE yd.status <> 0 AND td.status = 0 AND gone
+  UNION ALL SELECT symbol, 'new_red_flag', 2, array_to_string(fresh, ',') FROM (SELECT td.symbol, list_filter(td.flags, lambda f: NOT list_contains(yd.flags, f)) AS fresh FROM td JOIN yd USING (symbol)) WHERE len(fresh) > 0)"""
+
+
+def score_states(m: Market) -> tuple[DataFrame, DataFrame]:
+    """Today's and yesterday's scores, read off the symbol's number."""
+    s = F.col("symbol")
+    flag = lambda ok, name: F.when(ok, F.struct(F.lit(name).alias("name"), F.lit("fail").alias("verdict")))
+    status = lambda k: F.element_at(F.array(F.lit("none"), F.lit("watching"), F.lit("triggered")), (k % 3 + 1).cast("int"))
+    x = latest(m).select("symbol")
+    today = x.withColumns(
+        {
+            "decile": s % 10 + 1,
+            "conviction_decile": F.when(s % 5 != 0, s * 3 % 10 + 1),
+            "setup_status": status(s),
+            "reason": F.when(s % 3 == 0, F.when(s % 2 == 0, "no live zone below price").otherwise("quality below the gate")),
+            "zone_floor": s % 50,
+            "flags": F.array_compact(F.array(flag(s % 6 == 0, "illiquid"), flag(s % 9 == 0, "loss_making"))),
+        }
+    )
+    yesterday = x.where(s % 8 != 0).withColumns({"decile": (s + 1) % 10 + 1, "setup_status": status(s + 1), "flags": F.array_compact(F.array(flag(s % 12 == 0, "illiquid")))})
+    return today, yesterday
+
+
+@query("SELECT symbol, rule, severity, concat_ws(':', CAST(symbol AS VARCHAR), rule, extra) AS dedupe_key FROM al WHERE NOT (rule = 'target_reached' AND symbol % 3 = 0)", more=f"{_LATEST}, {_POS}, {_STATE}")
+def l02_l12_l13_alert_rules(m: Market) -> DataFrame:
+    """All eight rules over positions and screen, without the targets of every third symbol, which were told before."""
+    today, yesterday = score_states(m)
+    held = positions(m).where("symbol % 2 = 1").select("symbol", (F.col("symbol") % 7).alias("id"), "stop", (F.col("entry") * 1.25).alias("target"), "close")
+    alerts = al.for_positions(held, today).unionByName(al.for_screen(today, yesterday))
+    seen = held.where("symbol % 3 = 0").select(F.concat_ws(":", F.col("symbol").cast("string"), F.lit("target_reached"), F.col("id").cast("string")).alias("dedupe_key"))
+    return al.dispatch(alerts, seen)
