@@ -171,7 +171,14 @@ def j16_conviction(m: Market) -> DataFrame:
     return scoring.conviction(cross_section(m), features={"mom": 1, "ret3": 1, "vr": 1, "dist": -1}, least=4).select("symbol", "conviction")
 
 
-@query()
+_DRIVERS = " UNION ALL ".join(f"SELECT symbol, '{f}' AS feature, {k} AS place, (r{r} - 0.5) * 100 / n AS points FROM ranked" for k, (f, r) in enumerate((("mom", 0), ("ret3", 1), ("vr", 2), ("dist", 3))))
+
+
+@query(
+    f"SELECT symbol, feature, round(points, 6) AS points FROM ({_DRIVERS}) WHERE points > 0 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY points DESC, place) <= 3",
+    views="bars stocks",
+    more=f"{_X}, ranked AS (SELECT *, (r0 IS NOT NULL)::INT + (r1 IS NOT NULL)::INT + (r2 IS NOT NULL)::INT + (r3 IS NOT NULL)::INT AS n FROM (SELECT symbol, {_CONV} FROM (SELECT *, -dist AS nd FROM x)))",
+)
 def g02_i28_top_drivers(m: Market) -> DataFrame:
     df = scoring.conviction(cross_section(m), features={"mom": 1, "ret3": 1, "vr": 1, "dist": -1}, least=4)
     return df.select("symbol", F.explode(scoring.top_drivers(3)).alias("d")).select("symbol", F.col("d.feature").alias("feature"), F.col("d.points").alias("points"))
@@ -188,13 +195,6 @@ def i30_stop_and_size(m: Market) -> DataFrame:
     return x.select("symbol", "stop", scoring.quantity(1_000_000, 0.01).alias("quantity"))
 
 
-@query()
-def j15_momentum_pillar(m: Market) -> DataFrame:
-    t = ind.technicals(m.bars(), m.index_prices())
-    x = asof.latest(t, "symbol", "date").join(m.stocks(), "symbol")
-    return scoring.momentum_score(x).select("symbol", "peer", "momentum", "trend", "proximity", "volume_score", "oscillators", "volatility", "tm_score")
-
-
 @query(
     "SELECT symbol, rank, entered FROM (SELECT r.symbol, r.rank, NOT coalesce(h AND r.rank <= 25, false) AS entered, row_number() OVER (PARTITION BY NOT coalesce(h AND rank <= 25, false) AND rank <= 10 ORDER BY rank, symbol) AS turn, 10 - sum((coalesce(h AND rank <= 25, false))::INT) OVER () AS free FROM (SELECT symbol, symbol % 3 = 0 AS h, row_number() OVER (ORDER BY close DESC, symbol) AS rank FROM x) r WHERE rank <= 25) WHERE NOT entered OR (rank <= 10 AND turn <= free)",
     views="bars stocks",

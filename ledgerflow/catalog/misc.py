@@ -133,10 +133,38 @@ def i31_stop_moves_up(m: Market) -> DataFrame:
     return positions(m).select("symbol", F.greatest(c("close") * 0.95, c("stop")).alias("stop"), (c("close") * 0.95 > c("stop")).alias("moved"))
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (stop < entry AND entry < entry * 1.25) AS ordered, count(*) FILTER (stop IS NULL) AS unstopped, count(*) FILTER (close <= 0) AS bad_prices FROM pos", more=_POS)
-def k03_k04_k05_checks(m: Market) -> DataFrame:
-    c = F.col
-    return positions(m).agg(F.count("*").alias("n"), F.count_if((c("stop") < c("entry")) & (c("entry") < c("entry") * 1.25)).alias("ordered"), F.count_if(c("stop").isNull()).alias("unstopped"), F.count_if(c("close") <= 0).alias("bad_prices"))
+_PLANS = """rk AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM bars),
+plans AS (SELECT symbol, date AS plan_date, close * CASE WHEN symbol % 17 = 0 THEN 1.1 ELSE 0.9 END AS stop, close * 1.25 AS target FROM rk WHERE k = 3 AND symbol % 10 <> 4),
+held AS (SELECT symbol, CASE WHEN symbol % 9 <> 0 THEN 1.0 END AS stop FROM stocks WHERE symbol % 2 = 1 UNION ALL SELECT -1, 1.0)"""
+
+
+@query(
+    """SELECT n, planned >= 0.8 * n AS enough_plans, ordered, planned - ordered AS disordered, stale_plans, unknown_holdings, unstopped_holdings, stale_prices, bad_prices FROM
+    (SELECT count(*) AS n FROM stocks), (SELECT count(*) AS planned, count(*) FILTER (p.stop < b.close AND b.close < p.target) AS ordered, count(*) FILTER ((SELECT max(date) FROM bars) - plan_date > 30) AS stale_plans FROM plans p JOIN bars b ON b.symbol = p.symbol AND b.date = p.plan_date),
+    (SELECT count(*) FILTER (symbol NOT IN (SELECT symbol FROM stocks)) AS unknown_holdings, count(*) FILTER (stop IS NULL) AS unstopped_holdings FROM held), (SELECT count(*) FILTER (date < (SELECT max(date) FROM bars) - 5) AS stale_prices, count(*) FILTER (close <= 0) AS bad_prices FROM rk WHERE k = 1)""",
+    views="bars stocks",
+    more=_PLANS,
+)
+def d17_k03_k04_k05_plan_checks(m: Market) -> DataFrame:
+    """One row of counts: plans against the price of their own date, holdings against the universe, prices against the calendar."""
+    c, bars = F.col, m.bars()
+    newest = bars.agg(F.max("date").alias("newest"))  # one row
+    third = asof.tail(bars, "symbol", "date", 3).groupBy("symbol").agg(F.min("date").alias("plan_date"), F.count("*").alias("n"), F.min_by("close", "date").alias("p"))
+    factor = F.when(c("symbol") % 17 == 0, 1.1).otherwise(0.9)
+    plans = third.where((c("n") == 3) & (c("symbol") % 10 != 4)).select("symbol", "plan_date", (c("p") * factor).alias("stop"), (c("p") * 1.25).alias("target"))
+    on_date = plans.join(bars.select("symbol", c("date").alias("plan_date"), "close"), ["symbol", "plan_date"]).crossJoin(F.broadcast(newest))
+    on_date = on_date.agg(
+        F.count("*").alias("planned"),
+        F.count_if((c("stop") < c("close")) & (c("close") < c("target"))).alias("ordered"),
+        F.count_if(F.datediff("newest", "plan_date") > 30).alias("stale_plans"),
+    )
+    held = m.stocks().where("symbol % 2 = 1").select("symbol", F.when(c("symbol") % 9 != 0, F.lit(1.0)).alias("stop"))
+    held = held.unionByName(m.spark.createDataFrame([(-1, 1.0)], "symbol long, stop double"))
+    known = held.join(m.stocks().select("symbol", F.lit(True).alias("known")), "symbol", "left")
+    known = known.agg(F.count_if(c("known").isNull()).alias("unknown_holdings"), F.count_if(c("stop").isNull()).alias("unstopped_holdings"))
+    prices = latest(m).crossJoin(F.broadcast(newest)).agg(F.count_if(c("date") < F.date_sub("newest", 5)).alias("stale_prices"), F.count_if(c("close") <= 0).alias("bad_prices"))
+    x = m.stocks().agg(F.count("*").alias("n")).crossJoin(on_date).crossJoin(known).crossJoin(prices)  # single rows
+    return x.select("n", (c("planned") >= 0.8 * c("n")).alias("enough_plans"), "ordered", (c("planned") - c("ordered")).alias("disordered"), "stale_plans", "unknown_holdings", "unstopped_holdings", "stale_prices", "bad_prices")
 
 
 @query("SELECT s.symbol FROM stocks s JOIN latest l USING (symbol) WHERE s.mcap <= 0", views="bars stocks", more=_LATEST)

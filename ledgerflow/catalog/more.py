@@ -85,11 +85,6 @@ def f34_rsi_divergence(m: Market) -> DataFrame:
     return ind.rsi(m.bars()).select("symbol", "date", lv.rsi_divergence().alias("divergence"))
 
 
-@query()
-def f17_all_technicals(m: Market) -> DataFrame:
-    return ind.technicals(m.bars(), m.index_prices()).select("symbol", "date", *ind.TECHNICALS)
-
-
 @query("SELECT round(ratio, 6) AS ratio FROM (SELECT DISTINCT r AS ratio FROM (SELECT unnest([x, 1 / x]) AS r FROM (SELECT s AS x FROM sp UNION SELECT b FROM bo UNION SELECT s * b FROM sp, bo)) WHERE r BETWEEN 0.005 AND 200 AND round(r, 9) <> 1 QUALIFY row_number() OVER (PARTITION BY round(r, 9)) = 1)", views="", more="sp AS (SELECT unnest([0.5, 0.4, 0.25, 0.2, 0.1, 0.05, 0.04, 0.02, 0.01]::DOUBLE[]) AS s), bo AS (SELECT DISTINCT j::DOUBLE / (i + j) AS b FROM range(1, 11) a(i), range(1, 11) c(j))")
 def h04_ratio_set(m: Market) -> DataFrame:
     return actions.plausible_ratios(m.spark).select("ratio")

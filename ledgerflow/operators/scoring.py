@@ -49,7 +49,8 @@ def momentum_score(x: DataFrame, out: str = "tm_score") -> DataFrame:
     )
     weights = {("volume_score" if k == "volume" else k): w for k, w in MOMENTUM.items()}
     raw = blend(weights, MOMENTUM_COVERAGE)
-    return x.withColumn(out, F.when(F.col("close") < F.col("sma200"), F.least(raw, F.lit(BELOW_TREND_CAP))).otherwise(raw))
+    # an unknown score stays unknown under the cap
+    return x.withColumn(out, F.when((F.col("close") < F.col("sma200")) & (raw > BELOW_TREND_CAP), BELOW_TREND_CAP).otherwise(raw))
 
 
 def value_score(x: DataFrame, out: str = "value_score") -> DataFrame:
