@@ -71,12 +71,12 @@ def i15_period_labels(m: Market) -> DataFrame:
     return rows.select("label", end.alias("period_end"), months.alias("months"))
 
 
-_FLAGS = "g AS (SELECT symbol, CASE WHEN symbol % 7 = 0 THEN NULL ELSE symbol % 40 END AS pledge, opm[-1] * 10 - opm[-6] * 10 AS promoter_change, CASE WHEN symbol % 5 = 0 THEN NULL ELSE pat[-1] / nullif(abs(pat[-2]), 0) END AS cash_ratio, rev[-1] / rev[-5] AS receivable_ratio, (pat[-1] < 0)::INT + (pat[-5] < 0)::INT + (pat[-9] < 0)::INT AS loss_years, rev[-1] / 1e6 AS turnover, symbol % 11 = 0 AS is_lender FROM h)"
+_FLAGS = "g AS (SELECT symbol, CASE WHEN symbol % 7 = 0 THEN NULL ELSE symbol % 40 END AS pledge, opm[-1] * 10 - opm[-6] * 10 AS promoter_change, CASE WHEN symbol % 5 = 0 THEN NULL ELSE pat[-1] / nullif(abs(pat[-2]), 0) END AS cash_ratio, rev[-1] / rev[-5] AS receivable_ratio, (pat[-1] < 0)::INT + (pat[-5] < 0)::INT + (pat[-9] < 0)::INT AS loss_years, rev[-1] / 1e6 AS turnover, symbol % 11 = 0 AS is_lender, symbol % 13 <> 0 AS has_promoter FROM h)"
 
 
 @query(
-    """SELECT symbol, coalesce(pledge > 20, false) OR coalesce(promoter_change < -3, false) OR (NOT is_lender AND (coalesce(cash_ratio < 0.5, false) OR coalesce(receivable_ratio > 1.4, false))) OR coalesce(loss_years >= 2, false) OR coalesce(turnover < 2, false) AS excluded,
-      (pledge IS NULL OR pledge > 20)::INT + (promoter_change IS NULL OR promoter_change < -3)::INT + (NOT is_lender AND (cash_ratio IS NULL OR cash_ratio < 0.5))::INT + (NOT is_lender AND (receivable_ratio IS NULL OR receivable_ratio > 1.4))::INT + (loss_years IS NULL OR loss_years >= 2)::INT + (turnover IS NULL OR turnover < 2)::INT AS noted FROM g""",
+    """SELECT symbol, coalesce(pledge > 20, false) OR (has_promoter AND coalesce(promoter_change < -3, false)) OR (NOT is_lender AND (coalesce(cash_ratio < 0.5, false) OR coalesce(receivable_ratio > 1.4, false))) OR coalesce(loss_years >= 2, false) OR coalesce(turnover < 2, false) AS excluded,
+      (pledge IS NULL OR pledge > 20)::INT + (has_promoter AND (promoter_change IS NULL OR promoter_change < -3))::INT + (NOT is_lender AND (cash_ratio IS NULL OR cash_ratio < 0.5))::INT + (NOT is_lender AND (receivable_ratio IS NULL OR receivable_ratio > 1.4))::INT + (loss_years IS NULL OR loss_years >= 2)::INT + (turnover IS NULL OR turnover < 2)::INT AS noted FROM g""",
     views="quarters",
     more=f"{_H}, {_FLAGS}",
 )
@@ -91,6 +91,7 @@ def i26_i27_red_flags(m: Market) -> DataFrame:
         sum(((hs.at("pat", k) < 0).cast("int") for k in (5, 9)), (hs.at("pat", 1) < 0).cast("int")).alias("loss_years"),
         (hs.at("rev", 1) / 1e6).alias("turnover"),
         (F.col("symbol") % 11 == 0).alias("is_lender"),
+        (F.col("symbol") % 13 != 0).alias("has_promoter"),
     ).withColumn("flags", hs.red_flags())
     return x.select("symbol", hs.excluded("flags").alias("excluded"), F.size(hs.noted("flags")).alias("noted"))
 

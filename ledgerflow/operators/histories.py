@@ -176,12 +176,12 @@ def gate(name: str, unknown: Column, fail: Column, inapplicable: Column | None =
     return F.struct(F.lit(name).alias("name"), verdict.when(F.coalesce(unknown, F.lit(True)), "unknown").when(fail, "fail").otherwise("pass").alias("verdict"))
 
 
-def red_flags(has_promoter: bool = False) -> Column:
-    """Six verdicts; with ``has_promoter`` a column of that name says to whom promoter selling does not apply. From pledge, promoter_change, cash_ratio, receivable_ratio, loss_years, turnover and is_lender."""
+def red_flags() -> Column:
+    """Six verdicts; selling does not apply without a promoter, two others not to lenders. From has_promoter, pledge, promoter_change, cash_ratio, receivable_ratio, loss_years, turnover and is_lender."""
     c = F.col
     return F.array(
         gate("promoter_pledge", c("pledge").isNull(), c("pledge") > PLEDGE_MAX),
-        gate("promoter_selling", c("promoter_change").isNull(), c("promoter_change") < -PROMOTER_DROP, ~c("has_promoter") if has_promoter else None),
+        gate("promoter_selling", c("promoter_change").isNull(), c("promoter_change") < -PROMOTER_DROP, ~c("has_promoter")),
         gate("cash_conversion", c("cash_ratio").isNull(), c("cash_ratio") < CASH_MIN, c("is_lender")),
         gate("receivable_bloat", c("receivable_ratio").isNull(), c("receivable_ratio") > RECEIVABLE_MAX, c("is_lender")),
         gate("loss_making", c("loss_years").isNull(), c("loss_years") >= LOSS_YEARS),
