@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, jaccard, langid, packing, pii, pivots, toxicity, urlfilter, wavelet
+from . import centroids, chat, decontam, jaccard, langid, lines, packing, pii, pivots, spelling, toxicity, urlfilter, wavelet
 from .common import load
 
 
@@ -51,6 +51,18 @@ def op10_pivot_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_duplicates(load(spark, sf_dir, "embeddings"))
 
 
+def op11_centroids_simplex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(load(spark, sf_dir, "embeddings"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(load(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -64,6 +76,9 @@ QUERIES = {
         op8_wavelet_shards,
         op9_url_automaton,
         op10_pivot_permutations,
+        op11_centroids_simplex,
+        op12_line_dedup,
+        op13_spelling_variants,
     )
 }
-SQL = {"op9_url_automaton": urlfilter.SQL}
+SQL = {"op9_url_automaton": urlfilter.SQL, "op11_centroids_simplex": centroids.SQL, "op12_line_dedup": lines.SQL}
