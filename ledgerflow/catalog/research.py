@@ -13,7 +13,7 @@ from .registry import query
 
 _PANEL = f"""{_FEAT}, fwd AS (SELECT *, lead(close, 126) {OVER} / nullif(lead(open, 1) {OVER}, 0) - 1 AS forward_return, row_number() {OVER} AS nth FROM feat),
   me AS (SELECT max(date) AS as_of FROM (SELECT date, CAST(date_trunc('month', date) AS DATE) AS mth, row_number() OVER (ORDER BY date) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM bars)) WHERE rn > 252 AND rn <= n - 126 GROUP BY mth),
-  panel AS (SELECT me.as_of, f.symbol, s.sector, mom, ret3, dist, vr, forward_return FROM (SELECT me.as_of, f.symbol AS sy, max(f.date) AS d FROM me JOIN fwd f ON f.date <= me.as_of GROUP BY 1, 2) k JOIN fwd f ON f.symbol = k.sy AND f.date = k.d JOIN me USING (as_of) JOIN stocks s ON s.symbol = f.symbol WHERE f.nth >= 252)"""
+  panel AS (SELECT me.as_of, f.symbol, s.sector, mom, ret3, dist, vr, forward_return FROM (SELECT as_of, symbol AS sy FROM me, stocks) me ASOF JOIN fwd f ON f.symbol = me.sy AND f.date <= me.as_of JOIN stocks s ON s.symbol = f.symbol WHERE f.nth >= 252)"""
 FEATURES = ["mom", "ret3", "dist", "vr"]
 
 

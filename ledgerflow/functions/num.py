@@ -32,6 +32,12 @@ def clamp(x, low: float, high: float) -> Column:
     return F.when(c.isNotNull(), F.greatest(F.lit(float(low)), F.least(c, F.lit(float(high)))))
 
 
+def correlation(a, b) -> Column:
+    """Aggregate: Pearson's coefficient; NULL where one of the two does not vary."""
+    both = F.stddev_pop(col(a)) * F.stddev_pop(col(b))
+    return F.covar_pop(col(a), col(b)) / F.nullif(both, F.lit(0.0))
+
+
 def band(x, zero_low: float, ideal_low: float, ideal_high: float, zero_high: float) -> Column:
     """100 within the ideal range, falling in a straight line to 0 at the outer bounds."""
     c = col(x)
@@ -101,9 +107,9 @@ def roll(agg: Column, x, w: WindowSpec, n: int, least: int | None = None) -> Col
     return F.when(F.count(col(x)).over(f) >= (least or n), agg.over(f))
 
 
-def peer_groups(df: DataFrame, group: str = "sector", least: int = 10, out: str = "peer") -> DataFrame:
-    """Groups with fewer than ``least`` members, or without a name, are pooled."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(group))
+def peer_groups(df: DataFrame, group: str = "sector", least: int = 10, out: str = "peer", within: tuple[str, ...] = ()) -> DataFrame:
+    """Groups with fewer than ``least`` members (on each date of ``within``), or without a name, are pooled."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*within, group))
     return df.withColumn(out, F.when(F.col(group).isNull() | (n < least), "__POOLED__").otherwise(F.col(group)))
 
 

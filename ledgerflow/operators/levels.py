@@ -21,27 +21,28 @@ def fractal_highs(bars: DataFrame, span: int = 10) -> DataFrame:
     return df.where((F.col("_n") == 2 * span + 1) & (F.col("high") == F.col("_top")) & (below >= span)).select("symbol", F.col("high").alias("level"))
 
 
-def next_resistance(highs: DataFrame, tolerance: float = 0.6, least: int = 2, year: DataFrame | None = None) -> DataFrame:
+def next_resistance(highs: DataFrame, tolerance: float = 0.6, least: int = 2, year: DataFrame | None = None, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """For each symbol the band of swing highs above its price that a rise meets first.
 
     ``highs`` has symbol, level, price, atr. Levels chain while the gap to the one
     before is within tolerance * atr, so bands are islands of a sorted column; the
     first band of ``least`` levels is taken, else the nearest level. ``year`` (symbol,
     price, high) has the year's high of every symbol: where no level lies above the
-    price it is the last resort (touches 0) if it lies above it.
+    price it is the last resort (touches 0) if it lies above it. With ``keys`` both
+    have these instead, a symbol on a date for instance.
     """
-    w = Window.partitionBy("symbol").orderBy("level")
+    w = Window.partitionBy(*keys).orderBy("level")
     df = highs.where(F.col("level") > F.col("price"))
     gap = F.col("level") - F.lag("level").over(w)
     df = df.withColumn("_new", F.when((F.col("atr") > 0) & (gap <= tolerance * F.col("atr")), 0).otherwise(1))
     df = df.withColumn("_band", F.sum("_new").over(w))
-    bands = df.groupBy("symbol", "_band").agg(F.min("level").alias("floor"), F.max("level").alias("ceil"), F.count("*").alias("touches"))
-    best = bands.groupBy("symbol").agg(F.min(F.when(F.col("touches") >= least, F.struct("floor", "ceil", "touches"))).alias("good"), F.min("floor").alias("nearest"))
-    out = best.select("symbol", F.coalesce("good.floor", "nearest").alias("floor"), F.coalesce("good.ceil", "nearest").alias("ceil"), F.coalesce("good.touches", F.lit(1)).alias("touches"))
+    bands = df.groupBy(*keys, "_band").agg(F.min("level").alias("floor"), F.max("level").alias("ceil"), F.count("*").alias("touches"))
+    best = bands.groupBy(*keys).agg(F.min(F.when(F.col("touches") >= least, F.struct("floor", "ceil", "touches"))).alias("good"), F.min("floor").alias("nearest"))
+    out = best.select(*keys, F.coalesce("good.floor", "nearest").alias("floor"), F.coalesce("good.ceil", "nearest").alias("ceil"), F.coalesce("good.touches", F.lit(1)).alias("touches"))
     if year is None:
         return out
-    rest = year.where(F.col("high") > F.col("price")).join(out, "symbol", "left_anti")
-    return out.unionByName(rest.select("symbol", F.col("high").alias("floor"), F.col("high").alias("ceil"), F.lit(0).alias("touches")))
+    rest = year.where(F.col("high") > F.col("price")).join(out, list(keys), "left_anti")
+    return out.unionByName(rest.select(*keys, F.col("high").alias("floor"), F.col("high").alias("ceil"), F.lit(0).alias("touches")))
 
 
 def nearest_below(bands: DataFrame, prices: DataFrame) -> DataFrame:
@@ -52,11 +53,11 @@ def nearest_below(bands: DataFrame, prices: DataFrame) -> DataFrame:
     return x.groupBy("symbol", "price").agg(F.min_by(F.struct("floor", "ceil"), near).alias("b")).select("symbol", "price", "b.floor", "b.ceil")
 
 
-def overlaps(left: DataFrame, right: DataFrame, key: str = "symbol") -> DataFrame:
+def overlaps(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """left with whether any band of right overlaps it; both sides keyed, so the range test runs inside an equi-join."""
-    r = right.groupBy(key).agg(F.collect_list(F.struct(F.col("floor").alias("f"), F.col("ceil").alias("c"))).alias("_o"))
+    r = right.groupBy(*keys).agg(F.collect_list(F.struct(F.col("floor").alias("f"), F.col("ceil").alias("c"))).alias("_o"))
     hit = F.exists("_o", lambda o: (o["f"] <= F.col("ceil")) & (o["c"] >= F.col("floor")))
-    return left.join(r, key, "left").withColumn("overlaps", F.coalesce(hit, F.lit(False))).drop("_o")
+    return left.join(r, list(keys), "left").withColumn("overlaps", F.coalesce(hit, F.lit(False))).drop("_o")
 
 
 def proximity(distance_atr: str) -> Column:

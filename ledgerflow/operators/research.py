@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.num import avg_rank, decile, pct_rank, safe_div
+from ..functions.num import avg_rank, correlation, decile, pct_rank, safe_div
 
 MIN_NAMES, MIN_DATES, OVERLAP_LAG = 30, 3, 5
 
@@ -22,8 +22,12 @@ def date_ic(panel: DataFrame, value: str, *groups: str, date: str = "as_of", tar
     """Spearman correlation of ``value`` and the target on each date with enough names."""
     df = panel.where(F.col(value).isNotNull() & F.col(target).isNotNull())
     keys = (*groups, date)
-    df = df.withColumns({"_a": avg_rank(value, *keys), "_b": avg_rank(target, *keys)})
-    out = df.groupBy(*keys).agg(F.corr("_a", "_b").alias("ic"), F.count("*").alias("names"))
+    # Twice a rank is whole, so the sums are exact, and no relation is exactly 0.
+    df = df.withColumns({"_a": 2 * avg_rank(value, *keys), "_b": 2 * avg_rank(target, *keys)})
+    n = F.count("*")
+    spread = lambda x, y: n * F.sum(F.col(x) * F.col(y)) - F.sum(x) * F.sum(y)
+    ic = spread("_a", "_b") / F.nullif(F.sqrt(spread("_a", "_a") * spread("_b", "_b")), F.lit(0.0))
+    out = df.groupBy(*keys).agg(ic.alias("ic"), n.alias("names"))
     return out.where((F.col("names") >= least) & F.col("ic").isNotNull() & ~F.isnan("ic"))
 
 
@@ -100,8 +104,8 @@ def rank_quality(study: DataFrame, by: str = "decile") -> DataFrame:
     df = df.withColumns({"_d": avg_rank(by, "_one"), "_m": avg_rank("median", "_one"), "_h": avg_rank("hit_rate", "_one")})
     out = df.agg(
         F.count("*").alias("deciles"),
-        F.corr("_d", "_m").alias("rho_median"),
-        F.corr("_d", "_h").alias("rho_hit"),
+        correlation("_d", "_m").alias("rho_median"),
+        correlation("_d", "_h").alias("rho_hit"),
         (F.max_by("median", by) - F.min_by("median", by)).alias("spread"),
     ).where(F.col("deciles") >= 4)
     r = F.col("rho_median")
@@ -152,8 +156,8 @@ def weight_search_halves(panel: DataFrame, grid: DataFrame, q: str, v: str, t: s
     per = per.where("m >= 20").withColumns({"_d": avg_rank("decile", *keys), "_m": avg_rank("median", *keys), "_h": avg_rank("hit25", *keys)})
     study = per.groupBy(*keys).agg(
         F.count("*").alias("deciles"),
-        F.corr("_d", "_m").alias("median_rho"),
-        F.corr("_d", "_h").alias("hit_rho"),
+        correlation("_d", "_m").alias("median_rho"),
+        correlation("_d", "_h").alias("hit_rho"),
         (F.max_by("median", "decile") - F.min_by("median", "decile")).alias("spread"),
         F.max_by("median", "decile").alias("top_median"),
         F.max_by("hit25", "decile").alias("top_hit25"),

@@ -23,28 +23,28 @@ CONVICTION = {
 MIN_FEATURES = 7
 
 
-def momentum_score(x: DataFrame, out: str = "tm_score") -> DataFrame:
+def momentum_score(x: DataFrame, out: str = "tm_score", within: tuple[str, ...] = ()) -> DataFrame:
     """Add the six components and their weighted score; capped while below the long average.
 
     ``x`` has sector, close, sma50, sma200, sma200_slope, mom_12_1, rs_vs_index,
     dist_52w_high, vol_ratio_20_100, rsi14, macd_hist, adx14, atr_pct, max_dd_6m.
     """
-    x = peer_groups(x)
+    x = peer_groups(x, within=within)
     up = lambda c: F.when(c, 1.0).otherwise(0.0)
     trend = 40 * up(F.col("close") > F.col("sma200")) + 20 * up(F.col("close") > F.col("sma50")) + 20 * up(F.col("sma50") > F.col("sma200")) + 20 * up(F.col("sma200_slope") > 0)
     known = F.col("sma50").isNotNull() & F.col("sma200").isNotNull() & F.col("sma200_slope").isNotNull()
     x = x.withColumns(
         {
-            "momentum": mean_of(percentile_score("mom_12_1", "peer"), percentile_score("rs_vs_index", "peer")),
+            "momentum": mean_of(percentile_score("mom_12_1", *within, "peer"), percentile_score("rs_vs_index", *within, "peer")),
             "trend": F.when(known, trend),
-            "proximity": percentile_score("dist_52w_high", "peer", descending=True),
-            "volume_score": percentile_score("vol_ratio_20_100", "peer"),
+            "proximity": percentile_score("dist_52w_high", *within, "peer", descending=True),
+            "volume_score": percentile_score("vol_ratio_20_100", *within, "peer"),
             "oscillators": mean_of(
                 band("rsi14", 35, 55, 75, 90),
                 F.when(F.col("macd_hist").isNotNull(), up(F.col("macd_hist") > 0) * 100),
                 clamp((F.col("adx14") - 15) / 20 * 100, 0, 100),
             ),
-            "volatility": mean_of(percentile_score("atr_pct", "peer", descending=True), percentile_score("max_dd_6m", "peer", descending=True)),
+            "volatility": mean_of(percentile_score("atr_pct", *within, "peer", descending=True), percentile_score("max_dd_6m", *within, "peer", descending=True)),
         }
     )
     weights = {("volume_score" if k == "volume" else k): w for k, w in MOMENTUM.items()}
@@ -53,29 +53,29 @@ def momentum_score(x: DataFrame, out: str = "tm_score") -> DataFrame:
     return x.withColumn(out, F.when((F.col("close") < F.col("sma200")) & (raw > BELOW_TREND_CAP), BELOW_TREND_CAP).otherwise(raw))
 
 
-def value_score(x: DataFrame, out: str = "value_score") -> DataFrame:
+def value_score(x: DataFrame, out: str = "value_score", within: tuple[str, ...] = ()) -> DataFrame:
     """``x`` has sector, pe, pb, ev_ebitda, ev_sales, pe_5y_median, dividend_yield, margin_expanding."""
-    x = peer_groups(x)
+    x = peer_groups(x, within=within)
     x = x.withColumns(
         {
-            "multiples": mean_of(*[percentile_score(c, "peer", descending=True) for c in ("pe", "pb", "ev_ebitda", "ev_sales")]),
+            "multiples": mean_of(*[percentile_score(c, *within, "peer", descending=True) for c in ("pe", "pb", "ev_ebitda", "ev_sales")]),
             "own_history": clamp(200 * (1 - F.col("pe") / F.nullif("pe_5y_median", F.lit(0.0))) + 50, 0, 100),
             "earnings_yield": F.when(F.col("pe") > 0, clamp(12 * (100 / F.col("pe") - 6.5) + 50, 0, 100)),
             "turnaround": F.when(F.coalesce("margin_expanding", F.lit(False)), 100.0).otherwise(25.0),
-            "dividend": percentile_score("dividend_yield", "peer"),
+            "dividend": percentile_score("dividend_yield", *within, "peer"),
         }
     )
     return x.withColumn(out, blend(VALUE, 0.5))
 
 
-def quality_score(x: DataFrame, out: str = "quality_score") -> DataFrame:
+def quality_score(x: DataFrame, out: str = "quality_score", within: tuple[str, ...] = ()) -> DataFrame:
     """Add the five components (q_) and their weighted score; lenders are not asked for balance sheet and cash.
 
     ``x`` has sector, is_financial and the columns of ``histories.quality_metrics``.
     """
-    up = lambda c: percentile_score(c, "peer")
-    down = lambda c: percentile_score(c, "peer", descending=True)
-    x = peer_groups(x).withColumns(
+    up = lambda c: percentile_score(c, *within, "peer")
+    down = lambda c: percentile_score(c, *within, "peer", descending=True)
+    x = peer_groups(x, within=within).withColumns(
         {
             "q_growth": mean_of(up("revenue_cagr_3y"), up("pat_cagr_3y"), up("quarter_yoy")),
             "q_profitability": mean_of(up("roe"), up("roce"), up("opm"), up("opm_trend")),
@@ -88,13 +88,13 @@ def quality_score(x: DataFrame, out: str = "quality_score") -> DataFrame:
     return x.withColumn(out, F.when(lender, blend(QUALITY_LENDER, 0.5)).otherwise(blend(QUALITY, 0.5)))
 
 
-def revision_score(x: DataFrame, out: str = "revision_score") -> DataFrame:
+def revision_score(x: DataFrame, out: str = "revision_score", within: tuple[str, ...] = ()) -> DataFrame:
     """Add the five components (r_) and their weighted score.
 
     ``x`` has sector and the columns of ``histories.revision_metrics``.
     """
-    up = lambda c: percentile_score(c, "peer")
-    x = peer_groups(x).withColumns(
+    up = lambda c: percentile_score(c, *within, "peer")
+    x = peer_groups(x, within=within).withColumns(
         {
             "r_surprise": up("sue_pat"),
             "r_acceleration": mean_of(up("accel_pat"), up("accel_revenue")),
@@ -106,13 +106,13 @@ def revision_score(x: DataFrame, out: str = "revision_score") -> DataFrame:
     return x.withColumn(out, blend({f"r_{k}": w for k, w in REVISION.items()}, 0.5))
 
 
-def ownership_score(x: DataFrame, out: str = "ownership_score") -> DataFrame:
+def ownership_score(x: DataFrame, out: str = "ownership_score", within: tuple[str, ...] = ()) -> DataFrame:
     """Add the three components (o_) and their weighted score over those that are there.
 
     ``x`` has sector and the changes in points of ``histories.ownership_metrics``.
     """
-    up = lambda c: percentile_score(c, "peer")
-    x = peer_groups(x).withColumns({f"_{c}": up(c) for c in ("promoter_delta_4q", "promoter_delta_1q", "fii_delta_4q", "fii_delta_2q")})
+    up = lambda c: percentile_score(c, *within, "peer")
+    x = peer_groups(x, within=within).withColumns({f"_{c}": up(c) for c in ("promoter_delta_4q", "promoter_delta_1q", "fii_delta_4q", "fii_delta_2q")})
     x = x.withColumns(
         {
             "o_promoter": blend({"_promoter_delta_4q": 0.65, "_promoter_delta_1q": 0.35}),

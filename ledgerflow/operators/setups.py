@@ -218,23 +218,24 @@ def false_breakout(timeframe: str, ceil: str = "ceil") -> Column:
     return F.when((F.row_number().over(W()) >= window + 2) & (F.col("close") < F.col(ceil)), held)
 
 
-def evaluate(last: DataFrame, zones: DataFrame, higher: DataFrame, resistance: DataFrame) -> DataFrame:
+def evaluate(last: DataFrame, zones: DataFrame, higher: DataFrame, resistance: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """The support setup of each symbol at its last bar.
 
     ``last`` has one row a symbol with the ``flags`` columns and, if known, ``quality``
     and ``excluded``; ``zones`` and ``higher`` are rated zones of the bars and of the
     longer timeframe, ``resistance`` the level overhead (symbol, target). The first
     reason against a setup ends it with status none and no score; a null quality is
-    not yet known, a symbol without overhead has no reward.
+    not yet known, a symbol without overhead has no reward. With ``keys`` all tables have
+    one row, or their zones, for each of these: a symbol on a date for instance.
     """
-    x = last.join(resistance, "symbol", "left")
-    live = zones.where("live and kind = 'low'").join(x.select("symbol", F.col("close").alias("_p")), "symbol").where("floor <= _p")
-    nearest = live.groupBy("symbol").agg(
+    x = last.join(resistance, list(keys), "left")
+    live = zones.where("live and kind = 'low'").join(x.select(*keys, F.col("close").alias("_p")), list(keys)).where("floor <= _p")
+    nearest = live.groupBy(*keys).agg(
         F.min_by(F.struct("floor", "ceil", "strength"), F.struct(F.col("_p") - (F.col("floor") + F.col("ceil")) / 2, "formed", "source", "zone")).alias("z")
     )
-    x = x.join(nearest, "symbol", "left").withColumns({"floor": F.col("z.floor"), "ceil": F.col("z.ceil"), "strength": F.col("z.strength")})
-    over = higher.where("kind = 'low' and live").select("symbol", "floor", "ceil")
-    x = lv.overlaps(x, over).withColumnRenamed("overlaps", "weekly_zone")
+    x = x.join(nearest, list(keys), "left").withColumns({"floor": F.col("z.floor"), "ceil": F.col("z.ceil"), "strength": F.col("z.strength")})
+    over = higher.where("kind = 'low' and live").select(*keys, "floor", "ceil")
+    x = lv.overlaps(x, over, keys).withColumnRenamed("overlaps", "weekly_zone")
     p, a = F.col("close"), F.col("atr")
     distance = F.when(p.between(F.col("floor"), F.col("ceil")), 0.0).otherwise(F.greatest(p - F.col("ceil"), F.lit(0.0))) / a
     near_ma = (F.abs(p - F.col("sma200")) <= lv.LONG_MA_ATR * a) | (F.abs(p - F.col("sma250")) <= lv.LONG_MA_ATR * a)
@@ -279,7 +280,7 @@ def evaluate(last: DataFrame, zones: DataFrame, higher: DataFrame, resistance: D
     score = F.round(clamp(score, 0, 100), 2)
     open_ = F.col("reason").isNull()
     return x.select(
-        "symbol",
+        *keys,
         F.when(~open_, "none").when(F.col("signals") >= 1, "triggered").otherwise("watching").alias("status"),
         F.when(open_, score).alias("score"),
         *[F.when(F.col("reason").isNull() | (F.col("reason") == "too little room to the next resistance"), F.col(c)).alias(c) for c in ("floor", "ceil", "stop", "target", "reward_risk", "headroom")],
