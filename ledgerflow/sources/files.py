@@ -150,7 +150,7 @@ def statement_records(cells: DataFrame, labels: dict[str, str], key: str = "symb
     return cells.withColumn("field", named[F.col("label")]).where("field is not null").groupBy(key, "section", "period").pivot("field", sorted(set(labels.values()))).agg(F.first("value", ignorenulls=True))
 
 
-def backup(spark: SparkSession, path: str, schema: str, stocks: DataFrame | None = None) -> DataFrame:
-    """Rows of a gzipped JSON backup whose symbol is known."""
-    df = spark.read.schema(schema).option("multiLine", True).json(path)
+def backup(spark: SparkSession, path: str, schema: str, stocks: DataFrame | None = None, lines: bool = False) -> DataFrame:
+    """Rows of a gzipped JSON backup whose symbol is known; ``lines``: one row a line, not one array a file."""
+    df = spark.read.schema(schema).option("multiLine", not lines).json(path)
     return df.join(stocks.select("symbol").distinct(), "symbol", "left_semi") if stocks is not None else df
