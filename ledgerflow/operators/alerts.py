@@ -67,3 +67,44 @@ def for_screen(today: DataFrame, yesterday: DataFrame) -> DataFrame:
 def dispatch(alerts: DataFrame, seen: DataFrame) -> DataFrame:
     """Alerts whose event has not been told (``seen`` has dedupe_key), most urgent first."""
     return alerts.dropDuplicates(["dedupe_key"]).join(seen.select("dedupe_key"), "dedupe_key", "left_anti").orderBy("severity", "symbol", "rule")
+
+
+def worth_telling(screen: DataFrame, watched: DataFrame) -> DataFrame:
+    """Screen alerts of watched symbols, and of all symbols those on a triggered setup."""
+    on = watched.select("symbol").distinct().withColumn("_on", F.lit(True))
+    return screen.join(on, "symbol", "left").where(F.col("_on") | (F.col("rule") == "setup_triggered")).drop("_on")
+
+
+def _plain(names: Column) -> Column:
+    return F.array_join(F.transform(names, lambda n: F.replace(n, F.lit("_"), F.lit(" "))), ", ")
+
+
+def explained(alerts: DataFrame, positions: DataFrame, today: DataFrame, setups: DataFrame) -> DataFrame:
+    """Add ``message``: what happened and, for a setup, why it counts.
+
+    ``positions`` has symbol, id, entry, stop, target, close; ``today`` symbol, blended, decile,
+    conviction_decile, flags; ``setups`` symbol, signs (an array of names) and reward_risk.
+    What is not known is left out of the text.
+    """
+    x = alerts.withColumn("_what", F.regexp_extract("dedupe_key", r"^[^:]*:[^:]*:(.*)$", 1))
+    held = positions.select(F.col("symbol"), F.col("id").cast("string").alias("_what"), "entry", "stop", "target", "close")
+    x = x.join(held, ["symbol", "_what"], "left").join(today.select("symbol", "blended"), "symbol", "left").join(setups.select("symbol", "signs", "reward_risk"), "symbol", "left")
+    two = lambda c: F.format_string("%.2f", F.col(c))
+    gain = F.when(F.col("entry") > 0, F.format_string(", %+.0f%% since entry", (F.col("close") / F.col("entry") - 1) * 100)).otherwise("")
+    odds = F.when(F.col("reward_risk").isNotNull(), F.format_string(", reward to risk %.1f", F.col("reward_risk"))).otherwise("")
+    signs = F.when(F.size("signs") > 0, _plain(F.col("signs"))).otherwise("confirmed")
+    listed = _plain(F.split("_what", ","))
+    text = {
+        "stop_breached": F.concat(F.lit("close "), two("close"), F.lit(" is at or under the stop "), two("stop")),
+        "target_reached": F.concat(F.lit("close "), two("close"), F.lit(" has met the target "), two("target"), gain),
+        "thesis_broken": F.concat(F.lit("a holding fails a gate: "), listed),
+        "score_decayed": F.concat(F.split_part("_what", F.lit(":"), F.lit(1)), F.lit(" is down to decile "), F.split_part("_what", F.lit(":"), F.lit(2))),
+        "entered_top_decile": F.concat(F.lit("new in the top decile"), F.when(F.col("blended").isNotNull(), F.format_string(", blend %.1f", F.col("blended"))).otherwise("")),
+        "setup_triggered": F.concat(F.lit("turning at support ("), signs, F.lit(")"), odds),
+        "zone_broken": F.lit("the support under it has gone"),
+        "new_red_flag": F.concat(F.lit("fails a gate it passed before: "), listed),
+    }
+    message = None
+    for rule, c in text.items():
+        message = F.when(F.col("rule") == rule, c) if message is None else message.when(F.col("rule") == rule, c)
+    return x.withColumn("message", message).select(*alerts.columns, "message")

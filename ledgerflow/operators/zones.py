@@ -130,3 +130,28 @@ def shelves(bars: DataFrame, bins: int = SHELF_BINS, lookback: int = SHELF_LOOKB
     per = per.where(F.col("floor") < F.col("last"))
     per = per.withColumn("_k", F.row_number().over(w.orderBy(F.desc("weight"), F.desc("bin")))).where(F.col("_k") <= top)
     return per.select("symbol", "bin", "floor", edge(F.col("bin") + 1).alias("ceil"), "share")
+
+
+# How many zones of a kind a chart shows, and how near to the price a broken one must be.
+CHART_QUOTA, CHART_NEAR = {"live": 3, "overhead": 2, "broken": 2}, 0.25
+
+
+def chart_zones(rated: DataFrame, shown: int) -> DataFrame:
+    """symbol, part, place and the zones worth drawing: one ranking with a quota for each part.
+
+    ``rated`` has the zones with live, invalidated, last_i and the symbol's price. Live supports
+    below the price come nearest first, as do live resistances not under it; a broken zone counts
+    if it broke in the last ``shown`` bars and lies within 25 % of the price, latest break first.
+    """
+    p, mid = F.col("price"), (F.col("floor") + F.col("ceil")) / 2
+    near = (F.col("floor") <= p * (1 + CHART_NEAR)) & (F.col("ceil") >= p * (1 - CHART_NEAR))
+    part = (
+        F.when(~F.col("live") & (F.col("invalidated") >= F.col("last_i") - (shown - 1)) & near, "broken")
+        .when(F.col("live") & (F.col("kind") == "high") & (F.col("ceil") >= p), "overhead")
+        .when(F.col("live") & (F.col("kind") == "low") & (F.col("floor") <= p), "live")
+    )
+    order = F.when(F.col("part") == "broken", -F.col("invalidated")).when(F.col("part") == "overhead", mid).otherwise(-mid)
+    z = rated.withColumn("part", part).where("part is not null")
+    z = z.withColumn("place", F.row_number().over(Window.partitionBy("symbol", "part").orderBy(order, "kind", "source", "zone")))
+    quota = F.create_map(*[x for k, v in CHART_QUOTA.items() for x in (F.lit(k), F.lit(v))])
+    return z.where(F.col("place") <= quota[F.col("part")]).select("symbol", "part", "place", "kind", "source", "zone", "floor", "ceil")
