@@ -49,8 +49,18 @@ NEEDS = {
 KINDS = tuple(PATTERNS)
 ADDED = KINDS[len(BASE) :]
 SAMPLE = 3000
-FEATURES = ("size", "digits", "uppers", "marks", "cue", "edge", "runs", "kind")
+FLOOR = 0.5  # no kind's threshold is lower
+FEATURES = ("size", "digits", "uppers", "marks", "cue", "against", "edge", "runs", "check", "kind")
 CUES = "pass|secret|token|key|tel|phone|call|fax|mail|contact|card|ssn|social|iban|account|bank|id"
+AGAINST = "part|model|order|version|lot |batch|ratio|score|error|code|serial|stock|size|page|room|chapter|meet|look"
+# Whether the value could be one of its kind: account numbers by their remainder, identities and phones by
+# the numbers that are given out, secrets by letters with digits, addresses by a short last part.
+CHECKS = {
+    "secret": r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]|[a-z][A-Z].*[a-z][A-Z]",
+    "local_phone": r"^\(?[2-9][0-9]{2}.{1,2}[2-9]",
+    "national_id": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$",
+    "spelled_email": r"(?i)(?:\.|[\[(]dot[\])])\x20?[a-z]{2,4}$",
+}
 
 
 # --- array scans -------------------------------------------------------------
@@ -137,16 +147,41 @@ def _count(v: str, kind: str) -> str:
     return f"length(regexp_replace({v}, '[^{kind}]', ''))"
 
 
+def _check_sql(kind: str) -> str:
+    if kind == "iban":
+        digit = "case when ch between '0' and '9' then (acc * 10 + cast(ch as int)) % 97 else (acc * 100 + ascii(ch) - 55) % 97 end"
+        chars = "split(replace(concat(substring(m.v, 5), substring(m.v, 1, 4)), ' ', ''), '')"
+        return f"case when aggregate(filter({chars}, ch -> ch <> ''), 0, (acc, ch) -> {digit}) = 1 then 1.0D else 0.0D end"
+    of = "regexp_extract(m.v, '(?s)^[^=:]*[=:](.*)$', 1)" if kind == "secret" else "m.v"
+    value = f"case when {of} = '' then m.v else {of} end" if kind == "secret" else "m.v"
+    return f"case when {value} rlike r'{CHECKS[kind]}' then 1.0D else 0.0D end" if kind in CHECKS else "0.0D"
+
+
+def remainder(v: str) -> int:
+    """The remainder by 97 of an account number, 1 for a right one."""
+    bare = v.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97
+
+
+def _check(kind: str, v: str) -> float:
+    if kind == "iban":
+        return float(remainder(v) == 1)
+    value = (re.search(r"(?s)^[^=:]*[=:](.*)$", v) or [v, v])[1] or v if kind == "secret" else v
+    return float(re.search(CHECKS[kind], value) is not None) if kind in CHECKS else 0.0
+
+
 def feature_sql(kind: str, t: str) -> str:
-    """struct of the features of candidate ``m`` (s, e, v); positions are bounded by a window of 24."""
+    """struct of the features of candidate ``m`` (s, e, v); positions are bounded by windows of 24 before and 16 after."""
     before = f"lower(substring({t}, cast(greatest(m.s - 23, 1) as int), cast(least(m.s, 24) as int)))"
+    after = f"lower(substring({t}, cast(m.e + 1 as int), 16))"
     return (
         f"named_struct('size', cast(length(m.v) as double), 'digits', {_count('m.v', '0-9')} / cast(length(m.v) as double), "
         f"'uppers', {_count('m.v', 'A-Z')} / cast(length(m.v) as double), 'marks', {_count('m.v', '=:@+()')} * 1.0D, "
         f"'cue', case when concat({before}, lower(m.v)) rlike '{CUES}' then 1.0D else 0.0D end, "
+        f"'against', case when concat({before}, '|', {after}) rlike '{AGAINST}' then 1.0D else 0.0D end, "
         f"'edge', case when substring({t}, cast(m.e + 1 as int), 1) rlike '[A-Za-z0-9]' then 1.0D else 0.0D end, "
         f"'runs', {_count('regexp_replace(m.v, r' + chr(39) + '[0-9]+' + chr(39) + ', ' + chr(39) + '#' + chr(39) + ')', '#')} * 1.0D, "
-        f"'kind', {float(KINDS.index(kind))}D)"
+        f"'check', {_check_sql(kind)}, 'kind', {float(KINDS.index(kind))}D)"
     )
 
 
@@ -154,10 +189,11 @@ def features(kind: str, before: str, v: str, after: str) -> list[float]:
     """The same for one written sentence."""
     share = lambda chars: sum(c in chars for c in v) / len(v)
     cue = re.search(CUES, (before[-23:] + v).lower()) is not None
+    against = re.search(AGAINST, f"{before[-23:]}|{after[:16]}".lower()) is not None
     edge = re.match("[A-Za-z0-9]", after) is not None
     return [
         float(len(v)), share("0123456789"), share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), float(sum(c in "=:@+()" for c in v)),
-        float(cue), float(edge), float(len(re.findall("[0-9]+", v))), float(KINDS.index(kind)),
+        float(cue), float(against), float(edge), float(len(re.findall("[0-9]+", v))), _check(kind, v), float(KINDS.index(kind)),
     ]
 
 
@@ -172,11 +208,24 @@ REAL_LEADS = {
 }
 FALSE_LEADS = {
     "secret": ("", "the ", "our ", "see "),
-    "local_phone": ("version ", "lot ", "order no. ", "model ", "ratio ", ""),
-    "national_id": ("order ", "score ", "lot ", "in the years ", ""),
-    "iban": ("part ", "model ", "code ", "batch "),
-    "spelled_email": ("look ", "meet ", "they were ", ""),
+    "local_phone": ("version ", "lot ", "order no. ", "model ", "ratio ", "page ", ""),
+    "national_id": ("order ", "score ", "lot ", "in the years ", "serial ", ""),
+    "iban": ("part ", "model ", "code ", "batch ", "error code ", "serial ", "account ", "the ", ""),
+    "spelled_email": ("look ", "meet ", "they were ", "room ", ""),
 }
+# What may follow a look-alike.
+FALSE_ENDS = (" in stock", " pages", " of the model", ". ", " and ", ", ")
+
+
+def _account(of, digit: str, upper: str, right: bool) -> str:
+    """An account number with right or wrong check digits, in groups of four or not."""
+    land, body = of(upper, 2), of(digit, 14, 20) if right or of(digit, 1) < "6" else of(upper + digit, 12, 20)
+    body = of(upper, 4) + body[4:] if of(digit, 1) < "4" else body
+    check = next(f"{k:02d}" for k in range(2, 99) if remainder(f"{land}{k:02d}{body}") == 1)
+    if not right:
+        check = f"{(int(check) + int(of(digit, 1)) + 1) % 97 + 2:02d}"
+    v = land + check + body
+    return " ".join(v[i : i + 4] for i in range(0, len(v), 4)) if of(digit, 1) < "5" else v
 
 
 def _draw(r: random.Random) -> tuple[list[float], int]:
@@ -193,13 +242,15 @@ def _draw(r: random.Random) -> tuple[list[float], int]:
         elif real and r.random() < 0.2:
             v = name + sep + of(lower if r.random() < 0.5 else lower + upper, 20, 300)
         if not real:
-            v = name + r.choice((": ", "=")) + of(lower, 8, 14)
+            v = name + r.choice((": ", "=")) + (of(lower, 8, 14) if r.random() < 0.8 else of(lower, 4, 8) + r.choice("-_./") + of(lower, 4, 8))
     elif kind == "local_phone":
-        v = r.choice((f"({of(digit, 3)}) {of(digit, 3)}-{of(digit, 4)}", f"{of(digit, 3)}-{of(digit, 3)}-{of(digit, 4)}", f"{of(digit, 3)}.{of(digit, 3)}.{of(digit, 4)}"))
+        first = digit[2:] if real or r.random() < 0.6 else digit
+        a, b, c = of(first, 1) + of(digit, 2), of(first, 1) + of(digit, 2), of(digit, 4)
+        v = r.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}"))
     elif kind == "national_id":
-        v = f"{of(digit, 3)}-{of(digit, 2)}-{of(digit, 4)}"
+        v = f"{of(digit[1:9] if real else digit, 1)}{of(digit, 2)}-{of(digit, 1)}{of(digit[1:] if real else digit, 1)}-{of(digit, 3)}{of(digit[1:] if real else digit, 1)}"
     elif kind == "iban":
-        v = of(upper, 2) + of(digit, 2) + (of(digit, 14, 20) if r.random() < 0.6 else of(upper, 4) + of(digit, 14)) if real else of(upper, 2) + of(digit, 2) + of(upper, 12, 20)
+        v = _account(of, digit, upper, real and r.random() < 0.97)
     else:
         v = f"{of(lower, 3, 10)} [at] {of(lower, 4, 10)} [dot] {r.choice(('com', 'org', 'net', 'de'))}" if real else f"{of(lower, 2, 5)} (at) {of(lower, 3, 8)}. {of(lower, 2, 9)}"
         if real and r.random() < 0.4:
@@ -207,7 +258,8 @@ def _draw(r: random.Random) -> tuple[list[float], int]:
     words = " ".join(r.choice(FILLER) for _ in range(r.randint(0, 5)))
     before = f"{words} {r.choice((REAL_LEADS if real else FALSE_LEADS)[kind])}"
     glued = r.random() < (0.02 if real else 0.2)
-    return features(kind, before, v, "x" if glued else r.choice((" ", ". ", ", ")) + r.choice(FILLER)), int(real)
+    end = r.choice(FALSE_ENDS if not real and r.random() < 0.5 else (" ", ". ", ", ", "; "))
+    return features(kind, before, v, "x" if glued else end + r.choice(FILLER)), int(real)
 
 
 def _stump(rows: list[list[float]], grad: list[float], hess: list[float], index: list[int]):
@@ -237,7 +289,7 @@ def model(trees: int = 20, rate: float = 0.3, seed: int = 7) -> tuple[tuple, flo
 
     Half of the sample grows the trees; the other half fits the curve and gives, for
     each kind, the lowest threshold at which nine of ten selected candidates are real,
-    half way to the next candidate.
+    half way to the next candidate, and ``FLOOR`` at least.
     """
     r = random.Random(seed)
     rows, y = map(list, zip(*(_draw(r) for _ in range(SAMPLE))))
@@ -279,7 +331,7 @@ def model(trees: int = 20, rate: float = 0.3, seed: int = 7) -> tuple[tuple, flo
             right += t
             below = held[n][0] if n < len(held) else 0.0
             if below < p and right >= 0.9 * n:  # candidates of one score stand or fall together
-                thresholds[k] = (p + below) / 2
+                thresholds[k] = max(FLOOR, (p + below) / 2)
     return tuple(grown), a, b, thresholds
 
 
