@@ -188,8 +188,8 @@ def feature_sql(kind: str, t: str) -> str:
 def features(kind: str, before: str, v: str, after: str) -> list[float]:
     """The same for one written sentence."""
     share = lambda chars: sum(c in chars for c in v) / len(v)
-    cue = re.search(CUES, (before[-23:] + v).lower()) is not None
-    against = re.search(AGAINST, f"{before[-23:]}|{after[:16]}".lower()) is not None
+    cue = re.search(CUES, (before[-24:] + v).lower()) is not None
+    against = re.search(AGAINST, f"{before[-24:]}|{after[:16]}".lower()) is not None
     edge = re.match("[A-Za-z0-9]", after) is not None
     return [
         float(len(v)), share("0123456789"), share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), float(sum(c in "=:@+()" for c in v)),
