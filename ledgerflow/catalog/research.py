@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import asof, research as rs, resample, scoring
+from ..plans.cut import cut
 from ..plans.views import Market
 from .cross import _DECILE, _FEAT, _avg_rank, featured
 from .prices import OVER
@@ -159,7 +160,25 @@ def g11_weight_search(m: Market) -> DataFrame:
     return rs.weight_search(panel(m), rs.weight_grid(m.spark), "mom", "ret3", "vr")
 
 
-@query()
+_KEYS = "period, wq, wv, wt"
+_HALVES = f"""{_GRID.split(', cand AS')[0]}, cutd AS (SELECT CASE WHEN len(d) >= 4 THEN d[len(d) // 2 + 1] END AS cut FROM (SELECT list(as_of ORDER BY as_of) AS d FROM (SELECT DISTINCT as_of FROM panel))),
+pp AS (SELECT panel.*, unnest(['all', CASE WHEN cut IS NULL OR as_of < cut THEN 'first' ELSE 'second' END]) AS period FROM panel, cutd),
+cand AS MATERIALIZED (SELECT pp.*, wq, wv, wt, (coalesce(mom, 0) * wq + coalesce(ret3, 0) * wv + coalesce(vr, 0) * wt) / nullif(CASE WHEN mom IS NULL THEN 0 ELSE wq END + CASE WHEN ret3 IS NULL THEN 0 ELSE wv END + CASE WHEN vr IS NULL THEN 0 ELSE wt END, 0) AS blended FROM pp, grid),
+ics AS (SELECT * FROM ({_nw(_ic('cand', 'blended', _KEYS + ', as_of'), 'ic', _KEYS)})),
+dcs AS (SELECT *, {_DECILE.format(x='blended', p=f'PARTITION BY {_KEYS}, as_of', q=f'{_KEYS}, as_of,')} AS decile FROM cand WHERE blended IS NOT NULL),
+pd AS (SELECT {_KEYS}, decile, quantile_cont(forward_return, 0.5) AS median, avg((forward_return >= 0.25)::DOUBLE) AS hit25, quantile_cont(forward_return, 0.1) AS p10 FROM dcs WHERE decile IS NOT NULL AND forward_return IS NOT NULL GROUP BY {_KEYS}, decile HAVING count(forward_return) >= 20),
+sy AS (SELECT {_KEYS}, CASE WHEN NOT isnan(corr(d, m)) THEN corr(d, m) END AS median_rho, CASE WHEN NOT isnan(corr(d, h)) THEN corr(d, h) END AS hit_rho, arg_max(median, decile) - arg_min(median, decile) AS spread, arg_max(median, decile) AS top_median, arg_max(hit25, decile) AS top_hit25, arg_max(p10, decile) AS top_p10, arg_min(hit25, decile) AS bottom_hit25
+  FROM (SELECT *, {_avg_rank('decile', _KEYS)} AS d, {_avg_rank('median', _KEYS)} AS m, {_avg_rank('hit25', _KEYS)} AS h FROM pd) GROUP BY {_KEYS} HAVING count(*) >= 4),
+ev AS (SELECT sy.*, n, mean, naive_se, nw_se, nw_t, share_positive FROM sy LEFT JOIN ics USING ({_KEYS}))"""
+_R6 = lambda *c: ", ".join(f"round(a.{x}, 6) AS {x}" for x in c)
+
+
+@query(
+    f"SELECT a.wq::INT AS wq, a.wv::INT AS wv, a.wt::INT AS wt, {_R6('median_rho', 'hit_rho', 'spread', 'top_median', 'top_hit25', 'top_p10', 'bottom_hit25', 'mean', 'naive_se', 'nw_se', 'nw_t', 'share_positive')}, a.n, CASE WHEN a.median_rho >= 0.6 THEN 'ranks' WHEN a.median_rho >= 0.3 THEN 'weak' WHEN a.median_rho > -0.3 THEN 'none' ELSE 'inverted' END AS verdict, round(f.mean, 6) AS ic_first_half, round(f.median_rho, 6) AS rho_first_half, round(s.mean, 6) AS ic_second_half, round(s.median_rho, 6) AS rho_second_half, coalesce(f.mean > 0 AND s.mean > 0, false) AS stable"
+    " FROM (SELECT * FROM ev WHERE period = 'all') a LEFT JOIN (SELECT * FROM ev WHERE period = 'first') f USING (wq, wv, wt) LEFT JOIN (SELECT * FROM ev WHERE period = 'second') s USING (wq, wv, wt)",
+    views="bars stocks",
+    more=f"{_PANEL}, {_HALVES}",
+)
 def g11_weight_search_halves(m: Market) -> DataFrame:
     """The whole grid in steps of 10 and the incumbent, over all dates and both halves."""
-    return rs.weight_search_halves(panel(m), rs.weight_grid(m.spark), "mom", "ret3", "vr")
+    return rs.weight_search_halves(cut(panel(m)), rs.weight_grid(m.spark), "mom", "ret3", "vr")

@@ -5,17 +5,19 @@ The nations' weekly bars stand for sessions, their four-week bars for the longer
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import asof, divergence as dv, indicators as ind, overhead as oh, resample, setups as st, zones as zn
+from ..operators import asof, divergence as dv, indicators as ind, levels as lv, overhead as oh, resample, setups as st, zones as zn
 from ..operators.indicators import W
 from ..plans.cut import cut
 from ..plans.views import NBARS, Market
 from .levels import _PIVOTS
 from .prices import _CANDLE, NTR, OVER, _wilder_sql
 from .registry import query
-from .setups import _MORE
+from .setups import _MORE, _RATED
 
 WARM_UP, HOLD = 104, 26  # weeks of history that a score needs, weeks that a position is held
 
@@ -134,3 +136,43 @@ def j17_zones_at_month_ends(m: Market) -> DataFrame:
     """Every zone live at each month end with its counts and strength as of that bar."""
     bars = cut(m.nation_bars(), "symbol")
     return overhead_rows(bars, month_rows(bars))[1].select("as_of", "symbol", "kind", "source", "zone", "touches", "rejections", "breaks", "strength")
+
+
+def renamed(sql: str, prefix: str = "l_") -> str:
+    """The same tables over other bars, under names of their own."""
+    return re.sub(r"\b(nbars|n|walk|piv|d|t|nw|pts|clus|bands|rd|every|zs|wk|ev|w1|w2|rs|rec|pri|fnd)\b", rf"{prefix}\1", sql)
+
+
+LONG_OF_WEEKS = "l_nbars AS (SELECT symbol, max(date) AS date, arg_min(open, date) AS open, max(high) AS high, min(low) AS low, arg_max(close, date) AS close, sum(volume) AS volume FROM nbars GROUP BY symbol, floor((date - DATE '1970-01-01') / 28))"
+_LIVE = "SELECT z.* FROM {zs} z WHERE z.symbol IN (SELECT symbol FROM {nbars} GROUP BY symbol HAVING count(*) >= 30) AND NOT EXISTS (SELECT 1 FROM {ev} e WHERE e.id = z.id AND e.event = 'break')"
+
+
+@query(
+    "SELECT symbol, source, CAST(zone AS INTEGER) AS zone, round(floor, 6) AS floor, round(ceil, 6) AS ceil, EXISTS (SELECT 1 FROM lw WHERE lw.symbol = dl.symbol AND lw.kind = 'low' AND lw.floor <= dl.ceil AND lw.ceil >= dl.floor) AS overlaps FROM dl WHERE kind = 'low'",
+    views="nbars",
+    more=f"{_MORE}, {LONG_OF_WEEKS}, {renamed(_MORE)}, dl AS ({_LIVE.format(zs='zs', nbars='nbars', ev='ev')}), lw AS ({_LIVE.format(zs='l_zs', nbars='l_nbars', ev='l_ev')})",
+    recursive=True,
+)
+def d14_zone_overlap(m: Market) -> DataFrame:
+    """Each live support and whether a live support of the longer timeframe overlaps it."""
+    bars = cut(m.nation_bars(), "symbol")
+    live = lambda z: z.where("live and kind = 'low'").select("symbol", "source", "zone", "floor", "ceil")
+    long = live(st.build(cut(four_weeks(bars), "symbol"), "weekly"))
+    return lv.overlaps(live(st.build(bars, "daily")), long)
+
+
+@query(
+    "SELECT symbol, kind, round(price, 6) AS price, round(floor, 6) AS floor, round(ceil, 6) AS ceil, round(strength, 6) AS strength FROM (SELECT r.*, p.price FROM rated r JOIN (SELECT symbol, arg_max(close, date) AS price FROM nbars GROUP BY symbol) p USING (symbol)) WHERE live AND CASE WHEN kind = 'low' THEN floor <= price ELSE ceil >= price END QUALIFY row_number() OVER (PARTITION BY symbol, kind ORDER BY CASE WHEN kind = 'low' THEN price - (floor + ceil) / 2 ELSE (floor + ceil) / 2 - price END, formed, source, zone) = 1",
+    views="nbars",
+    more=f"{_MORE}, {_RATED}",
+    recursive=True,
+)
+def d15_nearest_zones(m: Market) -> DataFrame:
+    """The nearest live zone on each side of the last close."""
+    bars = cut(m.nation_bars(), "symbol")
+    last = bars.groupBy("symbol").agg(F.max_by("close", "date").alias("close"))
+    z = st.build(bars, "daily").where("live").join(last, "symbol")
+    near = oh.nearest(z, "symbol").join(last, "symbol")
+    sides = F.array(F.struct(F.lit("low").alias("kind"), F.col("below").alias("z")), F.struct(F.lit("high").alias("kind"), F.col("above").alias("z")))
+    x = near.select("symbol", F.col("close").alias("price"), F.explode(sides).alias("s")).where("s.z is not null")
+    return x.select("symbol", "s.kind", "price", "s.z.floor", "s.z.ceil", "s.z.strength")

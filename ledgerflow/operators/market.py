@@ -45,3 +45,16 @@ def breadth(bars: DataFrame, n: int = 200, least: int = 150) -> DataFrame:
     return df.groupBy("date").agg(F.avg("above").alias("breadth"), F.count("above").alias("n")).withColumn(
         "regime", F.when(F.col("breadth") < WEAK_BREADTH, "weak").when(F.col("breadth").isNotNull(), "strong")
     )
+
+
+# What a study found for each regime (months, six-month return of the top decile and of all, share of months in which ranks helped, episodes).
+STUDY = {"weak": (16, 0.156, 0.096, 1.0, 3), "strong": (22, 0.214, 0.120, 1.0, None)}
+STUDY_FIELDS = ("hist_months", "hist_top", "hist_avg", "hist_ic_positive", "hist_episodes")
+
+
+def backdrop_rows(bars: DataFrame) -> DataFrame:
+    """The backdrop and the breadth of each date with what the study found for its regime (nothing where that is unknown)."""
+    x = backdrop(bars).join(breadth(bars).select("date", "breadth", "regime"), "date")
+    types = ("int", "double", "double", "double", "int")
+    found = {name: F.when(F.col("regime") == "weak", F.lit(STUDY["weak"][i])).when(F.col("regime") == "strong", F.lit(STUDY["strong"][i])).cast(types[i]) for i, name in enumerate(STUDY_FIELDS)}
+    return x.withColumns(found).drop("index_level")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.num import avg_rank, correlation, decile, pct_rank, safe_div
+from ..plans.cut import cut
 
 MIN_NAMES, MIN_DATES, OVERLAP_LAG = 30, 3, 5
 
@@ -142,8 +143,8 @@ def weight_search_halves(panel: DataFrame, grid: DataFrame, q: str, v: str, t: s
     no figures; ``stable`` needs a positive coefficient in both halves.
     """
     days = panel.groupBy().agg(F.array_sort(F.collect_set(date)).alias("_d"))  # one row
-    cut = F.when(F.size("_d") >= 4, F.element_at("_d", (F.floor(F.size("_d") / 2) + 1).cast("int")))
-    half = F.when(cut.isNull() | (F.col(date) < cut), "first").otherwise("second")
+    middle = F.when(F.size("_d") >= 4, F.element_at("_d", (F.floor(F.size("_d") / 2) + 1).cast("int")))
+    half = F.when(middle.isNull() | (F.col(date) < middle), "first").otherwise("second")
     df = panel.crossJoin(F.broadcast(days)).withColumn("period", F.explode(F.array(F.lit("all"), half))).drop("_d")
     keys = ("period", "wq", "wv", "wt")
     df = _blended(df, grid, q, v, t)
@@ -166,7 +167,7 @@ def weight_search_halves(panel: DataFrame, grid: DataFrame, q: str, v: str, t: s
     ).where("deciles >= 4")
     r = F.col("median_rho")
     study = study.withColumn("verdict", F.when(r >= 0.6, "ranks").when(r >= 0.3, "weak").when(r > -0.3, "none").otherwise("inverted"))
-    every = study.join(ic, list(keys), "left")
+    every = cut(study.join(ic, list(keys), "left"))  # read three times
     whole = every.where("period = 'all'").drop("period", "deciles")
 
     def of(name: str) -> DataFrame:

@@ -200,3 +200,31 @@ def quantity(capital: float, risk: float, price="close", stop="stop") -> Column:
     """Whole shares within the risk budget and the position cap."""
     p, s = F.col(price), F.col(stop)
     return F.when(s < p, F.floor(F.least(capital * risk / (p - s), capital * MAX_POSITION / p)).cast("long"))
+
+
+# The features whose lift has not held in weak markets.
+FADING_IN_WEAK = ("tm_score", "value_score", "margin_revision")
+
+
+def fading_share(drivers: str = "drivers") -> Column:
+    """The share of a name's positive points that comes from features that fade in weak markets; NULL without any."""
+    lift = F.filter(drivers, lambda d: d["points"] > 0)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, d: s + d["points"])
+    return total(F.filter(lift, lambda d: d["feature"].isin(*FADING_IN_WEAK))) / F.when(total(lift) > 0, total(lift))
+
+
+def carried(history: DataFrame, events: tuple[str, ...], sessions: int, key: str = "symbol", order: str = "date") -> DataFrame:
+    """One row a symbol: an event counts if it fired in the last ``sessions`` rows, all other columns are the newest row's."""
+    back = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
+    rest = [c for c in history.columns if c not in (key, order, *events)]
+    recent = history.withColumn("_k", back).where(F.col("_k") <= sessions)
+    return recent.groupBy(key).agg(F.max(order).alias(order), *[F.max_by(c, order).alias(c) for c in rest], *[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in events])
+
+
+def is_lender(sectors: tuple[str, ...], kind: str = "company_type", sector: str = "sector") -> Column:
+    return F.coalesce(F.col(kind) == "financial", F.lit(False)) | F.coalesce(F.col(sector).isin(*sectors), F.lit(False))
+
+
+def is_equity(kind: str = "instrument_type") -> Column:
+    """An unknown type counts as equity."""
+    return F.coalesce(F.col(kind), F.lit("equity")) == "equity"
