@@ -21,7 +21,7 @@ cap0 AS (SELECT DISTINCT book, 0::BIGINT AS n, NULL::DOUBLE AS capital, NULL::DO
   SELECT book, n, CASE WHEN ok THEN amount ELSE capital END, CASE WHEN ok THEN risk ELSE had END FROM (SELECT c.*, p.capital, p.risk_pct AS had, coalesce(c.risk_pct, p.risk_pct, 0.01) AS risk, coalesce(c.amount > 0 AND coalesce(c.risk_pct, p.risk_pct, 0.01) > 0 AND coalesce(c.risk_pct, p.risk_pct, 0.01) < 1, false) AS ok FROM cap0 p JOIN cc c ON c.book = p.book AND c.n = p.n + 1)),
 cap AS (SELECT book, capital, risk_pct FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY n DESC) AS k FROM cap0) WHERE k = 1 AND capital IS NOT NULL)"""
 _MARKS = """, lp AS (SELECT symbol, arg_max(close, date) / 8 AS close FROM nbars GROUP BY symbol),
-mk AS (SELECT p.book, p.symbol, p.id, p.price, p.qty, p.stop, l.close, p.price * p.qty AS invested, l.close * p.qty AS value, (l.close - p.price) * p.qty AS pnl, l.close / p.price - 1 AS ret, (l.close - p.price) / CASE WHEN p.price > p.stop THEN p.price - p.stop END AS r_multiple, l.close / nullif(p.stop, 0) - 1 AS stop_distance, (l.close - p.stop) * p.qty AS risk_left, p.symbol = 0 AS intact FROM ps p LEFT JOIN lp l USING (symbol) WHERE exit_id IS NULL)"""
+mk AS (SELECT p.book, p.symbol, p.id, p.price, p.qty, p.stop, l.close, p.price * p.qty AS invested, l.close * p.qty AS value, (l.close - p.price) * p.qty AS pnl, l.close / p.price - 1 AS ret, (l.close - p.price) / CASE WHEN p.price > p.stop THEN p.price - p.stop END AS r_multiple, l.close / nullif(p.stop, 0) - 1 AS stop_distance, (l.close - p.stop) * p.qty AS risk_left, CASE WHEN l.close IS NOT NULL THEN p.symbol = 0 END AS intact FROM ps p LEFT JOIN lp l USING (symbol) WHERE exit_id IS NULL)"""
 _BOOKS = f"{_COMMANDS}, {_FOLD}, {_HELD}{_CAPITAL}{_MARKS}"
 _SUMS = "SELECT book, count(*) AS positions, sum(invested) AS invested, coalesce(sum(value), 0) AS value, coalesce(sum(risk_left), 0) AS risk_left, count(*) FILTER (NOT intact) AS broken FROM mk GROUP BY book"
 
@@ -182,7 +182,7 @@ def i36_agreement_at_every_bar(m: Market) -> DataFrame:
 
 
 @query(
-    "SELECT symbol, CASE WHEN v IS NULL THEN '-' ELSE CASE WHEN v >= 0 THEN '+' ELSE '' END || printf('%.1f%%', v * 100) END AS change, CASE WHEN v IS NULL THEN '-' ELSE printf('%.1f%%', abs(v) * 100) END AS share, CASE WHEN m IS NULL THEN '-' WHEN abs(m) >= 100000 THEN printf('%.2fL Cr', m / 100000) WHEN abs(m) >= 1000 THEN printf('%.1fK Cr', m / 1000) ELSE printf('%.0f Cr', m) END AS money, strftime(date, '%b %y') AS day FROM (SELECT symbol, date, CASE WHEN symbol % 9 <> 4 THEN close / open - 1 END AS v, CASE WHEN symbol % 8 <> 5 THEN volume * close / 7 END AS m FROM nbars)",
+    "SELECT symbol, CASE WHEN v IS NULL THEN '-' ELSE CASE WHEN v >= 0 THEN '+' ELSE '' END || printf('%.1f%%', v * 100) END AS change, CASE WHEN v IS NULL THEN '-' ELSE printf('%.1f%%', abs(v) * 100) END AS share, CASE WHEN m IS NULL THEN '-' WHEN abs(m) >= 100000 THEN printf('%.2fL Cr', m / 100000) WHEN abs(m) >= 1000 THEN printf('%.1fK Cr', m / 1000) ELSE printf('%.0f Cr', m) END AS money, strftime(date, '%b %y') AS day FROM (SELECT symbol, date, CASE WHEN symbol % 9 <> 4 THEN close / open - 1 END AS v, CASE WHEN symbol % 8 <> 5 THEN volume * close / 7.3 END AS m FROM nbars)",
     views="nbars",
 )
 def i33_display_texts(m: Market) -> DataFrame:
@@ -190,7 +190,7 @@ def i33_display_texts(m: Market) -> DataFrame:
     from ..functions import text as tx
 
     s = F.col("symbol")
-    x = m.nation_bars().withColumns({"v": F.when(s % 9 != 4, F.col("close") / F.col("open") - 1), "m": F.when(s % 8 != 5, F.col("volume") * F.col("close") / 7)})
+    x = m.nation_bars().withColumns({"v": F.when(s % 9 != 4, F.col("close") / F.col("open") - 1), "m": F.when(s % 8 != 5, F.col("volume") * F.col("close") / 7.3)})
     return x.select("symbol", tx.change("v").alias("change"), tx.share(F.abs("v")).alias("share"), tx.crore("m").alias("money"), tx.month("date").alias("day"))
 
 
