@@ -174,7 +174,7 @@ _R6 = lambda *c: ", ".join(f"round(a.{x}, 6) AS {x}" for x in c)
 
 
 @query(
-    f"SELECT a.wq::INT AS wq, a.wv::INT AS wv, a.wt::INT AS wt, {_R6('median_rho', 'hit_rho', 'spread', 'top_median', 'top_hit25', 'top_p10', 'bottom_hit25', 'mean', 'naive_se', 'nw_se', 'nw_t', 'share_positive')}, a.n, CASE WHEN a.median_rho >= 0.6 THEN 'ranks' WHEN a.median_rho >= 0.3 THEN 'weak' WHEN a.median_rho > -0.3 THEN 'none' ELSE 'inverted' END AS verdict, round(f.mean, 6) AS ic_first_half, round(f.median_rho, 6) AS rho_first_half, round(s.mean, 6) AS ic_second_half, round(s.median_rho, 6) AS rho_second_half, coalesce(f.mean > 0 AND s.mean > 0, false) AS stable"
+    f"SELECT a.wq::INT AS wq, a.wv::INT AS wv, a.wt::INT AS wt, {_R6('median_rho', 'hit_rho', 'spread', 'top_median', 'top_hit25', 'top_p10', 'bottom_hit25', 'mean', 'naive_se', 'nw_se', 'nw_t', 'share_positive')}, a.n, CASE WHEN round(a.median_rho, 9) >= 0.6 THEN 'ranks' WHEN round(a.median_rho, 9) >= 0.3 THEN 'weak' WHEN round(a.median_rho, 9) > -0.3 THEN 'none' ELSE 'inverted' END AS verdict, round(f.mean, 6) AS ic_first_half, round(f.median_rho, 6) AS rho_first_half, round(s.mean, 6) AS ic_second_half, round(s.median_rho, 6) AS rho_second_half, coalesce(f.mean > 0 AND s.mean > 0, false) AS stable"
     " FROM (SELECT * FROM ev WHERE period = 'all') a LEFT JOIN (SELECT * FROM ev WHERE period = 'first') f USING (wq, wv, wt) LEFT JOIN (SELECT * FROM ev WHERE period = 'second') s USING (wq, wv, wt)",
     views="bars stocks",
     more=f"{_PANEL}, {_HALVES}",

@@ -165,7 +165,7 @@ def weight_search_halves(panel: DataFrame, grid: DataFrame, q: str, v: str, t: s
         F.max_by("p10", "decile").alias("top_p10"),
         F.min_by("hit25", "decile").alias("bottom_hit25"),
     ).where("deciles >= 4")
-    r = F.col("median_rho")
+    r = F.round("median_rho", 9)  # a coefficient on a limit is on it in any order of sums
     study = study.withColumn("verdict", F.when(r >= 0.6, "ranks").when(r >= 0.3, "weak").when(r > -0.3, "none").otherwise("inverted"))
     every = cut(study.join(ic, list(keys), "left"))  # read three times
     whole = every.where("period = 'all'").drop("period", "deciles")
