@@ -4,10 +4,11 @@ Only the histogram of piece lengths (at most ``size`` rows, whatever the input)
 reaches the driver. The covering program over all configurations (multisets of
 lengths that fit in one sequence) is solved by multiplicative weights: each step
 prices lengths by the weight of their unmet demand, a knapsack dynamic program
-finds the best configuration, and covered lengths lose weight. The fractional
-solution is rounded to whole configurations, and the same program packs what
-rounding leaves. Pieces then find their place by rank within their length, without
-a shuffle of texts.
+finds the dearest configurations, covered lengths lose weight, and the prices give
+the bound at whose stated gap it stops. The fractional solution is rounded to whole
+configurations, the same program takes what rounding leaves, and a knapsack over the
+stock completes the last few pieces. Pieces then find their place by rank within
+their length, without a shuffle of texts.
 """
 
 from __future__ import annotations
@@ -91,44 +92,102 @@ def knapsack(lengths: np.ndarray, stock: np.ndarray, price: np.ndarray, size: in
     return out
 
 
-def program(demand: np.ndarray, size: int, eta: float, priced: int) -> dict[tuple[tuple[int, int], ...], float]:
-    """A fractional solution of the covering program: configurations and how often each is used.
+def dearest(price: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The value of the dearest configuration within each room, any number of copies allowed, and its next piece (0: leave one free)."""
+    back = np.zeros(size + 1)  # by room, the largest first
+    pick = np.zeros(size + 1, np.int64)
+    buf = np.empty(size)
+    for room in range(1, size + 1):
+        values = buf[:room]
+        np.add(back[size - room + 1 :], price[1 : room + 1], out=values)
+        k = int(values.argmax())
+        if values[k] > back[size - room + 1]:
+            back[size - room], pick[room] = values[k], k + 1
+        else:
+            back[size - room] = back[size - room + 1]
+    return back[::-1], pick
 
-    Each step prices the lengths by the weight of their unmet demand and their size,
-    finds the dearest configuration and uses it for half of what its scarcest length
-    lacks (once at least). Only the ``priced`` lengths that are dearest for their size,
-    and some of the others evenly, enter one step. It ends when every length is covered.
+
+def completions(lengths: np.ndarray, pick: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which, piece): for each length the dearest configuration that contains it, piece by piece."""
+    jump = np.maximum.accumulate(np.where(pick > 0, np.arange(size + 1), 0))
+    i, room = np.arange(len(lengths)), jump[size - lengths]
+    which, piece = [i], [lengths]
+    while (more := room > 0).any():
+        i, room = i[more], room[more]
+        which.append(i)
+        piece.append(pick[room])
+        room = jump[room - pick[room]]
+    which, piece = np.concatenate(which), np.concatenate(piece)
+    order = np.lexsort((piece, which))
+    return which[order], piece[order]
+
+
+def program(demand: np.ndarray, size: int, eta: float, step: float, gap: float, near: float = 0.05, steps: int = 200) -> tuple[dict[tuple[int, ...], float], float, float]:
+    """A fractional solution of the covering program, its sequences, and a lower bound on those of any solution.
+
+    A length's price is its size times a weight that falls by the factor exp(-eta) while
+    its demand is covered. One knapsack a step gives the dearest configuration and, for
+    each open length, the dearest one that contains it; those whose value is ``near`` the
+    dearest are used, no length for more than the share ``step`` of its demand. Any prices
+    give a dual bound: the demand's price over that of the dearest configuration. It ends
+    when the use, with what is open counted as filled by copies of one length, is within
+    ``gap`` of the bound (or after ``steps``: the gap is then what it is).
     """
-    lacks = demand.copy()
+    have = np.flatnonzero(demand)
     cover = np.zeros(size + 1)
-    fill = np.arange(size + 1) / size
-    # Large lengths are dear: small ones must remain to fill gaps.
-    worth = fill * (1 + 0.5 * fill)
-    out: dict[tuple[tuple[int, int], ...], float] = {}
-    while len(lengths := np.flatnonzero(lacks)):
-        price = worth[lengths] * (1 + 0.1 * np.exp(-eta * cover[lengths] / demand[lengths]))
-        if len(lengths) > priced:
-            order = np.argsort(-price / lengths, kind="stable")
-            dear, rest = np.split(order, [2 * priced // 3])
-            pick = np.concatenate([dear, rest[np.linspace(0, len(rest) - 1, priced - len(dear)).astype(int)]])
-            lengths, price = lengths[pick], price[pick]
-        conf = knapsack(lengths, lacks[lengths], price, size)
-        times = max(1.0, min(lacks[k] / a for k, a in conf.items()) / 2)
-        for k, a in conf.items():
-            cover[k] += a * times
-            lacks[k] = max(0, int(np.ceil(demand[k] - cover[k] - 1e-9)))
-        key = tuple(sorted(conf.items()))
-        out[key] = out.get(key, 0.0) + times
-    return out
+    out: dict[tuple[int, ...], float] = {}
+    used = bound = 0.0
+    for _ in range(steps + 1):
+        lacks = np.maximum(demand[have] - cover[have], 0)
+        live = have[lacks > 1e-9 * demand[have]]
+        total = used + float((lacks / (size // have)).sum())
+        if not len(live) or total <= (1 + gap) * bound:
+            break
+        worth = live / size * np.exp(-eta * cover[live] / demand[live])
+        price = np.full(size + 1, -1.0)
+        price[live] = worth - 1e-6 * worth.max()  # of equal values the one of fewer pieces
+        best, pick = dearest(price, size)
+        bound = max(bound, float((demand[live] * np.maximum(price[live], 0)).sum() / best[size]))
+        lead = live[price[live] + best[size - live] >= (1 - near) * best[size]]
+        which, piece = completions(lead, pick, size)
+        room = np.minimum(np.maximum(demand - cover, 0), step * demand)
+        use = room[lead]
+        load = np.bincount(piece, use[which], size + 1)
+        share = np.ones(len(lead))
+        np.minimum.at(share, which, np.minimum(1, room[piece] / load[piece]))
+        use = use * share
+        cover += np.bincount(piece, use[which], size + 1)
+        used += float(use.sum())
+        cuts = np.searchsorted(which, np.arange(len(lead) + 1))
+        for lo, hi, times in zip(cuts[:-1], cuts[1:], use.tolist()):
+            key = tuple(piece[lo:hi].tolist())
+            out[key] = out.get(key, 0.0) + times
+    return out, total, bound
 
 
-def solve(demand: np.ndarray, size: int, eta: float = 2.0, priced: int = 128, report: list | None = None) -> list[tuple[dict[int, int], int]]:
+def fractional(demand: np.ndarray, size: int, eta: float, gap: float) -> tuple[dict[tuple[int, ...], float], float, float]:
+    """The best of a few solutions, with smaller steps while the gap to the bound stays open."""
+    found, total, bound = program(demand, size, eta, 1.0, gap)
+    for step in (0.5, 0.25, 0.125):
+        if total <= (1 + gap) * bound:
+            break
+        other, t, b = program(demand, size, eta, step, gap)
+        bound = max(bound, b)
+        if t < total:
+            found, total = other, t
+    return found, total, bound
+
+
+def solve(demand: np.ndarray, size: int, eta: float = 3.0, gap: float = 0.03, report: list | None = None, few: int = 2000) -> list[tuple[dict[int, int], int]]:
     """Configurations with whole multiplicities that meet ``demand`` (index: length) exactly.
 
     The program is solved and rounded: configurations in order of use, each taken as
-    often as its rounded number and the demand still open allow. What rounding leaves
-    is a smaller program of the same kind, until nothing is left. ``report`` gets the
-    pieces that each rounding has placed.
+    often as its rounded number (full ones once at least) and the demand still open
+    allow. What rounding leaves is a smaller program of the same kind, until at most
+    ``few`` pieces are left or most could not be placed: then the largest piece left and
+    the knapsack over the stock complete the last rounding. ``report`` gets the pieces
+    that each rounding has placed.
     """
     left = demand.astype(np.int64).copy()
     plan: list[tuple[dict[int, int], int]] = []
@@ -142,16 +201,33 @@ def solve(demand: np.ndarray, size: int, eta: float = 2.0, priced: int = 128, re
         use({size: 1}, int(left[size]))
     while left.any():
         before = int(left.sum())
-        for key, times in sorted(program(left, size, eta, priced).items(), key=lambda kv: -kv[1]):
-            conf = dict(key)
-            whole = min(max(1, int(times)), *(int(left[k] // a) for k, a in conf.items()))
+        found = fractional(left, size, eta, gap)[0]
+        for key, times in sorted(found.items(), key=lambda kv: (-kv[1], -kv[0][-1], kv[0])):
+            lengths, copies = np.unique(key, return_counts=True)
+            whole = min(max(int(sum(key) == size), int(times + 1e-9)), int((left[lengths] // copies).min()))
             if whole > 0:
-                use(conf, whole)
+                use(dict(zip(lengths.tolist(), copies.tolist())), whole)
+        open_ = int(left.sum())
+        if open_ <= few or open_ > 0.7 * before:
+            _complete(left, size, use)
         if report is not None:
             report.append(before - int(left.sum()))
     return plan
 
 
+def _complete(left: np.ndarray, size: int, use) -> None:
+    """Each time the largest length left with the fullest choice beside it, of equal ones that of fewest pieces."""
+    while left.any():
+        big = int(np.flatnonzero(left)[-1])
+        stock = left[: size - big + 1].copy()
+        if big < len(stock):
+            stock[big] -= 1
+        lengths = np.flatnonzero(stock)
+        conf = knapsack(lengths, stock[lengths], lengths / size - 1e-6, size - big) if len(lengths) else {}
+        conf[big] = conf.get(big, 0) + 1
+        use(conf, min(int(left[k] // a) for k, a in conf.items()))
+
+
 def _segments(plan: list[tuple[dict[int, int], int]], size: int) -> dict[str, np.ndarray]:
     """For each length, which ranks go to which configuration."""
     rows, base, given = [], 0, np.zeros(size + 1, np.int64)

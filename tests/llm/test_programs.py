@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.llm import jaccard, wavelet
 from ledgerflow.llm.common import Workspace, load
-from ledgerflow.llm.packing import solve
+from ledgerflow.llm.packing import fractional, program, solve
 
 
 def test_rounded_program_places_most_pieces():
@@ -30,6 +30,53 @@ def test_rounded_program_places_most_pieces():
     assert sum(t for _, t in solve(ties, 2048)) == 4
 
 
+def _best_fit_decreasing(demand: np.ndarray, size: int) -> int:
+    room, bins = np.zeros(size + 1, np.int64), 0
+    for k in range(size, 0, -1):
+        for _ in range(int(demand[k])):
+            fits = np.flatnonzero(room[k:])
+            at = k + int(fits[0]) if len(fits) else size
+            if len(fits):
+                room[at] -= 1
+            else:
+                bins += 1
+            room[at - k] += 1
+    return bins
+
+
+def test_packs_no_worse_than_best_fit():
+    rng = np.random.default_rng(5)
+    draws = {
+        "gamma": rng.gamma(1.2, 600, 9000),
+        "lognormal": rng.lognormal(5.5, 1.2, 9000),
+        "wide": rng.uniform(300, 1500, 9000),
+        "few": rng.choice([301, 555, 777, 1023], 9000),
+    }
+    for name, x in draws.items():
+        demand = np.bincount(np.minimum(2048, x.astype(int) + 1), minlength=2049)
+        used = sum(times for _, times in solve(demand, 2048))
+        assert used <= _best_fit_decreasing(demand, 2048), name
+        if name in ("gamma", "lognormal"):
+            bound = -(-int((demand * np.arange(2049)).sum()) // 2048)
+            assert used <= bound + 3, name
+
+
+def test_weights_close_the_gap():
+    """The bound holds, the stated gap is reached, and without weights it is not."""
+    demand = np.zeros(2049, np.int64)
+    demand[[302, 556, 778, 1024]] = 2500
+    found, total, bound = fractional(demand, 2048, 3.0, 0.03)
+    assert total <= 1.05 * bound
+    assert sum(found.values()) <= total + 1e-6
+    assert all(sum(key) <= 2048 for key in found)
+    assert bound <= sum(times for _, times in solve(demand, 2048)) + 1e-6
+    _, total, bound = fractional(demand, 2048, 0.0, 0.03)
+    assert total > 1.05 * bound
+    wide = np.bincount(np.random.default_rng(5).uniform(300, 1500, 9000).astype(int) + 1, minlength=2049)
+    (_, a, b), (_, c, d) = (program(wide, 2048, eta, 1.0, 0.0, steps=100) for eta in (3.0, 0.0))
+    assert a / b < 1.01 < 1.03 < c / d
+
+
 def test_token_group_bound_and_links():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 200, dtype=np.uint64)
