@@ -11,7 +11,7 @@ from ..plans.views import Market
 from ..sources import files
 from .cross import _BLENDED, _PARTS, _X, parts
 from .levels import _PIVOTS
-from .prices import NTR, _ema_sql, _TR, _wilder_sql
+from .prices import OVER, NTR, _ema_sql, _TR, _wilder_sql
 from .registry import query
 from .tables import _LATEST, latest
 
@@ -85,9 +85,34 @@ def f34_rsi_divergence(m: Market) -> DataFrame:
     return ind.rsi(m.bars()).select("symbol", "date", lv.rsi_divergence().alias("divergence"))
 
 
-@query("SELECT round(ratio, 6) AS ratio FROM (SELECT DISTINCT r AS ratio FROM (SELECT unnest([x, 1 / x]) AS r FROM (SELECT s AS x FROM sp UNION SELECT b FROM bo UNION SELECT s * b FROM sp, bo)) WHERE r BETWEEN 0.005 AND 200 AND round(r, 9) <> 1 QUALIFY row_number() OVER (PARTITION BY round(r, 9)) = 1)", views="", more="sp AS (SELECT unnest([0.5, 0.4, 0.25, 0.2, 0.1, 0.05, 0.04, 0.02, 0.01]::DOUBLE[]) AS s), bo AS (SELECT DISTINCT j::DOUBLE / (i + j) AS b FROM range(1, 11) a(i), range(1, 11) c(j))")
+_RATIOS = """sp AS (SELECT unnest([1, 2, 1, 1, 1, 1, 1, 1, 1]) AS n, unnest([2, 5, 4, 5, 10, 20, 25, 50, 100]) AS d), bo AS (SELECT DISTINCT j AS n, i + j AS d FROM range(1, 11) a(i), range(1, 11) c(j)),
+  whole AS (SELECT DISTINCT n // gcd(n, d) AS n, d // gcd(n, d) AS d FROM (SELECT n, d FROM sp UNION SELECT n, d FROM bo UNION SELECT sp.n * bo.n, sp.d * bo.d FROM sp, bo)),
+  ratios AS (SELECT n / d AS ratio, n + d AS complexity FROM (SELECT n, d FROM whole UNION SELECT d, n FROM whole) WHERE n <> d AND n / d BETWEEN 0.005 AND 200)"""
+_GAPS = f"gaps AS (SELECT symbol, date, r AS gap FROM (SELECT symbol, date, open / nullif(lag(close) {OVER}, 0) AS r, date - lag(date) {OVER} AS days FROM bars) WHERE days <= 5 AND (r < 0.78 OR r > 1.28))"
+_FOUND = "found AS (SELECT symbol, date, gap, ratio AS factor FROM (SELECT *, abs(gap / ratio - 1) AS err FROM gaps, ratios) WHERE err <= 0.03 QUALIFY row_number() OVER (PARTITION BY symbol, date ORDER BY CASE WHEN err <= 0.005 THEN 0 ELSE 1 END, CASE WHEN err <= 0.005 THEN 0 ELSE complexity END, err, ratio) = 1)"
+
+
+def gaps(m: Market) -> DataFrame:
+    return m.bars().withColumn("gap", actions.gap_ratio()).where("gap is not null").select("symbol", "date", "gap")
+
+
+@query("SELECT round(ratio, 6) AS ratio, complexity, count(factor) AS actions FROM ratios LEFT JOIN found ON factor = ratio GROUP BY ratio, complexity", more=f"{_RATIOS}, {_GAPS}, {_FOUND}")
 def h04_ratio_set(m: Market) -> DataFrame:
-    return actions.plausible_ratios(m.spark).select("ratio")
+    """Every plausible ratio with the number of gaps that it explains."""
+    ratios = actions.plausible_ratios(m.spark)
+    found = actions.snapped(gaps(m), ratios).groupBy(F.col("factor").alias("ratio")).agg(F.count("*").alias("actions"))
+    return ratios.join(found, "ratio", "left").fillna(0, ["actions"])
+
+
+@query("SELECT symbol, date, round(gap, 6) AS gap, round(factor, 6) AS factor FROM found", more=f"{_RATIOS}, {_GAPS}, {_FOUND}")
+def i25_actions(m: Market) -> DataFrame:
+    """Gaps that a split, a bonus or both explain, with the factor."""
+    return actions.snapped(gaps(m), actions.plausible_ratios(m.spark))
+
+
+@query("SELECT symbol, date, round(gap, 6) AS gap FROM gaps ANTI JOIN found USING (symbol, date)", more=f"{_RATIOS}, {_GAPS}, {_FOUND}")
+def i25_unexplained_moves(m: Market) -> DataFrame:
+    return actions.unexplained(m.bars(), actions.plausible_ratios(m.spark))
 
 
 @query("SELECT l.symbol, round(l.close / nullif(CASE WHEN h.eps > 0 THEN h.eps END, 0), 6) AS pe, round(h.eps, 6) AS eps FROM latest l JOIN (SELECT symbol, (pat[-1] + pat[-2] + pat[-3] + pat[-4]) / 1e5 AS eps FROM (SELECT symbol, list(pat ORDER BY period_end) AS pat FROM quarters GROUP BY symbol)) h USING (symbol)", views="bars quarters", more=_LATEST)

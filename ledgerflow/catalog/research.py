@@ -147,12 +147,14 @@ def e06_block_stats(m: Market) -> DataFrame:
     return t.rollup("sector").agg(F.count("*").alias("n"), F.avg("net_return").alias("mean"), F.median("net_return").alias("median")).where("n >= 5")
 
 
-@query("SELECT q::INT AS q, v::INT AS v, (100 - q - v)::INT AS t FROM range(0, 101, 10) a(q), range(0, 101, 10) b(v) WHERE q + v <= 100 UNION SELECT 5, 45, 50", views="")
-def g10_weight_grid(m: Market) -> DataFrame:
-    return rs.weight_grid(m.spark)
+_GRID = "grid AS (SELECT q AS wq, v AS wv, 100 - q - v AS wt FROM range(0, 101, 10) a(q), range(0, 101, 10) b(v) WHERE q + v <= 100 UNION SELECT 5, 45, 50), cand AS (SELECT panel.*, wq, wv, wt, (coalesce(mom, 0) * wq + coalesce(ret3, 0) * wv + coalesce(vr, 0) * wt) / nullif(CASE WHEN mom IS NULL THEN 0 ELSE wq END + CASE WHEN ret3 IS NULL THEN 0 ELSE wv END + CASE WHEN vr IS NULL THEN 0 ELSE wt END, 0) AS blended FROM panel, grid)"
 
 
-_GRID = "grid AS (SELECT q AS wq, v AS wv, 100 - q - v AS wt FROM range(0, 101, 10) a(q), range(0, 101, 10) b(v) WHERE q + v <= 100 UNION SELECT 5, 45, 50), cand AS (SELECT panel.*, wq, wv, wt, (coalesce(mom, 0) * wq + coalesce(ret3, 0) * wv + coalesce(vr, 0) * wt) / nullif(CASE WHEN mom IS NULL THEN 0 ELSE wq END + CASE WHEN ret3 IS NULL THEN 0 ELSE wv END + CASE WHEN vr IS NULL THEN 0 ELSE wt END, 0) AS blended FROM panel, grid)"
+@query("SELECT wq::INT AS q, wv::INT AS v, wt::INT AS t, count(blended) AS scored, round(avg(blended), 6) AS mean_blended FROM cand GROUP BY ALL", views="bars stocks", more=f"{_PANEL}, {_GRID}")
+def g10_weight_grid(m: Market) -> DataFrame:
+    """Every candidate of the grid with the rows of the panel that it scores."""
+    scored = rs.blended(panel(m), rs.weight_grid(m.spark), "mom", "ret3", "vr")
+    return scored.groupBy(F.col("wq").alias("q"), F.col("wv").alias("v"), F.col("wt").alias("t")).agg(F.count("blended").alias("scored"), F.avg("blended").alias("mean_blended"))
 
 
 @query(f"SELECT wq::INT AS wq, wv::INT AS wv, wt::INT AS wt, {_COLS} FROM ({_nw(_ic('cand', 'blended', 'wq, wv, wt, as_of'), 'ic', 'wq, wv, wt')})", views="bars stocks", more=f"{_PANEL}, {_GRID}")

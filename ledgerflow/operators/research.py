@@ -119,7 +119,7 @@ def weight_grid(spark, step: int = 10, incumbents: tuple = ((5, 45, 50),)) -> Da
     return spark.createDataFrame(sorted(grid), "q int, v int, t int")
 
 
-def _blended(panel: DataFrame, grid: DataFrame, q: str, v: str, t: str) -> DataFrame:
+def blended(panel: DataFrame, grid: DataFrame, q: str, v: str, t: str) -> DataFrame:
     def part(w: str, x: str) -> Column:
         return F.coalesce(F.col(x), F.lit(0.0)) * F.col(w)
 
@@ -132,7 +132,7 @@ def _blended(panel: DataFrame, grid: DataFrame, q: str, v: str, t: str) -> DataF
 
 def weight_search(panel: DataFrame, grid: DataFrame, q: str, v: str, t: str, **kw) -> DataFrame:
     """The coefficient of every candidate blend: candidates are a key, not a loop. ``grid`` is a fixed list."""
-    return information_coefficient(_blended(panel, grid, q, v, t), "blended", "wq", "wv", "wt", **kw)
+    return information_coefficient(blended(panel, grid, q, v, t), "blended", "wq", "wv", "wt", **kw)
 
 
 def weight_search_halves(panel: DataFrame, grid: DataFrame, q: str, v: str, t: str, date: str = "as_of", x: str = "forward_return") -> DataFrame:
@@ -147,7 +147,7 @@ def weight_search_halves(panel: DataFrame, grid: DataFrame, q: str, v: str, t: s
     half = F.when(middle.isNull() | (F.col(date) < middle), "first").otherwise("second")
     df = panel.crossJoin(F.broadcast(days)).withColumn("period", F.explode(F.array(F.lit("all"), half))).drop("_d")
     keys = ("period", "wq", "wv", "wt")
-    df = _blended(df, grid, q, v, t)
+    df = blended(df, grid, q, v, t)
     ic = information_coefficient(df, "blended", *keys, date=date, target=x)
 
     scored = df.where("blended is not null").withColumn("decile", decile("blended", "symbol", *keys, date))
