@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import fixed
 from ..operators import actions, histories as hs, indicators as ind, levels as lv, zones as zn
 from ..operators.indicators import W
 from ..plans.views import Market
@@ -132,7 +133,7 @@ def i34_setup_scores(m: Market) -> DataFrame:
 @query("SELECT symbol, (CASE WHEN ret >= 0 THEN '+' ELSE '-' END) || printf('%.1f', abs(ret) * 100) || '%' AS change, strftime(date, '%d %b') AS day FROM (SELECT symbol, date, trunc(close) / 1000 - 1 AS ret FROM latest)", more=_LATEST)
 def i33_display(m: Market) -> DataFrame:
     x = latest(m).withColumn("ret", F.floor("close") / 1000 - 1)
-    change = F.concat(F.when(F.col("ret") >= 0, "+").otherwise("-"), F.format_string("%.1f", F.abs("ret") * 100), F.lit("%"))
+    change = F.concat(F.when(F.col("ret") >= 0, "+").otherwise("-"), fixed(F.abs("ret") * 100, 1), F.lit("%"))
     return x.select("symbol", change.alias("change"), F.date_format("date", "dd MMM").alias("day"))
 
 

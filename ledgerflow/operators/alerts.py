@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import change, fixed
+
 # Severities by urgency, and the decile under which an entry case has weakened.
 SEVERITY = {"critical": 0, "action": 1, "info": 2}
 DECAY_FLOOR, TOP_DECILE = 7, 10
@@ -89,9 +91,9 @@ def explained(alerts: DataFrame, positions: DataFrame, today: DataFrame, setups:
     x = alerts.withColumn("_what", F.regexp_extract("dedupe_key", r"^[^:]*:[^:]*:(.*)$", 1))
     held = positions.select(F.col("symbol"), F.col("id").cast("string").alias("_what"), "entry", "stop", "target", "close")
     x = x.join(held, ["symbol", "_what"], "left").join(today.select("symbol", "blended"), "symbol", "left").join(setups.select("symbol", "signs", "reward_risk"), "symbol", "left")
-    two = lambda c: F.format_string("%.2f", F.col(c))
-    gain = F.when(F.col("entry") > 0, F.format_string(", %+.0f%% since entry", (F.col("close") / F.col("entry") - 1) * 100)).otherwise("")
-    odds = F.when(F.col("reward_risk").isNotNull(), F.format_string(", reward to risk %.1f", F.col("reward_risk"))).otherwise("")
+    two = lambda c: fixed(c, 2)
+    gain = F.when(F.col("entry") > 0, F.concat(F.lit(", "), change(F.col("close") / F.col("entry") - 1, 0), F.lit(" since entry"))).otherwise("")
+    odds = F.when(F.col("reward_risk").isNotNull(), F.concat(F.lit(", reward to risk "), fixed("reward_risk", 1))).otherwise("")
     signs = F.when(F.size("signs") > 0, _plain(F.col("signs"))).otherwise("confirmed")
     listed = _plain(F.split("_what", ","))
     text = {
@@ -99,7 +101,7 @@ def explained(alerts: DataFrame, positions: DataFrame, today: DataFrame, setups:
         "target_reached": F.concat(F.lit("close "), two("close"), F.lit(" has met the target "), two("target"), gain),
         "thesis_broken": F.concat(F.lit("a holding fails a gate: "), listed),
         "score_decayed": F.concat(F.split_part("_what", F.lit(":"), F.lit(1)), F.lit(" is down to decile "), F.split_part("_what", F.lit(":"), F.lit(2))),
-        "entered_top_decile": F.concat(F.lit("new in the top decile"), F.when(F.col("blended").isNotNull(), F.format_string(", blend %.1f", F.col("blended"))).otherwise("")),
+        "entered_top_decile": F.concat(F.lit("new in the top decile"), F.when(F.col("blended").isNotNull(), F.concat(F.lit(", blend "), fixed("blended", 1))).otherwise("")),
         "setup_triggered": F.concat(F.lit("turning at support ("), signs, F.lit(")"), odds),
         "zone_broken": F.lit("the support under it has gone"),
         "new_red_flag": F.concat(F.lit("fails a gate it passed before: "), listed),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..functions.num import safe_div
 
 # Limits of a position, a sector and the whole book as shares of capital.
@@ -77,7 +78,7 @@ def shortlist(candidates: DataFrame, held: DataFrame, capital: DataFrame, book:
 def insights(m: DataFrame, capital: DataFrame, book: str = "book") -> DataFrame:
     """book, symbol, id and a text for each thing worth saying about a marked position."""
     x = m.join(capital.select(book, "capital"), book)
-    pct = lambda c: F.format_string("%.1f%%", c * 100)
+    pct = text.share
     share = F.col("value") / F.col("capital")
     found: dict[str, tuple[Column, Column]] = {
         "no price": (F.col("close").isNull(), F.lit("no price to mark it at")),

@@ -97,6 +97,15 @@ def test_texts_leave_out_what_is_not_known(spark):
     }
 
 
+def test_prices_in_texts_are_rounded_as_sql_rounds_them(spark):
+    """4054.535 lies under the half in binary, 0.125 on it."""
+    alerts = spark.createDataFrame([("A", "stop_breached", 0, "A:stop_breached:1"), ("B", "target_reached", 1, "B:target_reached:2")], "symbol string, rule string, severity int, dedupe_key string")
+    held = spark.createDataFrame([("A", 1, 1.0, 5000.125, 9e9, 4054.535), ("B", 2, 1.0, 0.5, 1.005, 1.125)], "symbol string, id int, entry double, stop double, target double, close double")
+    empty = spark.createDataFrame([], "symbol string, blended double, signs array<string>, reward_risk double")
+    got = {r.symbol: r.message for r in al.explained(alerts, held, empty, empty).collect()}
+    assert got == {"A": "close 4054.53 is at or under the stop 5000.12", "B": "close 1.12 has met the target 1.00, +12% since entry"}
+
+
 def test_chart_quotas(spark):
     z = [("live", "low", 90.0 - i, 91.0 - i, True, None) for i in range(5)] + [("over", "high", 101.0 + i, 102.0 + i, True, None) for i in range(4)]
     z += [("late", "low", 95.0, 96.0, False, 300 - i) for i in range(4)] + [("far", "low", 10.0, 11.0, False, 310), ("old", "high", 100.0, 101.0, False, 50), ("above", "low", 120.0, 121.0, True, None)]
