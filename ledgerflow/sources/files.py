@@ -109,7 +109,7 @@ def constituent_checks(df: DataFrame, low: int = 450, high: int = 520, skipped:
 
 def snapshot_date(path: str | Column = "_metadata.file_path") -> Column:
     """The date in a 14-digit stamp of a file name."""
-    return F.to_date(F.substring(F.regexp_extract(path, r"(\d{14})", 1), 1, 8), "yyyyMMdd")
+    return F.to_date(F.substring(F.regexp_extract(path, r"^.*(?<!\d)(\d{14})", 1), 1, 8), "yyyyMMdd")
 
 
 _CHART = "struct<chart: struct<result: array<struct<meta: struct<symbol: string>, timestamp: array<bigint>, indicators: struct<quote: array<struct<open: array<double>, high: array<double>, low: array<double>, close: array<double>, volume: array<bigint>>>, adjclose: array<struct<adjclose: array<double>>>>>>>>"

@@ -1,14 +1,14 @@
 """Folders of text files whose layout is in each file's own header.
 
-A file is one row of Spark's text source, so any store that Spark reads will do and a
-folder may mix layouts. Its lines are read by the names in its header; what is wrong
+Lines come from Spark's text source, so any store that Spark reads will do and a folder
+may mix layouts. They are read by the names in their file's header; what is wrong
 with a row, or with a whole file, is a column and not an exception, and ``files.demand``
 turns it into one where a load must stop.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .files import CONSTITUENTS, DAILY, DAILY_OLD, INDEX, INDEX_EXTRA, ISIN, SERIES, number
@@ -26,15 +26,29 @@ def _cells(line: Column) -> Column:
     return F.transform(fields, lambda x: F.nullif(bare(x), F.lit("")))
 
 
+def _step(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns in a step of its own: what reads them does not work them out again."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def rows(spark: SparkSession, path: str) -> DataFrame:
-    """file, header, row (its number, from 1; null for a file without rows), cells."""
-    f = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = F.filter(F.split(F.regexp_replace("value", "^\ufeff", ""), "\r?\n"), lambda x: F.trim(x) != "")
-    f = f.select("file", F.transform(lines, _cells).alias("lines"))
-    header = F.coalesce(F.try_element_at("lines", F.lit(1)), F.array().cast("array<string>"))
-    rest = F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0)))
-    out = f.select("file", header.alias("header"), F.posexplode_outer(rest).alias("row", "cells"))
-    return out.select("file", "header", (F.col("row") + 1).alias("row"), "cells")
+    """file, header, row (its number, from 1; null for a file without rows), cells.
+
+    Lines are read a part of a file at a time, so a file may be of any size. A part's first line
+    and count give each file's header and how many lines lie before a part: a row a part.
+    """
+    text = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.regexp_replace("value", "^\ufeff|\r$", "").alias("line"))
+    lines = text.where(F.trim("line") != "").withColumn("n", F.monotonically_increasing_id())
+    parts = lines.groupBy("file", "part").agg(F.count("*").alias("size"), F.min("n").alias("first"), F.min_by("line", "n").alias("top"))
+    w = Window.partitionBy("file").orderBy("part")
+    parts = parts.select("file", "part", "size", (F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("first")).alias("shift"), _cells(F.first("top").over(w)).alias("header"))
+    body = lines.join(F.broadcast(parts.drop("size")), ["file", "part"]).select("file", "header", (F.col("n") + F.col("shift")).cast("int").alias("row"), "line").where("row >= 1")
+    body = _step(body, cells=_cells(F.col("line"))).drop("line")
+    sizes = parts.groupBy("file").agg(F.first("header").alias("header"), F.sum("size").alias("size"))
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"))
+    none = F.array().cast("array<string>")
+    bare = files.join(sizes, "file", "left").where(F.coalesce("size", F.lit(0)) <= 1).select("file", F.coalesce("header", none).alias("header"), F.lit(None).cast("int").alias("row"), F.lit(None).cast("array<string>").alias("cells"))
+    return body.unionByName(bare)
 
 
 def cell(name: str) -> Column:
@@ -56,21 +70,22 @@ def daily(spark: SparkSession, path: str, series: tuple[str, ...] = SERIES) -> D
     raw = rows(spark, path)
     old = (F.size(_lacks(DAILY_OLD.values())) == 0) & ~F.array_contains("header", DAILY["symbol"])
     new = F.size(_lacks(DAILY.values())) == 0
-    raw = raw.withColumn("layout", F.when(old, "old").when(new, "new").otherwise("unknown"))
+    raw = _step(raw, layout=F.when(old, "old").when(new, "new").otherwise("unknown"))
     of = lambda c: F.when(F.col("layout") == "old", cell(DAILY_OLD[c]) if c in DAILY_OLD else F.lit(None)).otherwise(cell(DAILY[c]))
-    raw = raw.withColumns({"_series": of("series"), "_kind": of("kind"), "_day": of("date")})
+    raw = _step(raw, **{f"_{c}": of(c) for c in DAILY})
     known = F.col("layout") != "unknown"
     priced = F.col("_series").isin(*series) & ((F.col("layout") == "old") | (F.col("_kind") == "STK"))
     raw = raw.where(F.when(known, F.coalesce(priced, F.lit(False))).otherwise(F.coalesce("row", F.lit(1)) == 1))
-    date = F.when(F.col("layout") == "old", any_date_of(F.col("_day"), "dd-MMM-yyyy")).otherwise(F.col("_day").try_cast("date"))
-    out = raw.select(
-        "file", "layout", _lacks(DAILY.values()).alias("_lack"), F.upper(of("symbol")).alias("symbol"), date.alias("date"),
-        *[number(of(c)).alias(c) for c in ("open", "high", "low", "close", "prev_close")],
-        F.coalesce(number(of("volume")), F.lit(0.0)).cast("long").alias("volume"), of("isin").alias("isin"),
+    date = F.when(F.col("layout") == "old", any_date_of(F.col("_date"), "dd-MMM-yyyy")).otherwise(F.col("_date").try_cast("date"))
+    prices = ("open", "high", "low", "close", "prev_close")
+    out = _step(
+        raw, symbol=F.upper("_symbol"), date=date, **{c: number(F.col(f"_{c}")) for c in prices},
+        volume=F.coalesce(number(F.col("_volume")), F.lit(0.0)).cast("long"), isin=F.col("_isin"),
     )
     whole = F.col("date").isNotNull() & F.col("open").isNotNull() & F.col("close").between(F.col("low"), F.col("high"))
-    problem = F.when(F.col("layout") == "unknown", F.concat(F.lit("columns are missing: "), F.array_join("_lack", ", "))).when(~F.coalesce(whole, F.lit(False)), "bad price row")
-    return out.withColumn("problem", problem).drop("_lack")
+    lack = F.concat(F.lit("columns are missing: "), F.array_join(_lacks(DAILY.values()), ", "))
+    problem = F.when(F.col("layout") == "unknown", lack).when(~F.coalesce(whole, F.lit(False)), "bad price row")
+    return out.select("file", "layout", "symbol", "date", *prices, "volume", "isin", problem.alias("problem"))
 
 
 def daily_checks(bars: DataFrame, least: int) -> DataFrame:
@@ -105,7 +120,7 @@ def constituents(spark: SparkSession, path: str) -> DataFrame:
     same = F.concat_ws("|", "header") == "|".join(CONSTITUENTS)
     t = lambda c: F.coalesce(cell(c), F.lit(""))
     out = raw.select(
-        "file", F.to_date(F.substring(F.regexp_extract("file", r"(\d{14})", 1), 1, 8), "yyyyMMdd").alias("week_start"), same.alias("_same"), F.upper(t("Symbol")).alias("symbol"),
+        "file", F.to_date(F.substring(F.regexp_extract("file", r"^.*(?<!\d)(\d{14})", 1), 1, 8), "yyyyMMdd").alias("week_start"), same.alias("_same"), F.upper(t("Symbol")).alias("symbol"),
         t("Company Name").alias("company_name"), t("Industry").alias("sector"), F.upper(t("ISIN Code")).alias("isin"), F.when(F.upper(t("Series")) == "RR", "reit").otherwise("equity").alias("instrument_type"),
     )
     problem = F.when(~F.col("_same"), "header changed").when(F.col("symbol") == "", "missing symbol").when(F.col("company_name") == "", "no company name").when(F.col("sector") == "", "no industry").when(~F.col("isin").rlike(ISIN), "bad ISIN")

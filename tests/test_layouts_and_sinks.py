@@ -39,6 +39,33 @@ def test_both_layouts_and_a_foreign_file_in_one_folder(spark, tmp_path):
     assert "TckrSymb" in got["unknown", None].problem
 
 
+def test_a_file_is_read_in_parts_with_its_own_header(spark, tmp_path):
+    """No row holds a whole file: parts of a few lines, blank lines, a file of a header only, one of blanks."""
+    day = lambda i: f"{1 + i % 28:02d}-JAN-2023"
+    at = folder(
+        tmp_path,
+        a_dot_csv=f"\ufeff\n\n{NEW}\n" + "".join(f"2024-01-02,a{i},EQ,STK,INE1,1,3,1,2,1,{i}\n\n" for i in range(400)),
+        b_dot_csv=f"{OLD}\r\n" + "".join(f"b{i},EQ,1,3,1,2,1,{i},{day(i)},INE4\r\n" for i in range(300)),
+        c_dot_csv=f"{NEW}\n",
+        d_dot_csv="\n \n",
+    )
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        raw = ly.rows(spark, at)
+        got = raw.collect()
+        assert raw.where("file like '%a.csv'").select(F.spark_partition_id()).distinct().count() > 3
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    by = {}
+    for r in got:
+        by.setdefault(r.file[-5], []).append(r)
+    assert [r.row for r in sorted(by["a"], key=lambda r: r.row)] == list(range(1, 401))
+    assert all(r.cells[1] == f"a{r.row - 1}" and r.header == NEW.split(",") for r in by["a"])
+    assert sorted(r.row for r in by["b"]) == list(range(1, 301)) and all(r.cells[0] == f"b{r.row - 1}" and r.header[0] == "SYMBOL" for r in by["b"])
+    assert [(r.row, r.cells, len(r.header)) for r in by["c"]] == [(None, None, 11)]
+    assert [(r.row, r.header) for r in by["d"]] == [(None, [])]
+
+
 def test_a_file_without_one_column_says_which(spark, tmp_path):
     at = folder(tmp_path, a_dot_csv=NEW.replace("ClsPric,", "") + "\n2024-01-02,abc,EQ,STK,INE1,1,3,1,1,10\n")
     assert [r.problem for r in ly.daily(spark, at).collect()] == ["columns are missing: ClsPric"]
