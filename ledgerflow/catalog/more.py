@@ -75,7 +75,7 @@ def d15_g08_nearest_band(m: Market) -> DataFrame:
 def f31_macd_turning_up(m: Market) -> DataFrame:
     from ..operators import candles
 
-    return ind.macd_histogram(m.bars()).select("symbol", "date", candles.macd_turning_up().alias("turning_up"))
+    return ind.macd_histogram(ind.blocked(m.bars())).select("symbol", "date", candles.macd_turning_up(ind.B()).alias("turning_up"))
 
 
 @query(
@@ -83,7 +83,7 @@ def f31_macd_turning_up(m: Market) -> DataFrame:
     more=f"{_TR}, w1 AS ({_wilder_sql('gain', 14, 't', 'ag')}), w2 AS ({_wilder_sql('loss', 14, 'w1', 'al')})",
 )
 def f34_rsi_divergence(m: Market) -> DataFrame:
-    return ind.rsi(m.bars()).select("symbol", "date", lv.rsi_divergence().alias("divergence"))
+    return ind.rsi(ind.blocked(m.bars())).select("symbol", "date", lv.rsi_divergence(w=ind.B()).alias("divergence"))
 
 
 _RATIOS = """sp AS (SELECT unnest([1, 2, 1, 1, 1, 1, 1, 1, 1]) AS n, unnest([2, 5, 4, 5, 10, 20, 25, 50, 100]) AS d), bo AS (SELECT DISTINCT j AS n, i + j AS d FROM range(1, 11) a(i), range(1, 11) c(j)),

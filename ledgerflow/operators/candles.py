@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from .indicators import W
@@ -67,9 +67,9 @@ def fractals(df: DataFrame, span: int) -> DataFrame:
     return df.where(whole & (low | high)).select("symbol", "date", low.alias("is_low"), high.alias("is_high"), "confirmed")
 
 
-def falling_knife(df: DataFrame, bars: int = 3, atr: str = "atr14", drop: float = 2.5) -> Column:
+def falling_knife(df: DataFrame, bars: int = 3, atr: str = "atr14", drop: float = 2.5, w: WindowSpec | None = None) -> Column:
     """Straight lower closes, or one fall of more than ``drop`` ATR."""
-    c = [F.col("close")] + [F.lag("close", k).over(W()) for k in range(1, bars + 1)]
+    c = [F.col("close")] + [F.lag("close", k).over(w or W()) for k in range(1, bars + 1)]
     straight = c[0] < c[1]
     for a, b in zip(c[1:], c[2:]):
         straight = straight & (a < b)
@@ -77,9 +77,9 @@ def falling_knife(df: DataFrame, bars: int = 3, atr: str = "atr14", drop: float
     return c[-1].isNotNull() & (F.coalesce(straight, F.lit(False)) | F.coalesce(violent, F.lit(False)))
 
 
-def stabilised() -> Column:
+def stabilised(w: WindowSpec | None = None) -> Column:
     """An inside bar or an up close."""
-    h, low, c = (F.lag(x).over(W()) for x in ("high", "low", "close"))
+    h, low, c = (F.lag(x).over(w or W()) for x in ("high", "low", "close"))
     return F.coalesce(((F.col("high") <= h) & (F.col("low") >= low)) | (F.col("close") > c), F.lit(False))
 
 
@@ -97,9 +97,9 @@ def with_lower_highs(df: DataFrame, out: str = "lower_highs", bars: int = 60, le
     return df.withColumn("_w", window).withColumn(out, flag).drop("_w")
 
 
-def macd_turning_up() -> Column:
+def macd_turning_up(w: WindowSpec | None = None) -> Column:
     """Three rising values with the oldest below zero."""
-    a, b = F.lag("macd_hist", 2).over(W()), F.lag("macd_hist", 1).over(W())
+    a, b = F.lag("macd_hist", 2).over(w or W()), F.lag("macd_hist", 1).over(w or W())
     return F.coalesce((F.col("macd_hist") > b) & (b > a) & (a < 0), F.lit(False))
 
 

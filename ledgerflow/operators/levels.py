@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.num import clamp
@@ -85,9 +85,9 @@ def agrees(level: str, ma: str, high: str, low: str, atr: str) -> tuple[Column,
     return F.coalesce(F.abs(v - F.col(ma)) <= LONG_MA_ATR * a, F.lit(False)), fib
 
 
-def rsi_divergence(lookback: int = 60, separation: int = 8) -> Column:
+def rsi_divergence(lookback: int = 60, separation: int = 8, w: WindowSpec | None = None) -> Column:
     """A lower low than the lowest of an earlier stretch (first of equals) with a higher oscillator."""
-    f = W().rowsBetween(-lookback, -separation)
+    f = (w or W()).rowsBetween(-lookback, -separation)
     low = F.min("low").over(f)
     then = F.min_by("rsi14", F.struct("low", "date")).over(f)
     return F.coalesce((F.col("low") < low) & (F.col("rsi14") > then), F.lit(False))
