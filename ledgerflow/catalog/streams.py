@@ -1,10 +1,12 @@
 """Streams over the tables, run to their end and held against the same in one batch (section L).
 
-A table is laid down as files in the order of their times, and a micro-batch takes one.
+A table is laid down in batches in the order of their times, and a micro-batch takes one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,19 +18,18 @@ from .registry import query
 BATCHES, LEVEL = 4, 50.0
 
 
-def _events(m: Market, path: str) -> DataFrame:
-    """The events as a stream of ``BATCHES`` files."""
+def _events(m: Market, path: str) -> tuple[DataFrame, Iterator[int]]:
+    """The events as a stream, and the ``BATCHES`` in which they come."""
     rows = m.table("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("long").alias("user_id"), "event_type", F.col("value").cast("double").alias("value"))
-    runs.arrivals(rows, f"{path}/in", "ts", BATCHES)
-    return runs.feed(m.spark, f"{path}/in", rows.schema)
+    return runs.feed(m.spark, f"{path}/in", rows.schema), runs.arrivals(rows, f"{path}/in", "ts", BATCHES)
 
 
 @query("SELECT user_id, max(us) AS us, round(arg_max(value, us), 6) AS value FROM (SELECT user_id, epoch_us(ts) AS us, value FROM events) GROUP BY user_id", views="")
 def l01_latest_quotes_stream(m: Market) -> DataFrame:
     """The newest row of each name, kept by a running stream."""
     path = folder(m.spark, "quotes")
-    s = _events(m, path).select("user_id", "ts", "value")
-    out = runs.latest_state(live.latest_quotes(s, "user_id", "ts"), path)
+    s, batches = _events(m, path)
+    out = runs.latest_state(live.latest_quotes(s.select("user_id", "ts", "value"), "user_id", "ts"), path, batches)
     return out.select("user_id", F.unix_micros("ts").alias("us"), "value")
 
 
@@ -39,7 +40,8 @@ def l01_latest_quotes_stream(m: Market) -> DataFrame:
 def l02_transitions_stream(m: Market) -> DataFrame:
     """A row where a name crosses a level, its side kept as state from batch to batch."""
     path = folder(m.spark, "crossings")
-    out = runs.to_the_end(live.transitions(_events(m, path), "user_id", "ts", "value", LEVEL), path)
+    s, batches = _events(m, path)
+    out = runs.to_the_end(live.transitions(s, "user_id", "ts", "value", LEVEL), path, batches=batches)
     return out.select("user_id", F.unix_micros("ts").alias("us"), "value", "crossed")
 
 
@@ -48,8 +50,8 @@ def l07_late_corrections_stream(m: Market) -> DataFrame:
     """Corrections that come in batches: the newest row of a key stands, and how many batches had the key."""
     path = folder(m.spark, "corrections")
     rows = m.table("lineitem").select((F.col("l_orderkey") % 1000).alias("id"), F.col("l_linenumber").alias("line"), F.col("l_extendedprice").alias("price"), F.col("l_shipdate").cast("timestamp").alias("at"), F.struct("l_orderkey", "l_partkey", "l_extendedprice").alias("seq"))
-    runs.arrivals(rows, f"{path}/in", "at", BATCHES)
-    runs.append_versions(runs.feed(m.spark, f"{path}/in", rows.schema), path, ["id", "line"], "seq")
+    batches = runs.arrivals(rows, f"{path}/in", "at", BATCHES)
+    runs.append_versions(runs.feed(m.spark, f"{path}/in", rows.schema), path, ["id", "line"], "seq", batches)
     had = cut(m.spark.read.parquet(f"{path}/versions").groupBy("id", "line").agg(F.count("*").alias("batches")))
     runs.compact(m.spark, path, ["id", "line"], BATCHES - 2)
     now = runs.current(m.spark, path, ["id", "line"]).select("id", "line", "price")

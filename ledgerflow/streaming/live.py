@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,19 +26,19 @@ def transitions(rows: DataFrame, key: str, ts: str, value: str, level: float, ou
     schema = f"{key} {dict(rows.dtypes)[key]}, {ts} timestamp, {value} double, {out} string"
 
     def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        side = state.get[0] if state.exists else None
-        found = []
-        for r in pd.concat(list(batches)).sort_values([ts, value]).itertuples():
-            v = getattr(r, value)
-            if v != v:
-                continue
-            now = "above" if v >= level else "below"
-            if side is not None and now != side:
-                found.append((k[0], getattr(r, ts), v, now))
-            side = now
-        if side is not None:
-            state.update((side,))
-        yield pd.DataFrame(found, columns=[key, ts, value, out])
+        parts = [(b[ts].to_numpy(), b[value].to_numpy("float64")) for b in batches]
+        at, v = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((v, at))
+        order = order[~np.isnan(v[order])]
+        if not len(order):
+            return
+        at, v = at[order], v[order]
+        above = v >= level
+        before = state.get[0] == "above" if state.exists else above[0]
+        hit = above != np.append(before, above[:-1])
+        state.update(("above" if above[-1] else "below",))
+        if hit.any():
+            yield pd.DataFrame({key: k[0], ts: at[hit], value: v[hit], out: np.where(above[hit], "above", "below")})
 
     src = rows.select(key, F.col(ts).cast("timestamp").alias(ts), F.col(value).cast("double").alias(value))
     return src.groupBy(key).applyInPandasWithState(step, schema, "side string", "append", GroupStateTimeout.NoTimeout)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,48 +12,57 @@ from ..operators.tables import collapse
 WAIT_S = 1800  # a run that takes longer has failed
 
 
-def arrivals(df: DataFrame, path: str, order: str, batches: int) -> None:
-    """Write ``df`` as files that come one after the other in time: what a feed leaves in a folder."""
+def arrivals(df: DataFrame, path: str, order: str, batches: int) -> Iterator[int]:
+    """Write ``df`` as batches that come one after the other in time, as a feed leaves them in a folder; yields when a batch is there.
+
+    A batch has as many files as its rows need, written where they were read.
+    """
     at = F.col(order)
     at = (F.unix_micros(at.cast("timestamp")) if dict(df.dtypes)[order].startswith("timestamp") else at).cast("double")
     low, high = df.agg(F.min(at), F.max(at)).first()
     if low is None:
         df.write.parquet(path)
+        yield 0
         return
     part = F.least(F.lit(batches - 1), F.floor((at - low) / max(high - low, 1.0) * batches)).cast("int")
-    for i in range(batches):  # a few files, in the order of their times
-        df.where(F.coalesce(part, F.lit(0)) == i).coalesce(1).write.mode("append").parquet(path)
+    for i in range(batches):
+        df.where(F.coalesce(part, F.lit(0)) == i).write.mode("append").parquet(path)
+        yield i
 
 
-def feed(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
-    """The folder as a stream, ``files`` new files a micro-batch, oldest first."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+def feed(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The folder as a stream: a run takes the files that have come since the last one as one micro-batch."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)  # nothing may have come yet
+    return spark.readStream.schema(schema).parquet(path)
 
 
-def to_the_end(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+def to_the_end(stream: DataFrame, path: str, mode: str = "append", batches: Iterable = (0,)) -> DataFrame:
     """Run until all that is there has been taken, through the file sink (append), and read the rows back.
 
-    The sink's log makes a batch count once however often it runs; ``path`` keeps the checkpoint too.
+    It runs once for each of ``batches``, as they come. The sink's log makes a batch count once
+    however often it runs; ``path`` keeps the checkpoint too.
     """
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).format("parquet").start(f"{path}/rows")
-    _finish(q)
+    for _ in batches:
+        _finish(stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).format("parquet").start(f"{path}/rows"))
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def latest_state(stream: DataFrame, path: str) -> DataFrame:
-    """Run an aggregation to the end and read its last complete state; each batch replaces its own version."""
+def latest_state(stream: DataFrame, path: str, batches: Iterable = (0,)) -> DataFrame:
+    """Run an aggregation to the end, once for each of ``batches``, and read its last complete state; each batch replaces its own version."""
     spark = stream.sparkSession
 
     def keep(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/state/epoch={epoch}")
 
-    _finish(stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start())
+    for _ in batches:
+        _finish(stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start())
     rows = spark.read.parquet(f"{path}/state")
     last = rows.agg(F.max("epoch")).first()[0]
     return rows.where(F.col("epoch") == last).drop("epoch")
 
 
-def append_versions(stream: DataFrame, path: str, keys: list[str], seq: str) -> None:
+def append_versions(stream: DataFrame, path: str, keys: list[str], seq: str, batches: Iterable = (0,)) -> None:
     """Late corrections: a micro-batch writes the last row of each of its keys as versions of its own, and no other row.
 
     A batch that runs again writes the same folder again. ``current`` reads the newest version
@@ -63,7 +72,8 @@ def append_versions(stream: DataFrame, path: str, keys: list[str], seq: str) ->
     def write(batch: DataFrame, epoch: int) -> None:
         collapse(batch, keys, seq).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/versions/epoch={epoch}")
 
-    _finish(stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start())
+    for _ in batches:
+        _finish(stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start())
 
 
 def current(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
