@@ -154,8 +154,8 @@ def a22_chart_files(m: Market) -> DataFrame:
     adj = F.when(s % 4 != 0, F.array(F.struct(F.transform("a", lambda x: x["adj"]).alias("adjclose")))).alias("adjclose")
     result = F.struct(F.struct(F.concat(F.lit("S"), s).alias("symbol")).alias("meta"), F.transform("a", lambda x: x["t"]).alias("timestamp"), F.struct(quote, adj).alias("indicators"))
     doc = F.to_json(F.struct(F.struct(F.array(result).alias("result")).alias("chart")), {"ignoreNullFields": "false"})
-    a.select("symbol", doc.alias("value")).repartition("symbol").write.partitionBy("symbol").text(path)
-    return sf.chart_bars(m.spark.read.text(path, wholetext=True).select("value")).select("symbol", "date", "open", "close", "volume", "adj_close")
+    a.select(doc.alias("value")).write.text(path)  # a document a line: a file a symbol would be as many files as symbols
+    return sf.chart_bars(m.spark.read.text(path)).select("symbol", "date", "open", "close", "volume", "adj_close")
 
 
 @query("SELECT 'N' || (symbol - symbol % 10) AS name, CAST(date AS VARCHAR) AS as_of, round(CAST(printf('%.2f', close) AS DOUBLE), 6) AS last, CASE WHEN symbol % 20 = 0 THEN NULL ELSE 0.5 END::DOUBLE AS pct_change FROM nbars WHERE symbol % 10 = 0", views="nbars")
