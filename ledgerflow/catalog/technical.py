@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..operators import asof, indicators as ind, scoring
+from ..operators import indicators as ind, scoring
+from ..operators.endpoints import last_technicals
 from ..plans.views import Market
 from .cross import _pct
 from .pillars import _blend_sql, _mean_sql
@@ -49,6 +50,5 @@ _WEIGHTS = {("volume_score" if k == "volume" else k): w for k, w in scoring.MOME
     more=f"{_CHAIN}, y AS (SELECT t.*, CASE WHEN s.sector IS NULL OR count(*) OVER (PARTITION BY s.sector) < 10 THEN '__POOLED__' ELSE s.sector END AS peer FROM (SELECT * FROM tech QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1) t JOIN stocks s USING (symbol))",
 )
 def j15_momentum_pillar(m: Market) -> DataFrame:
-    t = ind.technicals(m.bars(), m.index_prices())
-    x = asof.latest(t, "symbol", "date").join(m.stocks(), "symbol")
+    x = last_technicals(m.bars(), m.index_prices()).join(m.stocks(), "symbol")
     return scoring.momentum_score(x).select("symbol", "peer", *_M, "tm_score")
