@@ -6,6 +6,7 @@ import random
 import pytest
 
 from ledgerflow.catalog import QUERIES
+from ledgerflow.catalog.cross import featured
 from ledgerflow.operators import asof, endpoints, indicators as ind
 
 BAR = "symbol long, date date, open double, high double, low double, close double, volume double"
@@ -50,7 +51,21 @@ def test_last_technicals_are_the_last_of_all(spark):
     assert all(any(r[c] is not None for r in got) for c in ind.TECHNICALS)
 
 
-@pytest.mark.parametrize("name", ["j15_momentum_pillar"])
+def test_month_end_features_are_those_of_all_rows(spark):
+    b = bars(spark)
+    first = dt.date(1990, 1, 1)
+    at = spark.createDataFrame([(first + dt.timedelta(days=d),) for d in (0, 3, 502, 503, 504, 505, 777, 1101, 1102, 1398, 1399, 2000, 2598, 2600, 4000)], "as_of date")
+    f = featured(b).withColumn("forward_return", asof.forward_return(126))
+    key = lambda r: (r.symbol, r.as_of)
+    want = {key(r): r for r in asof.asof_latest(f, at, "symbol", "date", 252).collect()}
+    got = endpoints.month_end_features(b, at).collect()
+    assert sorted(map(key, got)) == sorted(want)
+    columns = ("date", "mom", "ret3", "dist", "vr", "forward_return")
+    assert not [(key(r), c, r[c], want[key(r)][c]) for r in got for c in columns if not near(r[c], want[key(r)][c])]
+    assert all(any(r[c] is not None for r in got) for c in columns) and all(any(r[c] is None for r in got) for c in columns[1:])
+
+
+@pytest.mark.parametrize("name", ["j15_momentum_pillar", "j20_panel", "e10_feature_ic", "e14_composite"])
 def test_no_window_over_a_symbols_rows(spark, sf_dir, name):
     """Only some rows of a symbol are wanted: nothing is worked out at every row."""
     assert "windowspecdefinition(symbol#" not in QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
