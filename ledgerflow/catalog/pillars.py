@@ -21,21 +21,20 @@ base AS (SELECT h.*, s.sector, s.mcap, l.close, CASE WHEN s.sector IS NULL OR co
 based AS (SELECT *, CASE WHEN tpat > 0 THEN close / (tpat / 1e5) END AS pe FROM base)"""
 
 
-def base(m: Market) -> DataFrame:
-    """symbol, sector, mcap, close, the histories and trailing sums."""
-    q = m.quarters()
-    whole = F.floor("revenue").cast("long")
-    q = q.withColumns(
+def base(m: Market, held: bool = False) -> DataFrame:
+    """symbol, sector, mcap, close, the histories and trailing sums; those of holdings if ``held``."""
+    q = m.quarters(whole=held).withColumns(
         {
             "opm": F.col("pat") / F.col("revenue"),
             "cfo": F.col("pat") + 0.1 * F.col("revenue"),
             "debt": 0.4 * F.col("revenue") - F.col("pat"),
-            "promoter": 40 + 20 * F.col("pat") / F.col("revenue"),
-            "fii": 15 + (whole % 97) / 10.0,
-            "dii": 10 + (whole % 89) / 10.0,
         }
     )
-    names = ("revenue", "pat", "opm", "cfo", "debt", "promoter", "fii", "dii")
+    names = ("revenue", "pat", "opm", "cfo", "debt")
+    if held:
+        whole = F.col("whole")
+        q = q.withColumns({"promoter": 40 + 20 * F.col("pat") / F.col("revenue"), "fii": 15 + (whole % 97) / 10.0, "dii": 10 + (whole % 89) / 10.0})
+        names += ("promoter", "fii", "dii")
     h = q.groupBy("symbol").agg(*[hs.history(q, c) for c in names]).withColumnRenamed("opm", "opm_history")
     x = h.join(m.stocks().select("symbol", "sector", "mcap"), "symbol").join(latest(m).select("symbol", "close"), "symbol")
     x = x.withColumns({"tpat": hs.trailing("pat"), "trev": hs.trailing("revenue")})
@@ -177,5 +176,5 @@ _O = {
     more=f"{_LATEST}, {_HIST}, {_OIN}",
 )
 def j15_ownership_pillar(m: Market) -> DataFrame:
-    x = hs.ownership_metrics(base(m).withColumn("has_promoter", F.col("symbol") % 4 != 0))
+    x = hs.ownership_metrics(base(m, held=True).withColumn("has_promoter", F.col("symbol") % 4 != 0))
     return scoring.ownership_score(x).select("symbol", *_O, "ownership_score")
