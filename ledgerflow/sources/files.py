@@ -30,8 +30,10 @@ def raw_csv(spark: SparkSession, path) -> DataFrame:
 
 def number(c: str | Column) -> Column:
     """Numbers with thousands commas or a percent sign; '-' and blanks are missing."""
-    text = F.regexp_replace(F.trim(F.col(c) if isinstance(c, str) else c), "[,%₹ ]", "")
-    return F.when(~text.isin("", "-", "--"), text).try_cast("double")
+    text = F.col(c) if isinstance(c, str) else c
+    for mark in ",%₹ ":
+        text = F.replace(text, F.lit(mark), F.lit(""))
+    return text.try_cast("double")  # '-' and '--' are no numbers either
 
 
 def any_date(c: str, *formats: str) -> Column:

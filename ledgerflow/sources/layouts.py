@@ -19,11 +19,20 @@ IMPLAUSIBLE_MARGIN, HOLDERS = 1000.0, (90.0, 110.0)
 LIVE = {"last": "last", "change": "variation", "pct_change": "percentChange", "open": "open", "high": "high", "low": "low", "prev_close": "previousClose", "year_high": "yearHigh", "year_low": "yearLow"}
 
 
+_CUT = "\ufdd0"  # stands between the fields of a quoted line; no character of any text
+
+
+def _fields(line: Column) -> Column:
+    """The fields of one line of CSV, cut at commas outside quotes, quotes undone; blanks around them may remain."""
+    x = F.regexp_replace(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', _CUT)
+    x = F.trim(F.regexp_replace(x, f" *{_CUT} *", _CUT))
+    x = F.replace(F.regexp_replace(x, f'(?<![^{_CUT}])"|"(?![^{_CUT}])', ""), F.lit('""'), F.lit('"'))
+    return F.when(F.contains(line, F.lit('"')), F.split(x, _CUT, -1)).otherwise(F.split(line, ",", -1))
+
+
 def _cells(line: Column) -> Column:
-    """The fields of one line of CSV: cut at commas outside quotes, quotes undone, blanks cut, empty ones missing."""
-    fields = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
-    bare = lambda x: F.trim(F.replace(F.regexp_replace(F.trim(x), r'^"|"$', ""), F.lit('""'), F.lit('"')))
-    return F.transform(fields, lambda x: F.nullif(bare(x), F.lit("")))
+    """The fields without blanks around them, empty ones missing."""
+    return F.transform(_fields(line), lambda x: F.nullif(F.trim(x), F.lit("")))
 
 
 def _step(df: DataFrame, **columns: Column) -> DataFrame:
@@ -31,24 +40,34 @@ def _step(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
 
 
-def rows(spark: SparkSession, path: str) -> DataFrame:
-    """file, header, row (its number, from 1; null for a file without rows), cells.
+def _lines(spark: SparkSession, path: str, **about: Column) -> DataFrame:
+    """file, header, row (its number, from 1), line (both null for a file without rows), and ``about`` out of header.
 
     Lines are read a part of a file at a time, so a file may be of any size. A part's first line
-    and count give each file's header and how many lines lie before a part: a row a part.
+    and count give each file's header and how many lines lie before a part: a row a part. What
+    ``about`` says of a header is worked out there, once a part.
     """
-    text = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.regexp_replace("value", "^\ufeff|\r$", "").alias("line"))
+    value = F.col("value")
+    value = F.when(F.startswith(value, F.lit("\ufeff")), F.substring(value, 2, 2**31 - 1)).otherwise(value)
+    value = F.when(F.endswith(value, F.lit("\r")), F.rtrim(value, F.lit("\r"))).otherwise(value)
+    text = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), value.alias("line"))
     lines = text.where(F.trim("line") != "").withColumn("n", F.monotonically_increasing_id())
-    parts = lines.groupBy("file", "part").agg(F.count("*").alias("size"), F.min("n").alias("first"), F.min_by("line", "n").alias("top"))
+    parts = lines.groupBy("file", "part").agg(F.count("*").alias("size"), F.min("n").alias("first")).where("first is not null")
     w = Window.partitionBy("file").orderBy("part")
-    parts = parts.select("file", "part", "size", (F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("first")).alias("shift"), _cells(F.first("top").over(w)).alias("header"))
-    body = lines.join(F.broadcast(parts.drop("size")), ["file", "part"]).select("file", "header", (F.col("n") + F.col("shift")).cast("int").alias("row"), "line").where("row >= 1")
-    body = _step(body, cells=_cells(F.col("line"))).drop("line")
+    parts = parts.select("file", "part", "size", F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), "first")
+    tops = lines.select("n", "line").join(F.broadcast(parts.where("before = 0").select("file", F.col("first").alias("n"))), "n").select("file", _cells(F.col("line")).alias("header"))
+    parts = parts.join(F.broadcast(tops), "file").select("file", "part", "size", (F.col("before") - F.col("first")).alias("shift"), "header").withColumns(about)
+    body = lines.join(F.broadcast(parts.drop("size")), ["file", "part"]).select("file", "header", (F.col("n") + F.col("shift")).cast("int").alias("row"), "line", *about).where("row >= 1")
     sizes = parts.groupBy("file").agg(F.first("header").alias("header"), F.sum("size").alias("size"))
     files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"))
     none = F.array().cast("array<string>")
-    bare = files.join(sizes, "file", "left").where(F.coalesce("size", F.lit(0)) <= 1).select("file", F.coalesce("header", none).alias("header"), F.lit(None).cast("int").alias("row"), F.lit(None).cast("array<string>").alias("cells"))
-    return body.unionByName(bare)
+    bare = files.join(sizes, "file", "left").where(F.coalesce("size", F.lit(0)) <= 1).select("file", F.coalesce("header", none).alias("header"), F.lit(None).cast("int").alias("row"), F.lit(None).cast("string").alias("line"))
+    return body.unionByName(bare.withColumns(about))
+
+
+def rows(spark: SparkSession, path: str) -> DataFrame:
+    """file, header, row (its number, from 1; null for a file without rows), cells."""
+    return _step(_lines(spark, path), cells=_cells(F.col("line"))).drop("line")
 
 
 def cell(name: str) -> Column:
@@ -67,25 +86,25 @@ def daily(spark: SparkSession, path: str, series: tuple[str, ...] = SERIES) -> D
     Other series and instruments are left out. A file that is of neither layout is one row
     with its problem; so is a row without a date, an open or a close within its range.
     """
-    raw = rows(spark, path)
     old = (F.size(_lacks(DAILY_OLD.values())) == 0) & ~F.array_contains("header", DAILY["symbol"])
     new = F.size(_lacks(DAILY.values())) == 0
-    raw = _step(raw, layout=F.when(old, "old").when(new, "new").otherwise("unknown"))
-    of = lambda c: F.when(F.col("layout") == "old", cell(DAILY_OLD[c]) if c in DAILY_OLD else F.lit(None)).otherwise(cell(DAILY[c]))
-    raw = _step(raw, **{f"_{c}": of(c) for c in DAILY})
+    layout = F.when(old, "old").when(new, "new").otherwise("unknown")
+    at = lambda name: F.array_position("header", name).cast("int") - 1
+    places = {f"_{c}": F.when(old, at(DAILY_OLD[c]) if c in DAILY_OLD else F.lit(-1)).otherwise(at(DAILY[c])) for c in DAILY}
+    raw = _step(_lines(spark, path, layout=layout, _lack=F.array_join(_lacks(DAILY.values()), ", "), **places), _fields=_fields(F.col("line")))
+    of = lambda c: F.trim(F.get("_fields", F.col(f"_{c}")))
     known = F.col("layout") != "unknown"
-    priced = F.col("_series").isin(*series) & ((F.col("layout") == "old") | (F.col("_kind") == "STK"))
+    priced = of("series").isin(*series) & ((F.col("layout") == "old") | (of("kind") == "STK"))
     raw = raw.where(F.when(known, F.coalesce(priced, F.lit(False))).otherwise(F.coalesce("row", F.lit(1)) == 1))
-    date = F.when(F.col("layout") == "old", any_date_of(F.col("_date"), "dd-MMM-yyyy")).otherwise(F.col("_date").try_cast("date"))
+    date = F.when(F.col("layout") == "old", any_date_of(of("date"), "dd-MMM-yyyy")).otherwise(of("date").try_cast("date"))
     prices = ("open", "high", "low", "close", "prev_close")
-    out = _step(
-        raw, symbol=F.upper("_symbol"), date=date, **{c: number(F.col(f"_{c}")) for c in prices},
-        volume=F.coalesce(number(F.col("_volume")), F.lit(0.0)).cast("long"), isin=F.col("_isin"),
+    out = raw.select(
+        "file", "layout", "_lack", F.nullif(F.upper(of("symbol")), F.lit("")).alias("symbol"), date.alias("date"), *[number(of(c)).alias(c) for c in prices],
+        F.coalesce(number(of("volume")), F.lit(0.0)).cast("long").alias("volume"), F.nullif(of("isin"), F.lit("")).alias("isin"),
     )
     whole = F.col("date").isNotNull() & F.col("open").isNotNull() & F.col("close").between(F.col("low"), F.col("high"))
-    lack = F.concat(F.lit("columns are missing: "), F.array_join(_lacks(DAILY.values()), ", "))
-    problem = F.when(F.col("layout") == "unknown", lack).when(~F.coalesce(whole, F.lit(False)), "bad price row")
-    return out.select("file", "layout", "symbol", "date", *prices, "volume", "isin", problem.alias("problem"))
+    problem = F.when(~known, F.concat(F.lit("columns are missing: "), "_lack")).when(~F.coalesce(whole, F.lit(False)), "bad price row")
+    return out.withColumn("problem", problem).drop("_lack")
 
 
 def daily_checks(bars: DataFrame, least: int) -> DataFrame:

@@ -66,6 +66,39 @@ def test_a_file_is_read_in_parts_with_its_own_header(spark, tmp_path):
     assert [(r.row, r.header) for r in by["d"]] == [(None, [])]
 
 
+def test_lines_of_prices_are_cut_in_generated_code_and_headers_are_looked_at_once_a_part(spark, tmp_path):
+    """A lambda would leave generated code for each line; a name must not be looked up in the header for each line."""
+    at = folder(tmp_path, a_dot_csv=f"{NEW}\n2024-01-02,abc,EQ,STK,INE1,1,3,1,2,1,10\n")
+    plan = ly.daily(spark, at)._jdf.queryExecution().optimizedPlan().toString()
+    cut = [x for x in plan.split("\n") if "Generate inline" in x]
+    assert cut and not any("lambda" in x or "array_position" in x for x in cut)
+    above = plan[: plan.index("Generate inline")]
+    assert "array_position" not in above and "array_except" not in above
+
+
+def test_quoted_lines_have_the_cells_that_the_same_lines_have_without_quotes(spark):
+    lines = ['a , b,c', '"a, ""x""" ,, " b "', '"",""""," "', 'a"b,"c', '"a","b""c",d', ' "1,234.5" ,%,"x""y"', ",,", '"q"']
+    want = [["a", "b", "c"], ['a, "x"', None, "b"], [None, '"', None], ['a"b,"c'], ["a", 'b"c', "d"], ["1,234.5", "%", 'x"y'], [None, None, None], ["q"]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string").select("i", ly._cells(F.col("line")).alias("cells"))
+    assert [r.cells for r in sorted(df.collect(), key=lambda r: r.i)] == want
+
+
+def test_many_rows_of_one_key_lie_in_several_files(spark, tmp_path):
+    from ledgerflow.catalog.files import _csv
+
+    size, one = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    spark.conf.set(size, "20000")
+    spark.conf.set(one, "10000")
+    try:
+        _csv(spark.range(0, 40000, 1, 4).select(F.lit("1998-1").alias("file"), F.col("id").alias("Name"), F.sha2(F.col("id").cast("string"), 256).alias("Price")), f"file://{tmp_path}/x", "file")
+    finally:
+        spark.conf.unset(size)
+        spark.conf.unset(one)
+    assert len(list((tmp_path / "x" / "file=1998-1").glob("*.csv"))) > 1
+    got = ly.rows(spark, f"file://{tmp_path}/x/*").collect()
+    assert sorted(int(r.cells[0]) for r in got) == list(range(40000)) and all(r.header == ["Name", "Price"] for r in got)
+
+
 def test_a_file_without_one_column_says_which(spark, tmp_path):
     at = folder(tmp_path, a_dot_csv=NEW.replace("ClsPric,", "") + "\n2024-01-02,abc,EQ,STK,INE1,1,3,1,1,10\n")
     assert [r.problem for r in ly.daily(spark, at).collect()] == ["columns are missing: ClsPric"]
